@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm import bpe, exact_dedup, mixing, quality_classifier, quality_rules, simhash
+from glossa.llm import bpe, chat, exact_dedup, mixing, pii, quality_classifier, quality_rules, sharding, simhash, substring_dedup
 from glossa.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -31,10 +35,22 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(exact_dedup.in_two_batches(table(spark, sf_dir, "documents")))
 
 
+def op7_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_format(table(spark, sf_dir, "conversations"))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -65,6 +81,17 @@ r AS (
   FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target,
   CAST(e * size + greatest(0, least(size, CAST(floor(target + 1e-6) AS BIGINT) - e * source_size - ahead)) AS BIGINT) AS taken FROM r""",
+    "op9_chat_format": r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+    coalesce(role, chr(1)) || chr(2) || coalesce(text, chr(1)) || chr(3) AS enc FROM t),
+p AS (
+  SELECT conv_id, k, n, string_agg(enc, '') OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pre,
+    string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10), '')
+      OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chat FROM o),
+w AS (SELECT n AS n_turns, pre, any_value(chat) AS chat, min(conv_id) AS conv_id, count(*) AS n_copies FROM p WHERE k = n GROUP BY n, pre)
+SELECT conv_id, n_turns, n_copies, chat FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.k < p.n AND p.k = w.n_turns AND p.pre = w.pre)""",
     "op6_exact_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
