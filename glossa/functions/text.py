@@ -174,7 +174,7 @@ def packed_sentences(sentences: Column, limit: int) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences of a text without line feeds and double spaces: cut after . ! ? and white space."""
     flat = F.regexp_replace(F.regexp_replace(text, "\n", " "), " +", " ")
-    return F.filter(F.transform(F.split(flat, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(flat, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def temperature_grid() -> Column:
@@ -198,13 +198,13 @@ def inflect(lemma: Column, tag: Column) -> Column:
     return F.when(F.length(head) > 0, F.concat(before, form)).otherwise(lemma)
 
 
-#: Words whose article doesn't follow from their first letter.
-AN_WORDS, A_WORDS = ("hour", "honest", "honour", "honor", "heir"), ("uni", "use", "eu", "one", "once")
+#: Beginnings that are spoken with a consonant though written with a vowel, and the other way round.
+CONSONANT_STARTS, VOWEL_STARTS = r"(?i:eu|one\b|once\b|uni|use|usi|uti)", r"(?i:hour|honest|hono|heir)"
 
 
 def fix_articles(text: Column) -> Column:
-    """a or an by the first sound of the next word, by rule: vowels but for a few beginnings (H5)."""
-    an = r"(?:[aeioAEIO8](?<!\b(?i:eu|on)(?=ro|e\b|ce\b))|[uU](?!ni|se|ti)|(?i:hour|honest|hono|heir)|[FHLMNRSX](?=[A-Z]))"
+    """a or an by the first sound of the next word, by rule: written vowels but for a few beginnings (H5)."""
+    an = rf"(?:(?!{CONSONANT_STARTS})[aeiouAEIOU8]|{VOWEL_STARTS}|[FHLMNRSX](?=[A-Z]))"
     opening = r"([\"“‘(\[{]*)"
     text = F.regexp_replace(text, rf"\b([Aa])n?(\s+){opening}(?={an})", "$1n$2$3")
     return F.regexp_replace(text, rf"\b([Aa])n?(\s+){opening}(?!{an})(?=[A-Za-z0-9])", "$1$2$3")

@@ -121,7 +121,7 @@ def conllu_words(lines: DataFrame) -> DataFrame:
 
 def read_conllu(spark: SparkSession, path: str) -> DataFrame:
     """Words of CoNLL-U files. Each file is one row when read, so that its lines keep their order."""
-    files = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
     return conllu_words(lines)
 
@@ -131,7 +131,7 @@ PAIR_SCHEMA = "sentence_good string, sentence_bad string, field string, linguist
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Minimal pairs of a folder of JSON lines; the index is the physical line number in the file."""
-    files = spark.read.option("wholetext", "true").text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.jsonl?)?$", 1).alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.jsonl?)?$", 1).alias("file"), "value")
     rows = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("idx", "line")).filter(F.trim("line") != "")
     rows = rows.select("file", "idx", F.from_json("line", PAIR_SCHEMA).alias("p"))
     field = F.when(F.col("p.field") == "syntax_semantics", "syntax/semantics").otherwise(F.coalesce("p.field", F.lit("supplemental")))
@@ -143,7 +143,7 @@ CONTEXT_SCHEMA = "Domain string, ConceptA string, ConceptB string, ContextType s
 
 def read_context_items(spark: SparkSession, path: str) -> DataFrame:
     """Context and target items; the index counts lines that aren't blank, the id is domain and index."""
-    files = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     rows = files.select("file", F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")).alias("idx", "line"))
     rows = rows.select("file", "idx", F.from_json("line", CONTEXT_SCHEMA).alias("p")).select("file", "idx", "p.*")
     return rows.withColumn("id", F.concat_ws("_", "Domain", "idx"))
