@@ -208,3 +208,11 @@ def fix_articles(text: Column) -> Column:
     opening = r"([\"“‘(\[{]*)"
     text = F.regexp_replace(text, rf"\b([Aa])n?(\s+){opening}(?={an})", "$1n$2$3")
     return F.regexp_replace(text, rf"\b([Aa])n?(\s+){opening}(?!{an})(?=[A-Za-z0-9])", "$1$2$3")
+
+
+def batch_size(words: Column) -> Column:
+    """How many texts of a length a parser takes at once."""
+    out = F.lit(4)
+    for most, size in ((2048, 8), (1024, 32), (512, 64), (256, 128), (128, 256)):
+        out = F.when(words <= most, size).otherwise(out)
+    return out

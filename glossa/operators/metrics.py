@@ -153,3 +153,9 @@ def greedy_selection(pool: DataFrame, target: int, per_frame: int, per_pair: int
     strong = pool.filter((F.col("delta_ctrl") >= ctrl_margin) & (F.col("delta_conf") <= -conf_margin))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in strong.schema) + ", place long"
     return strong.groupBy("family").applyInPandas(fold, schema)
+
+
+def joined_metrics(first: DataFrame, second: DataFrame, groups: DataFrame, key: str = "uid") -> DataFrame:
+    """(group, key, a, b): two maps of metrics (a column m each) side by side, with the group of each name."""
+    a, b = (d.select(F.explode("m").alias(key, n)) for d, n in ((first, "a"), (second, "b")))
+    return a.join(b, key).join(groups, key).select("group", key, "a", "b")

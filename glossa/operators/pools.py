@@ -158,3 +158,19 @@ def first_per_form(entries: DataFrame) -> DataFrame:
     order = Window.partitionBy("pos", "form").orderBy("place", "lemma")
     good = entries.filter(F.col("form").rlike(r"^[a-z]+(?:[-'][a-z]+)*$"))
     return good.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
+
+
+def frame_index(frames: DataFrame) -> DataFrame:
+    """(key, comp, preps, flags, verbs): the verbs of each frame."""
+    return frames.groupBy("key", "comp", "preps", "flags").agg(F.array_sort(F.collect_set("verb")).alias("verbs"))
+
+
+def broad_verbs(index: DataFrame) -> DataFrame:
+    """All verbs of a frame index."""
+    return index.select(F.explode("verbs").alias("verb")).distinct()
+
+
+def gated_names(names: DataFrame, gender: str | None, vocabulary: DataFrame, banned: DataFrame) -> DataFrame:
+    """Names of a gender, or of any, that the vocabulary holds and no list bans."""
+    pool = names if gender is None else names.filter(F.col("gender") == gender)
+    return allowed(pool.withColumn("lemma", F.lower("name")), vocabulary, banned).drop("lemma").distinct()

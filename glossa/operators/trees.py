@@ -204,3 +204,19 @@ def particle_verbs(tokens: DataFrame, key: list[str], relation: str = "prep") ->
     parts = tokens.filter(F.col("dep") == relation).select(*key, F.col("head").alias("i"), F.col("lemma").alias("particle"))
     verbs = tokens.filter(F.col("pos") == "VERB").select(*key, "i", F.col("lemma").alias("verb"))
     return verbs.join(parts, [*key, "i"]).select("verb", "particle").distinct()
+
+
+def heavy_auxiliaries(tokens: DataFrame, key: list[str]) -> DataFrame:
+    """Verbs with a perfect or passive periphrasis: two auxiliaries, or one that isn't a modal beside a participle (M8)."""
+    aux = tokens.filter(F.col("dep").isin("aux", "auxpass")).groupBy(*key, F.col("head").alias("i")).agg(F.count(F.lit(1)).alias("n"), F.bool_or(~F.col("lemma").isin(*MODALS)).alias("full"))
+    verbs = tokens.filter(F.col("pos") == "VERB").join(aux, [*key, "i"], "left")
+    heavy = (F.col("n") > 1) | (F.col("full") & F.col("tag").isin("VBN", "VBD"))
+    return verbs.select(*key, "i", F.coalesce(heavy, F.lit(False)).alias("heavy"))
+
+
+def slot_kind() -> Column:
+    """What a rewrite does with a token, the first rule that holds: frozen, pron, propn, verb, noun, adj, adv or pass."""
+    kind = F.when(F.col("pos") == "PRON", "pron").when(functionish(), "frozen")
+    for pos, name in (("PROPN", "propn"), ("VERB", "verb"), ("NOUN", "noun"), ("ADJ", "adj"), ("ADV", "adv")):
+        kind = kind.when(F.col("pos") == pos, name)
+    return kind.otherwise("pass")
