@@ -9,7 +9,7 @@ The ranks are read on the executors from a path that is a parameter, once per Py
 are remembered in a table of bounded size.
 
 Defined cases: a null text counts as empty and has no tokens; special tokens are ordinary text; equal texts
-get equal ids; letters are those of the Unicode version of the regex module; every byte sequence decodes to itself; empty tables give empty results; other columns are not
+get equal ids; letters are those of the library's Unicode tables; every byte sequence decodes to itself; empty tables give empty results; other columns are not
 read.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -192,18 +193,40 @@ def encode_pieces(pieces: list[bytes], ranks: Ranks) -> list[bytes]:
     return [flat[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
+@lru_cache(maxsize=1)
+def _library_letters():
+    """Whether the tokenizer library's own Unicode tables call a character a letter or a number."""
+    import tiktoken
+
+    ask = tiktoken.Encoding("letters", pat_str=r"\p{L}|\p{N}", mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    return lambda c: bool(ask.encode_ordinary(c))
+
+
+@lru_cache(maxsize=1 << 16)
+def _too_new(c: str) -> bool:
+    """A letter or number of a Unicode version that the library doesn't know yet; only unassigned ones can be."""
+    return unicodedata.category(c) == "Cn" and bool(regex.match(r"[\p{L}\p{N}]", c)) and not _library_letters()(c)
+
+
 class Encoder:
     """Whole texts to ids and back, with a bounded memory of encoded units."""
 
     def __init__(self, ranks: Ranks, pattern: str):
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.ranks, self.pattern = ranks, regex.compile(pattern)
         # two generations: what the young one has not met again when it is full is forgotten
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _pieces(self, unit: str) -> list[str]:
+        """The matches of the pattern; characters too new for the library count as unassigned ones."""
+        if unit.isascii() or not any(map(_too_new, unit)):
+            return self.pattern.findall(unit)
+        plain = "".join("\U000f0000" if _too_new(c) else c for c in unit)
+        return [unit[m.start() : m.end()] for m in self.pattern.finditer(plain)]
+
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         """Ids of units not met before: their pieces are encoded together."""
-        found = [[p.encode() for p in self.find(u)] for u in new]
+        found = [[p.encode() for p in self._pieces(u)] for u in new]
         known: dict[bytes, bytes] = {}
         for p in {p for ps in found for p in ps}:
             if (i := self.ranks.ids.get(p)) is not None:

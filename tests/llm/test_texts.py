@@ -120,6 +120,13 @@ def test_both_trees_agree(piece):
     assert b"".join(ranks.bytes[i] for i in np.frombuffer(alone, "<u4")) == piece
 
 
+def test_every_character_splits_as_in_the_library(reference):
+    texts = [f"{chr(c)}a {chr(c)}{chr(c)} b{chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 7 == 0 or 0x10D00 <= c < 0x1FA00)]
+    enc = bpe.encoder(PATH, P.PATTERN)
+    for a in range(0, len(texts), 5000):
+        assert enc.encode_batch(texts[a : a + 5000]) == [ids_of(reference, t) for t in texts[a : a + 5000]]
+
+
 def test_bpe_query(reference, documents, edge_docs, empty_docs):
     for docs in (documents, edge_docs):
         want = Counter((r.doc_id, len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in docs.collect() for i in [ids_of(reference, r.text)])
