@@ -18,12 +18,13 @@ def ngrams(docs: DataFrame, orders: list[int], by: list[str]) -> DataFrame:
 
     Grams are grouped on the joined words, not on a rolling hash: no collisions.
     """
-    def grams(n: int) -> Column:
-        starts = F.when(F.size("tokens") >= n, F.sequence(F.lit(1), F.size("tokens") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("tokens", i, n), " ").alias("gram")))
-
-    per_order = [grams(n) for n in orders]
-    return docs.select(*by, F.explode(F.concat(*per_order)).alias("g")).select(*by, "g.n", "g.gram")
+    n_max = max(orders)
+    # a row per position with the words that follow, by zipping shifted arrays: all of it is generated code
+    shifted = [F.slice("tokens", k + 1, F.size("tokens")).alias(f"w{k}") for k in range(n_max)]
+    rows = docs.filter(F.size("tokens") > 0).select(*by, F.explode(F.arrays_zip(*shifted)).alias("z"))
+    word = lambda k: F.col(f"z.w{k}")
+    each = [F.struct(F.lit(n).alias("n"), F.when(word(n - 1).isNotNull(), F.concat_ws(" ", *map(word, range(n)))).alias("gram")) for n in orders]
+    return rows.select(*by, F.explode(F.array(*each)).alias("g")).filter("g.gram is not null").select(*by, "g.n", "g.gram")
 
 
 def estimates(counts: DataFrame, by: list[str], count: str = "c") -> DataFrame:
