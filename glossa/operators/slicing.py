@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions.text import uniform
+from glossa.session import settled
 
 
-def numbered(df: DataFrame, *order: str, name: str = "record_index", chunk: int = 200_000) -> DataFrame:
+def numbered(df: DataFrame, *order: str, name: str = "record_index") -> DataFrame:
     """Gapless numbers from 0 in the order of the columns (A3, A6), without bringing all rows into one task.
 
     Rows are range-partitioned by the order, counted per partition, and numbered from their partition's start.
     """
     part = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    part = part.withColumn("_place", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
+    # range bounds are sampled, so the dealt rows are written once: a second sample could deal them otherwise
+    part = settled(part.withColumn("_place", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33)))
     counts = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     # one row per partition: the broadcast is as small as the number of tasks
@@ -78,7 +80,7 @@ def recorded_split(df: DataFrame, index: str, splits: dict[str, list[int]]) -> D
 
 def running_total(df: DataFrame, amount: str, *order: str, name: str = "ahead", groups: int = 64) -> DataFrame:
     """The sum of `amount` over the rows before each one, in order, in two steps: sums of ranges, then inside them."""
-    part = df.repartitionByRange(groups, *order).withColumn("_part", F.spark_partition_id())
+    part = settled(df.repartitionByRange(groups, *order).withColumn("_part", F.spark_partition_id()))
     sums = part.groupBy("_part").agg(F.sum(amount).alias("_sum"))
     starts = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
