@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.common import short_batches, stored
@@ -54,16 +54,23 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
+def text_hash(text: Column) -> Column:
+    """Tells rows of one id apart by their text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp) with the fingerprint as a signed long."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t) for t in b["text"].to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.record_batch([b["doc_id"], pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.record_batch([b["doc_id"], b["text_hash"], pa.array(fp)], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_hash(text).alias("text_hash"))
+    return texts.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -154,7 +161,7 @@ def close_links(fps: DataFrame) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id, text_hash."""
     rows = stored(fingerprints(docs), "fingerprints")
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = stored(connected_components(close_links(fps.select("fp"))), "roots")
@@ -163,4 +170,4 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     whole = stored(named.join(ids, "root").select("fp", "component_id"), "components")
     # both sides are plain scans, so that the copies of one fingerprint can be split among tasks
-    return rows.join(whole, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(whole, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash")

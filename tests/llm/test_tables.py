@@ -83,7 +83,7 @@ def test_simhash_components(spark, edge_docs, documents, monkeypatch, chunk):
         if r.doc_id is not None:
             least[top[i]] = min(least.get(top[i], r.doc_id), r.doc_id)
     want = Counter((r.doc_id, f"{fps[i]:016x}", least.get(top[i])) for i, r in enumerate(rows))
-    assert Counter(map(tuple, simhash.simhash_components(docs).collect())) == want
+    assert Counter(tuple(r)[:3] for r in simhash.simhash_components(docs).collect()) == want
 
 
 def test_simhash_of_nothing(empty_docs):
