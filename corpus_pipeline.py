@@ -9,37 +9,40 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.llm import bpe, exact_dedup, mixing, quality_rules, simhash
-from glossa.llm.common import drop_stored, shared_dir, stored, table
+from glossa.llm.common import drop_stored, shared_dir, stored, table, text_or_empty
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of docs whose id is not among the dropped ones (doc_id)."""
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+def _without(docs: DataFrame, dropped: DataFrame, key: Column) -> DataFrame:
+    """The rows of docs that aren't among the dropped ones (doc_id, key); ids may be null or repeated."""
+    rows, gone = docs.withColumn("_key", key).alias("d"), dropped.alias("x")
+    same = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d._key") == F.col("x.key"))
+    return rows.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the isolation forest."""
     drop_stored(spark)
-    verdict = quality_rules.quality_rules(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, stored(verdict.filter(~F.col("kept")).select("doc_id"), "rejected"))
+    return quality_rules.passing(docs, *quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the smallest id."""
     drop_stored(spark)
     verdict = exact_dedup.exact_dedup(exact_dedup.in_two_batches(docs))
-    return _without(docs, stored(verdict.filter(~F.col("kept")).select("doc_id"), "copies"))
+    dropped = stored(verdict.filter(~F.col("kept")).select("doc_id", F.col("text_sha256").alias("key")).distinct(), "copies")
+    return _without(docs, dropped, exact_dedup.digest_of(exact_dedup.normalised(text_or_empty())))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of close fingerprints, the document with the smallest id."""
     drop_stored(spark)
-    found = simhash.simhash_components(docs)
-    return _without(docs, stored(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"), "near"))
+    found = simhash.simhash_components(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    dropped = stored(found.select("doc_id", F.col("text_hash").alias("key")).distinct(), "near")
+    return _without(docs, dropped, simhash.text_hash(F.col("text")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
