@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions.text import tokenize
+from glossa.operators.slicing import running_total
 
 #: The smallest budget of the ladder, and the words from which halves are compared.
 LEAST_BUDGET, LEAST_HALF = 250_000, 1000
@@ -72,8 +73,7 @@ def curve(blocks: DataFrame, by: list[str], columns: tuple[str, ...] = ("plugin"
 def token_stream(docs: DataFrame, by: list[str], *order: str) -> DataFrame:
     """Documents with tokens and `ahead`, the number of tokens before them in their stream."""
     rows = docs.withColumn("tokens", tokenize(F.col("text"))).withColumn("n_tokens", F.size("tokens")).filter("n_tokens > 0")
-    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    lengths = rows.select(*by, *order, "n_tokens").withColumn("ahead", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    lengths = running_total(rows.select(*by, *order, "n_tokens"), "n_tokens", *order, by=tuple(by))
     return rows.join(lengths.drop("n_tokens"), [*by, *order])
 
 

@@ -78,14 +78,24 @@ def recorded_split(df: DataFrame, index: str, splits: dict[str, list[int]]) -> D
     return df.join(places, F.col(index) == F.col("_index")).drop("_index")
 
 
-def running_total(df: DataFrame, amount: str, *order: str, name: str = "ahead", groups: int = 64) -> DataFrame:
-    """The sum of `amount` over the rows before each one, in order, in two steps: sums of ranges, then inside them."""
-    part = settled(df.repartitionByRange(groups, *order).withColumn("_part", F.spark_partition_id()))
-    sums = part.groupBy("_part").agg(F.sum(amount).alias("_sum"))
-    starts = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+def running_total(df: DataFrame, amount: str, *order: str, by: tuple[str, ...] = (), name: str = "ahead", ranges: int = 64) -> DataFrame:
+    """The sum of `amount` over the rows before each one, in order, within `by`.
+
+    Rows are dealt to ranges of (by, order), so that a large group spans many tasks; sums of the ranges are added
+    up first, then the rows inside each one. `ranges` may grow with the data; the result doesn't depend on it.
+    """
+    part = settled(df.repartitionByRange(ranges, *by, *order).withColumn("_part", F.spark_partition_id()))
+    key = [*by, "_part"]
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = part.groupBy(*key).agg(F.sum(amount).alias("_sum"))
+    starts = sums.select(*key, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     summed = part.withColumn("_in", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-    return summed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_in")).drop("_part", "_in", "_start")
+    met = F.lit(True)
+    for c in key:
+        met = met & F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}"))
+    out = summed.alias("r").join(starts.alias("s"), met).select("r.*", (F.col("s._start") + F.col("r._in")).alias(name))
+    return out.drop("_part", "_in")
 
 
 def take_budget(df: DataFrame, words: str, target: int, *order: str) -> DataFrame:
@@ -108,9 +118,11 @@ def sample_fraction(df: DataFrame, key: str, fraction: float, seed: int, n: int)
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, rate: float, least: int, seed: int) -> DataFrame:
     """min(N, max(least, ceil(rate * N))) rows of every stratum, by hash."""
-    by = Window.partitionBy(stratum)
-    ranked = df.withColumn("_n", F.count(F.lit(1)).over(by)).withColumn("_r", F.row_number().over(by.orderBy(uniform(seed, F.col(key)), key)))
-    return ranked.filter(F.col("_r") <= F.greatest(F.lit(least), F.ceil(F.col("_n") * rate))).drop("_n", "_r")
+    rows = df.withColumn("_u", uniform(seed, F.col(key))).withColumn("_one", F.lit(1))
+    ranked = running_total(rows, "_one", "_u", key, by=(stratum,), name="_r")
+    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
+    met = F.col(f"r.{stratum}").eqNullSafe(F.col(f"z.{stratum}")) & (F.col("r._r") < F.greatest(F.lit(least), F.ceil(F.col("z._n") * rate)))
+    return ranked.alias("r").join(sizes.alias("z"), met, "left_semi").drop("_u", "_one", "_r")
 
 
 def first_occurrences(df: DataFrame, value: str, *order: str) -> DataFrame:
@@ -122,7 +134,7 @@ def first_occurrences(df: DataFrame, value: str, *order: str) -> DataFrame:
 
 def interleaved(df: DataFrame, source: str, *order: str) -> DataFrame:
     """Round robin: document j of every source before document j + 1 of any (A12). Adds `turn`."""
-    return df.withColumn("turn", F.row_number().over(Window.partitionBy(source).orderBy(*order)) - 1)
+    return running_total(df.withColumn("_one", F.lit(1)), "_one", *order, by=(source,), name="turn").drop("_one")
 
 
 def replicated(df: DataFrame, times: int, suffix: str = ".") -> DataFrame:

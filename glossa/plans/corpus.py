@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
@@ -169,7 +169,8 @@ FROM documents, unnest([0, 1]) AS t(e)""")
 def epoch_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a permutation of the documents for each of two epochs."""
     rows = slicing.epoch_order(docs_of(spark, sf_dir).select("doc_id"), "doc_id", 2, 9)
-    return rows.select("doc_id", "epoch", F.row_number().over(Window.partitionBy("epoch").orderBy("u", "doc_id")).cast("long").alias("place"))
+    placed = slicing.running_total(rows.withColumn("one", F.lit(1)), "one", "u", "doc_id", by=("epoch",))
+    return placed.select("doc_id", "epoch", (F.col("ahead") + 1).alias("place"))
 
 
 @query(r"""WITH w AS (SELECT unnest(regexp_split_to_array(text, '\s+')) AS token FROM documents)
