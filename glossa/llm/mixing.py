@@ -90,5 +90,6 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     taken = mix(docs).select("doc_id", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int").alias("copies"))
     copies = stored(taken.groupBy("doc_id").agg(F.max("copies").alias("copies")).filter("copies > 0"), "copies")
     met = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))
-    rows = docs.alias("d").join(copies.alias("c"), met).select("d.*", "c.copies")
+    # always a sort-merge join: the same plan, and the same need of disk, at every size
+    rows = docs.alias("d").join(copies.hint("merge").alias("c"), met).select("d.*", "c.copies")
     return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
