@@ -17,8 +17,11 @@ from glossa.llm.common import drop_stored, shared_dir, stored, table, text_or_em
 
 
 def _without(docs: DataFrame, dropped: DataFrame, key: Column) -> DataFrame:
-    """The rows of docs that aren't among the dropped ones (doc_id, key); ids may be null or repeated."""
-    rows, gone = docs.withColumn("_key", key).alias("d"), dropped.alias("x")
+    """The rows of docs that aren't among the dropped ones (doc_id, key); ids may be null or repeated.
+
+    Always a sort-merge join: the plan, and with it the disk that it needs, is the same at every size.
+    """
+    rows, gone = docs.withColumn("_key", key).alias("d"), dropped.hint("merge").alias("x")
     same = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d._key") == F.col("x.key"))
     return rows.join(gone, same, "left_anti").select(*docs.columns)
 
