@@ -102,16 +102,29 @@ def log_softmax_at(logits: Column, label: Column, temperature: Column) -> Column
 def infonce(features: DataFrame, key: str, vector: str, group: str, tau: float = 0.1, blocks: int = 8) -> DataFrame:
     """Multi-positive InfoNCE: (n, loss), rows without a positive left out.
 
-    Every row must meet every other one: that is the definition of its denominator. Rows are dealt to blocks,
-    pairs of blocks meet, and only the sums per row leave a pair of blocks. Vectors are normalised once.
+    Every row must meet every other one: that is the definition of its denominator. Rows are dealt to blocks and
+    pairs of blocks meet as matrix products; only the sums per row leave a pair of blocks. More blocks for more
+    rows keep a task's matrices small. Vectors are normalised once.
     """
+    import numpy as np
+    import pandas as pd
+
     unit = features.select(F.col(key).alias("k"), F.col(group).alias("g"), l2_normalised(F.col(vector)).alias("v")).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
-    left = unit.select("k", "g", "v", F.col("b").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"))
-    right = unit.select(F.col("k").alias("k2"), F.col("g").alias("g2"), F.col("v").alias("v2"), F.col("b").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"))
-    met = left.join(right, ["i", "j"]).filter(F.col("k") != F.col("k2"))
-    sim = F.exp(F.aggregate(F.zip_with("v", "v2", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) / tau)
-    sums = met.select("k", sim.alias("e"), (F.col("g") == F.col("g2")).alias("same")).groupBy("k").agg(F.sum("e").alias("whole"), F.sum(F.when(F.col("same"), F.col("e"))).alias("near"))
-    rows = sums.filter(F.col("near").isNotNull())
+    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = unit.select("k", "g", "v", F.col("b").alias("i"), others.alias("j")).groupBy("i", "j")
+    right = unit.select("k", "g", "v", F.col("b").alias("j"), others.alias("i")).groupBy("i", "j")
+
+    def sums(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"k": [], "whole": [], "near": [], "n_near": []})
+        e = np.exp(np.stack(x.v.to_list()) @ np.stack(y.v.to_list()).T / tau)
+        e[x.k.to_numpy()[:, None] == y.k.to_numpy()] = 0
+        same = (x.g.to_numpy()[:, None] == y.g.to_numpy()) & (e > 0)
+        return pd.DataFrame({"k": x.k, "whole": e.sum(1), "near": (e * same).sum(1), "n_near": same.sum(1)})
+
+    schema = f"k {features.schema[key].dataType.simpleString()}, whole double, near double, n_near long"
+    met = left.cogroup(right).applyInPandas(sums, schema)
+    rows = met.groupBy("k").agg(F.sum("whole").alias("whole"), F.sum("near").alias("near"), F.sum("n_near").alias("n_near")).filter("n_near > 0")
     return rows.agg(F.count(F.lit(1)).alias("n"), F.avg(-F.ln(F.col("near") / F.col("whole"))).alias("loss"))
 
 
