@@ -89,6 +89,11 @@ def block_keys(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(keys).alias("k")).select("k.part", "k.block", "fp")
 
 
+def _close(a: np.ndarray, b: np.ndarray | np.int64) -> np.ndarray:
+    """Which fingerprints differ in at most DISTANCE bits; bitwise_count of a signed number counts its absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64)) <= DISTANCE
+
+
 def _forest(fp: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Links of a spanning forest of the close pairs among fp."""
     left, right, rest = [], [], fp
@@ -96,7 +101,7 @@ def _forest(fp: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             u = queue.pop()
-            near = np.bitwise_count(rest ^ u) <= DISTANCE
+            near = _close(rest, u)
             if near.any():
                 new = rest[near]
                 left.append(np.full(len(new), u)), right.append(new)
@@ -115,7 +120,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.append(start, len(fp)))
         left, right = [], []
         pair = start[size == 2]
-        near = np.bitwise_count(fp[pair] ^ fp[pair + 1]) <= DISTANCE if len(pair) else np.zeros(0, dtype=bool)
+        near = _close(fp[pair], fp[pair + 1])
         left.append(fp[pair][near]), right.append(fp[pair + 1][near])
         for s, n in zip(start[size > 2], size[size > 2]):
             a, b = _forest(np.unique(fp[s : s + n]))

@@ -86,6 +86,21 @@ def test_simhash_components(spark, edge_docs, documents, monkeypatch, chunk):
     assert Counter(tuple(r)[:3] for r in simhash.simhash_components(docs).collect()) == want
 
 
+def test_close_pairs_that_differ_in_the_top_bit():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    for _ in range(500):
+        a = int(rng.integers(0, 2**64, dtype=np.uint64))
+        flips = [63, *rng.choice(63, rng.integers(0, 6), replace=False).tolist()]
+        pair = np.array([a, a ^ sum(1 << k for k in flips)], dtype=np.uint64).view(np.int64)
+        want = int(len(flips) <= simhash.DISTANCE)
+        assert len(simhash._forest(pair)[0]) == want
+        zero = pa.array([0, 0])
+        batch = pa.record_batch([zero, zero, zero, zero, pa.array(pair)], names=["part", "block", "i", "j", "fp"])
+        assert sum(len(b) for b in simhash._search(iter([batch]))) == want
+
+
 def test_simhash_of_nothing(empty_docs):
     assert simhash.simhash_components(empty_docs).count() == 0
 
