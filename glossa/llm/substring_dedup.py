@@ -1,39 +1,45 @@
 """Substring deduplication by content-defined chunks.
 
-A gear rolling hash over the last 16 bytes cuts each text where its value is small, so boundaries depend on
-nearby content only and come back after an insertion. A chunk is known by a 64-bit digest. The smallest id
-that holds a digest keeps it; in all other documents runs of neighbouring chunks that are held elsewhere
-become spans, and spans of MIN_WORDS words or more are reported. A single digest that collides by chance is
-far too short for a span.
-
-Digests are combined before each shuffle (the smallest and the largest id of a digest), so a passage that
-many documents share is one row a task; the join that brings it back to its documents has plain tables on
-both sides, which Spark splits where one digest has very many rows.
+A gear rolling hash over 16 bytes is winnowed: of every WINDOW neighbouring hashes the smallest cuts the text,
+so boundaries depend on nearby content only, come back after an insertion, and are never further apart than
+WINDOW. A chunk is known by a 64-bit digest. The smallest id that holds a digest keeps it; chunks of all other
+documents that are held elsewhere are seeds. Runs of neighbouring seeds of MIN_WORDS words or more are spans,
+and grow at both ends as far as the bytes agree with a document that keeps a chunk near that end. Around a
+shorter run the text is compared with each document that keeps one of its chunks, place by place, and
+stretches of MIN_WORDS words or more that agree byte by byte are spans too. Spans that overlap are one.
+
+Digests are combined before each shuffle (the smallest holder and the largest id of a digest), so a passage
+that many documents share is one row a task; the joins that bring it back to its documents have plain tables
+on both sides, which Spark splits where one key has very many rows.
 
 Defined cases: a null text counts as empty and has no chunk; rows that repeat an id are one document, as are
-rows without an id; repeats inside one document are not reported; of tied documents the smallest id keeps the
-passage; empty tables give empty results; other columns are not read.
+rows without an id, which come after all others; each row has its own spans; repeats inside one document are
+not reported; of tied documents the smallest id keeps the passage; empty tables give empty results; other
+columns are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.common import short_batches, stored
 
-#: Mean bytes of a chunk, the most that one may have, and the fewest words of a reported span.
-MEAN, MOST, MIN_WORDS = 32, 4096, 20
+#: Mean bytes of a chunk, the most between two cuts, and the fewest words of a reported span.
+MEAN, WINDOW, MIN_WORDS = 32, 64, 20
 SEED = 5
+#: Bytes of a hash. A stretch that agrees ends less than 2 * WINDOW + HASH bytes beyond its last seed.
+HASH = 16
+REACH = 3 * WINDOW
 
 #: Random 16-bit values of the bytes, from a fixed seed.
 GEAR = np.random.default_rng(SEED).integers(0, 1 << 16, 256).astype(np.uint16)
-_CUT = np.uint16((1 << 16) // MEAN)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -41,70 +47,208 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 def chunk_ends(data: np.ndarray) -> np.ndarray:
     """Ends (exclusive) of the chunks of a text's bytes."""
     n = len(data)
-    if not n:
-        return np.zeros(0, dtype=np.int64)
+    if n < HASH + WINDOW:
+        return np.array([n] if n else [], dtype=np.int64)
     h = GEAR[data]
     step = 1
-    while step < 16:  # a window of 2 * step bytes from two windows of step bytes
+    while step < HASH:  # a window of 2 * step bytes from two windows of step bytes
         h[step:] = h[step:] + (h[:-step] << np.uint16(step))
         step *= 2
-    small = h < _CUT
-    small[1:] &= ~small[:-1].copy()  # of neighbouring places the first; still a local rule
-    ends = np.flatnonzero(small) + 1
-    if not len(ends) or ends[-1] != n:
-        ends = np.append(ends, n)
-    sizes = np.diff(ends, prepend=0)
-    if sizes.max() > MOST:
-        ends = np.concatenate([np.append(np.arange(e - s + MOST, e, MOST), e) for e, s in zip(ends, sizes)])
-    return ends
-
-
-def chunks(text: str | None) -> tuple[list[int], list[int], list[int]]:
-    """(digests as signed longs, ends, words that begin in each chunk) of one text."""
-    raw = (text or "").encode()
-    data = np.frombuffer(raw, dtype=np.uint8)
-    ends = chunk_ends(data)
-    if not len(ends):
-        return [], [], []
-    space = _SPACE[data]
-    begins = ~space
-    begins[1:] &= space[:-1]
-    words = np.diff(np.cumsum(begins)[ends - 1], prepend=0)
-    cut = ends.tolist()
-    digest = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip([0, *cut], cut)]
-    return np.array(digest, dtype=np.uint64).view(np.int64).tolist(), cut, words.tolist()
+    least = (h[HASH - 1 :].astype(np.uint64) << np.uint64(40)) | np.arange(HASH, n + 1, dtype=np.uint64)
+    step = 1
+    while step < WINDOW:  # of equal hashes the first
+        least = np.minimum(least[:-step], least[step:])
+        step *= 2
+    least = least[np.flatnonzero(np.diff(least, prepend=np.uint64(0)))]
+    ends = (least & np.uint64((1 << 40) - 1)).astype(np.int64)
+    # equal hashes at equal distances, as in periodic text: as few of them as leave no gap above WINDOW
+    gap = np.diff(ends, prepend=-n)
+    same = np.diff(least >> np.uint64(40), prepend=np.uint64(1 << 20)) == 0
+    same[1:] &= (gap[1:] == gap[:-1]) | ~same[:-1]
+    place = np.arange(len(ends))
+    nth = place - np.maximum.accumulate(np.where(same, 0, place))
+    ends = ends[nth % np.where(same, WINDOW // np.maximum(gap, 1), 1).clip(1) == 0]
+    return ends if ends[-1] == n else np.append(ends, n)
+
+
+def word_starts(data: np.ndarray) -> np.ndarray:
+    """Whether a word begins at each byte."""
+    begins = ~_SPACE[data]
+    begins[1:] &= _SPACE[data[:-1]]
+    return begins
+
+
+def around(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The four bytes before and the four bytes after each chunk as a signed long; zeros beyond the text."""
+    p = np.concatenate([np.zeros(4, np.uint8), data, np.zeros(4, np.uint8)]).astype(np.uint64)
+    four = p[:-3] | p[1:-2] << np.uint64(8) | p[2:-1] << np.uint64(16) | p[3:] << np.uint64(24)
+    return (four[starts] << np.uint64(32) | four[ends + 4]).view(np.int64)
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, digests, ends, words): the chunks of each document, as arrays."""
+    """(row, doc_id, text, digests, starts, later, beside): the text of each row as bytes and its chunks as arrays.
+
+    later: bytes from a chunk to the last of its digest in the row, in periodic text above zero.
+    """
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [chunks(t) for t in b["text"].to_pylist()]
-            columns = [b["doc_id"], pa.array([g[0] for g in got], pa.list_(pa.int64())), *(pa.array([g[k] for g in got], pa.list_(pa.int32())) for k in (1, 2))]
-            yield pa.record_batch(columns, names=["doc_id", "digests", "ends", "words"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, digests array<long>, ends array<int>, words array<int>")
+            digests, starts, later, beside = [], [], [], []
+            for raw in b["text"].to_pylist():
+                data = np.frombuffer(raw, dtype=np.uint8)
+                cut = chunk_ends(data).tolist()
+                starts.append([0, *cut[:-1]] if cut else [])
+                digest = [xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(starts[-1], cut)]
+                beside.append(around(data, np.array(starts[-1], dtype=np.int64), np.array(cut, dtype=np.int64)))
+                last = dict(zip(digest, starts[-1]))
+                later.append([last[d] - x for d, x in zip(digest, starts[-1])])
+                digests.append(np.array(digest, dtype=np.uint64).view(np.int64))
+            columns = [b["row"], b["doc_id"], b["text"], *(pa.array(x, pa.list_(pa.int64())) for x in (digests, beside)), *(pa.array(x, pa.list_(pa.int32())) for x in (starts, later))]
+            yield pa.record_batch(columns, names=["row", "doc_id", "text", "digests", "beside", "starts", "later"])
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return texts.mapInArrow(run, "row long, doc_id long, text binary, digests array<long>, beside array<long>, starts array<int>, later array<int>")
+
+
+#: A part of a row's text to be compared with the text of `first_row` from `first_lo` on, or (own is null) a span.
+#: w_lo and w_hi words begin before lo and hi. `at` is a place that the sought stretch holds, -1 for any long one.
+PART = "row long, doc_id long, lo int, hi int, w_lo int, w_hi int, n_chunks int, first long, first_row long, first_lo int, at int, begins boolean, own binary"
+SPAN = "row long, doc_id long, lo int, hi int, w_lo int, w_hi int, n_chunks int, first long"
+
+
+def _record(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    names, types = zip(*(x.split(" ") for x in schema.split(", ")))
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return pa.record_batch([pa.array(c, kinds[t]) for c, t in zip(columns, types)], names=list(names))
+
+
+def _parts(row: int, doc_id: int | None, raw: bytes, starts: np.ndarray, hits: dict[str, np.ndarray], min_words: int) -> Iterator[tuple]:
+    """The long runs of one row, and what has to be compared around its runs.
+
+    A line is a keeping row and the distance from a place to the place there. Where a stretch of min_words goes
+    through a seed, or a run grows beyond it, bytes beside the seed agree; other lines are left out.
+    """
+    data, n = np.frombuffer(raw, dtype=np.uint8), len(raw)
+    begins = word_starts(data)
+    words = np.append(0, np.cumsum(begins))
+    order = np.argsort(hits["start"])
+    hits = {k: v[order] for k, v in hits.items()}
+    index = np.searchsorted(starts, hits["start"])
+    start, end = hits["start"].astype(np.int64), np.append(starts, n)[index + 1].astype(np.int64)
+    differ = (around(data, start, end) ^ hits["beside"]).view(np.uint64)
+    near_left, near_right = (differ >> np.uint64(56) == 0) & (start > 0), (differ & np.uint64(255) == 0) & (end < n)
+    wide_left, wide_right = (differ >> np.uint64(32) == 0) & (start >= 4), (differ & np.uint64(0xFFFFFFFF) == 0) & (end <= n - 4)
+    again = hits["last_start"] != hits["first_start"]
+    # half of the other words are on one side; three words that begin there are four bytes at least
+    through = (words[end] - words[start] > min_words - 6) | wide_left | wide_right | again
+    near_left, near_right = near_left | again, near_right | again
+    cuts = np.flatnonzero(np.diff(index) != 1) + 1
+
+    def part(lo: int, hi: int, chunks: int, line: tuple, at: int) -> tuple:
+        return (row, doc_id, lo, hi, int(words[lo]), int(words[hi]), chunks, line[2], line[0], line[1] + lo, at, bool(begins[lo]), raw[lo:hi])
+
+    def lines(k: int) -> set[tuple]:
+        """The lines of a seed: by the first and the last place of its digest in the keeping row."""
+        return {(int(hits["first_row"][k]), int(hits[c][k]) - int(start[k]), int(hits["first"][k])) for c in ("first_start", "last_start")}
+
+    for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(index)]):
+        s, e = int(start[x]), int(end[y - 1])
+        lo, hi = max(0, s - REACH), min(n, e + REACH)
+        if words[e] - words[s] >= min_words:
+            holders = Counter(hits["first"][x:y].tolist())
+            first = min(holders, key=lambda k: (-holders[k], k))
+            yield (row, doc_id, s, e, int(words[s]), int(words[e]), y - x, first, None, None, None, None, None)
+            # each line on which a seed near an end lies, from its seed nearest to that end
+            inner = x + np.flatnonzero(near_left[x:y] & (start[x:y] < s + REACH))
+            left = {line: k for k in reversed(inner.tolist()) for line in lines(k)} if s else {}
+            inner = x + np.flatnonzero(near_right[x:y] & (end[x:y] > e - REACH))
+            right = {line: k for k in inner.tolist() for line in lines(k)} if e < n else {}
+            yield from (part(lo, int(end[k]), 0, line, int(start[k])) for line, k in left.items())
+            yield from (part(int(start[k]), hi, 0, line, int(start[k])) for line, k in right.items())
+        elif words[hi] - words[lo] >= min_words and through[x:y].any():
+            seeds = Counter(line for k in range(x, y) for line in lines(k))
+            for line in {line for k in (x + np.flatnonzero(through[x:y])).tolist() for line in lines(k)}:
+                yield part(lo, hi, seeds[line], line, -1)
+
+
+def _agreeing(p: dict, keep: bytes, min_words: int) -> Iterator[tuple]:
+    """The stretches of a part that agree with the keeping text."""
+    own = np.frombuffer(p["own"], dtype=np.uint8)
+    begins = word_starts(own)
+    begins[0] = p["begins"]
+    words = np.append(0, np.cumsum(begins))
+    skip = max(0, -p["first_lo"])
+    other = np.frombuffer(keep, dtype=np.uint8)[p["first_lo"] + skip :][: len(own) - skip]
+    same = np.zeros(len(own) + 2, dtype=np.int8)
+    same[1 + skip : 1 + skip + len(other)] = own[skip : skip + len(other)] == other
+    turns = np.diff(same)
+    for s, e in zip(np.flatnonzero(turns == 1).tolist(), np.flatnonzero(turns == -1).tolist()):
+        if words[e] - words[s] >= min_words if p["at"] < 0 else s <= p["at"] - p["lo"] < e:
+            yield (p["row"], p["doc_id"], p["lo"] + s, p["lo"] + e, p["w_lo"] + int(words[s]), p["w_lo"] + int(words[e]), p["n_chunks"], p["first"])
+
+
+def _merged(spans: list[dict]) -> Iterator[tuple]:
+    """Overlapping spans of one row as one; the document that has most of its bytes is first."""
+    group: list[dict] = []
+    for s in [*sorted(spans, key=lambda s: (s["lo"], s["hi"])), None]:
+        if group and (s is None or s["lo"] >= max(g["hi"] for g in group)):
+            last = max(group, key=lambda g: g["hi"])
+            share: Counter = Counter()
+            for g in group:
+                share[g["first"]] += g["hi"] - g["lo"]
+            yield group[0]["lo"], last["hi"], last["w_hi"] - group[0]["w_lo"], sum(g["n_chunks"] for g in group), min(share, key=lambda k: (-share[k], k))
+            group = []
+        if s is not None:
+            group.append(s)
+
+
+SPANS = "doc_id long, span_start long, span_end long, n_words long, n_chunks long, first_doc_id long"
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per repeated span: doc_id, span_start, span_end (bytes), n_words, n_chunks, first_doc_id.
 
-    first_doc_id is the document that keeps most of the span's chunks; documents without a row are clean.
+    first_doc_id is the document that keeps most of the span; documents without a row are clean.
     """
     table = stored(chunk_table(docs), "chunks")
-    held = table.select("doc_id", F.explode("digests").alias("digest")).groupBy("digest")
-    held = stored(held.agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("digest", "first"), "held")
-    pieces = table.select("doc_id", F.posexplode(F.arrays_zip("digests", "ends", "words")).alias("i", "c"))
-    pieces = pieces.select("doc_id", "i", F.col("c.digests").alias("digest"), F.col("c.ends").alias("end"), F.col("c.words").alias("words"))
-    found = pieces.join(held, "digest").filter(F.col("doc_id") > F.col("first"))
-    found = stored(found.select("doc_id", "i", "end", "words", "first").distinct(), "found")
-    by_doc = Window.partitionBy("doc_id").orderBy("i")
-    runs = found.withColumn("run", F.col("i") - F.row_number().over(by_doc))
-    spans = runs.groupBy("doc_id", "run").agg(F.min("i").alias("i0"), F.max("end").alias("span_end"), F.sum("words").alias("n_words"), F.count(F.lit(1)).alias("n_chunks"), F.mode("first", True).alias("first_doc_id"))
-    spans = spans.filter(F.col("n_words") >= min_words)
-    ends = table.select("doc_id", "ends").dropDuplicates(["doc_id"])
-    start = F.when(F.col("i0") == 0, 0).otherwise(F.element_at("ends", F.greatest("i0", F.lit(1))))
-    return spans.join(ends, "doc_id").select("doc_id", start.cast("long").alias("span_start"), F.col("span_end").cast("long").alias("span_end"), "n_words", "n_chunks", "first_doc_id")
+    pieces = table.select("row", "doc_id", F.explode(F.arrays_zip("digests", "starts", "later", "beside")).alias("c"))
+    pieces = pieces.select("row", "doc_id", F.col("c.digests").alias("digest"), F.col("c.starts").alias("start"), F.col("c.later").alias("later"), F.col("c.beside").alias("beside"))
+    none = F.col("doc_id").isNull().alias("none")
+    held = pieces.groupBy("digest").agg(F.min(F.struct(none, "doc_id", "row", "start", "later", "beside")).alias("f"), F.max(F.struct(none, "doc_id")).alias("l"))
+    held = held.filter(~F.col("f.doc_id").eqNullSafe(F.col("l.doc_id")))
+    held = stored(held.select("digest", F.col("f.doc_id").alias("first"), F.col("f.row").alias("first_row"), F.col("f.start").alias("first_start"), (F.col("f.start") + F.col("f.later")).alias("last_start"), F.col("f.beside").alias("beside")), "held")
+    found = pieces.drop("later", "beside").join(held, "digest").filter(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first")))
+    found = stored(found.select("row", "start", "first", "first_row", "first_start", "last_start", "beside"), "found")
+    hits = found.groupBy("row").agg(F.collect_list(F.struct("start", "first", "first_row", "first_start", "last_start", "beside")).alias("hits"))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, doc_ids, texts = (b[c].to_pylist() for c in ("row", "doc_id", "text"))
+            seeds, bounds = b["hits"].flatten(), np.cumsum([0, *(len(x) for x in b["hits"])])
+            fields = {f.name: seeds.field(f.name).to_numpy(zero_copy_only=False) for f in seeds.type}
+            got: list[tuple] = []
+            for k, (x, y) in enumerate(zip(bounds, bounds[1:])):
+                starts = b["starts"][k].values.to_numpy(zero_copy_only=False)
+                got.extend(_parts(ids[k], doc_ids[k], texts[k], starts, {c: v[x:y] for c, v in fields.items()}, min_words))
+                if len(got) > 5000:
+                    yield _record(got, PART)
+                    got = []
+            yield _record(got, PART)
+
+    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _record([x for p in b.to_pylist() for x in _agreeing(p, p["keep"], min_words)], SPAN)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _record([(r["doc_id"], *x) for r in b.to_pylist() for x in _merged(r["spans"])], SPANS)
+
+    parted = stored(table.select("row", "doc_id", "text", "starts").join(hits, "row").mapInArrow(parts, PART), "parts")
+    keeping = table.select(F.col("row").alias("first_row"), F.col("text").alias("keep"))
+    grown = parted.filter("own is not null").join(keeping, "first_row").mapInArrow(agreeing, SPAN)
+    spans = stored(parted.filter("own is null").select(*grown.columns).unionByName(grown), "spans")
+    by_row = spans.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("lo", "hi", "w_lo", "w_hi", "n_chunks", "first")).alias("spans"))
+    return by_row.mapInArrow(merged, SPANS)

@@ -246,3 +246,24 @@ def test_repeated_spans(spark, clash, empty_docs, edge_docs):
         assert span in data[r.first_doc_id].encode() and len(span) > 150
     assert substring_dedup.repeated_spans(empty_docs).count() == 0
     assert {r.first_doc_id for r in substring_dedup.repeated_spans(edge_docs).collect()}
+
+
+def test_spans_reach_their_true_ends(spark, empty_docs):
+    import random
+
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(1, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows, passages = [], {}
+    for k in range(3000):
+        line = text(r.randint(5, 12))
+        p = " ".join(([line] * 60 if k % 10 == 0 else [text(51)]))
+        p = " ".join(p.split()[:51])
+        passages[2 * k + 1] = p
+        rows += [(2 * k + j, f"{text(30)} #{j} {p} {j}# {text(30)}", "en", "s", 1) for j in (0, 1)]
+    out = {x.doc_id: x for x in substring_dedup.repeated_spans(spark.createDataFrame(rows, empty_docs.schema)).collect()}
+    assert set(out) == set(passages)
+    for i, p in passages.items():
+        span = rows[i][1].encode()[out[i].span_start : out[i].span_end].decode()
+        assert f" {p} " in span and out[i].n_words >= 51  # chunks that meet by chance may lie beside a passage
+    assert sum(x.n_words == 51 and x.first_doc_id == i - 1 for i, x in out.items()) > 0.95 * len(out)
