@@ -267,3 +267,17 @@ def test_spans_reach_their_true_ends(spark, empty_docs):
         span = rows[i][1].encode()[out[i].span_start : out[i].span_end].decode()
         assert f" {p} " in span and out[i].n_words >= 51  # chunks that meet by chance may lie beside a passage
     assert sum(x.n_words == 51 and x.first_doc_id == i - 1 for i, x in out.items()) > 0.95 * len(out)
+
+
+def test_spans_of_rows_that_repeat_an_id_or_have_none(spark, empty_docs):
+    import random
+
+    r = random.Random(8)
+    text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    p, q = text(80), text(80)
+    rows = [(1, f"{p} {text(9)} {q}"), (2, f"{text(9)} {p} {text(9)}"), (2, f"{text(40)} {q} {text(5)}"), (None, f"{text(3)} {p}"), (None, f"{text(30)} {q}"), (3, "")]
+    rows = [(i, t, "en", "s", 1) for i, t in rows]
+    only = text(90)
+    rows += [(None, only, "en", "s", 1), (None, only, "en", "s", 1), (7, text(9), "en", "s", 1)]
+    out = substring_dedup.repeated_spans(spark.createDataFrame(rows, empty_docs.schema)).collect()
+    assert Counter((x.doc_id, x.first_doc_id, x.n_words) for x in out) == {(2, 1, 80): 2, (None, 1, 80): 2}
