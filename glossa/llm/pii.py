@@ -2,11 +2,13 @@
 
 The base spans are matches of four fixed patterns. They are the seeds: tokens inside them are known entities.
 Every token that looks like an identifier (five digits or more, or an at sign) is an instance; the word to its
-left, the word to its right and its own shape make lexical patterns. Patterns and instances form a bipartite
+left and the word to its right make lexical patterns, each once with the token's exact shape and once with a
+coarse one, in which digits and separators of any layout are alike. Patterns and instances form a bipartite
 graph on which scores travel for a few rounds: a pattern scores the mean confidence of its instances, weighted
-down where it has few, and an instance that isn't a seed takes the mean of its patterns' scores. Patterns of
-high confidence then discover instances that the base patterns did not match; these become spans of the
-pattern's kind. The graph holds distinct (token, pattern) pairs, counted before each shuffle.
+down where it has few, and an instance that isn't a seed takes the best score of its supported patterns, where
+left patterns hear what right ones say and the reverse. Patterns of high confidence then discover instances that
+the base patterns did not match; these become spans of the pattern's kind. The graph holds distinct (token,
+pattern) pairs, counted before each shuffle. A token ends at a space: the parts of a spaced number count alone.
 
 DataFrame functions only. Positions come from the texts between matches: a text is split at a pattern and the
 lengths of pieces and matches are summed. The Java patterns match what the stated ones match, but are written
@@ -103,6 +105,12 @@ def _shape(token: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(token, "[0-9]", "9"), r"[A-Za-z]+", "a")
 
 
+def _coarse(token: Column) -> Column:
+    """What is left of a shape without its layout: digit runs as 9, letter runs as a, separators as one dot, a leading plus."""
+    runs = F.regexp_replace(F.regexp_replace(token, "[0-9]+", "9"), r"[A-Za-z]+", "a")
+    return F.regexp_replace(F.regexp_replace(runs, r"(?!^)[^9a@]+", "."), r"9(\.9)+", "9")
+
+
 def _word_shape(word: Column) -> Column:
     """A context word: lower case, digits as 9, without punctuation at its ends."""
     return F.regexp_replace(F.lower(word), "[0-9]", "9")
@@ -131,25 +139,35 @@ def discovered(found: DataFrame) -> DataFrame:
     inside = [F.when(F.exists(k, lambda s: (s["start"] < F.col("m.end")) & (s["end"] > F.col("m.start"))), F.lit(k)) for k in KINDS]
     before = F.regexp_extract(F.col("m.before"), r"(\S+)\s*$", 1)
     after = F.regexp_extract(F.col("m.after"), r"^\S*\s*(\S+)", 1)
-    rows = tokens.filter(core).select("row", start.alias("start"), end.alias("end"), F.col("m.found").alias("token"), F.coalesce(*inside).alias("seed"), _shape(F.col("m.found")).alias("shape"), _word_shape(before).alias("left"), _word_shape(after).alias("right"))
+    rows = tokens.filter(core).select("row", start.alias("start"), end.alias("end"), F.col("m.found").alias("token"), F.coalesce(*inside).alias("seed"), _shape(F.col("m.found")).alias("shape"), _coarse(F.col("m.found")).alias("coarse"), _word_shape(before).alias("left"), _word_shape(after).alias("right"))
     rows = stored(rows, "instances")
-    left = F.concat_ws("\u0001", F.lit("L"), "left", "shape")
-    right = F.concat_ws("\u0001", F.lit("R"), "shape", "right")
+    # contexts with the exact shape, and with a coarse one for layouts that no seed has; an empty word is no context
+    def context(kind: str, word: str, shape: str) -> Column:
+        return F.when(F.col(word) != "", F.concat_ws("\u0001", F.lit(kind), word, shape))
+
+    contexts = [context("L", "left", "shape"), context("R", "right", "shape"), context("l", "left", "coarse"), context("r", "right", "coarse")]
     # the graph: each (token, pattern) once, with the kind that the token is a seed of
-    marks = rows.select("token", "seed", F.explode(F.array(left, right, F.concat_ws("\u0001", F.lit("S"), "shape"))).alias("pattern"))
+    marks = rows.select("token", "seed", F.explode(F.array_compact(F.array(*contexts))).alias("pattern"))
     graph = stored(marks.groupBy("token", "pattern").agg(F.min("seed").alias("seed")), "graph")
-    own = stored(graph.groupBy("token").agg(F.min("seed").alias("kind")), "tokens")
-    score = own.select("token", "kind", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0).alias("conf"))
+    own = stored(rows.groupBy("token").agg(F.min("seed").alias("kind")), "tokens")
+    score = own.select("token", "kind", F.lit(0.0).alias("by_left"), F.lit(0.0).alias("by_right"))
+    on_left = F.lower(F.substring("pattern", 1, 1)) == "l"
     for _ in range(ROUNDS):
-        edges = graph.select("token", "pattern").join(score, "token")
+        # what a pattern hears of a token comes from the token's other side, so that no pattern confirms itself
+        conf = F.when(F.col("kind").isNotNull(), 1.0).when(on_left, F.col("by_right")).otherwise(F.col("by_left"))
+        edges = graph.select("token", "pattern").join(score, "token").select("pattern", "kind", conf.alias("conf"))
         mean = F.avg("conf") * (1 - F.pow(F.lit(2.0), -F.sum("conf")))  # few confident instances weigh less
         patterns = edges.groupBy("pattern").agg(mean.alias("p"), F.count("kind").alias("seeds"), F.mode("kind", True).alias("p_kind"))
         patterns = stored(patterns, "patterns")
-        heard = graph.select("token", "pattern").join(patterns, "pattern").groupBy("token").agg(F.avg("p").alias("heard"))
-        score = stored(own.join(heard, "token").select("token", "kind", F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.col("heard")).alias("conf")), "scores")
+        supported = patterns.filter(F.col("seeds") >= MIN_SEEDS).select("pattern", "p")
+        heard = graph.select("token", "pattern").join(supported, "pattern")
+        heard = heard.groupBy("token").agg(F.max(F.when(on_left, F.col("p"))).alias("by_left"), F.max(F.when(~on_left, F.col("p"))).alias("by_right"))
+        best = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("by_left", "by_right")]
+        score = stored(own.join(heard, "token", "left").select("token", "kind", *best), "scores")
     sure = patterns.filter((F.col("p") >= MIN_PATTERN) & (F.col("seeds") >= MIN_SEEDS)).select("pattern", "p_kind")
-    new = rows.filter(F.col("seed").isNull()).join(score.filter(F.col("conf") >= MIN_INSTANCE).select("token"), "token")
-    hits = new.select("row", "start", "end", F.explode(F.array(left, right)).alias("pattern")).join(sure, "pattern")
+    sure_tokens = score.filter(F.greatest("by_left", "by_right") >= MIN_INSTANCE).select("token")
+    new = rows.filter(F.col("seed").isNull()).join(sure_tokens, "token")
+    hits = new.select("row", "start", "end", F.explode(F.array_compact(F.array(*contexts))).alias("pattern")).join(sure, "pattern")
     return hits.groupBy("row", "start", "end").agg(F.min("p_kind").alias("kind"))
 
 

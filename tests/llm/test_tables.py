@@ -281,3 +281,11 @@ def test_spans_of_rows_that_repeat_an_id_or_have_none(spark, empty_docs):
     rows += [(None, only, "en", "s", 1), (None, only, "en", "s", 1), (7, text(9), "en", "s", 1)]
     out = substring_dedup.repeated_spans(spark.createDataFrame(rows, empty_docs.schema)).collect()
     assert Counter((x.doc_id, x.first_doc_id, x.n_words) for x in out) == {(2, 1, 80): 2, (None, 1, 80): 2}
+
+
+def test_contexts_discover_an_unseen_layout(spark, empty_docs):
+    rows = [(i, f"text {i} Call +1 (5{i % 10}1) 555-{1000 + 37 * i} now {i}", "en", "s", 1) for i in range(30)]
+    rows += [(100, "so Call 0171/2345678 now or never", "en", "s", 1), (101, "we sold 0171/2345679 apples and 555-9999 pears", "en", "s", 1)]
+    out = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, empty_docs.schema)).collect()}
+    assert out[100].spans == "phone:8:20" and out[100].n_discovered == 1
+    assert out[101].n_discovered == 0
