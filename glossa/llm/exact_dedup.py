@@ -6,7 +6,8 @@ immutable snapshot: Parquet rows (bucket, key, digest, text, first id, size) and
 binary fuse filter. The digests of a later batch are screened by the filters of each earlier snapshot, bucket
 by bucket; only positives are joined to the exact rows, where digest and text must agree byte for byte.
 
-Buckets are by digest, hold about BUCKET_KEYS distinct digests, and so are even whatever the copies are like.
+Buckets are by digest, hold about BUCKET_KEYS distinct digests, and so are even whatever the copies are like. A
+batch that is larger than an earlier snapshot asks each of its filters in slices of about as many digests.
 
 Defined cases: null counts as an empty text; texts are equal when identical after each run of
 [\\x20\\x09-\\x0D] becomes one space; of equal texts the smallest id stays, a null id only if the group has no
@@ -51,27 +52,35 @@ def groups_of(batch: DataFrame) -> DataFrame:
 
 
 class Snapshot:
-    """An immutable batch: its exact rows and one filter for each bucket of digests."""
+    """An immutable batch: its exact rows, their number, and one filter for each bucket of digests."""
 
-    def __init__(self, exact: DataFrame, filters: DataFrame, buckets: int):
-        self.exact, self.filters, self.buckets = exact, filters, buckets
+    def __init__(self, exact: DataFrame, filters: DataFrame, buckets: int, groups: int):
+        self.exact, self.filters, self.buckets, self.groups = exact, filters, buckets, groups
 
 
-def snapshot(groups: DataFrame, name: str = "snapshot") -> Snapshot:
+def snapshot(batch: DataFrame, name: str = "snapshot") -> Snapshot:
     """Write the groups of a batch and build the filters of their buckets."""
-    exact = stored(groups.withColumn("key", _key(F.col("digest"))), name)
-    buckets = max(1, -(-exact.count() // BUCKET_KEYS))
+    exact = stored(batch.withColumn("key", _key(F.col("digest"))), name)
+    groups = exact.count()
+    buckets = max(1, -(-groups // BUCKET_KEYS))
 
     def build(keys: pa.Table) -> pa.Table:
         k = keys["key"].to_numpy()
         return pa.table({"bucket": pa.array([keys["bucket"][0].as_py()], pa.int64()), "filter": pa.array([fuse.build(k)], pa.binary())})
 
     keyed = exact.select(F.pmod("key", F.lit(buckets)).cast("long").alias("bucket"), "key")
-    return Snapshot(exact, stored(keyed.groupBy("bucket").applyInArrow(build, "bucket long, filter binary"), f"{name}-filters"), buckets)
+    return Snapshot(exact, stored(keyed.groupBy("bucket").applyInArrow(build, "bucket long, filter binary"), f"{name}-filters"), buckets, groups)
 
 
-def screen(groups: DataFrame, snap: Snapshot) -> DataFrame:
-    """The rows of groups whose digest a filter of the snapshot may hold: (digest)."""
+def asked_of(batch: Snapshot, snap: Snapshot) -> tuple[DataFrame, int]:
+    """The digests of a batch, dealt by the bucket of the snapshot that they fall into and by slice; the slices."""
+    slices = max(1, -(-batch.groups // (snap.buckets * BUCKET_KEYS)))
+    bucket, part = F.pmod("key", F.lit(snap.buckets)).cast("long"), F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int")
+    return batch.exact.select("digest", "key", bucket.alias("bucket"), part.alias("slice")), slices
+
+
+def screen(batch: Snapshot, snap: Snapshot) -> DataFrame:
+    """The digests (digest) of a batch that a filter of the snapshot may hold."""
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -79,13 +88,14 @@ def screen(groups: DataFrame, snap: Snapshot) -> DataFrame:
         keep = fuse.contains(right["filter"][0].as_py(), left["key"].to_numpy())
         return left.select(["digest"]).filter(pa.array(keep))
 
-    asked = groups.select("digest", _key(F.col("digest")).alias("key")).withColumn("bucket", F.pmod("key", F.lit(snap.buckets)).cast("long"))
-    return asked.groupBy("bucket").cogroup(snap.filters.groupBy("bucket")).applyInArrow(ask, "digest string")
+    asked, slices = asked_of(batch, snap)
+    filters = snap.filters.select("bucket", "filter", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    return asked.groupBy("bucket", "slice").cogroup(filters.groupBy("bucket", "slice")).applyInArrow(ask, "digest string")
 
 
 def matches(batch: Snapshot, earlier: Snapshot) -> DataFrame:
     """The groups of both sides whose texts are the same bytes: rows (digest, check, side, first_id, n)."""
-    positive = screen(batch.exact, earlier)
+    positive = screen(batch, earlier)
     new = batch.exact.join(positive, "digest", "left_semi").alias("new")
     old = earlier.exact.join(positive, "digest", "left_semi").alias("old")
     # two inequalities: the comparison of bytes stays a condition on rows that already met by their digest
