@@ -5,18 +5,23 @@ A 64-bit fingerprint is cut into 7 blocks. Two fingerprints that differ in at mo
 rows that share a key are compared. Only distinct fingerprints take part; copies follow theirs afterwards.
 
 Within a key nothing like all pairs is emitted: a search from row to row emits one link for each row that it
-reaches, a spanning forest of the close pairs. A key with more than CHUNK rows is cut into chunks by a hash,
-and every pair of chunks is a task of its own of at most about two chunks, so no close pair is lost and no
-group is gathered in one task. The distributed components of these links give the classes.
+reaches, a spanning forest of the close pairs. A key with more than SPLIT rows is split on its other bits, by the
+same principle: they are cut into 8 parts, of which a close pair shares at least 4, so that 70 keys of about 45
+bits take its place. What is left free in such a key are 19 bits or less, 2^19 fingerprints at most. A key with
+more than CHUNK rows is cut into chunks by a hash, and every pair of chunks is a group of its own of at most about
+two chunks, so no close pair is lost and no group is gathered in one task. The distributed components of these
+links give the classes.
 
 Defined cases: a null text counts as empty; a text without a word has fingerprint zero and is linked like any
 other; a text of fewer than 4 words is one shingle; the component id is the smallest id reachable, null only
-if no row of the component has one; repeated rows count as copies; empty tables give empty results; other
-columns are not read.
+if no row of the component has one; the row of a component that is marked as kept has that id and, of several,
+the smallest text hash; repeated rows count as copies, and are marked alike; empty tables give empty results;
+other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -34,6 +39,9 @@ SHINGLE, DISTANCE, SEED = 4, 4, 42
 EDGES = (0, 9, 18, 27, 36, 45, 54, 64)
 SHARED = len(EDGES) - 1 - DISTANCE
 CHUNK = 2048
+#: Rows of a key beyond which pairs of chunks would be more rows than the keys of the second level are.
+SPLIT = 70 * CHUNK
+PARTS, SHARED_PARTS = 8, 4
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _OFFSETS = np.arange(8, dtype=np.int64) * 256
@@ -83,6 +91,26 @@ def masks() -> list[int]:
     return [_signed(sum(c)) for c in combinations(blocks, SHARED)]
 
 
+def finer_masks() -> list[list[int]]:
+    """For each of masks(), the masks that take its place in a key with many rows."""
+    out = []
+    for m in masks():
+        free = [b for b in range(64) if not m >> b & 1]
+        ends = [round(k * len(free) / PARTS) for k in range(PARTS + 1)]
+        parts = [sum(1 << b for b in free[x:y]) for x, y in zip(ends, ends[1:])]
+        out.append([_signed((m % 2**64) | sum(c)) for c in combinations(parts, SHARED_PARTS)])
+    return out
+
+
+def finer_keys(rows: DataFrame) -> DataFrame:
+    """(part, block, fp) of the second level, from rows of keys with many rows."""
+    finer = finer_masks()
+    mine = F.element_at(F.from_json(F.lit(json.dumps(finer)), "array<array<bigint>>"), F.col("part") + 1)
+    number = F.lit(len(finer)) + F.col("part") * len(finer[0])
+    keys = F.transform(mine, lambda m, j: F.struct((number + j).alias("part"), F.col("fp").bitwiseAND(m).alias("block")))
+    return rows.select("fp", F.explode(keys).alias("k")).select("k.part", "k.block", "fp")
+
+
 def block_keys(fps: DataFrame) -> DataFrame:
     """(part, block, fp): the keys of each distinct fingerprint."""
     keys = F.array(*(F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("block")) for k, m in enumerate(masks())))
@@ -151,12 +179,19 @@ def _batch(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def close_links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints of `fps` within DISTANCE of each other."""
-    keys = block_keys(fps)
+def _shared(keys: DataFrame, name: str) -> DataFrame:
+    """Keys that more than one fingerprint has, with the number of these in the column g."""
     # a count is a long: a key's rows are combined before the shuffle
     sizes = keys.groupBy("part", "block").agg(F.count(F.lit(1)).alias("g")).filter("g > 1")
-    rows = keys.join(stored(sizes, "keys"), ["part", "block"])
+    return keys.join(stored(sizes, name), ["part", "block"])
+
+
+def close_links(fps: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all distinct fingerprints of `fps` within DISTANCE of each other."""
+    rows = _shared(block_keys(fps), "keys")
+    if not rows.filter(F.col("g") > SPLIT).isEmpty():
+        finer = _shared(finer_keys(rows.filter(F.col("g") > SPLIT)), "finer-keys")
+        rows = rows.filter(F.col("g") <= SPLIT).unionByName(finer)
     chunks = F.ceil(F.col("g") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("fp"), chunks.cast("long")).cast("int")
     rows = rows.select("part", "block", "fp", own.alias("c"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("d"))
@@ -166,13 +201,16 @@ def close_links(fps: DataFrame) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id, text_hash."""
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id, text_hash, component_size, kept."""
     rows = stored(fingerprints(docs), "fingerprints")
-    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    fps = stored(rows.groupBy("fp").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = stored(connected_components(close_links(fps.select("fp"))), "roots")
-    named = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    named = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     named = stored(named, "named")
-    ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    whole = stored(named.join(ids, "root").select("fp", "component_id"), "components")
-    # both sides are plain scans, so that the copies of one fingerprint can be split among tasks
-    return rows.join(whole, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash")
+    # combined before the shuffle, and written: both sides of the joins are plain scans, so that the members of a large
+    # component, and the copies of one fingerprint, can be split among tasks
+    tops = stored(named.groupBy("root").agg(F.min("first").alias("top"), F.sum("n").alias("component_size")), "tops")
+    whole = stored(named.select("fp", "root").join(tops, "root").select("fp", "top", "component_size"), "components")
+    kept = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("text_hash") == F.col("top.text_hash"))
+    return rows.join(whole, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("top.doc_id").alias("component_id"), "text_hash", "component_size", kept.alias("kept"))
