@@ -9,7 +9,8 @@ The model learns from a bounded sample (FIT_ROWS) of labelled rows whose crc32 o
 FOLDS, is not HELD_OUT. Labels, language, source and id are never inputs of a score.
 
 Defined cases: a null text counts as empty and is scored as such; null labels and labels without a document
-are left out; a document labelled several times counts by its largest label; with fewer than two rows of a
+are left out; a document labelled several times counts by its largest label, and of rows that repeat an id one is
+fitted on; with fewer than two rows of a
 class every score is the prior's; empty tables give empty results; other columns are not read.
 """
 
