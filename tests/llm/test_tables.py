@@ -42,6 +42,18 @@ def test_exact_dedup(name, request, clash):
         assert Counter(map(tuple, exact_dedup.exact_dedup(batches).collect())) == want
 
 
+def test_large_batch_after_a_small_one(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BUCKET_KEYS", 100)
+    rows = [(-(10**12), "text 5")] + [(i, f"text {i}") for i in range(2000)]
+    first, rest = exact_dedup.in_two_batches(spark.createDataFrame(rows, "doc_id long, text string"))
+    early, late = exact_dedup.snapshot(exact_dedup.groups_of(first)), exact_dedup.snapshot(exact_dedup.groups_of(rest))
+    asked, slices = exact_dedup.asked_of(late, early)
+    assert (early.groups, late.groups, slices) == (1, 2000, 20)
+    assert asked.groupBy("bucket", "slice").count().agg({"count": "max"}).first()[0] < 150
+    out = exact_dedup.exact_dedup([first, rest]).collect()
+    assert sorted(r.doc_id for r in out if not r.kept) == [5] and len(out) == 2001
+
+
 def test_exact_dedup_of_nothing(empty_docs):
     assert exact_dedup.exact_dedup(exact_dedup.in_two_batches(empty_docs)).count() == 0
 
@@ -68,9 +80,10 @@ def test_components_of_paths_and_stars(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [2048, 3])
-def test_simhash_components(spark, edge_docs, documents, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, split", [(2048, 10**6), (3, 10**6), (4, 2)])
+def test_simhash_components(spark, edge_docs, documents, monkeypatch, chunk, split):
     monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "SPLIT", split)
     base = " ".join(f"w{i}" for i in range(300)).split()
     near = [(1000 + k, " ".join(base[:k] + ["zz"] + base[k + 1 :]), "en", "s", 1) for k in range(0, 60, 2)]
     docs = edge_docs.unionByName(documents.withColumn("doc_id", documents.doc_id + 5000)).unionByName(spark.createDataFrame(near, edge_docs.schema))
@@ -101,6 +114,34 @@ def test_close_pairs_that_differ_in_the_top_bit():
         assert sum(len(b) for b in simhash._search(iter([batch]))) == want
 
 
+@pytest.mark.parametrize("flips", [(), (3,), (0, 20, 40, 63), (27, 30, 33, 35), (1, 10, 19, 28)])
+def test_close_pairs_share_a_finer_key(flips):
+    rng = np.random.default_rng(3)
+    fp = int(rng.integers(0, 2**64, dtype=np.uint64))
+    other = fp ^ sum(1 << f for f in flips)
+    for m, finer in zip(simhash.masks(), simhash.finer_masks()):
+        assert len(finer) == 70 and all(bin(x % 2**64).count("1") >= 45 - 2 for x in finer)
+        if (fp ^ other) & (m % 2**64) == 0:
+            assert any((fp & x % 2**64) == (other & x % 2**64) for x in finer)
+
+
+def test_one_giant_component_is_dealt_evenly(spark, monkeypatch):
+    """3,000 fingerprints in one chain of close neighbours: no group of a search is larger than two chunks."""
+    monkeypatch.setattr(simhash, "CHUNK", 64)
+    monkeypatch.setattr(simhash, "SPLIT", 256)
+    rng = np.random.default_rng(5)
+    fps, now = [], 0
+    for _ in range(3000):
+        now ^= 1 << int(rng.integers(0, 64))
+        fps.append(simhash._signed(now))
+    fps = sorted(set(fps))
+    sizes = []
+    monkeypatch.setattr(simhash, "_forest", lambda fp, f=simhash._forest: (sizes.append(len(fp)), f(fp))[1])
+    links = simhash.close_links(spark.createDataFrame([(x,) for x in fps], "fp long")).collect()
+    top = roots_by_hand(fps, [(r.a, r.b) for r in links])
+    assert len(set(top.values())) == 1
+
+
 def test_simhash_of_nothing(empty_docs):
     assert simhash.simhash_components(empty_docs).count() == 0
 
@@ -142,6 +183,27 @@ def test_mix(name, request, clash):
     assert sorted(map(str, out)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
 
 
+def test_mix_of_light_documents_repeated_ids_and_ties(spark, monkeypatch):
+    """Low quality weights, one source with most rows, rows without an id, and rows alike at the edge."""
+    import random
+
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 32)
+    r = random.Random(4)
+    rows = [(i, "x" * r.choice([3, 40, 300, 2000]), "light", None) for i in range(3000)]
+    rows += [(i, "ab " * r.randint(1, 30), "b", None) for i in range(3000, 3300)]
+    rows += [(7, "same words here", "ties", None)] * 200 + [(None, "ab " * r.randint(1, 5), "null ids", None) for _ in range(300)] + [(1, "a b c", None, None), (1, "a", "one", None)]
+    docs = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s, _ in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    drawn = mixing.drawn(docs)
+    plan = mixing.source_plan(drawn)
+    largest = mixing._placed(drawn, plan).withColumn("bucket", mixing._bucket()).filter("source = 'light'").groupBy("bucket").count().agg({"count": "max"}).first()[0]
+    assert largest < 80  # buckets of about 32 rows whatever the weights
+    con = duckdb.connect()
+    con.execute("create table documents as select unnest($1) as doc_id, unnest($2) as text, unnest($3) as source", [[x[0] for x in rows], [x[1] for x in rows], [x[2] for x in rows]])
+    want = con.sql(queries.ORACLE["op3_mix_sources"]).fetchall()
+    shown = lambda x: (x[0], x[1], x[2], round(x[3], 4), x[4])
+    assert Counter(map(shown, mixing.mix(docs).collect())) == Counter(map(shown, want))
+
+
 def test_mix_of_nothing(empty_docs):
     assert mixing.mix(empty_docs).count() == 0
     assert mixing.mixed_documents(empty_docs).count() == 0
