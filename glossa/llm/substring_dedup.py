@@ -3,10 +3,14 @@
 A gear rolling hash over 16 bytes is winnowed: of every WINDOW neighbouring hashes the smallest cuts the text,
 so boundaries depend on nearby content only, come back after an insertion, and are never further apart than
 WINDOW. A chunk is known by a 64-bit digest. The smallest id that holds a digest keeps it; chunks of all other
-documents that are held elsewhere are seeds. Runs of neighbouring seeds of MIN_WORDS words or more are spans,
-and grow at both ends as far as the bytes agree with a document that keeps a chunk near that end. Around a
-shorter run the text is compared with each document that keeps one of its chunks, place by place, and
-stretches of MIN_WORDS words or more that agree byte by byte are spans too. Spans that overlap are one.
+documents that are held elsewhere are seeds.
+
+A seed lies on a line: the keeping row and the distance from a place to the place there. A span is a stretch of
+one line, so that its text is in the keeping document as it stands. Neighbouring seeds of one line that hold
+MIN_WORDS words or more are a span by their digests alone, two of 64 bits at least; its ends are then compared
+byte by byte, to where the texts stop to agree. Around fewer seeds of a line the whole stretch is compared, and
+is a span if MIN_WORDS words or more agree. Stretches of one line that overlap are one. Of spans of several lines
+that overlap, as few as cover the same bytes are reported: spans may overlap, but none is needless.
 
 Digests are combined before each shuffle (the smallest holder and the largest id of a digest), so a passage
 that many documents share is one row a task; the joins that bring it back to its documents have plain tables
@@ -14,14 +18,15 @@ on both sides, which Spark splits where one key has very many rows.
 
 Defined cases: a null text counts as empty and has no chunk; rows that repeat an id are one document, as are
 rows without an id, which come after all others; each row has its own spans; repeats inside one document are
-not reported; of tied documents the smallest id keeps the passage; empty tables give empty results; other
-columns are not read.
+not reported; of tied documents the smallest id keeps the passage; a digest that its keeping row holds several
+times, as in periodic text, is followed to its first and its last place there; empty tables give empty results;
+other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -112,10 +117,12 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "row long, doc_id long, text binary, digests array<long>, beside array<long>, starts array<int>, later array<int>")
 
 
-#: A part of a row's text to be compared with the text of `first_row` from `first_lo` on, or (own is null) a span.
+#: A part of a row's text to be compared with the text of `first_row`, `shift` bytes on, or (own is null) a span.
 #: w_lo and w_hi words begin before lo and hi. `at` is a place that the sought stretch holds, -1 for any long one.
-PART = "row long, doc_id long, lo int, hi int, w_lo int, w_hi int, n_chunks int, first long, first_row long, first_lo int, at int, begins boolean, own binary"
-SPAN = "row long, doc_id long, lo int, hi int, w_lo int, w_hi int, n_chunks int, first long"
+SPAN = "row long, doc_id long, lo int, hi int, w_lo int, w_hi int, n_chunks int, first long, first_row long, shift int"
+PART = SPAN + ", at int, begins boolean, own binary"
+#: Bytes of parts in one Arrow batch.
+BATCH_BYTES = 8 << 20
 
 
 def _record(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -125,84 +132,149 @@ def _record(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, kinds[t]) for c, t in zip(columns, types)], names=list(names))
 
 
-def _parts(row: int, doc_id: int | None, raw: bytes, starts: np.ndarray, hits: dict[str, np.ndarray], min_words: int) -> Iterator[tuple]:
-    """The long runs of one row, and what has to be compared around its runs.
-
-    A line is a keeping row and the distance from a place to the place there. Where a stretch of min_words goes
-    through a seed, or a run grows beyond it, bytes beside the seed agree; other lines are left out.
-    """
-    data, n = np.frombuffer(raw, dtype=np.uint8), len(raw)
-    begins = word_starts(data)
-    words = np.append(0, np.cumsum(begins))
-    order = np.argsort(hits["start"])
-    hits = {k: v[order] for k, v in hits.items()}
-    index = np.searchsorted(starts, hits["start"])
-    start, end = hits["start"].astype(np.int64), np.append(starts, n)[index + 1].astype(np.int64)
-    differ = (around(data, start, end) ^ hits["beside"]).view(np.uint64)
-    near_left, near_right = (differ >> np.uint64(56) == 0) & (start > 0), (differ & np.uint64(255) == 0) & (end < n)
-    wide_left, wide_right = (differ >> np.uint64(32) == 0) & (start >= 4), (differ & np.uint64(0xFFFFFFFF) == 0) & (end <= n - 4)
-    again = hits["last_start"] != hits["first_start"]
-    # half of the other words are on one side; three words that begin there are four bytes at least
-    through = (words[end] - words[start] > min_words - 6) | wide_left | wide_right | again
-    near_left, near_right = near_left | again, near_right | again
-    cuts = np.flatnonzero(np.diff(index) != 1) + 1
-
-    def part(lo: int, hi: int, chunks: int, line: tuple, at: int) -> tuple:
-        return (row, doc_id, lo, hi, int(words[lo]), int(words[hi]), chunks, line[2], line[0], line[1] + lo, at, bool(begins[lo]), raw[lo:hi])
-
-    def lines(k: int) -> set[tuple]:
-        """The lines of a seed: by the first and the last place of its digest in the keeping row."""
-        return {(int(hits["first_row"][k]), int(hits[c][k]) - int(start[k]), int(hits["first"][k])) for c in ("first_start", "last_start")}
-
-    for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(index)]):
-        s, e = int(start[x]), int(end[y - 1])
-        lo, hi = max(0, s - REACH), min(n, e + REACH)
-        if words[e] - words[s] >= min_words:
-            holders = Counter(hits["first"][x:y].tolist())
-            first = min(holders, key=lambda k: (-holders[k], k))
-            yield (row, doc_id, s, e, int(words[s]), int(words[e]), y - x, first, None, None, None, None, None)
-            # each line on which a seed near an end lies, from its seed nearest to that end
-            inner = x + np.flatnonzero(near_left[x:y] & (start[x:y] < s + REACH))
-            left = {line: k for k in reversed(inner.tolist()) for line in lines(k)} if s else {}
-            inner = x + np.flatnonzero(near_right[x:y] & (end[x:y] > e - REACH))
-            right = {line: k for k in inner.tolist() for line in lines(k)} if e < n else {}
-            yield from (part(lo, int(end[k]), 0, line, int(start[k])) for line, k in left.items())
-            yield from (part(int(start[k]), hi, 0, line, int(start[k])) for line, k in right.items())
-        elif words[hi] - words[lo] >= min_words and through[x:y].any():
-            seeds = Counter(line for k in range(x, y) for line in lines(k))
-            for line in {line for k in (x + np.flatnonzero(through[x:y])).tolist() for line in lines(k)}:
-                yield part(lo, hi, seeds[line], line, -1)
+class _Seeds:
+    """The seeds of one row in the order of their places, and the words of its text."""
+
+    def __init__(self, row: int, doc_id: int | None, raw: bytes, starts: np.ndarray, hits: dict[str, np.ndarray], min_words: int):
+        self.row, self.doc_id, self.raw, self.n, self.min_words = row, doc_id, raw, len(raw), min_words
+        data = np.frombuffer(raw, dtype=np.uint8)
+        self.begins = word_starts(data)
+        self.words = np.append(0, np.cumsum(self.begins))
+        order = np.argsort(hits["start"])
+        self.hits = hits = {k: v[order] for k, v in hits.items()}
+        self.index = np.searchsorted(starts, hits["start"])
+        self.start, self.end = hits["start"].astype(np.int64), np.append(starts, self.n)[self.index + 1].astype(np.int64)
+        self.again = hits["last_start"] != hits["first_start"]
+        differ = (around(data, self.start, self.end) ^ hits["beside"]).view(np.uint64)
+        # a stretch that goes on beyond a seed has the seed's neighbouring bytes
+        self.left = ((differ >> np.uint64(56) == 0) | self.again) & (self.start > 0)
+        self.right = ((differ & np.uint64(255) == 0) | self.again) & (self.end < self.n)
+        wide_left = (differ >> np.uint64(32) == 0) & (self.start >= 4)
+        wide_right = (differ & np.uint64(0xFFFFFFFF) == 0) & (self.end <= self.n - 4)
+        # half of the other words are on one side; three words that begin there are four bytes at least
+        self.through = (self.words[self.end] - self.words[self.start] > min_words - 6) | wide_left | wide_right | self.again
+
+    def part(self, k: int, shift: int, lo: int, hi: int, chunks: int, at: int | None) -> tuple:
+        """Bytes lo to hi on the line of seed k; a span if at is None, else to be compared."""
+        own = (None, None, None) if at is None else (at, bool(self.begins[lo]), self.raw[lo:hi])
+        w, h = self.words, self.hits
+        first = h["first"][k]
+        return (self.row, self.doc_id, lo, hi, int(w[lo]), int(w[hi]), chunks, None if first != first else int(first), int(h["first_row"][k]), shift, *own)
+
+    def _wide(self, k: int, shift: int, lo: int, hi: int, chunks: int) -> Iterator[tuple]:
+        lo, hi = max(0, lo - REACH), min(self.n, hi + REACH)
+        if self.words[hi] - self.words[lo] >= self.min_words:
+            yield self.part(k, shift, lo, hi, chunks, -1)
+
+    def lines(self) -> Iterator[tuple]:
+        """Spans and parts of the seeds whose digest has one place in the keeping row."""
+        once = np.flatnonzero(~self.again)
+        shift = (self.hits["first_start"] - self.hits["start"]).astype(np.int64)
+        once = once[np.lexsort((self.index[once], shift[once], self.hits["first_row"][once]))]
+        row, line, index = self.hits["first_row"][once], shift[once], self.index[once]
+        other = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
+        cuts = np.flatnonzero(other | (np.diff(index) != 1)) + 1
+        new_line = set((np.flatnonzero(other) + 1).tolist())
+        few: list[np.ndarray] = []
+        for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(once)]):
+            if y == x:
+                continue
+            run = once[x:y]
+            a, z = int(run[0]), int(run[-1])
+            s, e, by = int(self.start[a]), int(self.end[z]), int(line[x])
+            if few and (x in new_line or s - self.end[few[-1][-1]] >= 2 * REACH):
+                yield from self._few(few, shift)
+                few = []
+            if y - x > 1 and self.words[e] - self.words[s] >= self.min_words:
+                yield self.part(a, by, s, e, y - x, None)
+                if self.left[a]:
+                    yield self.part(a, by, max(0, s - REACH), int(self.end[a]), 0, s)
+                if self.right[z]:
+                    yield self.part(z, by, int(self.start[z]), min(self.n, e + REACH), 0, int(self.start[z]))
+            else:
+                few.append(run)
+        if few:
+            yield from self._few(few, shift)
+
+    def _few(self, runs: list[np.ndarray], shift: np.ndarray) -> Iterator[tuple]:
+        """Short runs of one line, near each other: one part."""
+        seeds = np.concatenate(runs)
+        if self.through[seeds].any():
+            k = int(seeds[0])
+            yield from self._wide(k, int(shift[k]), int(self.start[k]), int(self.end[seeds[-1]]), len(seeds))
+
+    def periodic(self) -> Iterator[tuple]:
+        """Parts of the seeds whose digest has several places in the keeping row.
+
+        Neighbouring ones are compared whole on the lines of the first places of seeds near the beginning and of the
+        last places of seeds near the end, and, as periods may be more there or fewer, in pieces around a seed every
+        REACH bytes.
+        """
+        seeds = np.flatnonzero(self.again)
+        cuts = np.flatnonzero(np.diff(self.index[seeds]) != 1) + 1
+        shifts = {c: (self.hits[c] - self.hits["start"]).astype(np.int64) for c in ("first_start", "last_start")}
+        for run in np.split(seeds, cuts):
+            if not len(run):
+                continue
+            s, e = int(self.start[run[0]]), int(self.end[run[-1]])
+            near = {"first_start": run[self.start[run] < s + REACH], "last_start": run[self.end[run] > e - REACH]}
+            whole = {(int(self.hits["first_row"][k]), int(shifts[c][k])): int(k) for c, ks in near.items() for k in ks}
+            for (_, shift), k in whole.items():
+                yield from self._wide(k, shift, s, e, len(run))
+            last = s - REACH
+            for k in run.tolist():
+                if self.start[k] >= last + REACH:
+                    last = int(self.start[k])
+                    for c in shifts:
+                        if (int(self.hits["first_row"][k]), int(shifts[c][k])) not in whole:
+                            yield from self._wide(k, int(shifts[c][k]), last, int(self.end[k]), 1)
 
 
 def _agreeing(p: dict, keep: bytes, min_words: int) -> Iterator[tuple]:
-    """The stretches of a part that agree with the keeping text."""
+    """The stretches of a part that agree with the keeping text; keep begins at the part's place, or at the text's."""
     own = np.frombuffer(p["own"], dtype=np.uint8)
     begins = word_starts(own)
     begins[0] = p["begins"]
     words = np.append(0, np.cumsum(begins))
-    skip = max(0, -p["first_lo"])
-    other = np.frombuffer(keep, dtype=np.uint8)[p["first_lo"] + skip :][: len(own) - skip]
+    skip = max(0, -(p["lo"] + p["shift"]))
+    other = np.frombuffer(keep, dtype=np.uint8)[: len(own) - skip]
     same = np.zeros(len(own) + 2, dtype=np.int8)
     same[1 + skip : 1 + skip + len(other)] = own[skip : skip + len(other)] == other
     turns = np.diff(same)
     for s, e in zip(np.flatnonzero(turns == 1).tolist(), np.flatnonzero(turns == -1).tolist()):
         if words[e] - words[s] >= min_words if p["at"] < 0 else s <= p["at"] - p["lo"] < e:
-            yield (p["row"], p["doc_id"], p["lo"] + s, p["lo"] + e, p["w_lo"] + int(words[s]), p["w_lo"] + int(words[e]), p["n_chunks"], p["first"])
-
-
-def _merged(spans: list[dict]) -> Iterator[tuple]:
-    """Overlapping spans of one row as one; the document that has most of its bytes is first."""
-    group: list[dict] = []
-    for s in [*sorted(spans, key=lambda s: (s["lo"], s["hi"])), None]:
-        if group and (s is None or s["lo"] >= max(g["hi"] for g in group)):
-            last = max(group, key=lambda g: g["hi"])
-            share: Counter = Counter()
-            for g in group:
-                share[g["first"]] += g["hi"] - g["lo"]
-            yield group[0]["lo"], last["hi"], last["w_hi"] - group[0]["w_lo"], sum(g["n_chunks"] for g in group), min(share, key=lambda k: (-share[k], k))
-            group = []
-        if s is not None:
-            group.append(s)
+            yield (p["row"], p["doc_id"], p["lo"] + s, p["lo"] + e, p["w_lo"] + int(words[s]), p["w_lo"] + int(words[e]), p["n_chunks"], p["first"], p["first_row"], p["shift"])
+
+
+def _joined(spans: list[dict]) -> list[dict]:
+    """Stretches of one line that overlap as one."""
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: (s["first_row"], s["shift"], s["lo"], -s["hi"])):
+        last = out[-1] if out else None
+        if last and (last["first_row"], last["shift"]) == (s["first_row"], s["shift"]) and s["lo"] <= last["hi"]:
+            last["n_chunks"] = max(last["n_chunks"], s["n_chunks"]) if s["hi"] <= last["hi"] else last["n_chunks"] + s["n_chunks"]
+            if s["hi"] > last["hi"]:
+                last["hi"], last["w_hi"] = s["hi"], s["w_hi"]
+        else:
+            out.append(dict(s))
+    return out
+
+
+def _cover(spans: list[dict]) -> Iterator[tuple]:
+    """As few spans of one row as cover the bytes of all; of equal ones the smallest keeping id (none last)."""
+    rest = sorted(_joined(spans), key=lambda s: (s["lo"], -s["hi"], s["first"] is None, s["first"] or 0))
+    k, reach = 0, -1
+    while k < len(rest):
+        if rest[k]["hi"] <= reach:
+            k += 1
+            continue
+        best, limit = rest[k], max(reach, rest[k]["lo"])
+        while k < len(rest) and rest[k]["lo"] <= limit:
+            if rest[k]["hi"] > best["hi"]:
+                best = rest[k]
+            k += 1
+        reach = best["hi"]
+        yield best["lo"], best["hi"], best["w_hi"] - best["w_lo"], best["n_chunks"], best["first"]
 
 
 SPANS = "doc_id long, span_start long, span_end long, n_words long, n_chunks long, first_doc_id long"
@@ -211,7 +283,7 @@ SPANS = "doc_id long, span_start long, span_end long, n_words long, n_chunks lon
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per repeated span: doc_id, span_start, span_end (bytes), n_words, n_chunks, first_doc_id.
 
-    first_doc_id is the document that keeps most of the span; documents without a row are clean.
+    The bytes of a span are in the document first_doc_id; documents without a row are clean.
     """
     table = stored(chunk_table(docs), "chunks")
     pieces = table.select("row", "doc_id", F.explode(F.arrays_zip("digests", "starts", "later", "beside")).alias("c"))
@@ -225,30 +297,35 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     hits = found.groupBy("row").agg(F.collect_list(F.struct("start", "first", "first_row", "first_start", "last_start", "beside")).alias("hits"))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[tuple] = []
+        held = 0
         for b in batches:
             ids, doc_ids, texts = (b[c].to_pylist() for c in ("row", "doc_id", "text"))
             seeds, bounds = b["hits"].flatten(), np.cumsum([0, *(len(x) for x in b["hits"])])
             fields = {f.name: seeds.field(f.name).to_numpy(zero_copy_only=False) for f in seeds.type}
-            got: list[tuple] = []
             for k, (x, y) in enumerate(zip(bounds, bounds[1:])):
                 starts = b["starts"][k].values.to_numpy(zero_copy_only=False)
-                got.extend(_parts(ids[k], doc_ids[k], texts[k], starts, {c: v[x:y] for c, v in fields.items()}, min_words))
-                if len(got) > 5000:
-                    yield _record(got, PART)
-                    got = []
-            yield _record(got, PART)
+                own = _Seeds(ids[k], doc_ids[k], texts[k], starts, {c: v[x:y] for c, v in fields.items()}, min_words)
+                for part in chain(own.lines(), own.periodic()):
+                    got.append(part)
+                    held += 200 + len(part[-1] or b"")
+                    if held > BATCH_BYTES:
+                        yield _record(got, PART)
+                        got, held = [], 0
+        yield _record(got, PART)
 
     def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield _record([x for p in b.to_pylist() for x in _agreeing(p, p["keep"], min_words)], SPAN)
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def covering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield _record([(r["doc_id"], *x) for r in b.to_pylist() for x in _merged(r["spans"])], SPANS)
+            yield _record([(r["doc_id"], *x) for r in b.to_pylist() for x in _cover(r["spans"])], SPANS)
 
     parted = stored(table.select("row", "doc_id", "text", "starts").join(hits, "row").mapInArrow(parts, PART), "parts")
     keeping = table.select(F.col("row").alias("first_row"), F.col("text").alias("keep"))
-    grown = parted.filter("own is not null").join(keeping, "first_row").mapInArrow(agreeing, SPAN)
-    spans = stored(parted.filter("own is null").select(*grown.columns).unionByName(grown), "spans")
-    by_row = spans.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("lo", "hi", "w_lo", "w_hi", "n_chunks", "first")).alias("spans"))
-    return by_row.mapInArrow(merged, SPANS)
+    place = F.greatest(F.lit(0), F.col("lo") + F.col("shift"))
+    met = parted.filter("own is not null").join(keeping, "first_row").withColumn("keep", F.substring("keep", place + 1, F.octet_length("own")))
+    spans = stored(parted.filter("own is null").drop("at", "begins", "own").unionByName(met.select(*parted.columns, "keep").mapInArrow(agreeing, SPAN)), "spans")
+    by_row = spans.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("lo", "hi", "w_lo", "w_hi", "n_chunks", "first", "first_row", "shift")).alias("spans"))
+    return by_row.mapInArrow(covering, SPANS)

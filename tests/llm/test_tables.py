@@ -323,12 +323,42 @@ def test_spans_reach_their_true_ends(spark, empty_docs):
         p = " ".join(p.split()[:51])
         passages[2 * k + 1] = p
         rows += [(2 * k + j, f"{text(30)} #{j} {p} {j}# {text(30)}", "en", "s", 1) for j in (0, 1)]
-    out = {x.doc_id: x for x in substring_dedup.repeated_spans(spark.createDataFrame(rows, empty_docs.schema)).collect()}
+    data = {i: t.encode() for i, t, *_ in rows}
+    out = defaultdict(list)
+    for x in substring_dedup.repeated_spans(spark.createDataFrame(rows, empty_docs.schema)).collect():
+        out[x.doc_id].append(x)
+        assert data[x.doc_id][x.span_start : x.span_end] in data[x.first_doc_id]
     assert set(out) == set(passages)
     for i, p in passages.items():
-        span = rows[i][1].encode()[out[i].span_start : out[i].span_end].decode()
-        assert f" {p} " in span and out[i].n_words >= 51  # chunks that meet by chance may lie beside a passage
-    assert sum(x.n_words == 51 and x.first_doc_id == i - 1 for i, x in out.items()) > 0.95 * len(out)
+        at = data[i].index(f" {p} ".encode())
+        covered = {b for x in out[i] for b in range(x.span_start, x.span_end)}
+        assert set(range(at, at + len(p) + 2)) <= covered
+    assert sum(len(x) == 1 and x[0].n_words == 51 and x[0].first_doc_id == i - 1 for i, x in out.items()) > 0.95 * len(out)
+
+
+def test_spans_of_documents_against_brute_force(spark, documents, sf_dir):
+    """Every span is in its first document as it stands; passages of 40 words or more that a plain matcher finds are covered."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    data = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    covered = defaultdict(set)
+    for x in substring_dedup.repeated_spans(docs).collect():
+        span = data[x.doc_id][x.span_start : x.span_end]
+        assert x.first_doc_id < x.doc_id and span in data[x.first_doc_id]
+        assert x.n_words >= 20 and abs(len(span.split()) - x.n_words) <= 1
+        covered[x.doc_id].update(range(x.span_start, x.span_end))
+    seen, found, missed = {}, 0, 0
+    for i in sorted(data):
+        words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", data[i])]
+        windows = [(data[i][words[k][0] : words[k + 39][1]], words[k][0], words[k + 39][1]) for k in range(len(words) - 39)]
+        reach = -1
+        for text, a, z in windows:
+            if seen.get(text, i) < i and a > reach:
+                reach = z
+                found += 1
+                missed += not set(range(a, z)) <= covered[i]
+        for text, _, _ in windows:
+            seen.setdefault(text, i)
+    assert found > 500 and missed <= 0.02 * found
 
 
 def test_spans_of_rows_that_repeat_an_id_or_have_none(spark, empty_docs):
