@@ -1,18 +1,22 @@
 """Personal data: base patterns, and more identifiers found by bootstrapped contextual extraction.
 
 The base spans are matches of four fixed patterns. They are the seeds: tokens inside them are known entities.
-Every token that looks like an identifier (five digits or more, or an at sign) is an instance; the word to its
-left and the word to its right make lexical patterns, each once with the token's exact shape and once with a
-coarse one, in which digits and separators of any layout are alike. Patterns and instances form a bipartite
-graph on which scores travel for a few rounds: a pattern scores the mean confidence of its instances, weighted
-down where it has few, and an instance that isn't a seed takes the best score of its supported patterns, where
-left patterns hear what right ones say and the reverse. Patterns of high confidence then discover instances that
-the base patterns did not match; these become spans of the pattern's kind. The graph holds distinct (token,
-pattern) pairs, counted before each shuffle. A token ends at a space: the parts of a spaced number count alone.
+Every token that looks like an identifier is an instance: a number of 5 to 19 digits, whose groups may be joined
+by one or two separators or spaces, or a word with five digits or an at sign. The word to its left and the word to
+its right make lexical patterns, each once with the token's exact shape and once with a coarse one, in which only
+digits, letters and the at sign count and all layouts are alike. Patterns and instances form a bipartite graph on
+which scores travel for a few rounds: a pattern belongs to the kind that most of its instances' confidence speaks
+for and scores that share, less where it rests on few; an instance that isn't a seed takes the best score of its
+supported patterns, where left patterns hear what right ones say and the reverse, so that no pattern confirms
+itself. Confident instances support patterns as seeds do, so patterns without a seed can be learned in later
+rounds. Patterns of high confidence then discover instances that the base patterns did not match; these become
+spans of the pattern's kind. The graph holds distinct (entity, pattern) pairs, counted before each shuffle; an
+entity is a token, or the last ten digits of a number, so that a number written in another way is the same one.
 
 DataFrame functions only. Positions come from the texts between matches: a text is split at a pattern and the
-lengths of pieces and matches are summed. The Java patterns match what the stated ones match, but are written
-so that a run of 100,000 digits or letters costs linear time and no deep recursion.
+lengths of pieces and matches are summed, in blocks, so that a text of a million numbers costs linear time. The
+Java patterns match what the stated ones match, but are written so that a run of 100,000 digits or letters costs
+linear time and no deep recursion.
 
 Defined cases: a null text counts as empty; rows that repeat an id are searched each on its own; spans are in
 code points with the end exclusive; ties in score fall to the kind listed first; empty tables give empty
@@ -24,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import stored
+from glossa.llm.common import let, stored
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -44,19 +48,19 @@ JAVA = {
 #: Cheap tests that a text must pass before its matches are sought.
 HINT = {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 
-#: Tokens that can be instances: a run of these characters with a digit or an at sign in it.
-TOKEN = r"(?<![A-Za-z0-9@._%+()/-])[A-Za-z._%+()/-]*+[0-9@][A-Za-z0-9@._%+()/-]*+"
+#: Instances: digit groups with one or two separators between digits, or a word with a digit or an at sign in it.
+NUMBER = r"[+(]{0,2}[0-9](?:[\x20()./-]{0,2}[0-9]){4,18}(?![\x20()./-]{0,2}[0-9])(?![A-Za-z@_%+])"
+TOKEN = rf"(?<![A-Za-z0-9@._%+()/-])(?:{NUMBER}|[A-Za-z._%+()/-]*+[0-9@][A-Za-z0-9@._%+()/-]*+)"
 CONTEXT = 48
-ROUNDS = 3
-#: A pattern needs so many distinct seed instances and such a score to discover others; so does an instance.
-MIN_SEEDS, MIN_PATTERN, MIN_INSTANCE = 5, 0.9, 0.9
+ROUNDS = 4
+#: Confidence that a pattern needs from distinct instances, least share of it that counts, and the scores that discover.
+MIN_SUPPORT, MIN_HEARD, MIN_PATTERN = 5, 0.6, 0.9
+#: Matches whose positions are summed in one piece.
+BLOCK = 256
 
 
 def _at(text: Column, pattern: str) -> Column:
     """All matches as an array of structs (start, end, found, before, after), by position."""
-    pieces = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rows = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("before"), F.slice(pieces, 2, F.size(found)).alias("after"), found.alias("found"))
     empty = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,found:string,before:string,after:string>>")
 
     def step(acc: Column, x: Column) -> Column:
@@ -66,7 +70,20 @@ def _at(text: Column, pattern: str) -> Column:
         row = F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found"), near.alias("before"), F.substring(x["after"], 1, CONTEXT).alias("after"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-    return F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    def placed(rows: Column) -> Column:
+        # an array that grows by one copies itself each time, so only arrays of a block, and one of blocks, grow
+        blocks = F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / BLOCK).cast("int"))
+        block = lambda b: F.slice(rows, b * BLOCK + 1, F.lit(BLOCK))
+        wide = F.transform(blocks, lambda b: F.aggregate(block(b), F.lit(0), lambda acc, x: acc + F.length(x["before"]) + F.length(x["found"])))
+        begins = F.aggregate(wide, F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + w)))
+        one = lambda b, at: F.aggregate(block(b), F.struct(F.element_at(at, b + 1).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+        return F.when(F.size(rows) > 0, let(begins, lambda at: F.flatten(F.transform(blocks, lambda b: one(b, at))))).otherwise(empty)
+
+    def rows(found: Column, pieces: Column) -> Column:
+        return F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("before"), F.slice(pieces, 2, F.size(found)).alias("after"), found.alias("found"))
+
+    matches = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("pieces"))
+    return let(let(matches, lambda m: rows(m["found"], m["pieces"])), placed)
 
 
 def _luhn(digits: Column) -> Column:
@@ -106,20 +123,28 @@ def _shape(token: Column) -> Column:
 
 
 def _coarse(token: Column) -> Column:
-    """What is left of a shape without its layout: digit runs as 9, letter runs as a, separators as one dot, a leading plus."""
-    runs = F.regexp_replace(F.regexp_replace(token, "[0-9]+", "9"), r"[A-Za-z]+", "a")
-    return F.regexp_replace(F.regexp_replace(runs, r"(?!^)[^9a@]+", "."), r"9(\.9)+", "9")
+    """What is left of a token without its layout: an at sign, or else whether it has letters."""
+    return F.when(token.contains("@"), "@").when(token.rlike("[A-Za-z]"), "a9").otherwise("9")
+
+
+def _entity(token: Column) -> Column:
+    """What tokens of one entity share: the last ten digits of a number that has as many, else the token as it is."""
+    digits = F.regexp_replace(token, "[^0-9]", "")
+    return F.when(~token.rlike("[A-Za-z@]") & (F.length(digits) >= 10), F.substring(digits, -10, 10)).otherwise(token)
 
 
 def _word_shape(word: Column) -> Column:
-    """A context word: lower case, digits as 9, without punctuation at its ends."""
+    """A context word: lower case, digits as 9."""
     return F.regexp_replace(F.lower(word), "[0-9]", "9")
 
 
+NO_TOKENS = "array<struct<start:int,end:int,found:string,before:string,after:string>>"
+
+
 def instances(text: Column) -> Column:
-    """Tokens that look like identifiers: (start, end, found, before, after), outer punctuation left out."""
+    """Tokens that look like identifiers: (start, end, found, before, after)."""
     found = F.filter(_at(text, TOKEN), lambda m: (F.length(F.regexp_replace(m["found"], "[^0-9]", "")) >= 5) | m["found"].contains("@"))
-    return F.when(text.rlike(r"[0-9@]"), found).otherwise(F.from_json(F.lit("[]"), "array<struct<start:int,end:int,found:string,before:string,after:string>>"))
+    return F.when(text.rlike(r"[0-9@]"), found).otherwise(F.from_json(F.lit("[]"), NO_TOKENS))
 
 
 def searched(docs: DataFrame) -> DataFrame:
@@ -129,46 +154,63 @@ def searched(docs: DataFrame) -> DataFrame:
     return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", *(base_spans(F.col("t"), k).alias(k) for k in KINDS), instances(F.col("t")).alias("tokens"))
 
 
-def discovered(found: DataFrame) -> DataFrame:
-    """(row, kind, start, end) of identifiers that patterns of high confidence add to the base spans."""
+def occurrences(found: DataFrame) -> DataFrame:
+    """(row, start, end, token, seed, patterns): each instance, its entity, the kind (a number) that it is a seed of, its patterns."""
     tokens = found.select("row", *KINDS, F.explode("tokens").alias("m"))
     tail = F.length(F.regexp_extract("m.found", r"[.,)/_%+-]*$", 0))
     head = F.length(F.regexp_extract("m.found", r"^[._%/-]*", 0))
-    core = F.when(F.length("m.found") > tail + head, F.expr("1")).isNotNull()
     start, end = F.col("m.start") + head, F.col("m.end") - tail
-    inside = [F.when(F.exists(k, lambda s: (s["start"] < F.col("m.end")) & (s["end"] > F.col("m.start"))), F.lit(k)) for k in KINDS]
+    inside = [F.when(F.exists(k, lambda s: (s["start"] < F.col("m.end")) & (s["end"] > F.col("m.start"))), F.lit(i)) for i, k in enumerate(KINDS)]
+    # a word that touches the token is none: brackets and quotes are left out
     before = F.regexp_extract(F.col("m.before"), r"(\S+)\s*$", 1)
     after = F.regexp_extract(F.col("m.after"), r"^\S*\s*(\S+)", 1)
-    rows = tokens.filter(core).select("row", start.alias("start"), end.alias("end"), F.col("m.found").alias("token"), F.coalesce(*inside).alias("seed"), _shape(F.col("m.found")).alias("shape"), _coarse(F.col("m.found")).alias("coarse"), _word_shape(before).alias("left"), _word_shape(after).alias("right"))
-    rows = stored(rows, "instances")
-    # contexts with the exact shape, and with a coarse one for layouts that no seed has; an empty word is no context
-    def context(kind: str, word: str, shape: str) -> Column:
-        return F.when(F.col(word) != "", F.concat_ws("\u0001", F.lit(kind), word, shape))
+    rows = tokens.filter(F.length("m.found") > tail + head).select("row", start.alias("start"), end.alias("end"), _entity(F.col("m.found")).alias("token"), F.coalesce(*inside).alias("seed"), _shape(F.col("m.found")).alias("shape"), _coarse(F.col("m.found")).alias("coarse"), _word_shape(before).alias("left"), _word_shape(after).alias("right"))
 
+    def context(side: str, word: str, shape: str) -> Column:
+        return F.when(F.col(word) != "", F.concat_ws("\u0001", F.lit(side), word, shape))
+
+    # contexts with the exact shape, and with a coarse one for layouts that no seed has; an empty word is no context
     contexts = [context("L", "left", "shape"), context("R", "right", "shape"), context("l", "left", "coarse"), context("r", "right", "coarse")]
-    # the graph: each (token, pattern) once, with the kind that the token is a seed of
-    marks = rows.select("token", "seed", F.explode(F.array_compact(F.array(*contexts))).alias("pattern"))
-    graph = stored(marks.groupBy("token", "pattern").agg(F.min("seed").alias("seed")), "graph")
-    own = stored(rows.groupBy("token").agg(F.min("seed").alias("kind")), "tokens")
-    score = own.select("token", "kind", F.lit(0.0).alias("by_left"), F.lit(0.0).alias("by_right"))
+    return rows.select("row", "start", "end", "token", "seed", F.array_compact(F.array(*contexts)).alias("patterns"))
+
+
+def pattern_scores(rows: DataFrame) -> DataFrame:
+    """(pattern, p, kind) of the patterns whose score after the last round discovers."""
+    marks = rows.select("token", "seed", F.explode("patterns").alias("pattern"))
+    # the graph: each (token, pattern) once
+    graph = stored(marks.groupBy("token", "pattern").agg(F.min("seed").alias("seed")).select("token", "pattern"), "graph")
+    own = stored(rows.groupBy("token").agg(F.min("seed").alias("seed")), "tokens")
+    nothing = F.struct(F.lit(0.0).alias("p"), F.lit(0).alias("other"))
+    score = own.select("token", "seed", nothing.alias("by_left"), nothing.alias("by_right"))
     on_left = F.lower(F.substring("pattern", 1, 1)) == "l"
-    for _ in range(ROUNDS):
-        # what a pattern hears of a token comes from the token's other side, so that no pattern confirms itself
-        conf = F.when(F.col("kind").isNotNull(), 1.0).when(on_left, F.col("by_right")).otherwise(F.col("by_left"))
-        edges = graph.select("token", "pattern").join(score, "token").select("pattern", "kind", conf.alias("conf"))
-        mean = F.avg("conf") * (1 - F.pow(F.lit(2.0), -F.sum("conf")))  # few confident instances weigh less
-        patterns = edges.groupBy("pattern").agg(mean.alias("p"), F.count("kind").alias("seeds"), F.mode("kind", True).alias("p_kind"))
-        patterns = stored(patterns, "patterns")
-        supported = patterns.filter(F.col("seeds") >= MIN_SEEDS).select("pattern", "p")
-        heard = graph.select("token", "pattern").join(supported, "pattern")
-        heard = heard.groupBy("token").agg(F.max(F.when(on_left, F.col("p"))).alias("by_left"), F.max(F.when(~on_left, F.col("p"))).alias("by_right"))
-        best = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("by_left", "by_right")]
-        score = stored(own.join(heard, "token", "left").select("token", "kind", *best), "scores")
-    sure = patterns.filter((F.col("p") >= MIN_PATTERN) & (F.col("seeds") >= MIN_SEEDS)).select("pattern", "p_kind")
-    sure_tokens = score.filter(F.greatest("by_left", "by_right") >= MIN_INSTANCE).select("token")
-    new = rows.filter(F.col("seed").isNull()).join(sure_tokens, "token")
-    hits = new.select("row", "start", "end", F.explode(F.array_compact(F.array(*contexts))).alias("pattern")).join(sure, "pattern")
-    return hits.groupBy("row", "start", "end").agg(F.min("p_kind").alias("kind"))
+    for k in range(ROUNDS):
+        # what a pattern hears of a token comes from the token's other side
+        heard = F.when(on_left, F.col("by_right")).otherwise(F.col("by_left"))
+        edges = graph.join(score, "token").select("pattern", "seed", heard.alias("heard"))
+        kind = F.coalesce("seed", -F.col("heard.other"))
+        conf = F.when(F.col("seed").isNotNull(), 1.0).when(F.col("heard.p") >= MIN_HEARD, F.col("heard.p")).otherwise(0.0)
+        edges = edges.select("pattern", kind.alias("kind"), conf.alias("conf"))
+        sums = [F.sum(F.when(F.col("kind") == i, F.col("conf")).otherwise(0.0)) for i in range(len(KINDS))]
+        patterns = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("sums"))
+        top = F.array_max("sums")
+        few = 1 - F.pow(F.lit(2.0), -top)  # little confidence weighs less
+        patterns = patterns.select("pattern", (top / F.col("n") * few).alias("p"), top.alias("support"), (F.array_position("sums", top) - 1).cast("int").alias("kind"))
+        patterns = stored(patterns.filter(F.col("support") >= MIN_SUPPORT - 1e-9).select("pattern", "p", "kind"), "patterns")
+        if k == ROUNDS - 1:
+            return patterns.filter(F.col("p") >= MIN_PATTERN)
+        # of equal scores the kind listed first
+        best = F.struct("p", (-F.col("kind")).alias("other"))
+        told = graph.join(patterns, "pattern").groupBy("token").agg(F.max(F.when(on_left, best)).alias("by_left"), F.max(F.when(~on_left, best)).alias("by_right"))
+        score = stored(own.join(told, "token", "left").select("token", "seed", *(F.coalesce(c, nothing).alias(c) for c in ("by_left", "by_right"))), "scores")
+
+
+def discovered(found: DataFrame) -> DataFrame:
+    """(row, start, end, kind) of identifiers that patterns of high confidence add to the base spans."""
+    rows = stored(occurrences(found), "instances")
+    sure = pattern_scores(rows)
+    new = rows.filter(F.col("seed").isNull()).select("row", "start", "end", F.explode("patterns").alias("pattern"))
+    best = F.max(F.struct("p", (-F.col("kind")).alias("other")))["other"]
+    return new.join(sure, "pattern").groupBy("row", "start", "end").agg((-best).alias("kind"))
 
 
 def _joined(kind: str, spans: Column) -> Column:
@@ -181,11 +223,11 @@ def personal_data(docs: DataFrame) -> DataFrame:
     extra = discovered(found).groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("extra"))
     extra = stored(extra, "extra")
     rows = found.drop("tokens").join(extra, "row", "left")
-    more = F.coalesce(F.col("extra"), F.from_json(F.lit("[]"), "array<struct<kind:string,start:int,end:int>>"))
+    more = F.coalesce(F.col("extra"), F.from_json(F.lit("[]"), "array<struct<kind:int,start:int,end:int>>"))
     base = F.concat(*(_joined(k, F.col(k)) for k in KINDS))
 
     def both(kind: str) -> Column:
-        added = F.transform(F.filter(more, lambda s: s["kind"] == kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+        added = F.transform(F.filter(more, lambda s: s["kind"] == KINDS.index(kind)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
         return F.array_sort(F.concat(F.col(kind), added))
 
     every = F.concat(*(_joined(k, both(k)) for k in KINDS))
