@@ -25,6 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -260,18 +261,29 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
+def _encoder(ranks: bytes, pattern: str) -> Encoder:
+    """The encoder of a rank file's contents (a base64 token and its rank on each line); one per Python worker."""
+    return Encoder(Ranks({base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}), pattern)
+
+
 def encoder(path: str, pattern: str) -> Encoder:
-    """The encoder of a rank file (a base64 token and its rank on each line); one per Python worker."""
     with open(path, "rb") as f:
-        return Encoder(Ranks({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}), pattern)
+        return _encoder(f.read(), pattern)
+
+
+def _sent(df: DataFrame, path: str) -> Broadcast[bytes]:
+    """The rank file, read by the driver, for all executors: its size is that of a vocabulary, about 1 MB."""
+    with open(path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids): the ids of every whole text, as the bytes of little-endian unsigned 32-bit integers."""
     short_batches(docs.sparkSession)
+    ranks = _sent(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
+        enc = _encoder(ranks.value, pattern)
         for b in batches:
             ids = enc.encode_batch([t or "" for t in b["text"].to_pylist()])
             yield pa.record_batch([b["doc_id"], pa.array(ids, pa.binary())], names=["doc_id", "ids"])
@@ -282,9 +294,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, text): ids back to bytes."""
     short_batches(tokens.sparkSession)
+    ranks = _sent(tokens, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
+        enc = _encoder(ranks.value, pattern)
         for b in batches:
             yield pa.record_batch([b["doc_id"], pa.array([enc.decode(i or b"") for i in b["ids"].to_pylist()], pa.binary())], names=["doc_id", "text"])
 
@@ -298,9 +311,10 @@ def _texts(docs: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: encoded, then decoded, in one pass."""
     short_batches(docs.sparkSession)
+    ranks = _sent(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
+        enc = _encoder(ranks.value, pattern)
         for b in batches:
             ids = enc.encode_batch([t or "" for t in b["text"].to_pylist()])
             hashes = [hashlib.sha256(i).hexdigest() for i in ids]

@@ -82,14 +82,15 @@ r AS (
 SELECT doc_id, size, source_size, target,
   CAST(e * size + greatest(0, least(size, CAST(floor(target + 1e-6) AS BIGINT) - e * source_size - ahead)) AS BIGINT) AS taken FROM r""",
     "op9_chat_format": r"""
-WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+WITH u AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+t AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM u),
 o AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+  SELECT *, row_number() OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k, count(*) OVER (PARTITION BY conv_id, alone) AS n,
     coalesce(role, chr(1)) || chr(2) || coalesce(text, chr(1)) || chr(3) AS enc FROM t),
 p AS (
-  SELECT conv_id, k, n, string_agg(enc, '') OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pre,
+  SELECT conv_id, k, n, string_agg(enc, '') OVER (PARTITION BY conv_id, alone ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pre,
     string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10), '')
-      OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chat FROM o),
+      OVER (PARTITION BY conv_id, alone ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chat FROM o),
 w AS (SELECT n AS n_turns, pre, any_value(chat) AS chat, min(conv_id) AS conv_id, count(*) AS n_copies FROM p WHERE k = n GROUP BY n, pre)
 SELECT conv_id, n_turns, n_copies, chat FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.k < p.n AND p.k = w.n_turns AND p.pre = w.pre)""",
     "op6_exact_dedup": r"""

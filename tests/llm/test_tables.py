@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from glossa.llm import chat, components, exact_dedup, fuse, mixing, pii, queries, sharding, simhash, substring_dedup
 
 from .test_texts import WORD, fingerprint_by_hand
@@ -227,12 +228,51 @@ def test_shards(name, request, clash):
         assert max(loads.values()) < 1.1 * sum(loads.values()) / 8 and min(loads.values()) > 0.9 * sum(loads.values()) / 8
 
 
+def test_cuts_against_sorted_weights(spark):
+    """A cut leaves on its left what was wanted, to within the step or the nearest that any cut can."""
+    rng = np.random.default_rng(9)
+    rows = [(int(n), int(w), *map(float, x)) for n, w, x in zip(rng.integers(1, 4, 900), rng.integers(1, 500, 900), rng.normal(size=(900, 4)).round(2))]
+    groups = spark.createDataFrame(rows, "node long, bytes long, by_lang double, by_source double, by_size double, by_id double")
+    wanted = {}
+    for n, (d, share) in enumerate(((0, 0.5), (2, 0.3), (3, 0.75)), 1):
+        mine = [r for r in rows if r[0] == n]
+        wanted[n] = (d, min(r[2 + d] for r in mine), max(r[2 + d] for r in mine), share * sum(r[1] for r in mine))
+    cuts = sharding._cuts(groups, wanted, 50.0)
+    for n, (d, _, _, want) in wanted.items():
+        mine = [r for r in rows if r[0] == n]
+        left = lambda cut: sum(r[1] for r in mine if r[2 + d] < cut)
+        best = min(abs(left(r[2 + d]) - want) for r in mine)
+        assert cuts[n][0] == d and abs(left(cuts[n][1]) - want) <= max(50.0, best) + 1e-6
+
+
+def test_leaves_are_boxes_of_their_targets(spark, documents):
+    groups = sharding.groups_of(sharding.rows_of(documents))
+    targets = [groups.agg({"bytes": "sum"}).first()[0] / 7] * 7
+    leaves = sharding.leaves_of(groups, targets).collect()
+
+    def check(numbers):
+        if len(numbers) < 2:
+            return
+        parts = numbers[: len(numbers) // 2], numbers[len(numbers) // 2 :]
+        left, right = ([r for r in leaves if r.node in p] for p in parts)
+        assert any(max(r[d] for r in left) < min(r[d] for r in right) for d in sharding.DIMENSIONS)
+        for p in parts:
+            check(p)
+
+    check(list(range(7)))
+    load = Counter()
+    for r in leaves:
+        load[r.node] += r.bytes
+    largest = max(r.bytes for r in leaves)
+    assert all(abs(load[k] - targets[k]) <= 3 * largest for k in range(7))
+
+
 def test_shards_of_nothing(empty_docs):
     assert sharding.shards(empty_docs).count() == 0
 
 
 def test_chat_matches_sql(spark):
-    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (3, 2, "user", "c"), (4, 0, "user", None), (5, 0, "user", ""), (5, 0, "user", ""), (6, 1, None, "x"), (6, 1, "user", "x<|im_end|>"), (7, None, "user", "a"), (None, 0, "user", "z"), (8, 0, "user", "a" * 50000)]
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (3, 2, "user", "c"), (4, 0, "user", None), (5, 0, "user", ""), (5, 0, "user", ""), (6, 1, None, "x"), (6, 1, "user", "x<|im_end|>"), (7, None, "user", "a"), (None, 0, "user", "z"), (None, 1, "user", "z"), (None, 2, "user", "y"), (None, 3, "user", "a"), (8, 0, "user", "a" * 50000)]
     schema = "conv_id long, turn long, role string, text string"
     df = spark.createDataFrame(rows, schema)
     con = duckdb.connect()
@@ -517,3 +557,41 @@ def test_a_text_of_many_numbers_costs_linear_time(spark, empty_docs):
 
     seconds(1000)
     assert seconds(80_000) < 20 * max(0.5, seconds(8000))
+
+
+@pytest.mark.parametrize("name", ["spans", "simhash", "bpe", "classifier", "personal"])
+def test_columns_of_any_name_are_not_read(spark, name, documents, edge_docs, clash, sf_dir):
+    """Extra columns, null and repeated ids and very long texts change nothing for other rows and crash nothing."""
+    import public_tokenizers as P
+    from glossa.llm import bpe, quality_classifier
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    run = {
+        "spans": substring_dedup.repeated_spans,
+        "simhash": simhash.simhash_components,
+        "bpe": lambda d: bpe.round_trip(d, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN),
+        "classifier": lambda d: quality_classifier.quality_classifier(d, labels),
+        "personal": pii.personal_data,
+    }[name]
+    docs = documents.limit(80).unionByName(edge_docs.withColumn("doc_id", edge_docs.doc_id + 10**6))
+    docs = docs.unionByName(spark.createDataFrame([(5 * 10**6, "12345 a@b " * 20_000, None, None, None)], docs.schema))
+    want, got = run(docs), run(clash(docs).withColumns({c: F.lit("clash") for c in ("row", "token", "pattern", "starts", "first", "score", "raw", "kind", "text_hash", "kept", "top", "ids")}))
+    assert got.columns == want.columns
+    assert Counter(map(str, got.collect())) == Counter(map(str, want.collect()))
+
+
+def test_clashing_columns_of_turns(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (None, 0, "user", None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    other = turns.withColumns({c: F.lit("clash") for c in ("k", "n", "h1", "h2", "who", "piece", "n_copies", "chat")})
+    assert Counter(chat.chat_format(other).collect()) == Counter(chat.chat_format(turns).collect())
+
+
+def test_equal_scores_fall_to_the_kind_listed_first(spark, empty_docs):
+    """A context that emails and addresses share alike."""
+    rows = [(i, f"id {i}{i}{i}.{i}.1.2 end", "en", "s", 1) for i in range(1, 9)]
+    rows += [(100 + i, f"id +1 (555) 123-45{i}0 end", "en", "s", 1) for i in range(8)]
+    graph = pii.pattern_scores(pii.occurrences(pii.searched(spark.createDataFrame(rows, empty_docs.schema))))
+    assert graph.filter("pattern like 'l%'").count() == 0  # neither kind has nine tenths
+    sums = spark.createDataFrame([(6.0, 6.0)], "a double, b double").selectExpr("array_position(array(a, b), array_max(array(a, b))) AS first")
+    assert sums.first().first == 1

@@ -74,6 +74,65 @@ def test_forest_isolates_what_is_far():
     assert forest.score(np.full((1, 4), 6.0))[0] > np.quantile(forest.score(x), 0.99)
 
 
+def test_verdicts_by_walking_the_trees(spark):
+    """Path lengths, scores, the threshold and the verdict, a row and a tree at a time."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    forest, threshold = quality_rules.fit(docs, labels)
+
+    def walk(x):
+        total = 0.0
+        for axis, cut, left, right, path in forest.trees:
+            at = 0
+            while left[at] != at or right[at] != at:
+                at = left[at] if x[axis[at]] <= cut[at] else right[at]
+            total += path[at]
+        h = np.log(forest.size - 1) + np.euler_gamma
+        return 2.0 ** (-total / len(forest.trees) / (2 * h - 2 * (forest.size - 1) / forest.size))
+
+    out = {r.doc_id: r for r in quality_rules.scored(docs, forest, threshold).collect()}
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    good, bad = [], []
+    for r in docs.collect():
+        raw = np.array([textstats.stats(r.text)])
+        odd = walk(quality_rules.vector(raw)[0])
+        assert abs(out[r.doc_id].anomaly - odd) < 1e-12
+        assert out[r.doc_id].kept == (not out[r.doc_id].base_failed and odd <= threshold)
+        if r.doc_id in label and not out[r.doc_id].base_failed:
+            (good if label[r.doc_id] else bad).append(odd)
+    # the threshold is the lowest that spares the stated share of good rows, at most moved up to the next bad one
+    least = sorted(good)[int(np.ceil((1 - quality_rules.SPARE) * (len(good) - 1)))]
+    beyond = [x for x in bad if x > least + 1e-9]
+    assert least <= threshold <= (min(beyond) if beyond else least + 1e-8)
+
+
+def test_fitting_sample_is_bounded(spark):
+    docs = spark.range(2000).selectExpr("id % 500 AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(500).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    sample = quality_rules.labelled_sample(docs, labels, "quality", 100).collect()
+    assert len(sample) == len({r.doc_id for r in sample}) == 100
+    assert sorted(map(tuple, sample)) == sorted(map(tuple, quality_rules.labelled_sample(docs.repartition(7), labels, "quality", 100).collect()))
+
+
+def test_log_densities_by_inverse_and_determinant():
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(size=(300, 11)), rng.normal(size=(500, 11)) * 1.5 + 1])
+    label = np.repeat([0, 1], [300, 500])
+    model = quality_classifier.QuadraticDiscriminant(x, label)
+    z = (x - x.mean(0)) / x.std(0)
+    parts = [z[label == k] for k in (0, 1)]
+    covs = [np.cov(p.T) for p in parts]
+    pooled = (300 * covs[0] + 500 * covs[1]) / 800
+    dens = []
+    for p, c in zip(parts, covs):
+        s = 0.8 * c + 0.1 * np.diag(np.diag(c)) + 0.1 * pooled + 1e-3 * np.eye(11)
+        far = np.einsum("ij,jk,ik->i", z - p.mean(0), np.linalg.inv(s), z - p.mean(0))
+        dens.append(-0.5 * (far + np.linalg.slogdet(s)[1]))
+    assert np.allclose(model.difference(x), dens[1] - dens[0] + np.log(501 / 301))
+    order = np.argsort(model.difference(x))
+    assert (np.diff(model.score(x)[order]) >= 0).all() and abs(model.score(x).mean() - label.mean()) < 0.01
+
+
 def test_classifier_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
