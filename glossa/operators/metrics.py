@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,8 +132,9 @@ def infonce(features: DataFrame, key: str, vector: str, group: str, tau: float =
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """New cells replace old ones, others stay."""
-    return old.join(new, key, "left_anti").unionByName(new)
+    """New cells replace old ones, others stay (B16). Null is a value of a key like any other."""
+    gone = reduce(and_, (F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in key))
+    return old.alias("o").join(new.select(*key).alias("n"), gone, "left_anti").unionByName(new)
 
 
 def mean_pooled(words: DataFrame, key: list[str], vector: str) -> DataFrame:

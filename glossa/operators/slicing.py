@@ -78,13 +78,16 @@ def recorded_split(df: DataFrame, index: str, splits: dict[str, list[int]]) -> D
     return df.join(places, F.col(index) == F.col("_index")).drop("_index")
 
 
-def running_total(df: DataFrame, amount: str, *order: str, by: tuple[str, ...] = (), name: str = "ahead", ranges: int = 64) -> DataFrame:
+def running_total(df: DataFrame, amount: str, *order: str, by: tuple[str, ...] = (), name: str = "ahead", ranges: int | None = None) -> DataFrame:
     """The sum of `amount` over the rows before each one, in order, within `by`.
 
     Rows are dealt to ranges of (by, order), so that a large group spans many tasks; sums of the ranges are added
-    up first, then the rows inside each one. `ranges` may grow with the data; the result doesn't depend on it.
+    up first, then the rows inside each one. Without `ranges` there are as many as the session has shuffle partitions,
+    which adaptive execution joins where they are small; the result doesn't depend on it. All columns of df go through
+    the shuffle: long ones should be left out.
     """
-    part = settled(df.repartitionByRange(ranges, *by, *order).withColumn("_part", F.spark_partition_id()))
+    dealt = df.repartitionByRange(ranges, *by, *order) if ranges else df.repartitionByRange(*by, *order)
+    part = settled(dealt.withColumn("_part", F.spark_partition_id()))
     key = [*by, "_part"]
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = part.groupBy(*key).agg(F.sum(amount).alias("_sum"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glossa.functions import text as T
 from glossa.operators import entropy, slicing, vocabulary
 from glossa.plans.registry import query
+from glossa.session import settled
 from glossa.sources.readers import parquet_table
 
 #: The words of the oracle: lower case, as T.tokenize.
@@ -33,7 +34,7 @@ e AS (
   SELECT c.lang, c.n, any_value(total) AS total, any_value(types) AS types, any_value(f1) AS f1, any_value(cov) AS cov,
     sum(-(c / total::DOUBLE) * log2(c / total::DOUBLE)) AS plugin,
     sum(CASE WHEN cov > 0 THEN -(cov * c / total) * log2(cov * c / total) / (1 - pow(1 - cov * c / total, total::DOUBLE)) END) AS cs
-  FROM c JOIN y USING (lang, n) GROUP BY c.lang, c.n)"""
+  FROM c JOIN y ON c.lang IS NOT DISTINCT FROM y.lang AND c.n = y.n GROUP BY c.lang, c.n)"""
 
 
 @query(f"""WITH {_GRAMS}
@@ -58,37 +59,42 @@ def entropy_estimators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH d AS (SELECT lang, doc_id, {TOKENS} AS t FROM documents),
-a AS (SELECT *, len(t) AS n_tokens, sum(len(t)) OVER (PARTITION BY lang ORDER BY doc_id) - len(t) AS ahead FROM d WHERE len(t) > 0),
+a AS (SELECT *, len(t) AS n_tokens, sum(len(t)) OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, len(t) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - len(t) AS ahead FROM d WHERE len(t) > 0),
 b AS (SELECT min(s) AS budget FROM (SELECT sum(n_tokens) AS s FROM a GROUP BY lang)),
 w AS (SELECT lang, unnest(list_slice(t, 1, CAST(least(budget - ahead, n_tokens) AS BIGINT))) AS w FROM a, b WHERE ahead < budget),
 c AS (SELECT lang, w, count(*) AS c FROM w GROUP BY lang, w), z AS (SELECT lang, sum(c) AS total FROM c GROUP BY lang)
-SELECT lang, CAST(any_value(total) AS BIGINT) AS words, count(*) AS word_types, round(sum(-(c / total::DOUBLE) * log2(c / total::DOUBLE)), 6) AS h1 FROM c JOIN z USING (lang) GROUP BY lang""")
+SELECT c.lang AS lang, CAST(any_value(total) AS BIGINT) AS words, count(*) AS word_types, round(sum(-(c / total::DOUBLE) * log2(c / total::DOUBLE)), 6) AS h1 FROM c JOIN z ON c.lang IS NOT DISTINCT FROM z.lang GROUP BY c.lang""")
 def entropy_matched_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram entropy of each language at the size of the smallest one."""
-    stream = entropy.token_stream(docs_of(spark, sf_dir).select("lang", "doc_id", "text"), ["lang"], "doc_id")
-    sums = stream.groupBy("lang").agg(F.sum("n_tokens").alias("s")).agg(F.min("s").alias("budget"))
-    cut = entropy.clipped(stream.crossJoin(F.broadcast(sums)), F.col("budget"))  # the budget is one row
+    docs = docs_of(spark, sf_dir)
+    lengths = settled(entropy.stream_lengths(docs, ["lang"], ["doc_id"]))
+    sums = lengths.groupBy("lang").agg(F.sum("words").alias("s"))
+    least = sums.agg(F.min("s").alias("budget"))
+    budgets = settled(sums.crossJoin(F.broadcast(least)).select("lang", F.lit(1).alias("part"), "budget"))  # one row
+    cut = entropy.budgeted(docs, lengths, budgets, ["lang"], ["doc_id"])
     counts = cut.select("lang", F.explode("tokens").alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("c"))
     return entropy.estimates(counts, ["lang"]).select("lang", F.col("total").alias("words"), F.col("types").alias("word_types"), F.round("plugin", 6).alias("h1"))
 
 
 @query(f"""WITH d AS (SELECT lang, doc_id, {TOKENS} AS t FROM documents),
-a AS (SELECT *, len(t) AS n_tokens, sum(len(t)) OVER (PARTITION BY lang ORDER BY doc_id) - len(t) AS ahead, sum(len(t)) OVER (PARTITION BY lang) AS all_t FROM d WHERE len(t) > 0),
+a AS (SELECT *, len(t) AS n_tokens, sum(len(t)) OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, len(t) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - len(t) AS ahead, sum(len(t)) OVER (PARTITION BY lang) AS all_t FROM d WHERE len(t) > 0),
 l AS (SELECT *, unnest([1, 2, 4, 8]) AS part FROM a),
 w AS (SELECT lang, part, unnest(list_slice(t, 1, CAST(least(all_t // part - ahead, n_tokens) AS BIGINT))) AS w FROM l WHERE ahead < all_t // part),
 c AS (SELECT lang, part, w, count(*) AS c FROM w GROUP BY lang, part, w), z AS (SELECT lang, part, sum(c) AS total FROM c GROUP BY lang, part)
-SELECT lang, part, CAST(any_value(total) AS BIGINT) AS words, round(sum(-(c / total::DOUBLE) * log2(c / total::DOUBLE)), 6) AS h1 FROM c JOIN z USING (lang, part) GROUP BY lang, part""")
+SELECT c.lang AS lang, c.part AS part, CAST(any_value(total) AS BIGINT) AS words, round(sum(-(c / total::DOUBLE) * log2(c / total::DOUBLE)), 6) AS h1 FROM c JOIN z ON c.lang IS NOT DISTINCT FROM z.lang AND c.part = z.part GROUP BY c.lang, c.part""")
 def entropy_budget_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram entropy at halving budgets, all budgets in one pass."""
-    stream = entropy.token_stream(docs_of(spark, sf_dir).select("lang", "doc_id", "text"), ["lang"], "doc_id")
-    sums = stream.groupBy("lang").agg(F.sum("n_tokens").alias("s"))
-    rungs = stream.join(sums, "lang").select("*", F.explode(F.array(*map(F.lit, (1, 2, 4, 8)))).alias("part"))
-    cut = entropy.clipped(rungs, F.floor(F.col("s") / F.col("part")))
+    docs = docs_of(spark, sf_dir)
+    lengths = settled(entropy.stream_lengths(docs, ["lang"], ["doc_id"]))
+    sums = lengths.groupBy("lang").agg(F.sum("words").alias("s"))
+    rungs = sums.select("lang", "s", F.explode(F.array(*map(F.lit, (1, 2, 4, 8)))).alias("part"))
+    budgets = settled(rungs.select("lang", "part", F.floor(F.col("s") / F.col("part")).alias("budget")))
+    cut = entropy.budgeted(docs, lengths, budgets, ["lang"], ["doc_id"])
     counts = cut.select("lang", "part", F.explode("tokens").alias("w")).groupBy("lang", "part", "w").agg(F.count(F.lit(1)).alias("c"))
     return entropy.estimates(counts, ["lang", "part"]).select("lang", "part", F.col("total").alias("words"), F.round("plugin", 6).alias("h1"))
 
 
-@query("SELECT lang, doc_id, row_number() OVER (ORDER BY lang, doc_id) - 1 AS record_index FROM documents")
+@query("SELECT lang, doc_id, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id NULLS FIRST) - 1 AS record_index FROM documents")
 def row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gapless numbers in a stated order."""
     return slicing.numbered(docs_of(spark, sf_dir).select("lang", "doc_id"), "lang", "doc_id")
@@ -146,7 +152,7 @@ def recorded_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slicing.recorded_split(rows, "turn", {"a": [5, 2], "b": [11, 7, 30]}).select("lang", "split", "place", "doc_id")
 
 
-@query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS turn FROM documents")
+@query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS turn FROM documents")
 def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turn at which round robin over sources reaches a document."""
     return slicing.interleaved(docs_of(spark, sf_dir).select("source", "doc_id"), "source", "doc_id").select("source", "doc_id", F.col("turn").cast("long").alias("turn"))
@@ -234,7 +240,7 @@ def name_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 c AS (SELECT token, count(*) AS n FROM w WHERE token <> '' AND regexp_matches(token, '^[A-Za-z]') GROUP BY token),
 x AS (SELECT DISTINCT lower(unnest(regexp_split_to_array(text, '\s+'))) AS low FROM benchmark)
 SELECT token, n FROM c WHERE regexp_matches(token, '^[A-Z][A-Za-z]*$') AND upper(token) <> token AND length(token) BETWEEN 3 AND 12 AND n >= 2
-  AND lower(token) NOT IN (SELECT token FROM c WHERE token = lower(token)) AND lower(token) NOT IN (SELECT low FROM x)""")
+  AND NOT EXISTS (SELECT 1 FROM c AS o WHERE o.token = lower(c.token)) AND NOT EXISTS (SELECT 1 FROM x WHERE x.low = lower(c.token))""")
 def proper_noun_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capitalised words without a lower-case twin that the benchmark doesn't use."""
     counts = vocabulary.surface_counts(docs_of(spark, sf_dir))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,17 +10,19 @@ from pyspark.sql import functions as F
 from glossa.functions import text as T
 from glossa.operators import metrics
 from glossa.plans.registry import query
+from glossa.session import shared_folder
 from glossa.sources import readers, sinks
 from glossa.sources.readers import parquet_table
 from glossa.streaming import ingest
 
 
-@query("""WITH o AS (SELECT lang, source, doc_id, n_chars FROM documents WHERE doc_id % 2 = 0), n AS (SELECT lang, source, doc_id, n_chars + 1 AS n_chars FROM documents WHERE doc_id % 3 = 0)
-SELECT * FROM o WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT * FROM n""")
+@query("""WITH n AS (SELECT doc_id, 'label ' || quality AS cell FROM labels)
+SELECT doc_id, source AS cell FROM documents d WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.doc_id IS NOT DISTINCT FROM d.doc_id) UNION ALL SELECT doc_id, cell FROM n""")
 def upserted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New cells replace old ones, others stay."""
-    docs = parquet_table(spark, sf_dir, "documents").select("lang", "source", "doc_id", "n_chars")
-    return metrics.upsert(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 3 = 0").withColumn("n_chars", F.col("n_chars") + 1), ["doc_id"])
+    """New cells replace old ones, others stay: documents by their labels."""
+    old = parquet_table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("cell"))
+    new = parquet_table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("label "), F.col("quality").cast("string")).alias("cell"))
+    return metrics.upsert(old, new, ["doc_id"])
 
 
 _REPORT = "m AS (SELECT lang, source, avg(n_chars) AS v FROM documents GROUP BY ALL)"
@@ -111,8 +112,7 @@ def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="glossa-")
-    return f"{shared}/streams/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
 
 
 @query("SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +17,18 @@ def session(name: str = "glossa", **conf: str) -> SparkSession:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once and written to the shared checkpoint folder: later steps read it, lost executors don't matter.
-
-    The folder is the one that spark.checkpoint.dir names; a temporary one is made only where none is set.
-    """
+    """df computed once and written to the shared checkpoint folder: later steps read it, lost executors don't matter."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="glossa-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only in a local session where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="glossa-")

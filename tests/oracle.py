@@ -8,6 +8,7 @@ import duckdb
 def connection(folder):
     con = duckdb.connect()
     con.execute("SET timezone = 'UTC'")
+    con.execute("SET memory_limit = '6GB'")
     for name in os.listdir(folder):
         path = f"{folder}/{name}"
         con.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
