@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions.text import neighbour_tag
+from glossa.session import settled
 
 DROPPED = "~"
 ADVERB_BIT = 8
@@ -95,28 +96,35 @@ def level_statistics(stats: DataFrame, least: int) -> DataFrame:
     return stats.filter(F.col("n") >= least).groupBy("bucket").agg(F.sum("n").alias("s"), F.count(F.lit(1)).alias("l"))
 
 
-def gated(requests: DataFrame, candidates: DataFrame, stats: DataFrame, least: int = 2, min_k: int = 2, share: float = 0.05, mode: str = "b", min_total: int = 0) -> DataFrame:
+def gated(requests: DataFrame, candidates: DataFrame, stats: DataFrame, least: int = 2, min_k: int = 2, share: float = 0.05, mode: str = "b", min_total: int = 0, pool: str = "request") -> DataFrame:
     """Candidates inside the first bucket of a request's chain that passes.
 
-    requests: request, chain; candidates: request, cand. Per level the bucket needs lemmas, and the candidates
-    must meet it. Mode "b" asks for max(min_k, share * candidates) lemmas in the bucket, "a" for a total count.
-    The strictest passing level wins; without one, the level with most lemmas, the strictest on ties. A request
-    of one candidate is returned as it is, without weights. Distinct requests should be sent, not occurrences.
+    requests: request, chain and the column that names their pool; candidates: that column and cand. Per level the
+    bucket needs lemmas, and the candidates must meet it. Mode "b" asks for max(min_k, share * candidates) lemmas in
+    the bucket, "a" for a total count. The strictest passing level wins; without one, the level with most lemmas, the
+    strictest on ties. A request of one candidate is returned as it is, without weights.
+
+    Many requests may share a pool: pools meet buckets on the lemma, once for each pair of pool and bucket, so that no
+    request is joined with its whole pool. Distinct requests should be sent, not occurrences.
     """
-    sizes = candidates.groupBy("request").agg(F.count(F.lit(1)).alias("n_orig"))
-    single = candidates.join(sizes.filter("n_orig <= 1"), "request").select("request", "cand", F.lit(None).cast("long").alias("n"), F.lit(-1).alias("level"))
+    sizes = candidates.groupBy(pool).agg(F.count(F.lit(1)).alias("n_orig"))
+    asked = requests.join(sizes, pool)
+    single = asked.filter("n_orig <= 1").join(candidates, pool).select("request", "cand", F.lit(None).cast("long").alias("n"), F.lit(-1).alias("level"))
     usable = stats.filter(F.col("n") >= least)
-    levels = requests.select("request", F.posexplode("chain").alias("level", "bucket")).join(level_statistics(stats, least), "bucket")
-    met = levels.join(candidates, "request").join(usable.select("bucket", F.col("lemma").alias("cand"), "n"), ["bucket", "cand"]).join(sizes.filter("n_orig > 1"), "request")
+    levels = asked.filter("n_orig > 1").select("request", F.col(pool).alias("p"), "n_orig", F.posexplode("chain").alias("level", "bucket"))
+    levels = levels.join(level_statistics(stats, least), "bucket")
+    pairs = levels.select("p", "bucket").distinct().join(usable.select("bucket", F.col("lemma").alias("cand"), "n"), "bucket")
+    inside = settled(pairs.join(candidates.select(F.col(pool).alias("p"), "cand"), ["p", "cand"]))
+    met = levels.join(inside.select("p", "bucket").distinct(), ["p", "bucket"])
     enough = F.lit(True)
     if mode == "b":
         enough = F.col("l") >= F.greatest(F.lit(min_k), F.floor(F.col("n_orig") * share))
     elif mode == "a":
         enough = F.col("s") >= min_total
-    each = met.groupBy("request", "level").agg(F.first("l").alias("l"), F.first(enough).alias("passes"))
-    choice = each.groupBy("request").agg(F.min(F.when(F.col("passes"), F.col("level"))).alias("first"), F.max(F.struct("l", (-F.col("level")).alias("back"))).alias("most"))
-    chosen = choice.select("request", F.coalesce("first", -F.col("most.back")).alias("level"))
-    return met.join(chosen, ["request", "level"]).select("request", "cand", "n", "level").unionByName(single)
+    at = lambda c: F.struct(F.col(c).alias("by"), (-F.col("level")).alias("back"), "level", "p", "bucket")
+    chosen = met.groupBy("request").agg(F.min(F.when(enough, F.struct("level", "p", "bucket"))).alias("first"), F.max(at("l")).alias("most"))
+    chosen = chosen.select("request", *(F.coalesce(f"first.{c}", f"most.{c}").alias(c) for c in ("level", "p", "bucket")))
+    return chosen.join(inside, ["p", "bucket"]).select("request", "cand", "n", "level").unionByName(single)
 
 
 def top_p(rows: DataFrame, by: list[str], weight: str, p: float, least: int, tie: str) -> DataFrame:

@@ -39,6 +39,20 @@ def noun_pool(slots: DataFrame, pools: DataFrame) -> DataFrame:
     return met.filter(F.col("cand") != F.col("lemma")).select("request", "cand").distinct()
 
 
+def noun_sets(slots: DataFrame, pools: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((request, lemma, set), (set, cand, w)): noun_pool() as the sets of classes that slots share, a dozen at most.
+
+    A slot isn't joined with its candidates; the source lemma is left out when one is drawn.
+    """
+    own = slots.join(bucket_of(pools), "lemma", "left").withColumn("source", F.coalesce("bucket", F.lit("UNKNOWN"))).drop("bucket")
+    rules = slot_rules(slots.sparkSession).groupBy("tag", "bare", "source").agg(F.array_sort(F.collect_set("target")).alias("targets"))
+    asked = own.join(F.broadcast(rules), ["tag", "bare", "source"])  # a fixed table
+    requests = asked.select("request", "lemma", F.array_join("targets", " ").alias("set"))
+    sets = rules.select(F.array_join("targets", " ").alias("set"), F.explode("targets").alias("bucket")).distinct()
+    members = pools.join(F.broadcast(sets), "bucket").select("set", F.col("lemma").alias("cand"), F.lit(1).cast("long").alias("w")).distinct()
+    return requests, members
+
+
 def broad_pools(pools: DataFrame) -> DataFrame:
     """(number, lemma): singular is MASS, COUNT and BOTH, plural COUNT, BOTH and PLURAL_ONLY."""
     number = F.explode(F.when(F.col("bucket") == "MASS", F.array(F.lit("NN"))).when(F.col("bucket") == "PLURAL_ONLY", F.array(F.lit("NNS"))).otherwise(F.array(F.lit("NN"), F.lit("NNS"))))
@@ -52,12 +66,20 @@ def verbs_for_shape(requests: DataFrame, frames: DataFrame) -> DataFrame:
     1: equal preps and flags within the request's; 2: more preps, protected flags agree; 3: equal preps,
     protected flags agree. A frame's protected flags must be among the request's.
     """
-    met = requests.alias("q").join(frames.alias("f"), (F.col("q.key") == F.col("f.key")) & (F.col("q.comp") == F.col("f.comp")))
     none = lambda a, b: F.size(F.array_except(a, b)) == 0
-    equal = F.col("q.preps") == F.col("f.preps")
-    safe = none(F.col("f.protected"), F.col("q.flags"))
-    step = F.when(equal & none(F.col("f.flags"), F.col("q.flags")), 1).when(none(F.col("q.preps"), F.col("f.preps")) & safe, 2).when(equal & safe, 3)
-    found = met.select("q.request", "f.verb", step.alias("step")).filter(F.col("step").isNotNull())
+    safe, fits = none(F.col("f.protected"), F.col("q.flags")), none(F.col("f.flags"), F.col("q.flags"))
+    shape = (F.col("q.key") == F.col("f.key")) & (F.col("q.comp") == F.col("f.comp"))
+    f = frames.alias("f")
+    equal = requests.alias("q").join(f, shape & (F.col("q.preps") == F.col("f.preps")))
+    found = equal.select("q.request", "f.verb", F.when(fits, 1).when(safe, 3).alias("step")).filter("step is not null")
+    # only requests without a verb of the first step meet frames of other prepositions, and by one that they hold
+    rest = requests.join(found.filter("step = 1").select("request").distinct(), "request", "left_anti")
+    some = rest.filter(F.size("preps") > 0).withColumn("prep", F.get("preps", F.lit(0))).alias("q")
+    by_prep = frames.withColumn("prep", F.explode("preps")).alias("f")
+    more = some.join(by_prep, shape & (F.col("q.prep") == F.col("f.prep")) & none(F.col("q.preps"), F.col("f.preps")) & safe)
+    any_prep = rest.filter(F.size("preps") == 0).alias("q").join(f, shape & safe)
+    for wider in (more, any_prep):
+        found = found.unionByName(wider.select("q.request", "f.verb", F.lit(2).alias("step")))
     first = found.groupBy("request").agg(F.min("step").alias("step"))
     return found.join(first, ["request", "step"]).select("request", "verb", "step").distinct()
 

@@ -101,13 +101,13 @@ def hard_subset_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.round("accuracy", 9).alias("accuracy"), F.round("hard_accuracy", 9).alias("hard_accuracy"), "n_hard")
 
 
-@query("""WITH d AS (SELECT doc_id, n_chars % 5 AS v FROM documents WHERE doc_id % 3 <> 0), r AS (SELECT doc_id, n_chars % 4 AS v FROM documents WHERE doc_id % 5 <> 0)
+@query("""WITH d AS (SELECT doc_id, CAST(n_chars > 500 AS INTEGER) AS v FROM documents), r AS (SELECT doc_id, CAST(max(quality) AS INTEGER) AS v FROM labels GROUP BY doc_id)
 SELECT coalesce(d.doc_id, r.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN r.doc_id IS NULL THEN 'extra' WHEN d.v IS DISTINCT FROM r.v THEN 'changed' ELSE 'same' END AS state FROM d FULL JOIN r USING (doc_id)""")
 def compared_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Missing, extra, changed and equal keys of two sets."""
-    docs = parquet_table(spark, sf_dir, "documents")
-    derived = docs.filter("doc_id % 3 <> 0").select("doc_id", (F.col("n_chars") % 5).alias("v"))
-    return metrics.compare_sets(derived, docs.filter("doc_id % 5 <> 0").select("doc_id", (F.col("n_chars") % 4).alias("v")), "doc_id", "v")
+    """Missing, extra, changed and equal keys of two sets: a rule's verdict and the labels."""
+    derived = parquet_table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 500).cast("int").alias("v"))
+    recorded = parquet_table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").cast("int").alias("v"))
+    return metrics.compare_sets(derived, recorded, "doc_id", "v")
 
 
 @query("""SELECT lang, round(sum(n_chars * (doc_id % 7)) / sum(n_chars)::DOUBLE, 9) AS weighted, round(exp(sum((doc_id % 9) / 10.0::DOUBLE * n_chars) / greatest(1, sum(n_chars))), 9) AS perplexity FROM documents WHERE source NOT LIKE 'src1%' GROUP BY lang""")
@@ -141,7 +141,7 @@ def efficiency_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("lang").agg(F.round(F.regr_slope("n_chars", "doc_id"), 9).alias("slope"), F.round(F.corr("n_chars", "doc_id"), 9).alias("r"))
 
 
-@query("""WITH u AS (SELECT vec_id AS k, label AS g, list_transform(embedding, lambda x: x::DOUBLE / nullif(sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 0)) AS v FROM embeddings WHERE vec_id < 1000000),
+@query("""WITH u AS (SELECT vec_id AS k, label AS g, list_transform(embedding, lambda x: x::DOUBLE / nullif(sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 0)) AS v FROM embeddings),
 p AS (SELECT a.k, a.g = b.g AS same, exp(list_dot_product(a.v, b.v) / 0.1::DOUBLE) AS e FROM u a JOIN u b ON a.k <> b.k),
 s AS (SELECT k, sum(e) AS whole, sum(e) FILTER (WHERE same) AS near FROM p GROUP BY k)
 SELECT count(*) AS n, round(avg(-ln(near / whole)), 6) AS loss FROM s WHERE near IS NOT NULL""")
@@ -173,11 +173,11 @@ def pooled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.mean_pooled(rows, ["label"], "v").select("label", F.posexplode("v").alias("dim", "mean")).withColumn("mean", F.round("mean", 6))
 
 
-@query("""WITH z AS (SELECT vec_id, label % 8 AS y, t, list_transform(embedding[1:8], lambda x: x::DOUBLE / t) AS z FROM embeddings, unnest([0.5::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE]) AS g(t))
+@query("""WITH z AS (SELECT vec_id, label % len(embedding) AS y, t, list_transform(embedding, lambda x: x::DOUBLE / t) AS z FROM embeddings, unnest([0.5::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE]) AS g(t))
 SELECT vec_id, t AS temperature, round(z[y + 1] - list_max(z) - ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z))))), 6) AS logprob FROM z""")
 def tempered_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log softmax at a label for several temperatures."""
-    rows = parquet_table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 8).cast("int").alias("y"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("z"), F.explode(F.array(F.lit(0.5), F.lit(1.0), F.lit(2.0))).alias("temperature"))
+    rows = parquet_table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % F.size("embedding")).cast("int").alias("y"), F.col("embedding").cast("array<double>").alias("z"), F.explode(F.array(F.lit(0.5), F.lit(1.0), F.lit(2.0))).alias("temperature"))
     return rows.select("vec_id", "temperature", F.round(metrics.log_softmax_at(F.col("z"), F.col("y"), F.col("temperature")), 6).alias("logprob"))
 
 

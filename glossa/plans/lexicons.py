@@ -27,10 +27,10 @@ def heavy_auxiliaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.heavy_auxiliaries(conv_tokens(spark, sf_dir), KEY)
 
 
-@query(f"""WITH {CONV}, {_KIDS} SELECT key, comp, array_to_string(preps, '+') AS preps, string_agg(DISTINCT lemma, ' ' ORDER BY lemma) AS verbs FROM (SELECT {_FRAME} AS key, {_COMP} AS comp, preps, lemma FROM ful WHERE pos = 'VERB' AND length(lemma) <= 5) GROUP BY ALL""")
+@query(f"""WITH {CONV}, {_KIDS} SELECT key, comp, array_to_string(preps, '+') AS preps, string_agg(DISTINCT lemma, ' ' ORDER BY lemma) AS verbs FROM (SELECT {_FRAME} AS key, {_COMP} AS comp, preps, lemma FROM ful WHERE pos = 'VERB') GROUP BY ALL""")
 def verb_frame_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verbs by frame."""
-    full = trees.with_children(conv_tokens(spark, sf_dir), KEY).filter("pos = 'VERB' and length(lemma) <= 5")
+    full = trees.with_children(conv_tokens(spark, sf_dir), KEY).filter("pos = 'VERB'")
     frames = full.select(F.col("lemma").alias("verb"), trees.frame().alias("key"), trees.complement_kind().alias("comp"), "preps", F.array().cast("array<string>").alias("flags"))
     return pools.frame_index(frames).select("key", "comp", F.array_join("preps", "+").alias("preps"), F.array_join("verbs", " ").alias("verbs"))
 

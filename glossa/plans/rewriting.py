@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
-from glossa.operators import context, parsing, pools, rewriting, spans, trees
+from glossa.operators import context, draws, parsing, pools, rewriting, spans, trees
 from glossa.plans.registry import query
 from glossa.session import settled
 from glossa.sources.readers import parquet_table
@@ -240,9 +240,7 @@ def bucket_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.level_statistics(backoff_statistics(chained_tokens(spark, sf_dir)), 2)
 
 
-#: The base pool of the queries: the most frequent lemmas of each tag.
-POOL = 12
-_POOL = f"pool AS (SELECT tag, lemma AS cand FROM (SELECT tag, lemma, row_number() OVER (PARTITION BY tag ORDER BY count(*) DESC, lemma) AS r FROM chain GROUP BY tag, lemma) WHERE r <= {POOL})"
+_POOL = "pool AS (SELECT DISTINCT tag, lemma AS cand FROM chain)"
 _REQ = "req AS (SELECT DISTINCT tag || ' ' || chain[1] AS request, tag, chain FROM chain)"
 _GATE = f"""{_POOL}, {_REQ},
 cand AS (SELECT request, cand FROM req JOIN pool USING (tag)), cn AS (SELECT request, count(*) AS n_orig FROM cand GROUP BY request),
@@ -254,17 +252,13 @@ gate AS (SELECT request, cand, n, CAST(level AS INTEGER) AS level FROM met JOIN
 
 
 def tag_pool(rows: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    counts = rows.filter("chain is not null").groupBy("tag", "lemma").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("tag").orderBy(F.col("n").desc(), "lemma")
-    return counts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= POOL).select("tag", F.col("lemma").alias("cand"))
+    """(tag, cand): all lemmas of each tag."""
+    return rows.filter("chain is not null").select("tag", F.col("lemma").alias("cand")).distinct()
 
 
 def gated_requests(rows: DataFrame) -> DataFrame:
     requests = rows.filter("chain is not null").select(F.concat_ws(" ", "tag", F.get("chain", F.lit(0))).alias("request"), "tag", "chain").distinct()
-    cands = requests.join(tag_pool(rows), "tag").select("request", "cand")
-    return context.gated(requests, cands, backoff_statistics(rows))
+    return context.gated(requests, settled(tag_pool(rows)), settled(backoff_statistics(rows)), pool="tag")
 
 
 @query(f"WITH {CONV}, {_CHAIN}, {_STATS}, {_GATE} SELECT request, cand, n, level FROM gate")
@@ -296,42 +290,63 @@ def weighted_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # one mapping per conversation
 
-_OCC = """
-occ AS (SELECT conv_id AS example, lemma, turn || ':' || i AS occ, tag, chain[1] AS b0 FROM chain),
-lev AS (SELECT DISTINCT o.example, o.lemma, o.occ, 0 AS level, p.cand, s.n::DOUBLE AS w FROM occ o JOIN pool p USING (tag) JOIN stats s ON s.bucket = o.b0 AND s.lemma = p.cand WHERE p.cand <> o.lemma
-  UNION ALL SELECT o.example, o.lemma, o.occ, 1, p.cand, NULL FROM occ o JOIN pool p USING (tag) WHERE p.cand <> o.lemma),
-nocc AS (SELECT example, lemma, count(*) AS n_occ FROM occ GROUP BY ALL),
-com AS (SELECT l.example, l.lemma, l.level, l.cand, any_value(n_occ) AS n_occ, avg(w) AS mean, count(w) AS weighted FROM lev l JOIN nocc USING (example, lemma) GROUP BY ALL HAVING count(DISTINCT occ) = any_value(n_occ)),
-fst AS (SELECT example, lemma, min(level) AS level FROM com GROUP BY ALL),
-cset AS (SELECT example, lemma, level, cand, CASE WHEN weighted = n_occ THEN mean END AS weight FROM com JOIN fst USING (example, lemma, level))"""
-_MAP = f"""mp AS (SELECT n.example, n.lemma, coalesce(d.cand, n.lemma) AS target FROM nocc n LEFT JOIN (
-  SELECT example, lemma, cand, row_number() OVER (PARTITION BY example, lemma ORDER BY ln({_U.format("'17:' || example || ':' || lemma || ':' || cand")}) / greatest(coalesce(weight, 1)::DOUBLE, 1.0::DOUBLE) DESC, cand) AS k FROM cset) d
-  ON d.example = n.example AND d.lemma = n.lemma AND d.k = 1)"""
-
-
-def candidate_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(candidate sets, lemmas) of each conversation: level 0 is the strict bucket, level 1 the tag's pool."""
-    occ = rows.filter("chain is not null").select(F.col("conv_id").alias("example"), "lemma", F.concat_ws(":", "turn", "i").alias("occ"), "tag", F.get("chain", F.lit(0)).alias("bucket"))
-    pool = tag_pool(rows)
-    base = occ.join(pool, "tag").filter("cand <> lemma")
-    stats = backoff_statistics(rows).select("bucket", F.col("lemma").alias("cand"), F.col("n").cast("double").alias("w"))
-    strict = base.join(stats, ["bucket", "cand"]).select("example", "lemma", "occ", F.lit(0).alias("level"), "cand", "w")
-    loose = base.select("example", "lemma", "occ", F.lit(1).alias("level"), "cand", F.lit(None).cast("double").alias("w"))
-    depth = occ.select("example", "lemma", "occ", F.lit(2).alias("depth"))
-    return settled(rewriting.lockstep(strict.unionByName(loose), depth)), occ.select("example", "lemma").distinct()
-
-
-@query(f"WITH {CONV}, {_CHAIN}, {_STATS}, {_POOL}, {_OCC} SELECT example, lemma, CAST(level AS INTEGER) AS level, cand, round(weight, 6) AS weight FROM cset")
+# candidates that all occurrences of a lemma in a conversation share: those of its strict buckets, else of its tags
+
+_SETS = """
+k0 AS (SELECT example, lemma, list({'b': b, 'm': m} ORDER BY b) AS keys FROM (SELECT conv_id AS example, lemma, chain[1] AS b, count(*) AS m FROM chain GROUP BY ALL) GROUP BY example, lemma),
+k1 AS (SELECT conv_id AS example, lemma, list(DISTINCT tag ORDER BY tag) AS keys FROM chain GROUP BY ALL),
+m0 AS (SELECT keys, s.lemma AS cand, (1000 * sum(e.m * s.n)) // sum(e.m) AS w FROM (SELECT keys, unnest(keys) AS e FROM (SELECT DISTINCT keys FROM k0)) x JOIN stats s ON s.bucket = e.b GROUP BY keys, s.lemma HAVING count(*) = len(keys)),
+m1 AS (SELECT keys, p.cand, 1 AS w FROM (SELECT keys, unnest(keys) AS tag FROM (SELECT DISTINCT keys FROM k1)) x JOIN pool p USING (tag) GROUP BY keys, p.cand HAVING count(*) = len(keys)),
+mem AS (SELECT 0 AS level, CAST(keys AS VARCHAR) AS st, cand, CAST(greatest(w, 1000) AS BIGINT) AS w FROM m0 UNION ALL SELECT 1, CAST(keys AS VARCHAR), cand, w FROM m1),
+plc AS (SELECT *, CAST(sum(w) OVER (PARTITION BY level, st ORDER BY cand ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - w AS start FROM mem),
+siz AS (SELECT level, st, CAST(sum(w) AS BIGINT) AS total, count(*) AS n FROM mem GROUP BY ALL),
+ask AS (SELECT example, lemma, 0 AS level, CAST(keys AS VARCHAR) AS st FROM k0 UNION ALL SELECT example, lemma, 1, CAST(keys AS VARCHAR) FROM k1),
+opn AS (SELECT a.*, o.start AS own_start, o.w AS own_w, total - coalesce(o.w, 0) AS weight, n - (o.w IS NOT NULL)::INTEGER AS n_cands
+  FROM ask a JOIN siz USING (level, st) LEFT JOIN plc o ON o.level = a.level AND o.st = a.st AND o.cand = a.lemma),
+cset AS (SELECT * FROM opn WHERE n_cands > 0 QUALIFY row_number() OVER (PARTITION BY example, lemma ORDER BY level) = 1)"""
+_MAP = f"""pt0 AS (SELECT *, CAST(floor({_U.format("'17:' || example || ':' || lemma")} * weight) AS BIGINT) AS x0 FROM cset),
+pt AS (SELECT *, x0 + CASE WHEN x0 >= own_start THEN own_w ELSE 0 END AS x FROM pt0),
+hit AS (SELECT pt.example, pt.lemma, plc.cand FROM pt ASOF JOIN plc ON plc.level = pt.level AND plc.st = pt.st AND pt.x >= plc.start),
+mp AS (SELECT k.example, k.lemma, coalesce(hit.cand, k.lemma) AS target FROM k1 k LEFT JOIN hit USING (example, lemma))"""
+
+
+def candidate_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(requests, members, lemmas): for each lemma of a conversation the first level with a candidate beside itself.
+
+    Level 0 is the strict bucket, level 1 the tag's pool. Lemmas that meet the same contexts share a set.
+    """
+    occ = settled(rows.filter("chain is not null").select(F.col("conv_id").alias("example"), "lemma", "tag", F.get("chain", F.lit(0)).alias("bucket")))
+    by = ["example", "lemma"]
+    counted = occ.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("m"))
+    strict, strict_sets = draws.key_sets(counted, by, F.col("bucket"), F.col("m"))
+    loose, loose_sets = draws.key_sets(occ, by, F.col("tag"))
+    stats = backoff_statistics(rows).select(F.col("bucket").alias("key"), F.col("lemma").alias("cand"), "n")
+    pool = occ.select(F.col("tag").alias("key"), F.col("lemma").alias("cand"), F.lit(None).cast("long").alias("n")).distinct()
+    members = draws.placed_members(draws.shared_members(strict_sets, stats).unionByName(draws.shared_members(loose_sets, pool)))
+    asked = strict.withColumn("level", F.lit(0)).unionByName(loose.withColumn("level", F.lit(1)))
+    opened = draws.open_requests(asked, members, "lemma")
+    best = opened.groupBy(*by).agg(F.min_by(F.struct("level", "set", "n_cands", "weight", "own_start", "own_w", "total", "n"), "level").alias("b"))
+    return settled(best.select(*by, "b.*")), members, loose.select(*by)
+
+
+def drawn_mapping(rows: DataFrame, seed: int) -> DataFrame:
+    """(example, lemma, target): one target per lemma of each conversation; a lemma without a candidate stays."""
+    requests, members, lemmas = candidate_sets(rows)
+    hit = draws.drawn(requests, members, ["example", "lemma"], seed)
+    return lemmas.join(hit, ["example", "lemma"], "left").select("example", "lemma", F.coalesce("cand", "lemma").alias("target"))
+
+
+@query(f"WITH {CONV}, {_CHAIN}, {_STATS}, {_POOL}, {_SETS} SELECT example, lemma, level, n_cands, weight FROM cset")
 def lockstep_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates that all occurrences of a lemma in a conversation share."""
-    sets, _ = candidate_sets(chained_tokens(spark, sf_dir))
-    return sets.select("example", "lemma", "level", "cand", F.round("weight", 6).alias("weight"))
+    """The candidates that all occurrences of a lemma in a conversation share: their level, number and weight."""
+    requests, _, _ = candidate_sets(chained_tokens(spark, sf_dir))
+    return requests.select("example", "lemma", "level", "n_cands", "weight")
 
 
-@query(f"WITH {CONV}, {_CHAIN}, {_STATS}, {_POOL}, {_OCC}, {_MAP} SELECT example, lemma, target FROM mp")
+@query(f"WITH {CONV}, {_CHAIN}, {_STATS}, {_POOL}, {_SETS}, {_MAP} SELECT example, lemma, target FROM mp")
 def lemma_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One target per lemma of each conversation."""
-    return rewriting.sample_mapping(*candidate_sets(chained_tokens(spark, sf_dir)), 17)
+    return drawn_mapping(chained_tokens(spark, sf_dir), 17)
 
 
 _TITLE = "upper(substr({0}, 1, 1)) || lower(substr({0}, 2))"
@@ -340,7 +355,7 @@ _INF = r"""CASE WHEN tag IN ('NNS', 'NNPS', 'VBZ') THEN CASE WHEN regexp_matches
   WHEN tag = 'VBG' THEN CASE WHEN suffix(target, 'ie') THEN substr(target, 1, length(target) - 2) || 'ying' WHEN suffix(target, 'e') AND length(target) > 1 THEN substr(target, 1, length(target) - 1) || 'ing' ELSE target || 'ing' END ELSE target END"""
 
 
-@query(rf"""WITH {CONV}, {_CHAIN}, {_STATS}, {_POOL}, {_OCC}, {_MAP},
+@query(rf"""WITH {CONV}, {_CHAIN}, {_STATS}, {_POOL}, {_SETS}, {_MAP},
 j AS (SELECT t.*, m.target, {_INF} AS inf FROM tok t LEFT JOIN mp m ON m.example = t.conv_id AND m.lemma = t.lemma),
 k AS (SELECT *, CASE WHEN text = upper(text) AND upper(text) <> lower(text) THEN upper(inf) WHEN text = lower(text) AND upper(text) <> lower(text) THEN lower(inf)
   WHEN upper(text) <> lower(text) AND text = {_TITLE.format('text')} THEN {_TITLE.format('inf')} WHEN upper(substr(text, 1, 1)) = substr(text, 1, 1) AND lower(substr(text, 1, 1)) <> substr(text, 1, 1) THEN upper(substr(inf, 1, 1)) || substr(inf, 2) ELSE inf END AS cased FROM j),
@@ -350,31 +365,36 @@ SELECT conv_id, turn, string_agg(gap || form, '' ORDER BY i) AS text FROM f GROU
 def rewritten_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations rendered under one mapping each."""
     tok = conv_tokens(spark, sf_dir)
-    mapping = rewriting.sample_mapping(*candidate_sets(chained_tokens(spark, sf_dir)), 17)
+    mapping = drawn_mapping(chained_tokens(spark, sf_dir), 17)
     fixed = tok.withColumn("fixed", ~F.col("pos").isin("NOUN", "VERB", "ADJ", "ADV"))
     return rewriting.render(fixed, mapping, KEY, "conv_id").select("conv_id", "turn", "text")
 
 
 # pools, from lists that are made of the corpus
 
-_LISTS = "pl AS (SELECT lemma, ['MASS', 'COUNT', 'BOTH', 'PLURAL_ONLY'][1 + length(lemma) % 4] AS bucket FROM tok WHERE pos = 'NOUN' AND length(lemma) <= 6 GROUP BY lemma)"
-_SLOT = "slot AS (SELECT DISTINCT lemma || '/' || tag || '/' || (dep = 'nsubj') AS request, lemma, tag, dep = 'nsubj' AS bare FROM tok WHERE tag IN ('NN', 'NNS') AND length(lemma) <= 4)"
+_LISTS = "pl AS (SELECT lemma, ['MASS', 'COUNT', 'BOTH', 'PLURAL_ONLY'][1 + length(lemma) % 4] AS bucket FROM tok WHERE pos = 'NOUN' GROUP BY lemma)"
+_SLOT = "slot AS (SELECT DISTINCT lemma || '/' || tag || '/' || (dep = 'nsubj') AS request, lemma, tag, dep = 'nsubj' AS bare FROM tok WHERE tag IN ('NN', 'NNS'))"
 _RULES = "rules(tag, bare, source, target) AS (VALUES " + ", ".join(f"('{tag}', {str(bare).lower()}, '{s}', '{t}')" for (tag, b), m in pools.SLOTS.items() for bare in ((b,) if b is not None else (True, False)) for s, ts in m.items() for t in ts) + ")"
 
 
 def noun_lists(tok: DataFrame) -> DataFrame:
     kinds = F.array(*map(F.lit, ("MASS", "COUNT", "BOTH", "PLURAL_ONLY")))
-    return tok.filter("pos = 'NOUN' and length(lemma) <= 6").select("lemma").distinct().select("lemma", F.get(kinds, F.length("lemma") % 4).alias("bucket"))
+    return tok.filter("pos = 'NOUN'").select("lemma").distinct().select("lemma", F.get(kinds, F.length("lemma") % 4).alias("bucket"))
 
 
-@query(f"""WITH {BENCH}, {_LISTS}, {_SLOT}, {_RULES}
-SELECT DISTINCT s.request, c.lemma AS cand FROM slot s LEFT JOIN pl o USING (lemma) JOIN rules r ON r.tag = s.tag AND r.bare = s.bare AND r.source = coalesce(o.bucket, 'UNKNOWN') JOIN pl c ON c.bucket = r.target WHERE c.lemma <> s.lemma""")
+@query(f"""WITH {BENCH}, {_LISTS}, {_SLOT}, {_RULES},
+c AS (SELECT DISTINCT s.request, c.lemma AS cand FROM slot s LEFT JOIN pl o USING (lemma) JOIN rules r ON r.tag = s.tag AND r.bare = s.bare AND r.source = coalesce(o.bucket, 'UNKNOWN') JOIN pl c ON c.bucket = r.target WHERE c.lemma <> s.lemma),
+k AS (SELECT request, cand, row_number() OVER (PARTITION BY request ORDER BY cand) - 1 AS place, count(*) OVER (PARTITION BY request) AS n_cands FROM c)
+SELECT request, n_cands, cand FROM k WHERE place = CAST(floor({_U.format("'29:' || request")} * n_cands) AS BIGINT)""")
 def noun_slot_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates by countability, tag and bareness."""
+    """How many candidates countability, tag and bareness leave to a slot, and one of them."""
     tok = bench_tokens(spark, sf_dir)
     bare = F.col("dep") == "nsubj"
-    slots = tok.filter("tag in ('NN', 'NNS') and length(lemma) <= 4").select(F.concat_ws("/", "lemma", "tag", bare.cast("string")).alias("request"), "lemma", "tag", bare.alias("bare")).distinct()
-    return pools.noun_pool(slots, noun_lists(tok))
+    slots = tok.filter("tag in ('NN', 'NNS')").select(F.concat_ws("/", "lemma", "tag", bare.cast("string")).alias("request"), "lemma", "tag", bare.alias("bare")).distinct()
+    requests, members = pools.noun_sets(slots, noun_lists(tok))
+    placed = draws.placed_members(members)
+    asked = settled(draws.open_requests(requests, placed, "lemma"))
+    return asked.select("request", "n_cands").join(draws.drawn(asked, placed, ["request"], 29), "request")
 
 
 @query(f"""WITH {BENCH}, {_LISTS} SELECT DISTINCT number, lemma FROM (SELECT lemma, unnest(CASE bucket WHEN 'MASS' THEN ['NN'] WHEN 'PLURAL_ONLY' THEN ['NNS'] ELSE ['NN', 'NNS'] END) AS number FROM pl)""")
@@ -383,14 +403,14 @@ def broad_noun_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pools.broad_pools(noun_lists(bench_tokens(spark, sf_dir)))
 
 
-@query(f"""WITH {CONV}, {_KIDS}, fr AS (SELECT DISTINCT lemma AS verb, {_FRAME} AS key, {_COMP} AS comp, preps, CASE WHEN has_aux THEN ['aux'] ELSE [] END AS flags FROM ful WHERE pos = 'VERB' AND length(lemma) <= 5),
+@query(f"""WITH {CONV}, {_KIDS}, fr AS (SELECT DISTINCT lemma AS verb, {_FRAME} AS key, {_COMP} AS comp, preps, CASE WHEN has_aux THEN ['aux'] ELSE [] END AS flags FROM ful WHERE pos = 'VERB'),
 q AS (SELECT DISTINCT key || ' ' || comp || ' ' || array_to_string(preps, '+') AS request, key, comp, preps FROM fr),
 m AS (SELECT q.request, f.verb, CASE WHEN q.preps = f.preps AND len(f.flags) = 0 THEN 1 WHEN list_has_all(f.preps, q.preps) AND len(f.flags) = 0 THEN 2 WHEN q.preps = f.preps AND len(f.flags) = 0 THEN 3 END AS step FROM q JOIN fr f USING (key, comp)),
 b AS (SELECT request, min(step) AS step FROM m GROUP BY request)
 SELECT DISTINCT request, verb, step FROM m JOIN b USING (request, step)""")
 def verb_frame_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verbs of a frame by prepositions and flags, in three steps."""
-    full = trees.with_children(conv_tokens(spark, sf_dir), KEY).filter("pos = 'VERB' and length(lemma) <= 5")
+    full = trees.with_children(conv_tokens(spark, sf_dir), KEY).filter("pos = 'VERB'")
     none = F.array().cast("array<string>")
     flags = F.when(F.col("has_aux"), F.array(F.lit("aux"))).otherwise(none)
     frames = full.select(F.col("lemma").alias("verb"), trees.frame().alias("key"), trees.complement_kind().alias("comp"), "preps", flags.alias("flags"), flags.alias("protected")).distinct()
