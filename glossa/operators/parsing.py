@@ -82,6 +82,15 @@ def parse(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     return words.withColumn("arc", arc).select(*key, "i", "text", "is_start", "sent", "pos", "tag", "lemma", F.col("arc.dep").alias("dep"), F.col("arc.head").alias("head"))
 
 
+def token_places(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """(key, i, char_start, char_end) of every token of parse(): only white space lies between tokens (C17)."""
+    pieces = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"\s*(?:{TOKEN_PATTERN})"), F.lit(0))
+    rows = texts.select(*key, F.posexplode(pieces).alias("i", "piece"))
+    order = Window.partitionBy(*key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("char_end", F.sum(F.length("piece")).over(order).cast("int"))
+    return rows.select(*key, "i", (F.col("char_end") - F.length(F.regexp_replace("piece", r"^\s+", ""))).alias("char_start"), "char_end")
+
+
 TOKEN_FIELDS = "i int, text string, is_start boolean, sent int, pos string, tag string, lemma string, dep string, head int"
 
 

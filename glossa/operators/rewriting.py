@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions.text import capitalise_first_letter, inflect, match_case, uniform
+from glossa.operators.slicing import numbered
+from glossa.operators.trees import same_profile, sentence_profiles
+from glossa.session import settled
 
 
 def race_key(weight: Column, u: Column) -> Column:
@@ -77,6 +82,24 @@ def accepted_attempt(attempts: DataFrame, key: list[str]) -> DataFrame:
     return attempts.join(chosen, [*key, "attempt"])
 
 
+def validated(tokens: DataFrame, mapping: Callable[[int], DataFrame], parse: Callable[[DataFrame], DataFrame], key: list[str], example: str, attempts: int) -> DataFrame:
+    """(key, attempt, valid, text): texts rewritten until a parse of the new text keeps the profile of every sentence.
+
+    tokens: as for render(); mapping(k): the mapping of attempt k; parse: texts (key, text) to tokens. An attempt
+    renders only texts that none before it has settled; of those that none settles the last one counts.
+    """
+    own = settled(sentence_profiles(tokens, key))
+    rest, out = tokens, None
+    for k in range(attempts):
+        texts = settled(render(rest, mapping(k), key, example).select(*key, "text"))
+        same = same_profile(own.join(texts.select(*key), key, "left_semi"), sentence_profiles(settled(parse(texts)), key), key)
+        tried = settled(texts.join(same, key).select(*key, F.lit(k).alias("attempt"), F.col("same").alias("valid"), "text"))
+        done = tried if k == attempts - 1 else tried.filter("valid")
+        out = done if out is None else out.unionByName(done)
+        rest = tokens.join(tried.filter("not valid").select(*key), key, "left_semi")
+    return out
+
+
 def draw_name(requests: DataFrame, names: DataFrame, seed: int) -> DataFrame:
     """(request, name): a name of the wanted gender, any gender if none is wanted, never the excluded one.
 
@@ -95,11 +118,21 @@ def draw_name(requests: DataFrame, names: DataFrame, seed: int) -> DataFrame:
 
 
 def template_items(frames: DataFrame, left: DataFrame, right: DataFrame, n: int, seed: int) -> DataFrame:
-    """n items of frames and two nouns, sampled by hash without replacement.
+    """n items of frames and two different nouns, sampled by hash without replacement.
 
-    frames: frame, pattern with {a}, {b}; left: a; right: b. The product is of three short lists.
+    frames: frame, pattern with {a}, {b}; left: a; right: b; each distinct. No product is made: every frame draws the
+    places of pairs, in the order of a hash of the draw, from lists that are numbered once; draws that repeat a pair, or
+    hit a word with itself, are left out, and three times as many are made as are asked for, and more if pairs are few.
     """
-    product = frames.crossJoin(F.broadcast(left)).crossJoin(F.broadcast(right)).filter("a <> b")
+    spark = frames.sparkSession
+    sides = [settled(numbered(d.select(c).distinct(), c, name="place")) for d, c in ((left, "a"), (right, "b"))]
+    n_a, n_b, shapes = sides[0].count(), sides[1].count(), numbered(frames, "frame", "pattern", name="shape")
+    n_frames = shapes.count()
+    tries = min(3 * n + 64, 8 * n_a * n_b * max(1, n_frames) + 64)
+    pick = lambda k, size: F.floor(uniform(seed + k, F.col("id")) * F.lit(size)).cast("long")
+    draws = spark.range(tries).select("id", pick(0, n_frames).alias("shape"), pick(1, n_a).alias("pa"), pick(2, n_b).alias("pb"))
+    met = draws.join(shapes, "shape").join(sides[0].withColumnRenamed("place", "pa"), "pa").join(sides[1].withColumnRenamed("place", "pb"), "pb").filter("a <> b")
+    first = met.groupBy("frame", "pattern", "a", "b").agg(F.min("id").alias("id"))
     fill = lambda x, y: F.replace(F.replace("pattern", F.lit("{a}"), F.col(x)), F.lit("{b}"), F.col(y))
-    items = product.select("frame", "a", "b", capitalise_first_letter(fill("a", "b")).alias("good"), capitalise_first_letter(fill("b", "a")).alias("bad"), uniform(seed, F.col("frame"), F.col("a"), F.col("b")).alias("u"))
-    return items.orderBy("u", "frame", "a", "b").limit(n).drop("u")
+    items = first.select("id", "frame", "a", "b", capitalise_first_letter(fill("a", "b")).alias("good"), capitalise_first_letter(fill("b", "a")).alias("bad"))
+    return items.orderBy("id").limit(n).drop("id")

@@ -32,16 +32,24 @@ def overlaps(start: Column, end: Column, other_start: Column, other_end: Column)
     return (start < other_end) & (other_start < end)
 
 
-def without_frozen(tokens: DataFrame, ranges: DataFrame, lemmas: DataFrame, by: str, width: int = 256) -> DataFrame:
-    """Tokens that overlap no frozen range of their document and whose lemma isn't frozen.
+def marked_frozen(tokens: DataFrame, ranges: DataFrame, lemmas: DataFrame, by: list[str], width: int = 256) -> DataFrame:
+    """tokens with `frozen`: whether they overlap a frozen range of their document or have a frozen lemma.
 
-    Ranges and tokens meet on (document, cell of `width` characters), an equi-join instead of a range join.
+    tokens: by, i, char_start, char_end, lemma; ranges: by, start, end. Ranges and tokens meet on (document, cell of
+    `width` characters), an equi-join instead of a range join. An empty range or token is in its first cell only.
     """
     cells = lambda s, e: F.sequence(F.floor(s / width), F.floor(F.greatest(s, e - 1) / width))
-    frozen = ranges.select(by, F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(cells(F.col("start"), F.col("end"))).alias("_cell"))
-    keyed = tokens.select(by, "i", "char_start", "char_end", F.explode(cells(F.col("char_start"), F.col("char_end"))).alias("_cell"))
-    hit = keyed.join(frozen, [by, "_cell"]).filter(overlaps(F.col("char_start"), F.col("char_end"), F.col("_s"), F.col("_e"))).select(by, "i").distinct()
-    return tokens.join(hit, [by, "i"], "left_anti").join(lemmas.select("lemma").distinct(), "lemma", "left_anti")
+    frozen = ranges.select(*by, F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(cells(F.col("start"), F.col("end"))).alias("_cell"))
+    keyed = tokens.select(*by, "i", "char_start", "char_end", F.explode(cells(F.col("char_start"), F.col("char_end"))).alias("_cell"))
+    hit = keyed.join(frozen, [*by, "_cell"]).filter(overlaps(F.col("char_start"), F.col("char_end"), F.col("_s"), F.col("_e"))).select(*by, "i").distinct().withColumn("_hit", F.lit(True))
+    held = lemmas.select("lemma").distinct().withColumn("_held", F.lit(True))
+    marked = tokens.join(hit, [*by, "i"], "left").join(held, "lemma", "left")
+    return marked.withColumn("frozen", F.coalesce("_hit", "_held", F.lit(False))).drop("_hit", "_held")
+
+
+def without_frozen(tokens: DataFrame, ranges: DataFrame, lemmas: DataFrame, by: str, width: int = 256) -> DataFrame:
+    """Tokens that overlap no frozen range of their document and whose lemma isn't frozen."""
+    return marked_frozen(tokens, ranges, lemmas, [by], width).filter("not frozen").drop("frozen")
 
 
 def word_groups(words: DataFrame, pieces: DataFrame, by: str) -> DataFrame:

@@ -228,9 +228,11 @@ def bigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("item_id", "n", F.round("logprob", 6).alias("logprob"))
 
 
-@query(f"""WITH f(frame, pattern) AS (VALUES ('see', 'the {{a}} see the {{b}}'), ('by', 'the {{a}} were seen by the {{b}}')), n AS (SELECT DISTINCT split_part(text, ' ', 2) AS w FROM benchmark WHERE split_part(text, ' ', 2) <> ''),
-p AS (SELECT frame, x.w AS a, y.w AS b, pattern FROM f, n x, n y WHERE x.w <> y.w),
-s AS (SELECT frame, a, b, replace(replace(pattern, '{{a}}', a), '{{b}}', b) AS g, replace(replace(pattern, '{{a}}', b), '{{b}}', a) AS r FROM p ORDER BY {U.format("'31:' || frame || ':' || a || ':' || b")}, frame, a, b LIMIT 200)
+@query(f"""WITH f(frame, pattern, shape) AS (VALUES ('by', 'the {{a}} were seen by the {{b}}', 0), ('see', 'the {{a}} see the {{b}}', 1)), w AS (SELECT DISTINCT split_part(text, ' ', 2) AS w FROM benchmark WHERE split_part(text, ' ', 2) <> ''),
+k AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS place, count(*) OVER () AS m FROM w), m AS (SELECT max(m) AS m FROM k),
+d AS (SELECT id, CAST(floor({U.format("'31:' || id")} * 2) AS BIGINT) AS shape, CAST(floor({U.format("'32:' || id")} * m) AS BIGINT) AS pa, CAST(floor({U.format("'33:' || id")} * m) AS BIGINT) AS pb FROM unnest(generate_series(0, 663)) AS g(id), m),
+p AS (SELECT frame, pattern, x.w AS a, y.w AS b, min(id) AS id FROM d JOIN f USING (shape) JOIN k x ON x.place = pa JOIN k y ON y.place = pb WHERE x.w <> y.w GROUP BY ALL),
+s AS (SELECT frame, a, b, replace(replace(pattern, '{{a}}', a), '{{b}}', b) AS g, replace(replace(pattern, '{{a}}', b), '{{b}}', a) AS r FROM p ORDER BY id LIMIT 200)
 SELECT frame, a, b, upper(g[1]) || g[2:] AS good, upper(r[1]) || r[2:] AS bad FROM s""")
 def template_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs from templates, sampled by hash."""

@@ -16,35 +16,35 @@ def _in(words: tuple[str, ...]) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-def tokens_sql(table: str, keys: str) -> str:
-    """The native parse as CTEs that end in `tok`."""
+def tokens_sql(table: str, keys: str, p: str = "") -> str:
+    """The native parse as CTEs that end in `tok`; p comes before their names."""
     end = "text IN ('.', '!', '?')"
     return rf"""
-w0 AS (SELECT {keys}, unnest(regexp_extract_all(coalesce(text, ''), '\p{{L}}+(?:[''’]\p{{L}}+)*|\p{{Nd}}+|[^\s\p{{L}}\p{{Nd}}]')) AS text,
+{p}w0 AS (SELECT {keys}, unnest(regexp_extract_all(coalesce(text, ''), '\p{{L}}+(?:[''’]\p{{L}}+)*|\p{{Nd}}+|[^\s\p{{L}}\p{{Nd}}]')) AS text,
   unnest(generate_series(0, len(regexp_extract_all(coalesce(text, ''), '\p{{L}}+(?:[''’]\p{{L}}+)*|\p{{Nd}}+|[^\s\p{{L}}\p{{Nd}}]')) - 1)) AS i FROM {table}),
-w1 AS (SELECT *, lag({end}) OVER (PARTITION BY {keys} ORDER BY i) AS before FROM w0),
-w2 AS (SELECT *, coalesce(before, true) AS is_start, lower(text) AS low,
-  CAST(sum(CASE WHEN coalesce(before, false) THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY i) AS INTEGER) AS sent FROM w1),
-w3 AS (SELECT *, CASE WHEN regexp_full_match(text, '[^\p{{L}}\p{{Nd}}]') THEN 'PUNCT' WHEN regexp_matches(text, '^\p{{Nd}}') THEN 'NUM'
+{p}w1 AS (SELECT *, lag({end}) OVER (PARTITION BY {keys} ORDER BY i) AS before FROM {p}w0),
+{p}w2 AS (SELECT *, coalesce(before, true) AS is_start, lower(text) AS low,
+  CAST(sum(CASE WHEN coalesce(before, false) THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY i) AS INTEGER) AS sent FROM {p}w1),
+{p}w3 AS (SELECT *, CASE WHEN regexp_full_match(text, '[^\p{{L}}\p{{Nd}}]') THEN 'PUNCT' WHEN regexp_matches(text, '^\p{{Nd}}') THEN 'NUM'
   WHEN low IN {_in(parsing.DETERMINERS)} THEN 'DET' WHEN low IN {_in(parsing.ADPOSITIONS)} THEN 'ADP' WHEN low IN {_in(parsing.PRONOUNS)} THEN 'PRON' WHEN low IN {_in(parsing.AUXILIARIES)} THEN 'AUX'
   WHEN NOT is_start AND regexp_matches(text, '^\p{{Lu}}') THEN 'PROPN' WHEN regexp_matches(low, '..ly$') THEN 'ADV' WHEN regexp_matches(low, '..(ed|ing|er|en|ar)$') THEN 'VERB'
-  WHEN regexp_matches(low, '..(ble|ous|al|ich)$') THEN 'ADJ' ELSE 'NOUN' END AS pos FROM w2),
-w4 AS (SELECT *, CASE pos WHEN 'VERB' THEN CASE WHEN suffix(low, 'ed') THEN 'VBD' WHEN suffix(low, 'ing') THEN 'VBG' ELSE 'VB' END
+  WHEN regexp_matches(low, '..(ble|ous|al|ich)$') THEN 'ADJ' ELSE 'NOUN' END AS pos FROM {p}w2),
+{p}w4 AS (SELECT *, CASE pos WHEN 'VERB' THEN CASE WHEN suffix(low, 'ed') THEN 'VBD' WHEN suffix(low, 'ing') THEN 'VBG' ELSE 'VB' END
   WHEN 'NOUN' THEN CASE WHEN regexp_matches(low, '..s$') THEN 'NNS' ELSE 'NN' END WHEN 'PROPN' THEN CASE WHEN regexp_matches(low, '..s$') THEN 'NNPS' ELSE 'NNP' END
-  WHEN 'ADJ' THEN 'JJ' WHEN 'ADV' THEN 'RB' WHEN 'DET' THEN 'DT' WHEN 'ADP' THEN 'IN' WHEN 'NUM' THEN 'CD' WHEN 'PRON' THEN 'PRP' WHEN 'AUX' THEN 'VBZ' ELSE '.' END AS tag FROM w3),
-w5 AS (SELECT *, CASE WHEN tag IN ('NNS', 'NNPS') THEN regexp_replace(low, 's$', '') WHEN tag = 'VBD' THEN regexp_replace(low, 'ed$', '') WHEN tag = 'VBG' THEN regexp_replace(low, 'ing$', '') ELSE low END AS lemma,
+  WHEN 'ADJ' THEN 'JJ' WHEN 'ADV' THEN 'RB' WHEN 'DET' THEN 'DT' WHEN 'ADP' THEN 'IN' WHEN 'NUM' THEN 'CD' WHEN 'PRON' THEN 'PRP' WHEN 'AUX' THEN 'VBZ' ELSE '.' END AS tag FROM {p}w3),
+{p}w5 AS (SELECT *, CASE WHEN tag IN ('NNS', 'NNPS') THEN regexp_replace(low, 's$', '') WHEN tag = 'VBD' THEN regexp_replace(low, 'ed$', '') WHEN tag = 'VBG' THEN regexp_replace(low, 'ing$', '') ELSE low END AS lemma,
   coalesce(min(CASE WHEN pos = 'VERB' THEN i END) OVER s, min(CASE WHEN pos <> 'PUNCT' THEN i END) OVER s, min(i) OVER s) AS root,
   min(CASE WHEN pos IN ('NOUN', 'PROPN') THEN i END) OVER (PARTITION BY {keys}, sent ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_noun,
   lag(pos) OVER (PARTITION BY {keys}, sent ORDER BY i) AS prev_pos, lag(low) OVER (PARTITION BY {keys}, sent ORDER BY i) AS prev_low
-  FROM w4 WINDOW s AS (PARTITION BY {keys}, sent)),
-w6 AS (SELECT *, max(CASE WHEN pos IN ('NOUN', 'PROPN') AND i < root THEN i END) OVER (PARTITION BY {keys}, sent) AS subj, min(CASE WHEN pos IN ('NOUN', 'PROPN') AND i > root THEN i END) OVER (PARTITION BY {keys}, sent) AS obj FROM w5),
-tok AS (SELECT {keys}, CAST(i AS INTEGER) AS i, text, is_start, sent, pos, tag, lemma,
+  FROM {p}w4 WINDOW s AS (PARTITION BY {keys}, sent)),
+{p}w6 AS (SELECT *, max(CASE WHEN pos IN ('NOUN', 'PROPN') AND i < root THEN i END) OVER (PARTITION BY {keys}, sent) AS subj, min(CASE WHEN pos IN ('NOUN', 'PROPN') AND i > root THEN i END) OVER (PARTITION BY {keys}, sent) AS obj FROM {p}w5),
+{p}tok AS (SELECT {keys}, CAST(i AS INTEGER) AS i, text, is_start, sent, pos, tag, lemma,
   CASE WHEN i = root THEN 'ROOT' WHEN pos = 'DET' THEN 'det' WHEN pos = 'ADJ' THEN 'amod' WHEN pos = 'NUM' THEN 'nummod' WHEN pos = 'AUX' THEN 'aux' WHEN pos = 'ADV' THEN 'advmod'
     WHEN pos = 'PRON' THEN CASE WHEN i > root THEN 'dobj' WHEN low IN ('there', 'it') THEN 'expl' ELSE 'nsubj' END WHEN pos = 'ADP' THEN CASE WHEN i > root THEN 'prep' ELSE 'case' END
     WHEN pos IN ('NOUN', 'PROPN') AND prev_pos = 'ADP' THEN 'pobj' WHEN i = subj THEN 'nsubj' WHEN i = obj THEN 'dobj' WHEN pos IN ('NOUN', 'PROPN') THEN 'nmod'
     WHEN pos = 'VERB' THEN CASE WHEN prev_low IN {_in(parsing.TO_WORDS)} THEN 'xcomp' ELSE 'conj' END ELSE 'punct' END AS dep,
   CAST(CASE WHEN i = root THEN i WHEN pos IN ('DET', 'ADJ', 'NUM') THEN coalesce(next_noun, root) WHEN pos IN ('AUX', 'ADV', 'PRON') THEN root WHEN pos = 'ADP' THEN CASE WHEN i > root THEN root ELSE coalesce(next_noun, root) END
-    WHEN pos IN ('NOUN', 'PROPN') AND prev_pos = 'ADP' THEN i - 1 ELSE root END AS INTEGER) AS head FROM w6)"""
+    WHEN pos IN ('NOUN', 'PROPN') AND prev_pos = 'ADP' THEN i - 1 ELSE root END AS INTEGER) AS head FROM {p}w6)"""
 
 
 CONV = tokens_sql("conversations", "conv_id, turn")
@@ -52,14 +52,19 @@ BENCH = tokens_sql("benchmark", "item_id")
 DOCS = tokens_sql("documents", "doc_id")
 KEY = ["conv_id", "turn"]
 
-_KIDS = """
-kid AS (SELECT conv_id, turn, head AS i, bit_or(CASE dep WHEN 'dobj' THEN 1 WHEN 'iobj' THEN 2 WHEN 'prep' THEN 4 WHEN 'advmod' THEN 8 WHEN 'xcomp' THEN 16 ELSE 0 END) AS mask,
+def kids_sql(keys: str, p: str = "") -> str:
+    """What the children of each token say, and the tokens with it, as CTEs `kid` and `ful`."""
+    return f"""
+{p}kid AS (SELECT {keys}, head AS i, bit_or(CASE dep WHEN 'dobj' THEN 1 WHEN 'iobj' THEN 2 WHEN 'prep' THEN 4 WHEN 'advmod' THEN 8 WHEN 'xcomp' THEN 16 ELSE 0 END) AS mask,
   bool_or(dep = 'dobj') AS has_obj, bool_or(dep = 'prep') AS has_prep, bool_or(dep = 'xcomp') AS has_xcomp, bool_or(dep = 'aux') AS has_aux, bool_or(dep IN ('det', 'nummod', 'poss')) AS has_det, bool_or(dep = 'expl') AS has_expl,
   coalesce(list_sort(list_distinct(list(lemma) FILTER (WHERE dep = 'prep' AND lemma <> 'by'))), []) AS preps, count(*) AS n_children,
   arg_min(dep, i) FILTER (WHERE dep IN ('nsubj', 'expl')) AS s_dep, arg_min(lemma, i) FILTER (WHERE dep IN ('nsubj', 'expl')) AS s_lemma
-  FROM tok WHERE head <> i GROUP BY conv_id, turn, head),
-ful AS (SELECT tok.*, coalesce(mask, 0) AS mask, coalesce(has_obj, false) AS has_obj, coalesce(has_prep, false) AS has_prep, coalesce(has_xcomp, false) AS has_xcomp, coalesce(has_aux, false) AS has_aux, coalesce(has_det, false) AS has_det,
-  coalesce(has_expl, false) AS has_expl, coalesce(preps, []) AS preps, coalesce(n_children, 0) AS n_children, s_dep, s_lemma FROM tok LEFT JOIN kid USING (conv_id, turn, i))"""
+  FROM {p}tok WHERE head <> i GROUP BY {keys}, head),
+{p}ful AS (SELECT {p}tok.*, coalesce(mask, 0) AS mask, coalesce(has_obj, false) AS has_obj, coalesce(has_prep, false) AS has_prep, coalesce(has_xcomp, false) AS has_xcomp, coalesce(has_aux, false) AS has_aux, coalesce(has_det, false) AS has_det,
+  coalesce(has_expl, false) AS has_expl, coalesce(preps, []) AS preps, coalesce(n_children, 0) AS n_children, s_dep, s_lemma FROM {p}tok LEFT JOIN {p}kid USING ({keys}, i))"""
+
+
+_KIDS = kids_sql("conv_id, turn")
 _FRAME = "CASE WHEN has_obj AND has_prep THEN 'ditrans' WHEN has_obj THEN 'trans' ELSE 'intrans' END"
 _COMP = "CASE WHEN has_xcomp THEN 'CP_TO' WHEN has_obj THEN 'NP_OBJ' ELSE 'NONE' END"
 
@@ -122,10 +127,16 @@ def subject_verb_attractors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.attractors(tok, trees.subject_verb(tok, KEY), KEY)
 
 
-@query(f"""WITH {CONV}, {_KIDS}, f AS (SELECT conv_id, turn, sent, string_agg({_FRAME}, ' ' ORDER BY {_FRAME}) AS frames FROM ful WHERE pos = 'VERB' GROUP BY ALL),
-r AS (SELECT conv_id, turn, sent, count(*) FILTER (WHERE dep = 'expl' AND lemma = 'there') AS there, count(*) FILTER (WHERE dep = 'expl' AND lemma = 'it') AS it,
-  count(*) FILTER (WHERE has_aux AND has_xcomp AND has_obj) AS tough, count(*) FILTER (WHERE has_aux AND has_xcomp AND NOT has_obj) AS raising FROM ful GROUP BY ALL)
-SELECT r.*, coalesce(frames, '') AS frames FROM r LEFT JOIN f USING (conv_id, turn, sent)""")
+def profiles_sql(keys: str, p: str = "") -> str:
+    """The structural profiles of sentences, as CTEs that end in `prof`."""
+    return f"""
+{p}frm AS (SELECT {keys}, sent, string_agg({_FRAME}, ' ' ORDER BY {_FRAME}) AS frames FROM {p}ful WHERE pos = 'VERB' GROUP BY ALL),
+{p}cnt AS (SELECT {keys}, sent, count(*) FILTER (WHERE dep = 'expl' AND lemma = 'there') AS there, count(*) FILTER (WHERE dep = 'expl' AND lemma = 'it') AS it,
+  count(*) FILTER (WHERE has_aux AND has_xcomp AND has_obj) AS tough, count(*) FILTER (WHERE has_aux AND has_xcomp AND NOT has_obj) AS raising FROM {p}ful GROUP BY ALL),
+{p}prof AS (SELECT {p}cnt.*, coalesce(frames, '') AS frames FROM {p}cnt LEFT JOIN {p}frm USING ({keys}, sent))"""
+
+
+@query(f"WITH {CONV}, {_KIDS}, {profiles_sql('conv_id, turn')} SELECT * FROM prof")
 def sentence_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structural profiles of sentences."""
     return trees.sentence_profiles(conv_tokens(spark, sf_dir), KEY)
@@ -304,10 +315,16 @@ ask AS (SELECT example, lemma, 0 AS level, CAST(keys AS VARCHAR) AS st FROM k0 U
 opn AS (SELECT a.*, o.start AS own_start, o.w AS own_w, total - coalesce(o.w, 0) AS weight, n - (o.w IS NOT NULL)::INTEGER AS n_cands
   FROM ask a JOIN siz USING (level, st) LEFT JOIN plc o ON o.level = a.level AND o.st = a.st AND o.cand = a.lemma),
 cset AS (SELECT * FROM opn WHERE n_cands > 0 QUALIFY row_number() OVER (PARTITION BY example, lemma ORDER BY level) = 1)"""
-_MAP = f"""pt0 AS (SELECT *, CAST(floor({_U.format("'17:' || example || ':' || lemma")} * weight) AS BIGINT) AS x0 FROM cset),
+
+
+def map_sql(seed: int, attempts: int = 1) -> str:
+    """One target per lemma of each conversation and attempt, as CTEs that end in `mp`."""
+    draw = _U.format(f"'{seed}:' || example || ':' || lemma" + (" || ':' || attempt" if attempts > 1 else ""))
+    return f"""
+pt0 AS (SELECT *, CAST(floor({draw} * weight) AS BIGINT) AS x0 FROM cset, (SELECT unnest(generate_series(0, {attempts - 1})) AS attempt) a),
 pt AS (SELECT *, x0 + CASE WHEN x0 >= own_start THEN own_w ELSE 0 END AS x FROM pt0),
-hit AS (SELECT pt.example, pt.lemma, plc.cand FROM pt ASOF JOIN plc ON plc.level = pt.level AND plc.st = pt.st AND pt.x >= plc.start),
-mp AS (SELECT k.example, k.lemma, coalesce(hit.cand, k.lemma) AS target FROM k1 k LEFT JOIN hit USING (example, lemma))"""
+hit AS (SELECT pt.example, pt.lemma, pt.attempt, plc.cand FROM pt ASOF JOIN plc ON plc.level = pt.level AND plc.st = pt.st AND pt.x >= plc.start),
+mp AS (SELECT k.example, k.lemma, k.attempt, coalesce(hit.cand, k.lemma) AS target FROM (SELECT example, lemma, unnest(generate_series(0, {attempts - 1})) AS attempt FROM k1) k LEFT JOIN hit USING (example, lemma, attempt))"""
 
 
 def candidate_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -343,31 +360,88 @@ def lockstep_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.select("example", "lemma", "level", "n_cands", "weight")
 
 
-@query(f"WITH {CONV}, {_CHAIN}, {_STATS}, {_POOL}, {_SETS}, {_MAP} SELECT example, lemma, target FROM mp")
+@query(f"WITH {CONV}, {_CHAIN}, {_STATS}, {_POOL}, {_SETS}, {map_sql(17)} SELECT example, lemma, target FROM mp")
 def lemma_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One target per lemma of each conversation."""
     return drawn_mapping(chained_tokens(spark, sf_dir), 17)
 
 
-_TITLE = "upper(substr({0}, 1, 1)) || lower(substr({0}, 2))"
 _INF = r"""CASE WHEN tag IN ('NNS', 'NNPS', 'VBZ') THEN CASE WHEN regexp_matches(target, '(s|x|z|ch|sh)$') THEN target || 'es' WHEN regexp_matches(target, '[^aeiou]y$') THEN substr(target, 1, length(target) - 1) || 'ies' ELSE target || 's' END
   WHEN tag IN ('VBD', 'VBN') THEN CASE WHEN suffix(target, 'e') THEN target || 'd' ELSE target || 'ed' END
   WHEN tag = 'VBG' THEN CASE WHEN suffix(target, 'ie') THEN substr(target, 1, length(target) - 2) || 'ying' WHEN suffix(target, 'e') AND length(target) > 1 THEN substr(target, 1, length(target) - 1) || 'ing' ELSE target || 'ing' END ELSE target END"""
 
 
-@query(rf"""WITH {CONV}, {_CHAIN}, {_STATS}, {_POOL}, {_SETS}, {_MAP},
-j AS (SELECT t.*, m.target, {_INF} AS inf FROM tok t LEFT JOIN mp m ON m.example = t.conv_id AND m.lemma = t.lemma),
-k AS (SELECT *, CASE WHEN text = upper(text) AND upper(text) <> lower(text) THEN upper(inf) WHEN text = lower(text) AND upper(text) <> lower(text) THEN lower(inf)
-  WHEN upper(text) <> lower(text) AND text = {_TITLE.format('text')} THEN {_TITLE.format('inf')} WHEN upper(substr(text, 1, 1)) = substr(text, 1, 1) AND lower(substr(text, 1, 1)) <> substr(text, 1, 1) THEN upper(substr(inf, 1, 1)) || substr(inf, 2) ELSE inf END AS cased FROM j),
-f AS (SELECT conv_id, turn, i, CASE WHEN target IS NULL OR target = lemma OR pos NOT IN ('NOUN', 'VERB', 'ADJ', 'ADV') THEN text WHEN is_start THEN upper(substr(cased, 1, 1)) || substr(cased, 2) ELSE cased END AS form,
-  CASE WHEN i = 0 OR regexp_full_match(text, '[.,!?;:)\]]') THEN '' ELSE ' ' END AS gap FROM k)
-SELECT conv_id, turn, string_agg(gap || form, '' ORDER BY i) AS text FROM f GROUP BY conv_id, turn""")
+def render_sql(tokens: str, fixed: str) -> str:
+    """The texts of tokens (with an attempt) under the mapping `mp`, as CTEs that end in `ren`; fixed tokens stay.
+
+    A sharp s in upper case is SS, as in Unicode's full mapping.
+    """
+    up = lambda x: f"upper(replace({x}, 'ß', 'SS'))"
+    title = lambda x: f"{up(f'substr({x}, 1, 1)')} || lower(substr({x}, 2))"
+    return rf"""
+rj AS (SELECT t.*, m.target, {_INF} AS inf FROM {tokens} t LEFT JOIN mp m ON m.example = t.conv_id AND m.lemma = t.lemma AND m.attempt = t.attempt),
+rk AS (SELECT *, CASE WHEN text = {up('text')} AND {up('text')} <> lower(text) THEN {up('inf')} WHEN text = lower(text) AND {up('text')} <> lower(text) THEN lower(inf)
+  WHEN {up('text')} <> lower(text) AND text = {title('text')} THEN {title('inf')} WHEN {up('substr(text, 1, 1)')} = substr(text, 1, 1) AND lower(substr(text, 1, 1)) <> substr(text, 1, 1) THEN {up('substr(inf, 1, 1)')} || substr(inf, 2) ELSE inf END AS cased FROM rj),
+rf AS (SELECT conv_id, turn, attempt, i, CASE WHEN target IS NULL OR target = lemma OR {fixed} THEN text WHEN is_start THEN {up('substr(cased, 1, 1)')} || substr(cased, 2) ELSE cased END AS form,
+  CASE WHEN i = 0 OR regexp_full_match(text, '[.,!?;:)\]]') THEN '' ELSE ' ' END AS gap FROM rk),
+ren AS (SELECT conv_id, turn, attempt, string_agg(gap || form, '' ORDER BY i) AS text FROM rf GROUP BY conv_id, turn, attempt)"""
+
+
+_OPEN = ("NOUN", "VERB", "ADJ", "ADV")
+_DRAWN = f"{CONV}, {_CHAIN}, {_STATS}, {_POOL}, {_SETS}"
+
+
+@query(f"WITH {_DRAWN}, {map_sql(17)}, {render_sql('(SELECT *, 0 AS attempt FROM tok)', f'pos NOT IN {_in(_OPEN)}')} SELECT conv_id, turn, text FROM ren")
 def rewritten_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations rendered under one mapping each."""
+    """Conversations rendered under one mapping each."""
+    tok = conv_tokens(spark, sf_dir)
+    fixed = tok.withColumn("fixed", ~F.col("pos").isin(*_OPEN))
+    return rewriting.render(fixed, drawn_mapping(chained_tokens(spark, sf_dir), 17), KEY, "conv_id").select("conv_id", "turn", "text")
+
+
+#: How often a text is rewritten anew where the structure of a sentence isn't kept.
+ATTEMPTS = 3
+
+
+@query(f"""WITH {_DRAWN}, {profiles_sql('conv_id, turn')}, {map_sql(19, ATTEMPTS)}, att AS (SELECT unnest(generate_series(0, {ATTEMPTS - 1})) AS attempt), toks AS (SELECT * FROM tok, att),
+{render_sql('toks', f'pos NOT IN {_in(_OPEN)}')}, {tokens_sql('ren', 'conv_id, turn, attempt', 'n')}, {kids_sql('conv_id, turn, attempt', 'n')}, {profiles_sql('conv_id, turn, attempt', 'n')},
+own AS (SELECT conv_id, turn, attempt, sent, [frames, there::VARCHAR, it::VARCHAR, tough::VARCHAR, raising::VARCHAR] AS v FROM prof, att), new AS (SELECT conv_id, turn, attempt, sent, [frames, there::VARCHAR, it::VARCHAR, tough::VARCHAR, raising::VARCHAR] AS v FROM nprof),
+ok AS (SELECT conv_id, turn, attempt, bool_and(own.v IS NOT DISTINCT FROM new.v) AS valid FROM own FULL JOIN new USING (conv_id, turn, attempt, sent) GROUP BY conv_id, turn, attempt),
+best AS (SELECT conv_id, turn, coalesce(min(attempt) FILTER (WHERE valid), {ATTEMPTS - 1}) AS attempt FROM ok GROUP BY conv_id, turn)
+SELECT conv_id, turn, CAST(attempt AS INTEGER) AS attempt, valid, text FROM best JOIN ok USING (conv_id, turn, attempt) JOIN ren USING (conv_id, turn, attempt)""")
+def validated_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts rewritten until a new parse keeps the structure of every sentence, else the last attempt."""
     tok = conv_tokens(spark, sf_dir)
-    mapping = drawn_mapping(chained_tokens(spark, sf_dir), 17)
-    fixed = tok.withColumn("fixed", ~F.col("pos").isin("NOUN", "VERB", "ADJ", "ADV"))
-    return rewriting.render(fixed, mapping, KEY, "conv_id").select("conv_id", "turn", "text")
+    fixed = tok.withColumn("fixed", ~F.col("pos").isin(*_OPEN))
+    requests, members, lemmas = candidate_sets(chained_tokens(spark, sf_dir))
+
+    def mapping(attempt: int) -> DataFrame:
+        asked = requests.withColumn("attempt", F.lit(attempt))
+        hit = draws.drawn(asked, members, ["example", "lemma", "attempt"], 19).drop("attempt")
+        return lemmas.join(hit, ["example", "lemma"], "left").select("example", "lemma", F.coalesce("cand", "lemma").alias("target"))
+
+    return rewriting.validated(fixed, mapping, lambda texts: parsing.parse(texts, KEY), KEY, "conv_id", ATTEMPTS)
+
+
+_PLACES = r"""
+ws AS (SELECT conv_id, turn, unnest(regexp_extract_all(coalesce(text, ''), '\s*(?:\p{L}+(?:[''’]\p{L}+)*|\p{Nd}+|[^\s\p{L}\p{Nd}])')) AS piece, unnest(generate_series(0, len(regexp_extract_all(coalesce(text, ''), '\s*(?:\p{L}+(?:[''’]\p{L}+)*|\p{Nd}+|[^\s\p{L}\p{Nd}])')) - 1)) AS i FROM conversations),
+wp AS (SELECT conv_id, turn, CAST(i AS INTEGER) AS i, CAST(sum(length(piece)) OVER (PARTITION BY conv_id, turn ORDER BY i) AS INTEGER) AS char_end, length(regexp_replace(piece, '^\s+', '')) AS n FROM ws)"""
+#: What the query freezes: the first characters of every turn, and these lemmas.
+FROZEN_CHARS, FROZEN_LEMMAS = 24, ("the", "ea", "en", "que")
+
+
+@query(f"""WITH {_DRAWN}, {map_sql(17)}, {_PLACES}, toks AS (SELECT t.*, 0 AS attempt, (wp.char_end - n < {FROZEN_CHARS} OR t.lemma IN {_in(FROZEN_LEMMAS)}) AS frozen FROM tok t JOIN wp USING (conv_id, turn, i)),
+{render_sql('toks', f'frozen OR pos NOT IN {_in(_OPEN)}')} SELECT r.conv_id, r.turn, r.text, CAST(z.n AS BIGINT) AS n_frozen FROM ren r JOIN (SELECT conv_id, turn, count(*) FILTER (WHERE frozen) AS n FROM toks GROUP BY ALL) z USING (conv_id, turn)""")
+def frozen_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations rendered with frozen character ranges and lemmas as they stand."""
+    texts = parquet_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    tok = conv_tokens(spark, sf_dir).join(parsing.token_places(texts, KEY), [*KEY, "i"])
+    ranges = texts.select(*KEY, F.lit(0).alias("start"), F.lit(FROZEN_CHARS).alias("end"))
+    lemmas = spark.createDataFrame([(x,) for x in FROZEN_LEMMAS], "lemma string")
+    marked = settled(spans.marked_frozen(tok, ranges, lemmas, KEY))
+    fixed = marked.withColumn("fixed", F.col("frozen") | ~F.col("pos").isin(*_OPEN))
+    out = rewriting.render(fixed, drawn_mapping(chained_tokens(spark, sf_dir), 17), KEY, "conv_id").select(*KEY, "text")
+    return out.join(marked.groupBy(*KEY).agg(F.count_if("frozen").alias("n_frozen")), KEY)
 
 
 # pools, from lists that are made of the corpus
