@@ -63,12 +63,29 @@ def run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/glossa-tables/{_RUN.name}"
 
 
+#: Deletes the shuffle files of a query when it ends, not when the driver's garbage happens to be collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: a cut lineage that outlives executors."""
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # nobody reads the shuffles again
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of stored() that nothing reads any more."""
+    for t in tables:
+        delete(t.sparkSession, t.stored_at)
 
 
 def delete(spark: SparkSession, folder: str) -> None:

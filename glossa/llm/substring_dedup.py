@@ -17,7 +17,7 @@ that many documents share is one row a task; the joins that bring it back to its
 on both sides, which Spark splits where one key has very many rows.
 
 Defined cases: a null text counts as empty and has no chunk; rows that repeat an id are one document, as are
-rows without an id, which come after all others; each row has its own spans; repeats inside one document are
+rows without an id (or with the largest one, 2^63 - 1), which come after all others; each row has its own spans; repeats inside one document are
 not reported; of tied documents the smallest id keeps the passage; a digest that its keeping row holds several
 times, as in periodic text, is followed to its first and its last place there; empty tables give empty results;
 other columns are not read.
@@ -34,14 +34,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import short_batches, stored
+from glossa.llm.common import forget, short_batches, stored, words_of
 
-#: Mean bytes of a chunk, the most between two cuts, and the fewest words of a reported span.
+#: Mean bytes of a chunk, the most between two cuts, and the fewest words of a reported span. Ends are followed byte by
+#: byte from one chunk on, and a stretch of 2 * WINDOW + HASH bytes holds one, wherever it begins.
 MEAN, WINDOW, MIN_WORDS = 32, 64, 20
 SEED = 5
 #: Bytes of a hash. A stretch that agrees ends less than 2 * WINDOW + HASH bytes beyond its last seed.
 HASH = 16
-REACH = 3 * WINDOW
+REACH = 2 * WINDOW + HASH
+#: Stands for no id, after all others.
+NO_ID = 2**63 - 1
 
 #: Random 16-bit values of the bytes, from a fixed seed.
 GEAR = np.random.default_rng(SEED).integers(0, 1 << 16, 256).astype(np.uint16)
@@ -61,9 +64,10 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
         step *= 2
     least = (h[HASH - 1 :].astype(np.uint64) << np.uint64(40)) | np.arange(HASH, n + 1, dtype=np.uint64)
     step = 1
-    while step < WINDOW:  # of equal hashes the first
-        least = np.minimum(least[:-step], least[step:])
-        step *= 2
+    while step < WINDOW:  # of equal hashes the first; the last step overlaps
+        more = min(step, WINDOW - step)
+        least = np.minimum(least[:-more], least[more:])
+        step += more
     least = least[np.flatnonzero(np.diff(least, prepend=np.uint64(0)))]
     ends = (least & np.uint64((1 << 40) - 1)).astype(np.int64)
     # equal hashes at equal distances, as in periodic text: as few of them as leave no gap above WINDOW
@@ -90,37 +94,53 @@ def around(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return (four[starts] << np.uint64(32) | four[ends + 4]).view(np.int64)
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text, digests, starts, later, beside): the text of each row as bytes and its chunks as arrays.
+def text_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(row, doc_id, text): the texts as bytes, by a number of their row; doc_id is NO_ID for none.
 
-    later: bytes from a chunk to the last of its digest in the row, in periodic text above zero.
+    Texts that are too short for a span are left out: no span is in them, nor in any other text by them.
     """
-    short_batches(docs.sparkSession)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"))
+    return texts.filter(words_of(F.col("text")) >= min_words).withColumn("text", F.col("text").cast("binary"))
+
+
+CHUNKS = "row long, doc_id long, digests array<long>, places array<long>, sizes array<tinyint>, beside array<long>"
+
+
+def chunk_table(texts: DataFrame) -> DataFrame:
+    """(row, doc_id, digests, places, sizes, beside): the chunks of each text of text_table() as arrays.
+
+    places: the start of a chunk, 32 bits up, and the bytes from it to the last of its digest in the row, in periodic
+    text above zero.
+    """
+    short_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, starts, later, beside = [], [], [], []
+            digests, places, sizes, beside = [], [], [], []
             for raw in b["text"].to_pylist():
                 data = np.frombuffer(raw, dtype=np.uint8)
-                cut = chunk_ends(data).tolist()
-                starts.append([0, *cut[:-1]] if cut else [])
-                digest = [xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(starts[-1], cut)]
-                beside.append(around(data, np.array(starts[-1], dtype=np.int64), np.array(cut, dtype=np.int64)))
-                last = dict(zip(digest, starts[-1]))
-                later.append([last[d] - x for d, x in zip(digest, starts[-1])])
+                cut = chunk_ends(data)
+                size = np.diff(cut, prepend=0)
+                start = cut - size
+                digest = [xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(start.tolist(), cut.tolist())]
+                last = dict(zip(digest, start.tolist()))
                 digests.append(np.array(digest, dtype=np.uint64).view(np.int64))
-            columns = [b["row"], b["doc_id"], b["text"], *(pa.array(x, pa.list_(pa.int64())) for x in (digests, beside)), *(pa.array(x, pa.list_(pa.int32())) for x in (starts, later))]
-            yield pa.record_batch(columns, names=["row", "doc_id", "text", "digests", "beside", "starts", "later"])
+                places.append((start << 32) | (np.array([last[d] for d in digest], dtype=np.int64) - start))
+                sizes.append(size.astype(np.uint8).view(np.int8))
+                beside.append(around(data, start, cut))
+            longs, bytes_ = pa.list_(pa.int64()), pa.list_(pa.int8())
+            columns = [b["row"], b["doc_id"], pa.array(digests, longs), pa.array(places, longs), pa.array(sizes, bytes_), pa.array(beside, longs)]
+            yield pa.record_batch(columns, names=["row", "doc_id", "digests", "places", "sizes", "beside"])
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    return texts.mapInArrow(run, "row long, doc_id long, text binary, digests array<long>, beside array<long>, starts array<int>, later array<int>")
+    return texts.mapInArrow(run, CHUNKS)
 
 
 #: A part of a row's text to be compared with the text of `first_row`, `shift` bytes on, or (own is null) a span.
 #: w_lo and w_hi words begin before lo and hi. `at` is a place that the sought stretch holds, -1 for any long one.
 SPAN = "row long, doc_id long, lo int, hi int, w_lo int, w_hi int, n_chunks int, first long, first_row long, shift int"
-PART = SPAN + ", at int, begins boolean, own binary"
+#: k_row: the row whose text is needed, none (below 0) for a span.
+PART = SPAN + ", k_row long, at int, begins boolean, own binary"
 #: Bytes of parts in one Arrow batch.
 BATCH_BYTES = 8 << 20
 
@@ -135,15 +155,17 @@ def _record(rows: list[tuple], schema: str) -> pa.RecordBatch:
 class _Seeds:
     """The seeds of one row in the order of their places, and the words of its text."""
 
-    def __init__(self, row: int, doc_id: int | None, raw: bytes, starts: np.ndarray, hits: dict[str, np.ndarray], min_words: int):
+    def __init__(self, row: int, doc_id: int, raw: bytes, hits: dict[str, np.ndarray], min_words: int):
         self.row, self.doc_id, self.raw, self.n, self.min_words = row, doc_id, raw, len(raw), min_words
         data = np.frombuffer(raw, dtype=np.uint8)
         self.begins = word_starts(data)
         self.words = np.append(0, np.cumsum(self.begins))
         order = np.argsort(hits["start"])
         self.hits = hits = {k: v[order] for k, v in hits.items()}
-        self.index = np.searchsorted(starts, hits["start"])
-        self.start, self.end = hits["start"].astype(np.int64), np.append(starts, self.n)[self.index + 1].astype(np.int64)
+        self.start = hits["start"].astype(np.int64)
+        self.end = self.start + hits["size"].view(np.uint8)
+        hits["first_start"] = hits["place"] >> 32
+        hits["last_start"] = hits["first_start"] + (hits["place"] & 0xFFFFFFFF)
         self.again = hits["last_start"] != hits["first_start"]
         differ = (around(data, self.start, self.end) ^ hits["beside"]).view(np.uint64)
         # a stretch that goes on beyond a seed has the seed's neighbouring bytes
@@ -156,10 +178,9 @@ class _Seeds:
 
     def part(self, k: int, shift: int, lo: int, hi: int, chunks: int, at: int | None) -> tuple:
         """Bytes lo to hi on the line of seed k; a span if at is None, else to be compared."""
-        own = (None, None, None) if at is None else (at, bool(self.begins[lo]), self.raw[lo:hi])
         w, h = self.words, self.hits
-        first = h["first"][k]
-        return (self.row, self.doc_id, lo, hi, int(w[lo]), int(w[hi]), chunks, None if first != first else int(first), int(h["first_row"][k]), shift, *own)
+        own = (-1 - self.row, None, None, None) if at is None else (int(h["first_row"][k]), at, bool(self.begins[lo]), self.raw[lo:hi])
+        return (self.row, self.doc_id, lo, hi, int(w[lo]), int(w[hi]), chunks, int(h["first"][k]), int(h["first_row"][k]), shift, *own)
 
     def _wide(self, k: int, shift: int, lo: int, hi: int, chunks: int) -> Iterator[tuple]:
         lo, hi = max(0, lo - REACH), min(self.n, hi + REACH)
@@ -170,10 +191,10 @@ class _Seeds:
         """Spans and parts of the seeds whose digest has one place in the keeping row."""
         once = np.flatnonzero(~self.again)
         shift = (self.hits["first_start"] - self.hits["start"]).astype(np.int64)
-        once = once[np.lexsort((self.index[once], shift[once], self.hits["first_row"][once]))]
-        row, line, index = self.hits["first_row"][once], shift[once], self.index[once]
+        once = once[np.lexsort((self.start[once], shift[once], self.hits["first_row"][once]))]
+        row, line = self.hits["first_row"][once], shift[once]
         other = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
-        cuts = np.flatnonzero(other | (np.diff(index) != 1)) + 1
+        cuts = np.flatnonzero(other | (self.start[once][1:] != self.end[once][:-1])) + 1
         new_line = set((np.flatnonzero(other) + 1).tolist())
         few: list[np.ndarray] = []
         for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(once)]):
@@ -211,7 +232,7 @@ class _Seeds:
         REACH bytes.
         """
         seeds = np.flatnonzero(self.again)
-        cuts = np.flatnonzero(np.diff(self.index[seeds]) != 1) + 1
+        cuts = np.flatnonzero(self.start[seeds][1:] != self.end[seeds][:-1]) + 1
         shifts = {c: (self.hits[c] - self.hits["start"]).astype(np.int64) for c in ("first_start", "last_start")}
         for run in np.split(seeds, cuts):
             if not len(run):
@@ -261,8 +282,8 @@ def _joined(spans: list[dict]) -> list[dict]:
 
 
 def _cover(spans: list[dict]) -> Iterator[tuple]:
-    """As few spans of one row as cover the bytes of all; of equal ones the smallest keeping id (none last)."""
-    rest = sorted(_joined(spans), key=lambda s: (s["lo"], -s["hi"], s["first"] is None, s["first"] or 0))
+    """As few spans of one row as cover the bytes of all; of equal ones the smallest keeping id."""
+    rest = sorted(_joined(spans), key=lambda s: (s["lo"], -s["hi"], s["first"]))
     k, reach = 0, -1
     while k < len(rest):
         if rest[k]["hi"] <= reach:
@@ -285,27 +306,31 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     The bytes of a span are in the document first_doc_id; documents without a row are clean.
     """
-    table = stored(chunk_table(docs), "chunks")
-    pieces = table.select("row", "doc_id", F.explode(F.arrays_zip("digests", "starts", "later", "beside")).alias("c"))
-    pieces = pieces.select("row", "doc_id", F.col("c.digests").alias("digest"), F.col("c.starts").alias("start"), F.col("c.later").alias("later"), F.col("c.beside").alias("beside"))
-    none = F.col("doc_id").isNull().alias("none")
-    held = pieces.groupBy("digest").agg(F.min(F.struct(none, "doc_id", "row", "start", "later", "beside")).alias("f"), F.max(F.struct(none, "doc_id")).alias("l"))
-    held = held.filter(~F.col("f.doc_id").eqNullSafe(F.col("l.doc_id")))
-    held = stored(held.select("digest", F.col("f.doc_id").alias("first"), F.col("f.row").alias("first_row"), F.col("f.start").alias("first_start"), (F.col("f.start") + F.col("f.later")).alias("last_start"), F.col("f.beside").alias("beside")), "held")
-    found = pieces.drop("later", "beside").join(held, "digest").filter(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first")))
-    found = stored(found.select("row", "start", "first", "first_row", "first_start", "last_start", "beside"), "found")
-    hits = found.groupBy("row").agg(F.collect_list(F.struct("start", "first", "first_row", "first_start", "last_start", "beside")).alias("hits"))
+    texts = stored(text_table(docs, min_words), "texts")
+    chunks = stored(chunk_table(texts), "chunks")
+
+    def pieces(*names: str) -> DataFrame:
+        rows = chunks.select("row", "doc_id", F.explode(F.arrays_zip("digests", *names)).alias("c"))
+        return rows.select("row", "doc_id", F.col("c.digests").alias("digest"), *(F.col(f"c.{n}").alias(n.rstrip("s")) for n in names))
+
+    held = pieces("places", "beside").groupBy("digest").agg(F.min(F.struct("doc_id", "row", "place", "beside")).alias("f"), F.max("doc_id").alias("last"))
+    held = held.filter("f.doc_id < last").select("digest", F.col("f.doc_id").alias("first"), F.col("f.row").alias("first_row"), "f.place", "f.beside")
+    held = stored(held, "held")
+    asked = pieces("places", "sizes").select("row", "doc_id", "digest", F.shiftright("place", 32).cast("int").alias("start"), "size")
+    found = asked.join(held, "digest").filter((F.col("doc_id") > F.col("first")) | (F.col("doc_id") == NO_ID))
+    found = stored(found.select("row", "start", "size", "first", "first_row", "place", "beside"), "found")
+    forget(chunks, held)
+    hits = found.groupBy("row").agg(F.collect_list(F.struct("start", "size", "first", "first_row", "place", "beside")).alias("hits"))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[tuple] = []
         held = 0
         for b in batches:
-            ids, doc_ids, texts = (b[c].to_pylist() for c in ("row", "doc_id", "text"))
+            ids, doc_ids, own_texts = (b[c].to_pylist() for c in ("row", "doc_id", "text"))
             seeds, bounds = b["hits"].flatten(), np.cumsum([0, *(len(x) for x in b["hits"])])
             fields = {f.name: seeds.field(f.name).to_numpy(zero_copy_only=False) for f in seeds.type}
             for k, (x, y) in enumerate(zip(bounds, bounds[1:])):
-                starts = b["starts"][k].values.to_numpy(zero_copy_only=False)
-                own = _Seeds(ids[k], doc_ids[k], texts[k], starts, {c: v[x:y] for c, v in fields.items()}, min_words)
+                own = _Seeds(ids[k], doc_ids[k], own_texts[k], {c: v[x:y] for c, v in fields.items()}, min_words)
                 for part in chain(own.lines(), own.periodic()):
                     got.append(part)
                     held += 200 + len(part[-1] or b"")
@@ -314,18 +339,24 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                         got, held = [], 0
         yield _record(got, PART)
 
+    names = [x.split(" ")[0] for x in SPAN.split(", ")]
+
     def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield _record([x for p in b.to_pylist() for x in _agreeing(p, p["keep"], min_words)], SPAN)
+            rows = b.to_pylist()
+            whole = [tuple(p[c] for c in names) for p in rows if p["own"] is None]
+            yield _record(whole + [x for p in rows if p["own"] is not None for x in _agreeing(p, p["keep"], min_words)], SPAN)
 
     def covering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield _record([(r["doc_id"], *x) for r in b.to_pylist() for x in _cover(r["spans"])], SPANS)
-
-    parted = stored(table.select("row", "doc_id", "text", "starts").join(hits, "row").mapInArrow(parts, PART), "parts")
-    keeping = table.select(F.col("row").alias("first_row"), F.col("text").alias("keep"))
-    place = F.greatest(F.lit(0), F.col("lo") + F.col("shift"))
-    met = parted.filter("own is not null").join(keeping, "first_row").withColumn("keep", F.substring("keep", place + 1, F.octet_length("own")))
-    spans = stored(parted.filter("own is null").drop("at", "begins", "own").unionByName(met.select(*parted.columns, "keep").mapInArrow(agreeing, SPAN)), "spans")
+            spans = [(r["doc_id"], *x) for r in b.to_pylist() for x in _cover(r["spans"])]
+            yield _record([tuple(None if k in (0, 5) and v == NO_ID else v for k, v in enumerate(x)) for x in spans], SPANS)
+
+    # texts are dealt by row once: both joins read one exchange, as they ask the same columns of the table
+    parted = texts.join(hits, "row").select("row", "doc_id", "text", "hits").mapInArrow(parts, PART)
+    place = F.greatest(F.lit(0), F.col("p.lo") + F.col("p.shift"))
+    keep = F.substring(F.col("t.text"), place + 1, F.octet_length("p.own")).alias("keep")
+    met = parted.alias("p").join(texts.alias("t"), F.col("p.k_row") == F.col("t.row"), "left")
+    spans = met.select("p.*", keep, F.col("t.doc_id").alias("keep_id")).mapInArrow(agreeing, SPAN)
     by_row = spans.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("lo", "hi", "w_lo", "w_hi", "n_chunks", "first", "first_row", "shift")).alias("spans"))
     return by_row.mapInArrow(covering, SPANS)
