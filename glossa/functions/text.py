@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ UNICODE_SPACE = r"(?U)\s+"
 EDGES = r"(?U)^\s+|\s+$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once a row, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def tokenize(text: Column, lowercase: bool = True) -> Column:
     """Word tokens of a text (H1)."""
     return F.regexp_extract_all(F.lower(text) if lowercase else text, F.lit(WORD_PATTERN), F.lit(0))
@@ -159,16 +166,18 @@ def packed_sentences(sentences: Column, limit: int) -> Column:
 
     The fold keeps the finished chunks, the open one and its length; no shuffle and no Python.
     """
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"))
-
-    def step(acc: Column, s: Column) -> Column:
-        n = word_count(s)
-        fits = acc["n"] + n <= limit
-        done = F.when(fits | (acc["now"] == ""), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"])))
-        now = F.when(acc["now"] == "", s).when(fits, F.concat(acc["now"], F.lit(" "), s)).otherwise(s)
-        return F.struct(done.alias("done"), now.alias("now"), F.when(fits, acc["n"] + n).otherwise(n).alias("n"))
-
-    return F.aggregate(sentences, start, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(0).alias("n"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = acc["n"] + x["n"] <= limit
+        empty = F.size(acc["now"]) == 0
+        one = F.array(x["s"])
+        done = F.when(fits | empty, acc["done"]).otherwise(F.concat(acc["done"], F.array(F.array_join(acc["now"], " "))))
+        return F.struct(done.alias("done"), F.when(fits | empty, F.concat(acc["now"], one)).otherwise(one).alias("now"), F.when(fits, acc["n"] + x["n"]).otherwise(x["n"]).alias("n"))
+
+    # words are counted once a sentence, before the fold
+    counted = F.transform(sentences, lambda s: F.struct(s.alias("s"), word_count(s).alias("n")))
+    return F.aggregate(counted, start, step, lambda a: F.when(F.size(a["now"]) == 0, a["done"]).otherwise(F.concat(a["done"], F.array(F.array_join(a["now"], " ")))))
 
 
 def sentences(text: Column) -> Column:

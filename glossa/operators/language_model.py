@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions.text import tokenize
+from glossa.session import settled
 
 
 class LanguageModel(Protocol):
@@ -63,15 +64,15 @@ def conforms(model: LanguageModel, texts: list[str], tolerance: float = 1e-4) ->
 
 def bigrams(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, place, a, b): neighbouring words; the first follows <s>."""
-    words = F.concat(F.array(F.lit("<s>")), tokenize(F.col(text)))
-    rows = texts.select(key, words.alias("w")).filter(F.size("w") > 1)
-    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.element_at("w", i).alias("a"), F.element_at("w", i + 1).alias("b")))
+    rows = texts.select(key, tokenize(F.col(text)).alias("w")).filter(F.size("w") > 0)
+    # two arrays, one a word behind, zipped: generated code all the way
+    pairs = F.arrays_zip(F.concat(F.array(F.lit("<s>")), F.slice("w", 1, F.size("w") - 1)).alias("a"), F.col("w").alias("b"))
     return rows.select(key, F.posexplode(pairs).alias("place", "p")).select(key, "place", "p.a", "p.b")
 
 
 def train_bigrams(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """((a, b, n), (a, n_a)): counts of bigrams and of their first words."""
-    pairs = bigrams(docs, key).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    """((a, b, n), (a, n_a)): counts of bigrams and of their first words; the corpus is counted once."""
+    pairs = settled(bigrams(docs, key).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
     return pairs, pairs.groupBy("a").agg(F.sum("n").alias("n_a"))
 
 

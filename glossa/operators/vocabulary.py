@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.functions.text import bare_words, sentences
+from glossa.functions.text import bare_words, let, sentences
+from glossa.session import settled
 
 
 def surface_counts(docs: DataFrame, pattern: str = r"^[A-Za-z]", least: int = 1) -> DataFrame:
@@ -25,15 +26,29 @@ def top_words(counts: DataFrame, n: int) -> DataFrame:
     return counts.orderBy(F.col("n").desc(), "token").limit(n)
 
 
-def within_vocabulary(docs: DataFrame, vocabulary: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Texts of the sentences whose words are all in the vocabulary; documents without one go.
+#: Words of a vocabulary that are sent with the plan, as a hashed set; a larger one is joined.
+IN_PLACE = 50_000
 
-    Distinct words are joined, not occurrences: the vocabulary may outgrow a broadcast.
+
+def within_vocabulary(docs: DataFrame, vocabulary: DataFrame, key: str = "doc_id", in_place: int = IN_PLACE) -> DataFrame:
+    """(key, text, kept_sentences): the sentences whose words are all in the vocabulary; documents without one go.
+
+    Rows that share a key are one document, its sentences in their order, ties by text. A vocabulary of at most
+    `in_place` words is a set inside the filter, so that nothing but what is left of a document is moved. A larger one
+    meets the distinct words of each sentence in a join.
     """
-    rows = docs.select(key, F.posexplode(sentences(F.col("text"))).alias("place", "sentence")).withColumn("w", bare_words(F.col("sentence"))).filter(F.size("w") > 0)
-    known = vocabulary.select(F.col("token").alias("word"), F.lit(1).alias("known"))
-    missing = rows.select(key, "place", F.explode("w").alias("word")).join(known, "word", "left_anti").select(key, "place").distinct()
-    kept = rows.join(missing, [key, "place"], "left_anti")
+    rows = docs.select(key, F.posexplode(sentences(F.col("text"))).alias("place", "sentence"))
+    words = vocabulary.select("token").filter("token is not null").distinct()
+    few = [r.token for r in words.limit(in_place + 1).collect()]  # a bounded number
+    if len(few) <= in_place:
+        bare = bare_words(F.col("sentence"))
+        kept = rows.filter(let(bare, lambda w: (F.size(w) > 0) & F.forall(w, lambda x: x.isin(few) if few else F.lit(False))))
+    else:
+        rows = settled(rows.withColumn("row", F.monotonically_increasing_id()))
+        asked = rows.select("row", F.array_distinct(bare_words(F.col("sentence"))).alias("w")).filter(F.size("w") > 0)
+        missing = asked.select("row", F.explode("w").alias("token")).join(words, "token", "left_anti").select("row").distinct()
+        whole = asked.select("row").join(missing, "row", "left_anti")
+        kept = rows.join(whole, "row", "left_semi")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "sentence"))), lambda s: s["sentence"]), " ")
     return kept.groupBy(key).agg(text.alias("text"), F.count(F.lit(1)).alias("kept_sentences"))
 

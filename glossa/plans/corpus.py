@@ -207,7 +207,8 @@ SELECT doc_id, string_agg(sentence, ' ' ORDER BY place) AS text, count(*) AS kep
 def vocabulary_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences made of the 400 most frequent words only."""
     docs = docs_of(spark, sf_dir).select("doc_id", "text")
-    words = docs.select(F.explode(T.sentences(F.col("text"))).alias("s")).select(F.explode(T.bare_words(F.col("s"))).alias("token"))
+    # a sentence's end is white space, too: the words of a text are those of its sentences
+    words = docs.select(F.explode(T.bare_words(F.col("text"))).alias("token"))
     top = vocabulary.top_words(words.groupBy("token").agg(F.count(F.lit(1)).alias("n")), 400)
     return vocabulary.within_vocabulary(docs, top)
 
