@@ -148,8 +148,9 @@ def greedy_selection(pool: DataFrame, target: int, per_frame: int, per_pair: int
     """Items in pool order under caps that depend on what was kept before.
 
     pool: family, pool_order, frame, pair, item, delta_conf, delta_ctrl. An item that one cap rejects does not
-    count for the other, so ranks per frame and per pair would be wrong; each family is folded in order.
-    Margins are tested before the shuffle; a family's candidates are read as one sorted group.
+    count for the other, so ranks per frame and per pair would be wrong; each family is folded in order. Caps only
+    fill up, so that of one frame and pair none is kept after one is rejected: no more than the smaller cap of each
+    such cell, and each item once, is sent to the fold, which is thereby bounded by the cells of a family.
     """
     import pandas as pd
 
@@ -168,6 +169,10 @@ def greedy_selection(pool: DataFrame, target: int, per_frame: int, per_pair: int
         return out
 
     strong = pool.filter((F.col("delta_ctrl") >= ctrl_margin) & (F.col("delta_conf") <= -conf_margin))
+    again = Window.partitionBy("family", "frame", "pair", "item").orderBy("pool_order")
+    first = strong.withColumn("_r", F.row_number().over(again)).filter("_r = 1").drop("_r")
+    cell = Window.partitionBy("family", "frame", "pair").orderBy("pool_order")
+    strong = first.withColumn("_r", F.row_number().over(cell)).filter(F.col("_r") <= min(per_frame, per_pair)).drop("_r")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in strong.schema) + ", place long"
     return strong.groupBy("family").applyInPandas(fold, schema)
 

@@ -55,12 +55,23 @@ def without_frozen(tokens: DataFrame, ranges: DataFrame, lemmas: DataFrame, by:
 def word_groups(words: DataFrame, pieces: DataFrame, by: str) -> DataFrame:
     """Sub-tokens (piece) of each word by overlap; a word without one takes the first that follows.
 
-    words: by, word, start, end; pieces: by, piece, p_start, p_end. Both are bounded by a sentence.
+    words: by, word, start, end; pieces: by, piece, p_start, p_end. They meet on cells of a text, and a running
+    minimum from its end finds what follows: no pairs of a text are made.
     """
-    met = words.join(pieces, by)
-    inside = overlaps(F.col("start"), F.col("end"), F.col("p_start"), F.col("p_end"))
-    out = met.groupBy(by, "word").agg(F.array_sort(F.collect_list(F.when(inside, F.col("piece")))).alias("pieces"), F.min(F.when(F.col("p_start") >= F.col("start"), F.col("piece"))).alias("after"))
-    return out.select(by, "word", F.when(F.size("pieces") > 0, F.col("pieces")).when(F.col("after").isNotNull(), F.array("after")).otherwise(F.col("pieces")).alias("pieces"))
+    width = 64
+    cells = lambda s, e: F.sequence(F.floor(s / width), F.floor(F.greatest(s, e - 1) / width))
+    left = words.select(by, "word", "start", "end", F.explode(cells(F.col("start"), F.col("end"))).alias("_cell"))
+    right = pieces.select(by, "piece", "p_start", "p_end", F.explode(cells(F.col("p_start"), F.col("p_end"))).alias("_cell"))
+    met = left.join(right, [by, "_cell"]).filter(overlaps(F.col("start"), F.col("end"), F.col("p_start"), F.col("p_end")))
+    inside = met.groupBy(by, "word").agg(F.array_sort(F.collect_set("piece")).alias("pieces"))
+    kinds = pieces.schema["piece"].dataType
+    marks = words.select(by, F.col("start").alias("at"), F.lit(1).alias("is_word"), "word", F.lit(None).cast(kinds).alias("piece"))
+    marks = marks.unionByName(pieces.select(by, F.col("p_start").alias("at"), F.lit(0).alias("is_word"), F.lit(None).cast(words.schema["word"].dataType).alias("word"), "piece"))
+    back = Window.partitionBy(by).orderBy(F.col("at").desc(), "is_word").rowsBetween(Window.unboundedPreceding, 0)
+    after = marks.withColumn("after", F.min("piece").over(back)).filter("is_word = 1").select(by, "word", "after")
+    empty = F.slice(F.array("after"), 1, 0)
+    out = after.join(inside, [by, "word"], "left")
+    return out.select(by, "word", F.when(F.col("pieces").isNotNull(), F.col("pieces")).when(F.col("after").isNotNull(), F.array("after")).otherwise(empty).alias("pieces"))
 
 
 def region_of(start: Column, end: Column, edges: Column, length: Column) -> Column:
@@ -72,9 +83,17 @@ def region_of(start: Column, end: Column, edges: Column, length: Column) -> Colu
 
 
 def shifted_spans(spans: DataFrame, events: DataFrame, by: list[str]) -> DataFrame:
-    """Spans after edits: every bound moves by the changes at or before it (H6). events: by, at, delta."""
-    met = spans.join(events, by, "left")
-    moved = lambda c: F.coalesce(F.sum(F.when(F.col("at") <= F.col(c), F.col("delta"))), F.lit(0))
-    keys = [*by, "start", "end"]
-    out = met.groupBy(*keys).agg(moved("start").alias("ds"), moved("end").alias("de"))
+    """Spans after edits: every bound moves by the changes at or before it (H6). events: by, at, delta.
+
+    Bounds and changes are put in one order and the changes summed up along it.
+    """
+    own = spans.select(*by, "start", "end").distinct()
+    nothing = F.lit(0).cast(events.schema["delta"].dataType)
+    bounds = own.select(*by, "start", "end", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(True).alias("first")), F.struct(F.col("end").alias("at"), F.lit(False).alias("first")))).alias("b"))
+    bounds = bounds.select(*by, "b.at", nothing.alias("delta"), F.struct("start", "end", "b.first").alias("bound"))
+    rows = bounds.unionByName(events.select(*by, "at", "delta"), allowMissingColumns=True)
+    order = Window.partitionBy(*by).orderBy("at", F.col("bound").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    moved = rows.withColumn("by", F.sum("delta").over(order)).filter("bound is not null").select(*by, "bound.*", "by")
+    side = lambda first: F.max(F.when(F.col("first") == first, F.col("by")))
+    out = moved.groupBy(*by, "start", "end").agg(side(True).alias("ds"), side(False).alias("de"))
     return out.select(*by, "start", "end", (F.col("start") + F.col("ds")).alias("new_start"), (F.col("end") + F.col("de")).alias("new_end"))

@@ -241,9 +241,18 @@ def template_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewriting.template_items(frames, words.select(F.col("w").alias("a")), words.select(F.col("w").alias("b")), 200, 31)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SCORES}, po AS (SELECT field AS family, item_id * 100 + temp_idx AS pool_order, term AS frame, uid AS pair, CAST(temp_idx AS VARCHAR) AS item, 4 * (good - bad) - 1 AS delta_conf, 4 * good AS delta_ctrl FROM sc),
+st AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY pool_order) AS k FROM po WHERE delta_ctrl >= 1 AND delta_conf <= -0.5),
+f AS (
+  SELECT family, CAST(0 AS BIGINT) AS k, false AS took, CAST([] AS VARCHAR[]) AS frames, CAST([] AS VARCHAR[]) AS pairs, CAST([] AS VARCHAR[]) AS seen FROM (SELECT DISTINCT family FROM st)
+  UNION ALL
+  SELECT family, k, ok, CASE WHEN ok THEN list_append(frames, frame) ELSE frames END, CASE WHEN ok THEN list_append(pairs, pair) ELSE pairs END, CASE WHEN ok THEN list_append(seen, id) ELSE seen END
+  FROM (SELECT st.family, st.k, st.frame, st.pair, st.frame || '/' || st.pair || '/' || st.item AS id, f.frames, f.pairs, f.seen,
+    len(f.seen) < 40 AND len(list_filter(f.frames, lambda x: x = st.frame)) < 6 AND len(list_filter(f.pairs, lambda x: x = st.pair)) < 5 AND NOT list_contains(f.seen, st.frame || '/' || st.pair || '/' || st.item) AS ok
+    FROM f JOIN st ON st.family = f.family AND st.k = f.k + 1))
+SELECT st.* EXCLUDE (k), row_number() OVER (PARTITION BY family ORDER BY delta_conf, pool_order) - 1 AS place FROM st JOIN f USING (family, k) WHERE f.took""")
 def greedy_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """items under caps that depend on what was kept; no SQL, as every row depends on those before it."""
+    """Items under caps that depend on what was kept."""
     pool = pair_scores(spark, sf_dir).select(F.col("field").alias("family"), (F.col("item_id") * 100 + F.col("temp_idx")).alias("pool_order"), F.col("term").alias("frame"), F.col("uid").alias("pair"), F.col("temp_idx").cast("string").alias("item"), (4 * (F.col("good") - F.col("bad")) - 1).alias("delta_conf"), (4 * F.col("good")).alias("delta_ctrl"))
     return metrics.greedy_selection(pool, 40, 6, 5)
 

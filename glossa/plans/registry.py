@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from glossa.plans import corpus, evaluation, lexicons, rewriting, tables  # noqa: F401  each registers its queries
+    from glossa.plans import corpus, evaluation, files, lexicons, rewriting, tables  # noqa: F401  each registers its queries
 
 
 def queries() -> dict[str, Query]:

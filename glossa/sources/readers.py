@@ -35,6 +35,14 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return rows.select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m")).alias("at"))
 
 
+def numbered_lines(spark: SparkSession, path: str | list[str], name: str = "line_no") -> DataFrame:
+    """(file, value, line_no): lines with their number in the file, from 0; a file is split like any other."""
+    from glossa.operators.slicing import running_total
+
+    rows = _lines(spark, path).select("file", "value", F.col("at.b").alias("_b"), F.col("at.m").alias("_m"), F.lit(1).alias("_one"))
+    return running_total(rows, "_one", "_b", "_m", by=("file",), name=name).select("file", "value", F.col(name).cast("int").alias(name))
+
+
 def _typed(rows: DataFrame, field: str) -> DataFrame:
     """Adds v (the parsed line) and kind (the type of the field in it)."""
     parsed = rows.withColumn("v", F.try_parse_json("value"))
@@ -120,10 +128,8 @@ def conllu_words(lines: DataFrame) -> DataFrame:
 
 
 def read_conllu(spark: SparkSession, path: str) -> DataFrame:
-    """Words of CoNLL-U files. Each file is one row when read, so that its lines keep their order."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
-    return conllu_words(lines)
+    """Words of CoNLL-U files."""
+    return conllu_words(numbered_lines(spark, path))
 
 
 PAIR_SCHEMA = "sentence_good string, sentence_bad string, field string, linguistics_term string, UID string"
@@ -131,9 +137,9 @@ PAIR_SCHEMA = "sentence_good string, sentence_bad string, field string, linguist
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Minimal pairs of a folder of JSON lines; the index is the physical line number in the file."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.jsonl?)?$", 1).alias("file"), "value")
-    rows = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("idx", "line")).filter(F.trim("line") != "")
-    rows = rows.select("file", "idx", F.from_json("line", PAIR_SCHEMA).alias("p"))
+    rows = numbered_lines(spark, path, "idx").filter(F.trim("value") != "")
+    name = F.regexp_extract("file", r"([^/]*?)(\.jsonl?)?$", 1)
+    rows = rows.select(name.alias("file"), "idx", F.from_json("value", PAIR_SCHEMA).alias("p"))
     field = F.when(F.col("p.field") == "syntax_semantics", "syntax/semantics").otherwise(F.coalesce("p.field", F.lit("supplemental")))
     return rows.select("file", "idx", F.col("p.sentence_good").alias("good"), F.col("p.sentence_bad").alias("bad"), field.alias("field"), F.coalesce("p.linguistics_term", F.lit("supplemental")).alias("linguistics_term"), F.coalesce("p.UID", "file").alias("uid"))
 
@@ -143,9 +149,11 @@ CONTEXT_SCHEMA = "Domain string, ConceptA string, ConceptB string, ContextType s
 
 def read_context_items(spark: SparkSession, path: str) -> DataFrame:
     """Context and target items; the index counts lines that aren't blank, the id is domain and index."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    rows = files.select("file", F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")).alias("idx", "line"))
-    rows = rows.select("file", "idx", F.from_json("line", CONTEXT_SCHEMA).alias("p")).select("file", "idx", "p.*")
+    from glossa.operators.slicing import running_total
+
+    rows = numbered_lines(spark, path).filter(F.trim("value") != "").withColumn("_one", F.lit(1))
+    rows = running_total(rows, "_one", "line_no", by=("file",), name="idx").withColumn("idx", F.col("idx").cast("int"))
+    rows = rows.select(F.regexp_extract("file", r"([^/]*)$", 1).alias("file"), "idx", F.from_json("value", CONTEXT_SCHEMA).alias("p")).select("file", "idx", "p.*")
     return rows.withColumn("id", F.concat_ws("_", "Domain", "idx"))
 
 
