@@ -181,3 +181,18 @@ def joined_metrics(first: DataFrame, second: DataFrame, groups: DataFrame, key:
     """(group, key, a, b): two maps of metrics (a column m each) side by side, with the group of each name."""
     a, b = (d.select(F.explode("m").alias(key, n)) for d, n in ((first, "a"), (second, "b")))
     return a.join(b, key).join(groups, key).select("group", key, "a", "b")
+
+
+#: Orders of two pairs (x1, y1), (x2, y2) by mode.
+ARRANGEMENTS = {
+    "primary": ("x1 y1 x2 y2",),
+    "sem2": ("x1 y1 x2 y2", "x2 y2 x1 y1"),
+    "all4": ("x1 y1 x2 y2", "x1 y2 x2 y1", "x2 y2 x1 y1", "x2 y1 x1 y2"),
+}
+
+
+def arranged(items: DataFrame, key: list[str], modes: tuple[str, ...] = tuple(ARRANGEMENTS)) -> DataFrame:
+    """(key, mode, arrangement): two pairs x1, y1 and x2, y2 in all orders of each mode."""
+    one = lambda order: F.concat_ws(" ", *order.split())
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), one(o).alias("arrangement")) for m in modes for o in ARRANGEMENTS[m]))).alias("a")
+    return items.select(*key, each).select(*key, "a.mode", "a.arrangement")

@@ -220,3 +220,99 @@ def slot_kind() -> Column:
     for pos, name in (("PROPN", "propn"), ("VERB", "verb"), ("NOUN", "noun"), ("ADJ", "adj"), ("ADV", "adv")):
         kind = kind.when(F.col("pos") == pos, name)
     return kind.otherwise("pass")
+
+
+#: Tags and words of questions.
+WH_TAGS, WH_WORDS = ("WP", "WDT", "WRB", "WP$"), ("what", "which", "who", "whom", "whose")
+
+
+def interrogative(kinds: Column, asks: Column) -> Column:
+    """Whether a wh token asks: by its pronoun types (an array, null or empty if unknown), else in a text that ends with ?."""
+    known = F.size(F.coalesce(kinds, F.array().cast("array<string>"))) > 0
+    return F.coalesce(F.col("tag").isin(*WH_TAGS), F.lit(False)) & F.when(known, F.array_contains(kinds, "Int")).otherwise(asks)
+
+
+def morph_signature(morph: Column) -> Column:
+    """A map of morphological features as sorted entries."""
+    return F.array_sort(F.map_entries(morph))
+
+
+def governed_prepositions(tokens: DataFrame, key: list[str]) -> DataFrame:
+    """(key, i): prepositions that a verb governs, as its child or as the case of its oblique."""
+    up = tokens.select(*key, F.col("i").alias("head"), F.col("pos").alias("h_pos"), F.col("dep").alias("h_dep"), F.col("head").alias("grand"))
+    over = tokens.select(*key, F.col("i").alias("grand"), F.col("pos").alias("g_pos"))
+    rows = tokens.filter((F.col("pos") == "ADP") & (F.col("head") != F.col("i"))).join(up, [*key, "head"]).join(over, [*key, "grand"])
+    verb = lambda c: F.col(c).isin("VERB", "AUX")
+    direct = (F.col("dep") == "prep") & verb("h_pos") & ~((F.col("lemma") == "to") & (F.col("h_dep") == "xcomp"))
+    oblique = (F.col("dep") == "case") & F.col("h_dep").startswith("obl") & verb("g_pos")
+    return rows.filter(direct | oblique).select(*key, "i")
+
+
+def verb_prepositions(tokens: DataFrame, key: list[str]) -> DataFrame:
+    """(key, i, preps): prepositions that pair with a verb: its own, those of its nominal dependents, and the next token."""
+    adp = tokens.filter((F.col("pos") == "ADP") & F.col("dep").isin("prep", "case"))
+    verbs = tokens.filter(F.col("pos") == "VERB").select(*key, "i")
+    own = adp.select(*key, F.col("head").alias("i"), "lemma")
+    nominal = tokens.filter(F.col("dep").isin("obl", "nmod", "obj", "dobj", "iobj", "pobj", "attr")).select(*key, F.col("i").alias("n"), F.col("head").alias("i"))
+    below = adp.select(*key, F.col("head").alias("n"), "lemma").join(nominal, [*key, "n"]).select(*key, "i", "lemma")
+    after = adp.select(*key, (F.col("i") - 1).alias("i"), "lemma")
+    found = verbs.join(own.unionByName(below).unionByName(after), [*key, "i"], "left")
+    return found.groupBy(*key, "i").agg(F.array_sort(F.collect_set("lemma")).alias("preps"))
+
+
+def descendants(tokens: DataFrame, key: list[str], rounds: int = 4) -> DataFrame:
+    """(key, top, i): each token and all below it, up to `rounds` levels."""
+    arcs = tokens.filter(F.col("head") != F.col("i")).select(*key, F.col("head").alias("i"), F.col("i").alias("child"))
+    out = level = tokens.select(*key, F.col("i").alias("top"), "i")
+    for _ in range(rounds):
+        level = level.join(arcs, [*key, "i"]).select(*key, "top", F.col("child").alias("i"))
+        out = out.unionByName(level)
+    return out.distinct()
+
+
+def expletive_contexts(tokens: DataFrame, key: list[str], be: tuple[str, ...] = ("be",), to: tuple[str, ...] = ("to",)) -> DataFrame:
+    """(key, i): verbs over a to-be clause with an expletive there below them or it as their object."""
+    below = descendants(tokens, key).join(tokens.select(*key, "i", "lemma", "pos", "dep"), [*key, "i"])
+    marks = below.groupBy(*key, "top").agg(
+        F.bool_or(F.col("lemma").isin(*be) & F.col("pos").isin("AUX", "VERB")).alias("has_be"),
+        F.bool_or(F.col("lemma").isin(*to)).alias("has_to"),
+        F.bool_or((F.col("lemma") == "there") & F.col("dep").isin("expl", "nsubj")).alias("has_there"),
+    )
+    clauses = tokens.filter(F.col("dep") == "xcomp").select(*key, F.col("i").alias("top"), F.col("head").alias("of")).join(marks.filter("has_be and has_to"), [*key, "top"]).select(*key, "of")
+    through = tokens.filter((F.col("pos") == "ADJ") & F.col("dep").isin("acomp", "attr")).select(*key, F.col("i").alias("of"), F.col("head").alias("i"))
+    over = clauses.select(*key, F.col("of").alias("i")).unionByName(clauses.join(through, [*key, "of"]).select(*key, "i")).distinct()
+    objects = tokens.filter(F.col("dep").isin("obj", "dobj") & (F.col("pos") == "PRON") & (F.col("lemma") == "it")).select(*key, F.col("head").alias("i"))
+    said = marks.filter("has_there").select(*key, F.col("top").alias("i")).unionByName(objects).distinct()
+    verbs = tokens.filter(F.col("pos").isin("VERB", "AUX")).select(*key, "i")
+    return verbs.join(over, [*key, "i"], "left_semi").join(said, [*key, "i"], "left_semi")
+
+
+def gap_frames(tokens: DataFrame, key: list[str], do: tuple[str, ...] = ("do",)) -> DataFrame:
+    """(key, i, frame): frames of verbs, with the gap of a moved wh object counted as one.
+
+    Only a verb without object, preposition or clause below it, with a subject that doesn't ask, in a sentence with a wh
+    word and an auxiliary do.
+    """
+    wh = F.col("tag").startswith("W") | F.lower("text").isin(*WH_WORDS)
+    full = with_children(tokens, key)
+    sentences = tokens.groupBy(*key, "sent").agg(F.bool_or(wh).alias("has_wh"), F.bool_or((F.col("dep") == "aux") & F.col("lemma").isin(*do)).alias("has_do"))
+    kids = tokens.filter(F.col("head") != F.col("i"))
+    subjects = kids.filter(F.col("dep") == "nsubj").groupBy(*key, F.col("head").alias("i")).agg(F.min_by(~wh, "i").alias("plain_subject"))
+    clauses = kids.filter(F.col("dep").isin("ccomp", "xcomp", "csubj")).select(*key, F.col("head").alias("i")).distinct().withColumn("has_clause", F.lit(True))
+    rows = full.filter(F.col("pos") == "VERB").join(sentences, [*key, "sent"]).join(subjects, [*key, "i"], "left").join(clauses, [*key, "i"], "left")
+    gap = (frame() == "intrans") & (F.size("preps") == 0) & F.col("has_clause").isNull() & ~F.col("has_obj") & F.coalesce("plain_subject", F.lit(False)) & F.col("has_wh") & F.col("has_do")
+    return rows.select(*key, "i", F.when(gap, "trans").otherwise(frame()).alias("frame"))
+
+
+def adjective_licenses(tokens: DataFrame, key: list[str]) -> DataFrame:
+    """(key, i, license): there, it or np of each adjective, by its host's expletive, then by its subject.
+
+    The host of a predicate adjective is its head.
+    """
+    host = F.when(F.col("dep").isin("acomp", "attr"), F.col("head")).otherwise(F.col("i"))
+    rows = tokens.filter(F.col("pos") == "ADJ").select(*key, "i", host.alias("host"))
+    expletive = F.when((F.col("dep") == "expl") & F.col("lemma").isin("there", "it"), F.struct(F.lit(0).alias("r"), "i", F.col("lemma").alias("v")))
+    subject = F.when(F.col("dep").isin("nsubj", "nsubjpass"), F.struct(F.lit(1).alias("r"), "i", F.when((F.col("pos") == "PRON") & (F.col("lemma") == "it"), "it").otherwise("np").alias("v")))
+    kids = tokens.filter(F.col("head") != F.col("i")).select(*key, F.col("head").alias("host"), F.coalesce(expletive, subject).alias("e")).filter("e is not null")
+    best = kids.groupBy(*key, "host").agg(F.min("e")["v"].alias("v"))
+    return rows.join(best, [*key, "host"], "left").select(*key, "i", F.coalesce("v", F.lit("np")).alias("license"))

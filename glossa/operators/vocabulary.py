@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.functions.text import bare_words, let, sentences
+from glossa.functions.text import bare_words, inflect, let, sentences
 from glossa.session import settled
 
 
@@ -101,3 +101,16 @@ def phrase_list(*lists: DataFrame) -> DataFrame:
     for other in lists[1:]:
         out = out.union(other)
     return out.distinct()
+
+
+def realized(rows: DataFrame, forms: DataFrame) -> DataFrame:
+    """rows (lemma, tag) with their form: the first that a table of forms lists, else by suffix rules (H7).
+
+    forms: lemma, tag, rank, form. Of several words the last one is looked up and inflected.
+    """
+    head = F.regexp_extract("lemma", r"[^ ]*$", 0)
+    first = forms.groupBy(F.col("lemma").alias("_head"), "tag").agg(F.min_by("form", F.struct("rank", "form")).alias("_form"))
+    met = rows.withColumn("_head", head).join(first, ["_head", "tag"], "left")
+    before = F.substring("lemma", F.lit(1), F.length("lemma") - F.length("_head"))
+    form = F.when(F.col("_form").isNotNull(), F.concat(before, "_form")).otherwise(inflect(F.col("lemma"), F.col("tag")))
+    return met.withColumn("form", form).drop("_head", "_form")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glossa.functions import text as T
 from glossa.functions import vectors as V
 from glossa.functions.formula import compile_formula, region_totals
-from glossa.operators import language_model, metrics, rewriting
+from glossa.operators import language_model, metrics, rewriting, slicing
 from glossa.plans.registry import query
 from glossa.sources.readers import parquet_table
 
@@ -265,3 +265,48 @@ def surface_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = T.first_surface_match(F.col("w"), [F.array(F.lit("zzz")), F.array(F.lit("the")), F.array(F.lit("of"))])
     starts = T.subsequence_starts(F.col("w"), F.array(F.lit("the")))
     return rows.filter(F.size(starts) > 0).select("item_id", F.get(found, F.lit(0)).alias("first_the"), F.size(starts).alias("n_the"))
+
+
+@query(f"""WITH {_SCORES}, a AS (SELECT field, temp_idx, avg(correct) AS acc FROM sc JOIN co USING (item_id, temp_idx, field, term, uid, good, bad) GROUP BY ALL), b AS (SELECT temp_idx AS best FROM (SELECT temp_idx, avg(acc) AS m FROM a GROUP BY 1 ORDER BY m DESC, temp_idx LIMIT 1)),
+p AS (SELECT uid, string_agg(uid || '_' || item_id || CASE WHEN correct = 1 THEN '+' ELSE '-' END, ' ' ORDER BY item_id) AS chosen FROM co WHERE temp_idx = 5 GROUP BY uid),
+m AS (SELECT field, round(max(CASE WHEN temp_idx = best THEN acc END), 9) AS at_best, round(max(CASE WHEN temp_idx = 5 THEN acc END), 9) AS at_five FROM a, b GROUP BY field)
+SELECT 'predictions' AS kind, uid AS name, chosen AS text, CAST(NULL AS DOUBLE) AS at_best, CAST(NULL AS DOUBLE) AS at_five FROM p UNION ALL SELECT 'suite', field, NULL, at_best, at_five FROM m WHERE field IN ('f0', 'f2')""")
+def temperature_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is chosen at one temperature, and chosen suites at the best and at a fixed one."""
+    scores = pair_scores(spark, sf_dir)
+    sign = F.when(F.col("correct") == 1, "+").otherwise("-")
+    item = F.concat("uid", F.lit("_"), F.col("item_id").cast("string"), sign)
+    chosen = scores.filter("temp_idx = 5").groupBy("uid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", item.alias("t")))), lambda s: s["t"]), " ").alias("text"))
+    by_field = metrics.accuracy_by(scores, ["field"])
+    best = metrics.best_temperature(metrics.macro_by_temperature(by_field, "field")).select(F.col("temp_idx").alias("best"))
+    rows = by_field.crossJoin(F.broadcast(best))  # one row
+    at = lambda c: F.round(F.max(F.when(c, F.col("accuracy"))), 9)
+    suites = rows.groupBy(F.col("value").alias("name")).agg(at(F.col("temp_idx") == F.col("best")).alias("at_best"), at(F.col("temp_idx") == 5).alias("at_five"))
+    wanted = spark.createDataFrame([("f0",), ("f2",)], "name string")
+    suites = suites.join(wanted, "name", "left_semi").select(F.lit("suite").alias("kind"), "name", F.lit(None).cast("string").alias("text"), "at_best", "at_five")
+    none = F.lit(None).cast("double")
+    return suites.unionByName(chosen.select(F.lit("predictions").alias("kind"), F.col("uid").alias("name"), "text", none.alias("at_best"), none.alias("at_five")))
+
+
+@query(f"""WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark), s AS (SELECT item_id, {U.format("'51:' || item_id")} AS good, {U.format("'52:' || item_id")} AS bad, CASE WHEN item_id % 3 > 0 THEN {U.format("'53:' || item_id")} END AS good_at, CASE WHEN item_id % 4 > 0 THEN {U.format("'54:' || item_id")} END AS bad_at FROM benchmark),
+b AS (SELECT item_id, w, coalesce(sum(len(w)) OVER (ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w WHERE len(w) >= 2)
+SELECT b.item_id, array_to_string(w[1:3], ' ') || ' ' || array_to_string(w[4:], ' ') AS sequence, CAST(len(w[1:3]) AS INTEGER) AS prefix, round(CASE WHEN good_at IS NULL OR bad_at IS NULL THEN good - bad ELSE good_at - bad_at END, 9) AS margin FROM b JOIN s USING (item_id) WHERE before < 500""")
+def scored_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences with their prefix until a budget of words is met, scored at critical words or else whole."""
+    u = lambda k: T.uniform(k, F.col("item_id"))
+    rows = parquet_table(spark, sf_dir, "benchmark").select("item_id", T.pieces(F.col("text")).alias("w")).filter(F.size("w") >= 2)
+    taken = slicing.running_total(rows.withColumn("n", F.size("w")), "n", "item_id", name="before").filter("before < 500")
+    part = lambda a, b: F.array_join(F.slice("w", a, b), " ")
+    at = F.when(F.col("item_id") % 3 > 0, u(53)) - F.when(F.col("item_id") % 4 > 0, u(54))
+    sequence = F.concat(part(1, 3), F.lit(" "), part(4, F.size("w")))
+    return taken.select("item_id", sequence.alias("sequence"), F.size(F.slice("w", 1, 3)).alias("prefix"), F.round(F.coalesce(at, u(51) - u(52)), 9).alias("margin"))
+
+
+@query("""WITH i AS (SELECT item_id, split_part(text, ' ', 1) AS x1, split_part(text, ' ', 2) AS y1, split_part(text, ' ', 3) AS x2, split_part(text, ' ', 4) AS y2 FROM benchmark)
+SELECT item_id, mode, unnest(CASE mode WHEN 'primary' THEN [x1 || ' ' || y1 || ' ' || x2 || ' ' || y2] WHEN 'sem2' THEN [x1 || ' ' || y1 || ' ' || x2 || ' ' || y2, x2 || ' ' || y2 || ' ' || x1 || ' ' || y1]
+  ELSE [x1 || ' ' || y1 || ' ' || x2 || ' ' || y2, x1 || ' ' || y2 || ' ' || x2 || ' ' || y1, x2 || ' ' || y2 || ' ' || x1 || ' ' || y1, x2 || ' ' || y1 || ' ' || x1 || ' ' || y2] END) AS arrangement FROM i, unnest(['primary', 'sem2', 'all4']) AS m(mode)""")
+def arrangements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrangements of two associated pairs by mode."""
+    word = lambda k: F.split_part("text", F.lit(" "), F.lit(k))
+    rows = parquet_table(spark, sf_dir, "benchmark").select("item_id", *(word(k).alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"), 1)))
+    return metrics.arranged(rows, ["item_id"])

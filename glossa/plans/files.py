@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
-from glossa.operators import dictionary, language_model, pools, rewriting, trees, vocabulary
+from glossa.functions import vectors as V
+from glossa.operators import dictionary, language_model, patterns, pools, rewriting, trees, vocabulary
 from glossa.plans.registry import query
-from glossa.plans.rewriting import BENCH, CONV, KEY, _U, _in, bench_tokens, conv_tokens
+from glossa.plans.rewriting import _INF, _KIDS, _U, BENCH, CONV, KEY, _in, bench_tokens, conv_tokens
 from glossa.session import shared_folder
 from glossa.sources import readers, sinks
 from glossa.sources.readers import parquet_table
@@ -237,3 +238,123 @@ def adjective_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of candidates by score."""
     return language_model.ranked(parquet_table(spark, sf_dir, "documents"), ["lang"], "n_chars", "doc_id").select("lang", "doc_id", "place")
+
+
+@query(rf"""WITH {CONV}, x AS (SELECT conv_id, turn, sent, i, pos, lead(pos) OVER w AS p1, lead(pos, 2) OVER w AS p2, lower(text) AS l0, lead(lower(text)) OVER w AS l1 FROM tok WINDOW w AS (PARTITION BY conv_id, turn, sent ORDER BY i))
+SELECT conv_id, turn, i AS start, i + CASE WHEN p1 = 'ADJ' THEN 3 ELSE 2 END AS "end", 'noun phrase' AS pattern FROM x WHERE pos = 'DET' AND (p1 = 'NOUN' OR (p1 = 'ADJ' AND p2 = 'NOUN'))
+UNION ALL SELECT conv_id, turn, i, i + 2, 'of or in with the' FROM x WHERE l0 IN ('of', 'in') AND l1 = 'the'""")
+def token_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of token patterns with sets of values and optional tokens."""
+    wanted = {"noun phrase": [{"POS": "DET"}, {"POS": "ADJ", "OP": "?"}, {"POS": "NOUN"}], "of or in with the": [{"LOWER": {"IN": ["of", "in"]}}, {"LOWER": "the"}]}
+    return patterns.token_matches(conv_tokens(spark, sf_dir), wanted, KEY)
+
+
+@query(rf"""WITH {CONV}, k AS (SELECT * FROM tok WHERE head <> i)
+SELECT v.conv_id, v.turn, v.i AS anchor, s.i AS subject, d.i AS determiner, o.i AS object FROM tok v JOIN k s ON s.conv_id = v.conv_id AND s.turn = v.turn AND s.head = v.i AND s.dep = 'nsubj'
+LEFT JOIN k d ON d.conv_id = v.conv_id AND d.turn = v.turn AND d.head = s.i AND d.dep = 'det' LEFT JOIN k o ON o.conv_id = v.conv_id AND o.turn = v.turn AND o.head = v.i AND o.dep = 'dobj' AND o.pos = 'NOUN' WHERE v.pos = 'VERB'""")
+def dependency_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verbs with a subject, its determiner and an object where there are any."""
+    edges = [("anchor", "subject", "nsubj", {}), ("subject", "determiner", "det", {"OP": "?"}), ("anchor", "object", "dobj", {"POS": "NOUN", "OP": "?"})]
+    return patterns.dependency_matches(conv_tokens(spark, sf_dir), {"POS": "VERB"}, edges, KEY)
+
+
+@query(rf"""WITH {CONV}, a AS (SELECT * FROM tok WHERE pos = 'ADP' AND dep IN ('prep', 'case')),
+n AS (SELECT * FROM tok WHERE dep IN ('obl', 'nmod', 'obj', 'dobj', 'iobj', 'pobj', 'attr')),
+f AS (SELECT conv_id, turn, head AS i, lemma FROM a UNION SELECT n.conv_id, n.turn, n.head, a.lemma FROM a JOIN n ON n.conv_id = a.conv_id AND n.turn = a.turn AND n.i = a.head UNION SELECT conv_id, turn, i - 1, lemma FROM a)
+SELECT v.conv_id, v.turn, v.i, coalesce(string_agg(DISTINCT f.lemma, ' ' ORDER BY f.lemma), '') AS preps, CAST(count(DISTINCT g.i) AS BIGINT) AS governed FROM tok v LEFT JOIN f USING (conv_id, turn, i)
+LEFT JOIN (SELECT p.conv_id, p.turn, p.head AS i, p.i AS g FROM tok p WHERE p.pos = 'ADP' AND p.dep = 'prep' AND p.head <> p.i) h ON h.conv_id = v.conv_id AND h.turn = v.turn AND h.i = v.i
+LEFT JOIN tok g ON g.conv_id = h.conv_id AND g.turn = h.turn AND g.i = h.g AND NOT (g.lemma = 'to' AND v.dep = 'xcomp') WHERE v.pos = 'VERB' GROUP BY v.conv_id, v.turn, v.i""")
+def verb_prepositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prepositions that pair with verbs, and how many a verb governs."""
+    tok = conv_tokens(spark, sf_dir)
+    governed = trees.governed_prepositions(tok, KEY).join(tok.select(*KEY, "i", "head"), [*KEY, "i"]).groupBy(*KEY, F.col("head").alias("i")).agg(F.count(F.lit(1)).alias("governed"))
+    out = trees.verb_prepositions(tok, KEY).join(governed, [*KEY, "i"], "left")
+    return out.select(*KEY, "i", F.array_join("preps", " ").alias("preps"), F.coalesce("governed", F.lit(0)).alias("governed"))
+
+
+@query(rf"""WITH {CONV}, {_KIDS}, ss AS (SELECT conv_id, turn, sent, bool_or(tag LIKE 'W%' OR lower(text) IN {_in(trees.WH_WORDS)}) AS wh, bool_or(dep = 'aux' AND lemma IN ('do', 'is', 'und')) AS has_do FROM tok GROUP BY ALL),
+su AS (SELECT conv_id, turn, head AS i, arg_min(NOT (tag LIKE 'W%' OR lower(text) IN {_in(trees.WH_WORDS)}), i) AS plain FROM tok WHERE dep = 'nsubj' AND head <> i GROUP BY ALL)
+SELECT f.conv_id, f.turn, f.i, CASE WHEN has_obj AND has_prep THEN 'ditrans' WHEN has_obj THEN 'trans' WHEN len(preps) = 0 AND NOT has_xcomp AND coalesce(plain, false) AND wh AND has_do THEN 'trans' ELSE 'intrans' END AS frame
+FROM ful f JOIN ss USING (conv_id, turn, sent) LEFT JOIN su USING (conv_id, turn, i) WHERE pos = 'VERB'""")
+def gap_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of verbs with the gaps of moved objects."""
+    return trees.gap_frames(conv_tokens(spark, sf_dir), KEY, ("do", "is", "und"))
+
+
+@query(rf"""WITH RECURSIVE {BENCH}, dn AS (SELECT item_id, i AS top, i, 0 AS d FROM tok UNION SELECT x.item_id, x.top, t.i, x.d + 1 FROM dn x JOIN tok t ON t.item_id = x.item_id AND t.head = x.i AND t.head <> t.i WHERE x.d < 4),
+mk AS (SELECT dn.item_id, top, bool_or(t.lemma IN ('is', 'be', 'en') AND t.pos IN ('AUX', 'VERB', 'ADP')) FILTER (WHERE t.pos IN ('AUX', 'VERB')) AS has_be, bool_or(t.lemma IN ('to', 'de', 'in')) AS has_to, bool_or(t.lemma = 'there' AND t.dep IN ('expl', 'nsubj')) AS there FROM dn JOIN tok t ON t.item_id = dn.item_id AND t.i = dn.i GROUP BY ALL),
+xc AS (SELECT x.item_id, x.head AS i FROM tok x JOIN mk ON mk.item_id = x.item_id AND mk.top = x.i AND has_be AND has_to WHERE x.dep = 'xcomp')
+SELECT v.item_id, v.i FROM tok v WHERE v.pos IN ('VERB', 'AUX') AND EXISTS (SELECT 1 FROM xc WHERE xc.item_id = v.item_id AND xc.i = v.i)
+  AND (EXISTS (SELECT 1 FROM mk WHERE mk.item_id = v.item_id AND mk.top = v.i AND there) OR EXISTS (SELECT 1 FROM tok o WHERE o.item_id = v.item_id AND o.head = v.i AND o.dep IN ('obj', 'dobj') AND o.pos = 'PRON' AND o.lemma = 'it'))""")
+def expletive_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verbs over a to-be clause with an expletive."""
+    return trees.expletive_contexts(bench_tokens(spark, sf_dir), ["item_id"], ("is", "be", "en"), ("to", "de", "in"))
+
+
+@query(rf"""WITH {BENCH}, e AS (SELECT item_id, head AS host, arg_min(CASE WHEN dep = 'expl' THEN lemma WHEN pos = 'PRON' AND lemma = 'it' THEN 'it' ELSE 'np' END, CASE WHEN dep = 'expl' THEN 0 ELSE 100000 END + i) AS v FROM tok WHERE head <> i AND ((dep = 'expl' AND lemma IN ('there', 'it')) OR dep IN ('nsubj', 'nsubjpass')) GROUP BY ALL)
+SELECT t.item_id, t.i, coalesce(e.v, 'np') AS license FROM tok t LEFT JOIN e ON e.item_id = t.item_id AND e.host = CASE WHEN t.dep IN ('acomp', 'attr') THEN t.head ELSE t.i END WHERE t.pos = 'ADJ'""")
+def adjective_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subject licenses of adjectives."""
+    return trees.adjective_licenses(bench_tokens(spark, sf_dir), ["item_id"])
+
+
+@query(rf"""WITH {BENCH} SELECT item_id, i, lower(text) IN ('who', 'which') AND (SELECT count(*) FROM tok q WHERE q.item_id = tok.item_id AND q.text = '?') > 0 AS asks, 'Number=' || (CASE WHEN tag LIKE '%S' THEN 'Plur' ELSE 'Sing' END) || '|Tag=' || tag AS morph FROM tok WHERE pos IN ('PRON', 'NOUN')""")
+def token_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wh tokens that ask, and sorted morphological features."""
+    tok = bench_tokens(spark, sf_dir)
+    marks = tok.groupBy("item_id").agg(F.bool_or(F.col("text") == "?").alias("marked"))
+    rows = tok.filter("pos in ('PRON', 'NOUN')").join(marks, "item_id").withColumn("was", F.col("tag")).withColumn("tag", F.when(F.lower("text").isin("who", "which"), "WP").otherwise(F.col("tag")))
+    morph = F.create_map(F.lit("Tag"), F.col("was"), F.lit("Number"), F.when(F.col("was").endswith("S"), "Plur").otherwise("Sing"))
+    signature = F.array_join(F.transform(trees.morph_signature(morph), lambda e: F.concat_ws("=", e["key"], e["value"])), "|")
+    return rows.select("item_id", "i", trees.interrogative(F.array().cast("array<string>"), F.col("marked")).alias("asks"), signature.alias("morph"))
+
+
+_FRAMES = ("<NP/><VERB/><NP/>", "<NP/><VERB/><NP/><NP/>", '<NP/><VERB/><PREP value="with / to"/><NP/>', '<NP/><VERB/><LEX value="that"/><S/>', '<NP/><VERB/><NP/><PREP value="to"/><NP/>')
+_SAID = ("('trans', '', '')", "('ditrans', '', '')", "('intrans', 'to with', '')", "('intrans', '', 'that')", "('trans', 'to', '')")
+
+
+@query(rf"""WITH {BENCH}, f(k, key, preps, flags) AS (VALUES {', '.join(f"({k}, {x[1:]}" for k, x in enumerate(_SAID))})
+SELECT DISTINCT lemma AS verb, key, preps, flags FROM tok JOIN f ON k IN (item_id % 5, length(lemma) % 5) WHERE pos = 'VERB'""")
+def verb_class_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members and frames of verb classes in XML."""
+    at = _folder(spark)
+    verbs = bench_tokens(spark, sf_dir).filter("pos = 'VERB'").select("item_id", "lemma").distinct()
+    frame = lambda k: F.concat(F.lit("<FRAME><SYNTAX>"), F.get(F.array(*map(F.lit, _FRAMES)), k.cast("int")), F.lit("</SYNTAX></FRAME>"))
+    text = F.concat(F.lit('<VNCLASS ID="c"><MEMBERS><MEMBER name="'), "lemma", F.lit('"/></MEMBERS><FRAMES>'), frame(F.col("item_id") % 5), frame(F.length("lemma") % 5), F.lit("</FRAMES></VNCLASS>"))
+    verbs.select(text.alias("value")).write.text(f"{at}/classes")
+    out = readers.read_verb_classes(spark, f"{at}/classes")
+    return out.select("verb", "key", F.array_join("preps", " ").alias("preps"), F.array_join("flags", " ").alias("flags"))
+
+
+@query(f"""WITH {BENCH}, r AS (SELECT DISTINCT lemma AS target, unnest(['NNS', 'VBD']) AS tag FROM tok WHERE pos IN ('NOUN', 'VERB')), fo AS (SELECT lemma, 'VBD' AS tag, min(text) AS form FROM tok WHERE pos = 'VERB' AND length(text) % 3 = 0 GROUP BY lemma)
+SELECT target AS lemma, r.tag, coalesce(fo.form, {_INF.replace('tag IN', 'r.tag IN').replace('tag =', 'r.tag =')}) AS form FROM r LEFT JOIN fo ON fo.lemma = target AND fo.tag = r.tag""")
+def realized_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H7: forms from a table of irregular ones, else by rule."""
+    tok = bench_tokens(spark, sf_dir)
+    rows = tok.filter("pos in ('NOUN', 'VERB')").select("lemma", F.explode(F.array(F.lit("NNS"), F.lit("VBD"))).alias("tag")).distinct()
+    forms = tok.filter("pos = 'VERB' and length(text) % 3 = 0").select("lemma", F.lit("VBD").alias("tag"), F.lit(0).alias("rank"), F.col("text").alias("form"))
+    return vocabulary.realized(rows, forms)
+
+
+@query(r"""SELECT item_id, CAST(octet_length(encode(trim(text))) AS INTEGER) AS n_ids, list_sum(list_transform(range(octet_length(encode(trim(text)))), lambda i: CAST('0x' || substr(hex(encode(trim(text))), 2 * i + 1, 2) AS INTEGER)))::BIGINT AS total FROM benchmark""")
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of a plug-in tokenizer written as a table and read again."""
+    at = _folder(spark)
+    ids = sinks.token_ids(parquet_table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id", "long", sinks.utf8_tokenizer)
+    sinks.write_table(ids, f"{at}/ids")
+    rows = spark.read.parquet(f"{at}/ids")
+    return rows.select("item_id", F.size("ids").alias("n_ids"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS z FROM embeddings),
+k AS (SELECT vec_id, label, z, list_sort(z)[len(z) - 4] AS least FROM e), p AS (SELECT *, list_transform(z, lambda x, i: CASE WHEN i - 1 = label % len(z) THEN CASE WHEN x > 0 THEN x / 1.5::DOUBLE ELSE x * 1.5::DOUBLE END ELSE x END) AS pen FROM k)
+SELECT vec_id, CAST(len(list_filter(z, lambda x: x >= least)) AS INTEGER) AS kept, round(list_sum(pen), 6) AS penalised, CASE WHEN label % 2 = 0 THEN '3' ELSE '' END AS blocked FROM p""")
+def decoding_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-k, the penalty of seen ids, and ids that would repeat an n-gram."""
+    z = F.col("embedding").cast("array<double>")
+    rows = parquet_table(spark, sf_dir, "embeddings").select("vec_id", z.alias("z"), (F.col("label") % F.size("embedding")).cast("int").alias("y"), (F.col("label") % 2).cast("int").alias("odd"))
+    kept = F.size(F.filter(V.top_k(F.col("z"), 5), lambda x: x > float("-inf")))
+    penalised = F.aggregate(V.repetition_penalty(F.col("z"), F.array("y"), 1.5), F.lit(0.0), lambda a, x: a + x)
+    ids = F.when(F.col("odd") == 0, F.array(*map(F.lit, (1, 2, 3, 4, 1, 2)))).otherwise(F.array(*map(F.lit, (1, 2, 3, 4, 5, 6))))
+    blocked = F.array_join(F.transform(V.blocked_ids(ids, 3), lambda x: x.cast("string")), " ")
+    return rows.select("vec_id", kept.alias("kept"), F.round(penalised, 6).alias("penalised"), blocked.alias("blocked"))

@@ -267,3 +267,38 @@ def metric_blocks(lines: DataFrame, pattern: str, by: list[str]) -> DataFrame:
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, md5) of files, to check what was fetched."""
     return spark.read.format("binaryFile").load(path).select("path", F.md5("content").alias("md5"))
+
+
+#: Words that open an embedded question, and descriptions of clauses.
+QUESTION_WORDS = ("whether", "if", "who", "whom", "whose", "what", "which", "where", "when", "why", "how")
+QUESTION_TO, QUESTION = ("WH-TO-INF", "WHAT-TO-INF", "HOW-TO-INF"), ("WH-S", "WHAT-S", "HOW-S")
+
+
+def read_verb_classes(spark: SparkSession, path: str) -> DataFrame:
+    """(verb, key, preps, flags): the frames of verb class files, one row per member and frame.
+
+    A class is one record; its frames are read in the order of their elements. Objects are noun phrases after the verb
+    that no preposition opens. A frame with a clause counts as intransitive.
+    """
+    classes = spark.read.option("lineSep", "</VNCLASS>").text(path)
+    found = lambda x, p, k=1: F.regexp_extract_all(x, F.lit(p), F.lit(k))
+    rows = classes.select(found(F.col("value"), r'<MEMBER\b[^>]*\bname="([^"]*)"').alias("members"), F.explode(found(F.col("value"), r"(?s)<FRAME\b(.*?)</FRAME>")).alias("f"))
+    rows = rows.withColumn("syntax", F.regexp_extract("f", r"(?s)<SYNTAX>(.*?)</SYNTAX>", 1))
+    start = F.struct(F.lit(False).alias("after"), F.lit(False).alias("open"), F.lit(0).alias("n"))
+
+    def step(acc, tag):
+        core = (tag == "NP") & acc["after"] & ~acc["open"]
+        return F.struct((acc["after"] | (tag == "VERB")).alias("after"), F.when(tag == "PREP", True).when(tag == "NP", False).otherwise(acc["open"]).alias("open"), (acc["n"] + core.cast("int")).alias("n"))
+
+    objects = F.aggregate(found(F.col("syntax"), r"<(NP|VERB|PREP)\b"), start, step, lambda a: a["n"])
+    words = F.transform(found(F.col("syntax"), r'<LEX\b[^>]*\bvalue="([^"]*)"'), lambda w: F.lower(F.trim(w)))
+    said = F.filter(F.array(F.when(F.arrays_overlap(words, F.array(*map(F.lit, QUESTION_WORDS))), "q"), F.when(F.array_contains(words, "that"), "that"), F.when(F.array_contains(words, "to"), "to")), lambda x: x.isNotNull())
+    about = F.replace(F.upper(F.regexp_extract("f", r'<DESCRIPTION\b[^>]*\bprimary="([^"]*)"', 1)), F.lit("_"), F.lit("-"))
+    holds = lambda names: F.exists(F.array(*map(F.lit, names)), lambda t: F.contains(about, t))
+    some = lambda *names: F.array(*map(F.lit, names)).cast("array<string>")
+    described = F.when(holds(QUESTION_TO), some("q", "to")).when(F.contains(about, F.lit("TO-INF")), some("to")).when(holds(QUESTION), some("q")).when(about == "S", some("that")).otherwise(some())
+    rows = rows.withColumn("flags", F.when(F.size(said) > 0, said).otherwise(described)).withColumn("objects", objects)
+    values = F.flatten(F.transform(found(F.col("syntax"), r'<PREP\b[^>]*\bvalue="([^"]*)"'), lambda v: F.split(F.lower(F.trim(v)), r"[/\s|]+")))
+    preps = F.array_sort(F.array_distinct(F.filter(values, lambda v: ~v.isin("", "none"))))
+    key = F.when(F.size("flags") > 0, "intrans").when(F.col("objects") >= 2, "ditrans").when(F.col("objects") == 1, "trans").otherwise("intrans")
+    return rows.select(F.explode("members").alias("verb"), key.alias("key"), preps.alias("preps"), F.array_sort("flags").alias("flags")).distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,3 +69,24 @@ def refuse(violations: DataFrame, message: str) -> None:
     first = violations.take(1)
     if first:
         raise ValueError(f"{message}: {first[0].asDict()}")
+
+
+def token_ids(texts: DataFrame, key: str, key_type: str, tokenizer: Callable[[], Callable[[list[str]], list[list[int]]]], text: str = "text") -> DataFrame:
+    """(key, ids): sub-word ids of the stripped texts by a plug-in, loaded once per Python worker.
+
+    tokenizer() gives a function from texts to lists of ids. write_table() keeps the result.
+    """
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = tokenizer()
+        for b in batches:
+            ids = encode([(t or "").strip() for t in b[text].to_pylist()])
+            yield pa.record_batch([b[key], pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
+
+    return texts.select(key, text).mapInArrow(run, f"{key} {key_type}, ids array<int>")
+
+
+def utf8_tokenizer() -> Callable[[list[str]], list[list[int]]]:
+    """The tokenizer whose ids are bytes."""
+    return lambda texts: [list(t.encode()) for t in texts]

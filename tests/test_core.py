@@ -353,3 +353,88 @@ def test_vocabulary_filter_drops_empty_documents(spark):
     docs = spark.createDataFrame([(1, "The cat. A zebra! Cat the."), (2, "Zebra."), (3, ""), (4, "...")], "doc_id int, text string")
     words = spark.createDataFrame([("the",), ("cat",)], "token string")
     assert values(vocabulary.within_vocabulary(docs, words), "doc_id", "text") == [(1, "The cat. Cat the.")]
+
+
+TOKENS = "k int, i int, text string, is_start boolean, sent int, pos string, tag string, lemma string, dep string, head int"
+
+
+def tree(spark, *words):
+    """Tokens of one sentence from (text, pos, tag, lemma, dep, head)."""
+    return spark.createDataFrame([(1, i, w[0], i == 0, 0, *w[1:]) for i, w in enumerate(words)], TOKENS)
+
+
+def test_gaps_of_moved_objects_count_as_objects(spark):
+    ask = [("What", "PRON", "WP", "what", "dobj", 3), ("did", "AUX", "VBD", "do", "aux", 3), ("she", "PRON", "PRP", "she", "nsubj", 3), ("buy", "VERB", "VB", "buy", "ROOT", 3)]
+    moved = [*ask[:3], ("say", "VERB", "VB", "say", "ROOT", 3), ("he", "PRON", "PRP", "he", "nsubj", 5), ("bought", "VERB", "VBD", "buy", "ccomp", 3)]
+    moved[0] = ("What", "PRON", "WP", "what", "dep", 3)
+    assert values(trees.gap_frames(tree(spark, *ask), ["k"]), "i", "frame") == [(3, "trans")]
+    assert values(trees.gap_frames(tree(spark, *moved), ["k"]), "i", "frame") == [(3, "intrans"), (5, "trans")]
+    plain = [("she", "PRON", "PRP", "she", "nsubj", 1), ("slept", "VERB", "VBD", "sleep", "ROOT", 1)]
+    assert values(trees.gap_frames(tree(spark, *plain), ["k"]), "i", "frame") == [(1, "intrans")]
+
+
+def test_expletives_over_to_be_clauses(spark):
+    it = [("We", "PRON", "PRP", "we", "nsubj", 1), ("want", "VERB", "VBP", "want", "ROOT", 1), ("it", "PRON", "PRP", "it", "dobj", 1), ("to", "PART", "TO", "to", "aux", 4), ("be", "AUX", "VB", "be", "xcomp", 1), ("clear", "ADJ", "JJ", "clear", "acomp", 4)]
+    assert values(trees.expletive_contexts(tree(spark, *it), ["k"]), "i") == [(1,)]
+    him = [*it[:2], ("him", "PRON", "PRP", "he", "dobj", 1), *it[3:]]
+    assert values(trees.expletive_contexts(tree(spark, *him), ["k"]), "i") == []
+    bound = [("There", "PRON", "EX", "there", "expl", 1), ("is", "AUX", "VBZ", "be", "ROOT", 1), ("bound", "ADJ", "JJ", "bound", "acomp", 1), ("to", "PART", "TO", "to", "aux", 4), ("be", "AUX", "VB", "be", "xcomp", 2)]
+    assert (1,) in values(trees.expletive_contexts(tree(spark, *bound), ["k"]), "i")
+    assert values(trees.adjective_licenses(tree(spark, *bound), ["k"]), "license") == [("there",)]
+    assert values(trees.adjective_licenses(tree(spark, *it), ["k"]), "license") == [("np",)]
+
+
+def test_token_and_dependency_patterns(spark):
+    from glossa.operators import patterns
+
+    tok = tree(spark, ("the", "DET", "DT", "the", "det", 2), ("old", "ADJ", "JJ", "old", "amod", 2), ("dog", "NOUN", "NN", "dog", "nsubj", 3), ("saw", "VERB", "VBD", "see", "ROOT", 3), ("cats", "NOUN", "NNS", "cat", "dobj", 3))
+    found = patterns.token_matches(tok, {"np": [{"POS": "DET", "OP": "?"}, {"POS": "ADJ", "OP": "*"}, {"POS": {"IN": ["NOUN", "PROPN"]}}], "any": [{"LOWER": "dog"}, {}]}, ["k"])
+    assert values(found, "pattern", "start", "end") == [("any", 2, 4), ("np", 0, 3), ("np", 1, 3), ("np", 2, 3), ("np", 4, 5)]
+    deps = patterns.dependency_matches(tok, {"LEMMA": "see"}, [("anchor", "subject", "nsubj", {}), ("anchor", "object", "dobj", {"OP": "?"}), ("object", "determiner", "det", {"OP": "?"})], ["k"])
+    assert values(deps, "anchor", "subject", "object", "determiner") == [(3, 2, 4, None)]
+    assert patterns.dependency_matches(tok, {"LEMMA": "see"}, [("anchor", "x", "iobj", {})], ["k"]).count() == 0
+    with pytest.raises(ValueError):
+        patterns.token_matches(tok, {"bad": [{"SHAPE": "x"}]}, ["k"])
+
+
+def test_verb_classes_of_descriptions_and_prepositions(spark, tmp_path):
+    frames = ["<SYNTAX><NP/><VERB/><PREP value='x'/></SYNTAX>", '<DESCRIPTION primary="NP V WH_TO-INF"/><SYNTAX><NP/><VERB/></SYNTAX>', '<DESCRIPTION primary="S"/><SYNTAX><NP/><VERB/><NP/></SYNTAX>', '<SYNTAX><NP/><VERB/><PREP value="for | none"/><NP/><NP/></SYNTAX>']
+    body = "\n".join(f"<FRAME>\n{f}\n</FRAME>" for f in frames)
+    (tmp_path / "a.xml").write_text(f'<VNCLASS ID="a"><MEMBERS><MEMBER name="ask"/><MEMBER name="tell"/></MEMBERS><FRAMES>{body}</FRAMES></VNCLASS>')
+    got = [(r.verb, r.key, r.preps, r.flags) for r in readers.read_verb_classes(spark, str(tmp_path)).collect()]
+    want = [("intrans", [], []), ("intrans", [], ["q", "to"]), ("intrans", [], ["that"]), ("trans", ["for"], [])]
+    assert sorted(got) == sorted((v, *w) for v in ("ask", "tell") for w in want)
+
+
+def test_filters_of_decoding(spark):
+    from glossa.functions import vectors as V
+
+    z = F.array(*map(F.lit, (3.0, -1.0, 2.0, 0.5)))
+    inf = float("-inf")
+    assert one(spark, V.top_k(z, 2)) == [3.0, inf, 2.0, inf] and one(spark, V.top_k(z, 9)) == [3.0, -1.0, 2.0, 0.5]
+    assert one(spark, V.repetition_penalty(z, F.array(F.lit(0), F.lit(1)), 2.0)) == [1.5, -2.0, 2.0, 0.5]
+    ids = lambda *x: F.array(*map(F.lit, x))
+    assert one(spark, V.blocked_ids(ids(1, 2, 3, 1, 2), 3)) == [3] and one(spark, V.blocked_ids(ids(1, 2), 3)) == []
+    assert one(spark, V.blocked_ids(ids(4, 4, 5), 1)) == [4, 5]
+
+
+def test_a_vocabulary_in_place_and_joined_agree(spark):
+    docs = spark.createDataFrame([(1, "The cat. Cat the dog! the cat"), (1, "cat"), (2, "dog."), (3, None), (None, "the the."), (4, "!!! cat")], "doc_id long, text string")
+    words = spark.createDataFrame([("the",), ("cat",), (None,)], "token string")
+    for vocabulary_table in (words, words.limit(0)):
+        a, b = (vocabulary.within_vocabulary(docs, vocabulary_table, in_place=n) for n in (10, -1))
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert values(vocabulary.within_vocabulary(docs, words).filter("doc_id is not null"), "doc_id", "text", "kept_sentences") == [(1, "The cat. cat the cat", 3), (4, "cat", 1)]
+
+
+def test_draws_follow_the_weights(spark):
+    from glossa.operators import draws
+
+    members = spark.createDataFrame([("s", "a", 1000), ("s", "b", 3000), ("s", "c", 6000), ("t", "x", 5)], "set string, cand string, w long")
+    placed = draws.placed_members(members)
+    asked = spark.range(4000).selectExpr("id", "CASE WHEN id < 3900 THEN 's' ELSE 't' END AS set", "CASE WHEN id < 2000 THEN 'b' WHEN id < 3900 THEN 'zz' ELSE 'x' END AS lemma")
+    opened = draws.open_requests(asked, placed, "lemma")
+    got = draws.drawn(opened, placed, ["id"], 3).join(asked, "id").groupBy("lemma", "cand").count().collect()
+    count = {(r.lemma, r.cand): r["count"] for r in got}
+    assert sum(count.values()) == 3900 and ("b", "b") not in count  # the only member of t is excluded
+    assert abs(count["b", "a"] / 2000 - 1 / 7) < 0.03 and abs(count["zz", "c"] / 1900 - 0.6) < 0.04
