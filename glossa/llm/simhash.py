@@ -186,8 +186,8 @@ def _shared(keys: DataFrame, name: str) -> DataFrame:
     return keys.join(stored(sizes, name), ["part", "block"])
 
 
-def close_links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints of `fps` within DISTANCE of each other."""
+def dealt_keys(fps: DataFrame) -> DataFrame:
+    """(part, block, i, j, fp): the groups that are searched, each a key's pair of chunks, of at most about two chunks."""
     rows = _shared(block_keys(fps), "keys")
     if not rows.filter(F.col("g") > SPLIT).isEmpty():
         finer = _shared(finer_keys(rows.filter(F.col("g") > SPLIT)), "finer-keys")
@@ -195,8 +195,12 @@ def close_links(fps: DataFrame) -> DataFrame:
     chunks = F.ceil(F.col("g") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("fp"), chunks.cast("long")).cast("int")
     rows = rows.select("part", "block", "fp", own.alias("c"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("d"))
-    rows = rows.select("part", "block", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "fp")
-    dealt = rows.repartition("part", "block", "i", "j").sortWithinPartitions("part", "block", "i", "j")
+    return rows.select("part", "block", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "fp")
+
+
+def close_links(fps: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all distinct fingerprints of `fps` within DISTANCE of each other."""
+    dealt = dealt_keys(fps).repartition("part", "block", "i", "j").sortWithinPartitions("part", "block", "i", "j")
     return dealt.mapInArrow(_search, "a long, b long").distinct()
 
 

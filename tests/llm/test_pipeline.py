@@ -111,9 +111,14 @@ def test_empty_input(spark, sf_dir, empty_docs, tmp_path):
         assert docs.count() == 0
 
 
-def test_run_equals_its_stages(spark, sf_dir):
-    out = corpus_pipeline.run(spark, sf_dir)
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 50
+def test_two_runs_in_one_folder(spark, sf_dir):
+    """Two threads run the whole pipeline at a time: neither deletes what the other reads."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(2) as pool:
+        first, second = pool.map(lambda _: corpus_pipeline.run(spark, sf_dir), range(2))
+    assert first.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and first.count() > 50
+    assert Counter(first.collect()) == Counter(second.collect())
 
 
 def test_stages_keep_columns_of_any_name(spark, sf_dir, documents, tmp_path):
