@@ -102,16 +102,22 @@ def log_softmax_at(logits: Column, label: Column, temperature: Column) -> Column
     return F.get(scaled, label) - top - F.ln(total)
 
 
-def infonce(features: DataFrame, key: str, vector: str, group: str, tau: float = 0.1, blocks: int = 8) -> DataFrame:
+#: Rows of a block and of a tile of the contrastive loss: a task holds two blocks of vectors and TILE * BLOCK_ROWS products.
+BLOCK_ROWS, TILE = 8192, 512
+
+
+def infonce(features: DataFrame, key: str, vector: str, group: str, tau: float = 0.1, blocks: int = 0) -> DataFrame:
     """Multi-positive InfoNCE: (n, loss), rows without a positive left out.
 
     Every row must meet every other one: that is the definition of its denominator. Rows are dealt to blocks and
-    pairs of blocks meet as matrix products; only the sums per row leave a pair of blocks. More blocks for more
-    rows keep a task's matrices small. Vectors are normalised once.
+    pairs of blocks meet as matrix products, a tile at a time; only the sums per row leave a pair of blocks. Without
+    `blocks` there is one for each BLOCK_ROWS rows, so that a task's matrices don't grow with the table. Vectors are
+    normalised once.
     """
     import numpy as np
     import pandas as pd
 
+    blocks = blocks or max(4, -(-features.count() // BLOCK_ROWS))
     unit = features.select(F.col(key).alias("k"), F.col(group).alias("g"), l2_normalised(F.col(vector)).alias("v")).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = unit.select("k", "g", "v", F.col("b").alias("i"), others.alias("j")).groupBy("i", "j")
@@ -120,10 +126,14 @@ def infonce(features: DataFrame, key: str, vector: str, group: str, tau: float =
     def sums(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame({"k": [], "whole": [], "near": [], "n_near": []})
-        e = np.exp(np.stack(x.v.to_list()) @ np.stack(y.v.to_list()).T / tau)
-        e[x.k.to_numpy()[:, None] == y.k.to_numpy()] = 0
-        same = (x.g.to_numpy()[:, None] == y.g.to_numpy()) & (e > 0)
-        return pd.DataFrame({"k": x.k, "whole": e.sum(1), "near": (e * same).sum(1), "n_near": same.sum(1)})
+        right, keys, groups, parts = np.stack(y.v.to_list()).T, y.k.to_numpy(), y.g.to_numpy(), []
+        for at in range(0, len(x), TILE):
+            part = x.iloc[at : at + TILE]
+            e = np.exp(np.stack(part.v.to_list()) @ right / tau)
+            e[part.k.to_numpy()[:, None] == keys] = 0
+            same = (part.g.to_numpy()[:, None] == groups) & (e > 0)
+            parts.append(pd.DataFrame({"k": part.k, "whole": e.sum(1), "near": (e * same).sum(1), "n_near": same.sum(1)}))
+        return pd.concat(parts)
 
     schema = f"k {features.schema[key].dataType.simpleString()}, whole double, near double, n_near long"
     met = left.cogroup(right).applyInPandas(sums, schema)
