@@ -438,3 +438,37 @@ def test_draws_follow_the_weights(spark):
     count = {(r.lemma, r.cand): r["count"] for r in got}
     assert sum(count.values()) == 3900 and ("b", "b") not in count  # the only member of t is excluded
     assert abs(count["b", "a"] / 2000 - 1 / 7) < 0.03 and abs(count["zz", "c"] / 1900 - 0.6) < 0.04
+
+
+def test_lines_are_numbered_across_the_pieces_of_a_file(spark, tmp_path):
+    for name, n in (("a", 4000), ("b", 3)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"line {i} {'x' * (i % 40)}\n" if i % 7 else "\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        rows = readers.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name, n in (("a", 4000), ("b", 3)):
+        got = {r.line_no: r.value for r in rows if r.file.endswith(f"{name}.txt")}
+        assert len(got) == n and all(v == ("" if i % 7 == 0 else f"line {i} {'x' * (i % 40)}") for i, v in got.items())
+
+
+def test_a_bad_import_is_not_taken_for_an_absent_part(monkeypatch):
+    import builtins
+    import importlib
+
+    entry = importlib.import_module("__spark_entry__")
+    real = builtins.__import__
+
+    def broken(missing):
+        def load(name, globals=None, locals=None, fromlist=(), level=0):
+            if name == missing or (fromlist and name == missing.rpartition(".")[0] and missing.rpartition(".")[2] in fromlist):
+                raise ModuleNotFoundError(missing, name=missing)
+            return real(name, globals, locals, fromlist, level)
+
+        return load
+
+    monkeypatch.setattr(builtins, "__import__", broken("glossa.llm.queries"))
+    assert entry._llm() == ({}, {})
+    monkeypatch.setattr(builtins, "__import__", real)
