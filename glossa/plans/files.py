@@ -203,20 +203,20 @@ def dictionary_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("lemma", "bucket", F.array_join("tags", " ").alias("tags"))
 
 
-@query(rf"""WITH {BENCH}, nm AS (SELECT DISTINCT text AS name, ['m', 'f', 'n'][1 + length(text) % 3] AS gender FROM tok WHERE pos = 'PROPN'), vo AS (SELECT DISTINCT lower(text) AS lemma FROM tok WHERE i >= 0), ba AS (SELECT DISTINCT lemma FROM tok WHERE pos IN ('DET', 'ADP')),
+@query(rf"""WITH {BENCH}, nm AS (SELECT DISTINCT text AS name, ['m', 'f', 'n'][1 + length(text) % 3] AS gender FROM tok WHERE is_start AND pos <> 'PUNCT'), vo AS (SELECT DISTINCT lower(text) AS lemma FROM tok WHERE NOT is_start), ba AS (SELECT DISTINCT lemma FROM tok WHERE pos IN ('DET', 'ADP')),
 g AS (SELECT DISTINCT name, gender FROM nm WHERE lower(name) IN (SELECT lemma FROM vo) AND NOT EXISTS (SELECT 1 FROM ba WHERE ba.lemma = lower(name))),
 po AS (SELECT name, gender FROM g UNION SELECT name, 'any' FROM g), rk AS (SELECT *, row_number() OVER (PARTITION BY gender ORDER BY {_U.format("'41:' || gender || ':' || name")}, name) - 1 AS place, count(*) OVER (PARTITION BY gender) AS size FROM po),
-rq AS (SELECT item_id || ':' || i AS request, ['m', 'f', 'n', 'any'][1 + length(text) % 4] AS gender, text AS exclude FROM tok WHERE pos = 'PROPN'),
+rq AS (SELECT item_id || ':' || i AS request, ['m', 'f', 'n', 'any'][1 + length(text) % 4] AS gender, text AS exclude FROM tok WHERE is_start AND pos <> 'PUNCT'),
 fi AS (SELECT rq.*, z.size, CAST(floor({_U.format("'42:' || request")} * z.size) AS BIGINT) AS first FROM rq JOIN (SELECT DISTINCT gender, size FROM rk) z USING (gender)),
 tr AS (SELECT request, gender, exclude, 0 AS t, first AS place FROM fi UNION ALL SELECT request, gender, exclude, 1, (first + 1) % size FROM fi)
 SELECT request, arg_min(rk.name, t) AS name FROM tr JOIN rk USING (gender, place) WHERE lower(rk.name) <> lower(exclude) GROUP BY request""")
 def drawn_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A name of the wanted gender out of gated pools, never the excluded one."""
     tok = bench_tokens(spark, sf_dir)
-    own = tok.filter("pos = 'PROPN'")
+    own = tok.filter("is_start and pos <> 'PUNCT'")
     kinds = F.array(*map(F.lit, ("m", "f", "n", "any")))
     names = own.select(F.col("text").alias("name"), F.get(kinds, F.length("text") % 3).alias("gender")).distinct()
-    pool = pools.gated_names(names, None, tok.select(F.lower("text").alias("lemma")), tok.filter("pos in ('DET', 'ADP')").select("lemma"))
+    pool = pools.gated_names(names, None, tok.filter("not is_start").select(F.lower("text").alias("lemma")), tok.filter("pos in ('DET', 'ADP')").select("lemma"))
     wanted = F.get(kinds, F.length("text") % 4)
     asked = own.select(F.concat_ws(":", "item_id", "i").alias("request"), F.when(wanted != "any", wanted).alias("gender"), F.col("text").alias("exclude"))
     return rewriting.draw_name(asked, pool, 41)
