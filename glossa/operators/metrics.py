@@ -66,10 +66,11 @@ def split_accuracy(rows: DataFrame, ids: DataFrame, key: str, correct: str = "co
 
 
 def compare_sets(derived: DataFrame, reference: DataFrame, key: str, value: str) -> DataFrame:
-    """missing, extra, changed or same for every key of two sets."""
+    """missing, extra, changed or same for every key of two sets (D10). Null is a key like any other."""
     d, r = derived.select(key, F.col(value).alias("d"), F.lit(1).alias("in_d")), reference.select(key, F.col(value).alias("r"), F.lit(1).alias("in_r"))
     state = F.when(F.col("in_d").isNull(), "missing").when(F.col("in_r").isNull(), "extra").when(~F.col("d").eqNullSafe(F.col("r")), "changed").otherwise("same")
-    return d.join(r, key, "full_outer").select(key, state.alias("state"))
+    both = d.alias("x").join(r.alias("y"), F.col(f"x.{key}").eqNullSafe(F.col(f"y.{key}")), "full_outer")
+    return both.select(F.coalesce(f"x.{key}", f"y.{key}").alias(key), state.alias("state"))
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:

@@ -129,10 +129,10 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, rate: float, least:
 
 
 def first_occurrences(df: DataFrame, value: str, *order: str) -> DataFrame:
-    """The first row of each value."""
-    place = F.struct(*order)
+    """The first row of each value (F10); nulls come last in the order."""
+    place = F.struct(*(x for c in order for x in (F.col(c).isNull().alias(f"_{c}"), F.col(c))))
     first = df.groupBy(value).agg(F.min(place).alias("_first"))
-    return first.select(value, "_first.*")
+    return first.select(value, *(f"_first.{c}" for c in order))
 
 
 def interleaved(df: DataFrame, source: str, *order: str) -> DataFrame:

@@ -100,7 +100,7 @@ def row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slicing.numbered(docs_of(spark, sf_dir).select("lang", "doc_id"), "lang", "doc_id")
 
 
-@query("""WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents)
+@query("""WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM documents)
 SELECT doc_id, CAST(floor(i / ceil(n / 7.0)) AS INTEGER) AS shard, CAST(i % 7 AS BIGINT) AS stride,
   CASE WHEN i < floor(n * 0.8) THEN 'train' WHEN i < floor(n * 0.8) + floor((n - floor(n * 0.8)) / 2) THEN 'dev' ELSE 'test' END AS split FROM n""")
 def shards_and_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +112,7 @@ def shards_and_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", slicing.contiguous_shard(i, F.col("n"), 7).alias("shard"), (i % 7).alias("stride"), slicing.prefix_split(i, F.col("n")).alias("split"))
 
 
-@query("""SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) WHERE i >= 25 AND i < 125""")
+@query("""SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS i FROM documents) WHERE i >= 25 AND i < 125""")
 def row_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of an absolute range."""
     docs = slicing.numbered(docs_of(spark, sf_dir).select("doc_id"), "doc_id")
@@ -120,15 +120,15 @@ def row_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH d AS (SELECT doc_id, len({PIECES}) AS n FROM documents),
-a AS (SELECT *, sum(n) OVER (ORDER BY {U.format("'3:' || doc_id")}, doc_id) - n AS ahead FROM d WHERE n > 0)
+a AS (SELECT *, sum(n) OVER (ORDER BY {U.format("'3' || coalesce(':' || doc_id, '')")}, doc_id NULLS FIRST, n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS ahead FROM d WHERE n > 0)
 SELECT doc_id, CAST(n AS INTEGER) AS n FROM a WHERE ahead + n <= 50000 OR (ahead < 50000 AND ahead + n - 50000 < 50000 - ahead)""")
 def budgeted_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in a shuffled order until a budget of words is met."""
     docs = docs_of(spark, sf_dir).select("doc_id", T.word_count(F.col("text")).alias("n"), T.uniform(3, F.col("doc_id")).alias("u"))
-    return slicing.take_budget(docs, "n", 50_000, "u", "doc_id").select("doc_id", "n")
+    return slicing.take_budget(docs, "n", 50_000, "u", "doc_id", "n").select("doc_id", "n")
 
 
-@query(f"""WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY {U.format("'5:' || doc_id")}, doc_id) AS r, count(*) OVER () AS n FROM documents)
+@query(f"""WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY {U.format("'5' || coalesce(':' || doc_id, '')")}, doc_id) AS r, count(*) OVER () AS n FROM documents)
 SELECT doc_id FROM n WHERE r <= greatest(1, floor(n * 0.1))""")
 def fraction_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C11: a seeded tenth of the documents, without replacement."""
@@ -136,7 +136,7 @@ def fraction_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slicing.sample_fraction(docs, "doc_id", 0.1, 5, docs.count())
 
 
-@query(f"""WITH n AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY {U.format("'42:' || doc_id")}, doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents)
+@query(f"""WITH n AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY {U.format("'42' || coalesce(':' || doc_id, '')")}, doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents)
 SELECT source, doc_id FROM n WHERE r <= greatest(2, ceil(n * 0.2))""")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fifth of every source, two documents at least."""
@@ -144,7 +144,7 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT * FROM (VALUES ('a', 0, 5), ('a', 1, 2), ('b', 0, 11), ('b', 1, 7), ('b', 2, 30)) t(split, place, i)),
-n AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i FROM documents)
+n AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS i FROM documents)
 SELECT lang, split, CAST(place AS INTEGER) AS place, doc_id FROM n JOIN p USING (i)""")
 def recorded_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows at recorded places of every language."""
@@ -170,7 +170,7 @@ def replicated_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slicing.replicated(parquet_table(spark, sf_dir, "benchmark").select("item_id", "text"), 3).select("item_id", "text", "copy")
 
 
-@query(f"""SELECT doc_id, CAST(e AS INTEGER) AS epoch, row_number() OVER (PARTITION BY e ORDER BY {U.format("'9:' || e || ':' || doc_id")}, doc_id) AS place
+@query(f"""SELECT doc_id, CAST(e AS INTEGER) AS epoch, row_number() OVER (PARTITION BY e ORDER BY {U.format("'9:' || e || coalesce(':' || doc_id, '')")}, doc_id) AS place
 FROM documents, unnest([0, 1]) AS t(e)""")
 def epoch_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a permutation of the documents for each of two epochs."""

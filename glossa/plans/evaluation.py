@@ -101,8 +101,8 @@ def hard_subset_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.round("accuracy", 9).alias("accuracy"), F.round("hard_accuracy", 9).alias("hard_accuracy"), "n_hard")
 
 
-@query("""WITH d AS (SELECT doc_id, CAST(n_chars > 500 AS INTEGER) AS v FROM documents), r AS (SELECT doc_id, CAST(max(quality) AS INTEGER) AS v FROM labels GROUP BY doc_id)
-SELECT coalesce(d.doc_id, r.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN r.doc_id IS NULL THEN 'extra' WHEN d.v IS DISTINCT FROM r.v THEN 'changed' ELSE 'same' END AS state FROM d FULL JOIN r USING (doc_id)""")
+@query("""WITH d AS (SELECT doc_id, CAST(n_chars > 500 AS INTEGER) AS v, 1 AS here FROM documents), r AS (SELECT doc_id, CAST(max(quality) AS INTEGER) AS v, 1 AS here FROM labels GROUP BY doc_id)
+SELECT coalesce(d.doc_id, r.doc_id) AS doc_id, CASE WHEN d.here IS NULL THEN 'missing' WHEN r.here IS NULL THEN 'extra' WHEN d.v IS DISTINCT FROM r.v THEN 'changed' ELSE 'same' END AS state FROM d FULL JOIN r ON d.doc_id IS NOT DISTINCT FROM r.doc_id""")
 def compared_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing, extra, changed and equal keys of two sets: a rule's verdict and the labels."""
     derived = parquet_table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 500).cast("int").alias("v"))

@@ -234,7 +234,7 @@ def adjective_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.select("lemma", "tag", F.array_join("tags", " ").alias("tags"))
 
 
-@query("""SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS place FROM documents""")
+@query("""SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC NULLS LAST, doc_id NULLS FIRST) AS place FROM documents""")
 def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of candidates by score."""
     return language_model.ranked(parquet_table(spark, sf_dir, "documents"), ["lang"], "n_chars", "doc_id").select("lang", "doc_id", "place")

@@ -20,11 +20,11 @@ def tokens_sql(table: str, keys: str, p: str = "") -> str:
     """The native parse as CTEs that end in `tok`; p comes before their names."""
     end = "text IN ('.', '!', '?')"
     return rf"""
-{p}w0 AS (SELECT {keys}, unnest(regexp_extract_all(coalesce(text, ''), '\p{{L}}+(?:[''’]\p{{L}}+)*|\p{{Nd}}+|[^\s\p{{L}}\p{{Nd}}]')) AS text,
-  unnest(generate_series(0, len(regexp_extract_all(coalesce(text, ''), '\p{{L}}+(?:[''’]\p{{L}}+)*|\p{{Nd}}+|[^\s\p{{L}}\p{{Nd}}]')) - 1)) AS i FROM {table}),
-{p}w1 AS (SELECT *, lag({end}) OVER (PARTITION BY {keys} ORDER BY i) AS before FROM {p}w0),
+{p}w0 AS (SELECT {keys}, rid, unnest(regexp_extract_all(coalesce(text, ''), '\p{{L}}+(?:[''’]\p{{L}}+)*|\p{{Nd}}+|[^\s\p{{L}}\p{{Nd}}]')) AS text,
+  unnest(generate_series(0, len(regexp_extract_all(coalesce(text, ''), '\p{{L}}+(?:[''’]\p{{L}}+)*|\p{{Nd}}+|[^\s\p{{L}}\p{{Nd}}]')) - 1)) AS i FROM (SELECT *, row_number() OVER () AS rid FROM {table}) numbered),
+{p}w1 AS (SELECT *, lag({end}) OVER (PARTITION BY rid ORDER BY i) AS before FROM {p}w0),
 {p}w2 AS (SELECT *, coalesce(before, true) AS is_start, lower(text) AS low,
-  CAST(sum(CASE WHEN coalesce(before, false) THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY i) AS INTEGER) AS sent FROM {p}w1),
+  CAST(sum(CASE WHEN coalesce(before, false) THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS INTEGER) AS sent FROM {p}w1),
 {p}w3 AS (SELECT *, CASE WHEN regexp_full_match(text, '[^\p{{L}}\p{{Nd}}]') THEN 'PUNCT' WHEN regexp_matches(text, '^\p{{Nd}}') THEN 'NUM'
   WHEN low IN {_in(parsing.DETERMINERS)} THEN 'DET' WHEN low IN {_in(parsing.ADPOSITIONS)} THEN 'ADP' WHEN low IN {_in(parsing.PRONOUNS)} THEN 'PRON' WHEN low IN {_in(parsing.AUXILIARIES)} THEN 'AUX'
   WHEN NOT is_start AND regexp_matches(text, '^\p{{Lu}}') THEN 'PROPN' WHEN regexp_matches(low, '..ly$') THEN 'ADV' WHEN regexp_matches(low, '..(ed|ing|er|en|ar)$') THEN 'VERB'
@@ -34,10 +34,10 @@ def tokens_sql(table: str, keys: str, p: str = "") -> str:
   WHEN 'ADJ' THEN 'JJ' WHEN 'ADV' THEN 'RB' WHEN 'DET' THEN 'DT' WHEN 'ADP' THEN 'IN' WHEN 'NUM' THEN 'CD' WHEN 'PRON' THEN 'PRP' WHEN 'AUX' THEN 'VBZ' ELSE '.' END AS tag FROM {p}w3),
 {p}w5 AS (SELECT *, CASE WHEN tag IN ('NNS', 'NNPS') THEN regexp_replace(low, 's$', '') WHEN tag = 'VBD' THEN regexp_replace(low, 'ed$', '') WHEN tag = 'VBG' THEN regexp_replace(low, 'ing$', '') ELSE low END AS lemma,
   coalesce(min(CASE WHEN pos = 'VERB' THEN i END) OVER s, min(CASE WHEN pos <> 'PUNCT' THEN i END) OVER s, min(i) OVER s) AS root,
-  min(CASE WHEN pos IN ('NOUN', 'PROPN') THEN i END) OVER (PARTITION BY {keys}, sent ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_noun,
-  lag(pos) OVER (PARTITION BY {keys}, sent ORDER BY i) AS prev_pos, lag(low) OVER (PARTITION BY {keys}, sent ORDER BY i) AS prev_low
-  FROM {p}w4 WINDOW s AS (PARTITION BY {keys}, sent)),
-{p}w6 AS (SELECT *, max(CASE WHEN pos IN ('NOUN', 'PROPN') AND i < root THEN i END) OVER (PARTITION BY {keys}, sent) AS subj, min(CASE WHEN pos IN ('NOUN', 'PROPN') AND i > root THEN i END) OVER (PARTITION BY {keys}, sent) AS obj FROM {p}w5),
+  min(CASE WHEN pos IN ('NOUN', 'PROPN') THEN i END) OVER (PARTITION BY rid, sent ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_noun,
+  lag(pos) OVER (PARTITION BY rid, sent ORDER BY i) AS prev_pos, lag(low) OVER (PARTITION BY rid, sent ORDER BY i) AS prev_low
+  FROM {p}w4 WINDOW s AS (PARTITION BY rid, sent)),
+{p}w6 AS (SELECT *, max(CASE WHEN pos IN ('NOUN', 'PROPN') AND i < root THEN i END) OVER (PARTITION BY rid, sent) AS subj, min(CASE WHEN pos IN ('NOUN', 'PROPN') AND i > root THEN i END) OVER (PARTITION BY rid, sent) AS obj FROM {p}w5),
 {p}tok AS (SELECT {keys}, CAST(i AS INTEGER) AS i, text, is_start, sent, pos, tag, lemma,
   CASE WHEN i = root THEN 'ROOT' WHEN pos = 'DET' THEN 'det' WHEN pos = 'ADJ' THEN 'amod' WHEN pos = 'NUM' THEN 'nummod' WHEN pos = 'AUX' THEN 'aux' WHEN pos = 'ADV' THEN 'advmod'
     WHEN pos = 'PRON' THEN CASE WHEN i > root THEN 'dobj' WHEN low IN ('there', 'it') THEN 'expl' ELSE 'nsubj' END WHEN pos = 'ADP' THEN CASE WHEN i > root THEN 'prep' ELSE 'case' END

@@ -7,7 +7,8 @@ import __spark_entry__ as entry
 from .oracle import assert_same, connection
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-NAMES = ["entropy_curve_by_lang", "entropy_estimators", "entropy_matched_budget", "entropy_budget_ladder", "row_numbers", "round_robin", "upserted_cells", "surface_counts", "batch_sizes", "proper_noun_pool"]
+NAMES = ["entropy_curve_by_lang", "entropy_estimators", "entropy_matched_budget", "entropy_budget_ladder", "row_numbers", "round_robin", "upserted_cells", "surface_counts", "batch_sizes", "proper_noun_pool",
+         "shards_and_splits", "row_slice", "budgeted_selection", "fraction_sample", "stratified_sample", "recorded_subsets", "first_occurrences", "epoch_permutations", "compared_sets", "parsed_documents", "ranked_candidates"]
 
 
 @pytest.fixture(scope="module")
