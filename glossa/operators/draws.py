@@ -34,9 +34,18 @@ def key_sets(rows: DataFrame, by: list[str], key: Column, times: Column | None =
 def shared_members(sets: DataFrame, members: DataFrame) -> DataFrame:
     """(set, cand, w): the candidates that all keys of a set have. members: key, cand, n (a weight, or null for none).
 
-    w is the mean of the weights, in thousandths, or 1 where members have none.
+    w is the mean of the weights, in thousandths, or 1 where members have none. The candidates of a set's smallest key
+    are looked up in its other keys, so that large keys aren't gone through for every set that has them.
     """
-    met = sets.join(members, "key").groupBy("set", "cand")
+    members = settled(members)
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    order = F.struct(F.coalesce("size", F.lit(0)), "key")
+    least = sets.join(sizes, "key", "left").groupBy("set").agg(F.min_by("key", order).alias("least"))
+    marked = settled(sets.join(least, "set"))
+    base = settled(marked.filter(F.col("key") == F.col("least")).join(members, "key").select("set", "cand", "times", "n", "n_keys"))
+    asked = marked.filter(F.col("key") != F.col("least")).select("set", "key", "times", "n_keys").join(base.select("set", "cand"), "set")
+    others = asked.join(members, ["key", "cand"]).select("set", "cand", "times", "n", "n_keys")
+    met = base.unionByName(others).groupBy("set", "cand")
     total = F.sum(F.col("times") * F.col("n"))
     rows = met.agg(F.count(F.lit(1)).alias("have"), F.any_value("n_keys").alias("n_keys"), F.floor(total * UNIT / F.sum("times")).alias("mean"), F.count("n").alias("weighted"))
     return rows.filter("have = n_keys").select("set", "cand", F.when(F.col("weighted") == F.col("have"), F.greatest(F.col("mean"), F.lit(UNIT))).otherwise(1).cast("long").alias("w"))
