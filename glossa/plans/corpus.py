@@ -9,7 +9,7 @@ from glossa.functions import text as T
 from glossa.operators import entropy, slicing, vocabulary
 from glossa.plans.registry import query
 from glossa.session import settled
-from glossa.sources.readers import parquet_table
+from glossa.sources.readers import parquet_table, spread
 
 #: The words of the oracle: lower case, as T.tokenize.
 TOKENS = r"regexp_extract_all(lower(text), '\p{L}+(?:[''’]\p{L}+)*|\p{Nd}+')"
@@ -22,6 +22,11 @@ def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet_table(spark, sf_dir, "documents")
 
 
+def texts_of(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of documents for queries that work on every character."""
+    return spread(docs_of(spark, sf_dir).select(*columns))
+
+
 _GRAMS = f"""
 d AS (SELECT doc_id, lang, {TOKENS} AS t FROM documents),
 g AS (
@@ -41,7 +46,7 @@ e AS (
 SELECT lang, n, round(plugin, 6) AS block_entropy, round(plugin - coalesce(lag(plugin) OVER (PARTITION BY lang ORDER BY n), 0), 6) AS h FROM e""")
 def entropy_curve_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entropy curve of each language up to trigrams."""
-    docs = docs_of(spark, sf_dir).select("lang", T.tokenize(F.col("text")).alias("tokens"))
+    docs = texts_of(spark, sf_dir, "lang", "text").select("lang", T.tokenize(F.col("text")).alias("tokens"))
     out = entropy.curve(entropy.block_entropies(docs, MAX_N, ["lang"]), ["lang"])
     return out.select("lang", "n", F.round("plugin", 6).alias("block_entropy"), F.round("h_plugin", 6).alias("h"))
 
@@ -52,7 +57,7 @@ SELECT lang, n, CAST(total AS BIGINT) AS total, types, f1 AS singletons, round(p
   round(cov, 9) AS coverage, round(types / total::DOUBLE, 9) AS saturation, round(log2(types), 6) AS max_entropy FROM e""")
 def entropy_estimators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All estimators and diagnostics by language and order."""
-    docs = docs_of(spark, sf_dir).select("lang", T.tokenize(F.col("text")).alias("tokens"))
+    docs = texts_of(spark, sf_dir, "lang", "text").select("lang", T.tokenize(F.col("text")).alias("tokens"))
     out = entropy.block_entropies(docs, MAX_N, ["lang"])
     six = [F.round(c, 6).alias(c) for c in ("plugin", "miller_madow", "chao_shen", "max_entropy")]
     return out.select("lang", "n", "total", "types", "singletons", *six, F.round("coverage", 9).alias("coverage"), F.round("saturation", 9).alias("saturation"))
@@ -66,7 +71,7 @@ c AS (SELECT lang, w, count(*) AS c FROM w GROUP BY lang, w), z AS (SELECT lang,
 SELECT c.lang AS lang, CAST(any_value(total) AS BIGINT) AS words, count(*) AS word_types, round(sum(-(c / total::DOUBLE) * log2(c / total::DOUBLE)), 6) AS h1 FROM c JOIN z ON c.lang IS NOT DISTINCT FROM z.lang GROUP BY c.lang""")
 def entropy_matched_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram entropy of each language at the size of the smallest one."""
-    docs = docs_of(spark, sf_dir)
+    docs = texts_of(spark, sf_dir, "lang", "doc_id", "text")
     lengths = settled(entropy.stream_lengths(docs, ["lang"], ["doc_id"]))
     sums = lengths.groupBy("lang").agg(F.sum("words").alias("s"))
     least = sums.agg(F.min("s").alias("budget"))
@@ -84,7 +89,7 @@ c AS (SELECT lang, part, w, count(*) AS c FROM w GROUP BY lang, part, w), z AS (
 SELECT c.lang AS lang, c.part AS part, CAST(any_value(total) AS BIGINT) AS words, round(sum(-(c / total::DOUBLE) * log2(c / total::DOUBLE)), 6) AS h1 FROM c JOIN z ON c.lang IS NOT DISTINCT FROM z.lang AND c.part = z.part GROUP BY c.lang, c.part""")
 def entropy_budget_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram entropy at halving budgets, all budgets in one pass."""
-    docs = docs_of(spark, sf_dir)
+    docs = texts_of(spark, sf_dir, "lang", "doc_id", "text")
     lengths = settled(entropy.stream_lengths(docs, ["lang"], ["doc_id"]))
     sums = lengths.groupBy("lang").agg(F.sum("words").alias("s"))
     rungs = sums.select("lang", "s", F.explode(F.array(*map(F.lit, (1, 2, 4, 8)))).alias("part"))
@@ -124,7 +129,7 @@ a AS (SELECT *, sum(n) OVER (ORDER BY {U.format("'3' || coalesce(':' || doc_id,
 SELECT doc_id, CAST(n AS INTEGER) AS n FROM a WHERE ahead + n <= 50000 OR (ahead < 50000 AND ahead + n - 50000 < 50000 - ahead)""")
 def budgeted_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in a shuffled order until a budget of words is met."""
-    docs = docs_of(spark, sf_dir).select("doc_id", T.word_count(F.col("text")).alias("n"), T.uniform(3, F.col("doc_id")).alias("u"))
+    docs = texts_of(spark, sf_dir, "doc_id", "text").select("doc_id", T.word_count(F.col("text")).alias("n"), T.uniform(3, F.col("doc_id")).alias("u"))
     return slicing.take_budget(docs, "n", 50_000, "u", "doc_id", "n").select("doc_id", "n")
 
 
@@ -183,7 +188,7 @@ def epoch_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT token, count(*) AS n FROM w WHERE token <> '' AND regexp_matches(token, '^[A-Za-z]') GROUP BY token HAVING count(*) >= 20""")
 def surface_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Case-preserving counts of words of 20 occurrences or more."""
-    return vocabulary.surface_counts(docs_of(spark, sf_dir), least=20)
+    return vocabulary.surface_counts(texts_of(spark, sf_dir, "text"), least=20)
 
 
 @query(r"""WITH w AS (SELECT unnest(regexp_split_to_array(text, '\s+')) AS token FROM benchmark UNION ALL SELECT unnest(regexp_split_to_array(lower(text), '\s+')) FROM benchmark)
@@ -206,7 +211,7 @@ k AS (SELECT doc_id, place, sentence FROM b WHERE len(w) > 0 AND NOT EXISTS (SEL
 SELECT doc_id, string_agg(sentence, ' ' ORDER BY place) AS text, count(*) AS kept_sentences FROM k GROUP BY doc_id""")
 def vocabulary_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences made of the 400 most frequent words only."""
-    docs = docs_of(spark, sf_dir).select("doc_id", "text")
+    docs = texts_of(spark, sf_dir, "doc_id", "text")
     # a sentence's end is white space, too: the words of a text are those of its sentences
     words = docs.select(F.explode(T.bare_words(F.col("text"))).alias("token"))
     top = vocabulary.top_words(words.groupBy("token").agg(F.count(F.lit(1)).alias("n")), 400)
@@ -224,7 +229,7 @@ f AS (
 SELECT f.doc_id, CAST(f.chunk AS INTEGER) AS chunk, string_agg(w.s, ' ' ORDER BY w.i) AS text FROM f JOIN w USING (doc_id, i) GROUP BY f.doc_id, f.chunk""")
 def packed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole sentences packed greedily into chunks of 60 words."""
-    docs = docs_of(spark, sf_dir).select("doc_id", T.packed_sentences(T.sentences(F.col("text")), 60).alias("c"))
+    docs = texts_of(spark, sf_dir, "doc_id", "text").select("doc_id", T.packed_sentences(T.sentences(F.col("text")), 60).alias("c"))
     return docs.select("doc_id", F.posexplode("c").alias("chunk", "text"))
 
 
@@ -244,7 +249,7 @@ SELECT token, n FROM c WHERE regexp_matches(token, '^[A-Z][A-Za-z]*$') AND upper
   AND NOT EXISTS (SELECT 1 FROM c AS o WHERE o.token = lower(c.token)) AND NOT EXISTS (SELECT 1 FROM x WHERE x.low = lower(c.token))""")
 def proper_noun_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capitalised words without a lower-case twin that the benchmark doesn't use."""
-    counts = vocabulary.surface_counts(docs_of(spark, sf_dir))
+    counts = vocabulary.surface_counts(texts_of(spark, sf_dir, "text"))
     used = parquet_table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("token")).distinct()
     return vocabulary.proper_pool(counts, used, least=2, shortest=3, longest=12)
 
@@ -268,5 +273,5 @@ def title_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CAST(o // 32 AS INTEGER) AS segment, array_to_string(list_slice(t, o + 1, o + 32), ' ') AS words FROM d, unnest(generate_series(0, greatest(len(t) - 1, 0), 32)) AS s(o) WHERE len(list_slice(t, o + 1, o + 32)) > 1""")
 def fixed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of 32 tokens, trailing single tokens dropped."""
-    docs = docs_of(spark, sf_dir).select("doc_id", T.tokenize(F.col("text")).alias("t"))
+    docs = texts_of(spark, sf_dir, "doc_id", "text").select("doc_id", T.tokenize(F.col("text")).alias("t"))
     return docs.select("doc_id", F.posexplode(slicing.segments(F.col("t"), 32)).alias("segment", "s")).select("doc_id", "segment", F.array_join("s", " ").alias("words"))

@@ -10,7 +10,7 @@ from glossa.functions import vectors as V
 from glossa.functions.formula import compile_formula, region_totals
 from glossa.operators import language_model, metrics, rewriting, slicing
 from glossa.plans.registry import query
-from glossa.sources.readers import parquet_table
+from glossa.sources.readers import parquet_table, spread
 
 U = "((CAST(('0x' || substr(sha256({0}), 1, 12)) AS BIGINT) + 0.5) / 281474976710656.0::DOUBLE)"
 TEMPS = 13
@@ -223,7 +223,7 @@ q AS (SELECT item_id, w[i] AS a, w[i + 1] AS b FROM (SELECT item_id, {_WORDS} AS
 SELECT item_id, count(*) AS n, round(sum(ln((coalesce(c.n, 0) + 1) / (coalesce(f.n_a, 0) + v)::DOUBLE)), 6) AS logprob FROM q LEFT JOIN c USING (a, b) LEFT JOIN f ON f.a = q.a, v GROUP BY item_id""")
 def bigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1, L4: benchmark sentences under the native bigram model of the documents."""
-    model = language_model.train_bigrams(parquet_table(spark, sf_dir, "documents"), "doc_id")
+    model = language_model.train_bigrams(spread(parquet_table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
     out = language_model.bigram_scores(parquet_table(spark, sf_dir, "benchmark"), "item_id", model)
     return out.select("item_id", "n", F.round("logprob", 6).alias("logprob"))
 

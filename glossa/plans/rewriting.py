@@ -9,7 +9,7 @@ from glossa.functions import text as T
 from glossa.operators import context, draws, parsing, pools, rewriting, spans, trees
 from glossa.plans.registry import query
 from glossa.session import settled
-from glossa.sources.readers import parquet_table
+from glossa.sources.readers import parquet_table, spread
 
 
 def _in(words: tuple[str, ...]) -> str:
@@ -70,11 +70,11 @@ _COMP = "CASE WHEN has_xcomp THEN 'CP_TO' WHEN has_obj THEN 'NP_OBJ' ELSE 'NONE'
 
 
 def conv_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settled(parsing.parse(parquet_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), KEY))
+    return settled(parsing.parse(spread(parquet_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")), KEY))
 
 
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.parse(parquet_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    return parsing.parse(spread(parquet_table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
 
 
 def bench_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,7 @@ def bench_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {tokens_sql('documents', 'doc_id')} SELECT pos, tag, dep, count(*) AS n, count(DISTINCT lemma) AS lemmas, CAST(sum(abs(head - i)) AS BIGINT) AS distance FROM tok GROUP BY pos, tag, dep")
 def parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The native parse of all documents, summed up by part of speech, tag and relation."""
-    tok = parsing.parse(parquet_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    tok = doc_tokens(spark, sf_dir)
     return tok.groupBy("pos", "tag", "dep").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("lemma").alias("lemmas"), F.sum(F.abs(F.col("head") - F.col("i"))).alias("distance"))
 
 

@@ -21,6 +21,20 @@ def parquet_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Bytes a core below which a table is dealt anew: its files may have fewer pieces than there are cores.
+SMALL = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it is small: one file, or one row group, is one task however many cores wait.
+
+    Larger tables come in pieces enough and are left as they are: no row is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL * cores else df
+
+
 def detect_format(path: str) -> str:
     """The format of a path by its suffix, compression left aside."""
     plain = path.lower().removesuffix(".gz")
