@@ -4,6 +4,9 @@ A set is known by a string. Its members lie one after the other on a line, each
 the candidates. A request draws a point of the line, beside the part that its excluded candidate takes, and meets the
 member there by an equi-join on cells: the line has as many cells as members, so a cell holds one of them on average.
 Weights and points are whole numbers: sums don't depend on the order of addition.
+
+Sets of several keys are many, and together have far more members than there are requests. Their members are kept once
+for the same keys, in blocks; the line of a set is the lengths of its blocks.
 """
 
 from __future__ import annotations
@@ -12,59 +15,122 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions.text import uniform
-from glossa.operators.slicing import running_total
-from glossa.session import settled
+from glossa.operators.slicing import numbered, running_total
+from glossa.session import stored
 
 #: Weights of means are kept in thousandths.
 UNIT = 1000
 
 
-def key_sets(rows: DataFrame, by: list[str], key: Column, times: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """((by, set), (set, key, times, n_keys)): the distinct keys of each group, as a set; equal sets are one.
+def held_keys(members: DataFrame) -> DataFrame:
+    """(cand, held): the keys of each candidate with their weights. members: key, cand, n (a weight, or null for none)."""
+    return members.groupBy("cand").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("held"))
 
-    times: how often a key counts; sets that differ in it are different.
-    """
-    part = F.struct(key.alias("key"), (F.lit(1).cast("long") if times is None else times.cast("long")).alias("times"))
-    groups = rows.groupBy(*by).agg(F.array_sort(F.collect_set(part)).alias("keys"))
-    groups = settled(groups.select(*by, F.sha2(F.to_json("keys"), 256).alias("set"), "keys"))
-    sets = groups.groupBy("set").agg(F.any_value("keys").alias("keys"))
-    return groups.select(*by, "set"), sets.select("set", F.size("keys").alias("n_keys"), F.explode("keys").alias("k")).select("set", "k.key", "k.times", "n_keys")
 
+def has_all(keys: Column, held: Column) -> Column:
+    return F.forall(keys, lambda k: F.map_contains_key(held, k))
 
-def shared_members(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """(set, cand, w): the candidates that all keys of a set have. members: key, cand, n (a weight, or null for none).
 
-    w is the mean of the weights, in thousandths, or 1 where members have none. The candidates of a set's smallest key
-    are looked up in its other keys, so that large keys aren't gone through for every set that has them.
+def shared_members(sets: DataFrame, members: DataFrame, pieces: int = 8) -> DataFrame:
+    """(set, cand, ns): the candidates that all keys of a set have, with their weights in the order of the keys.
+
+    sets: set, keys (an array); members: key, cand, n. The candidates of a set's smallest key are met, each with all that
+    it holds, and kept if that is all keys: large keys aren't gone through for every set, and nothing is grouped. The
+    candidates of a key are in several pieces, so that a key that many sets have isn't one task's.
     """
-    members = settled(members)
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    order = F.struct(F.coalesce("size", F.lit(0)), "key")
-    least = sets.join(sizes, "key", "left").groupBy("set").agg(F.min_by("key", order).alias("least"))
-    marked = settled(sets.join(least, "set"))
-    base = settled(marked.filter(F.col("key") == F.col("least")).join(members, "key").select("set", "cand", "times", "n", "n_keys"))
-    asked = marked.filter(F.col("key") != F.col("least")).select("set", "key", "times", "n_keys").join(base.select("set", "cand"), "set")
-    others = asked.join(members, ["key", "cand"]).select("set", "cand", "times", "n", "n_keys")
-    met = base.unionByName(others).groupBy("set", "cand")
-    total = F.sum(F.col("times") * F.col("n"))
-    rows = met.agg(F.count(F.lit(1)).alias("have"), F.any_value("n_keys").alias("n_keys"), F.floor(total * UNIT / F.sum("times")).alias("mean"), F.count("n").alias("weighted"))
-    return rows.filter("have = n_keys").select("set", "cand", F.when(F.col("weighted") == F.col("have"), F.greatest(F.col("mean"), F.lit(UNIT))).otherwise(1).cast("long").alias("w"))
+    keys = sets.select("set", "keys", F.explode("keys").alias("key")).join(sizes, "key", "left")
+    least = keys.groupBy("set").agg(F.any_value("keys").alias("keys"), F.min_by("key", F.struct(F.coalesce("size", F.lit(0)), "key")).alias("key"))
+    asked = stored(least.select("set", "keys", "key", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("piece")))
+    used = members.join(asked.select(F.explode("keys").alias("key")).distinct(), "key", "left_semi")
+    known = used.join(asked.select("key").distinct(), "key", "left_semi").select("key", "cand").join(held_keys(used), "cand")
+    met = asked.join(known.withColumn("piece", F.pmod(F.xxhash64("cand"), F.lit(pieces)).cast("int")), ["key", "piece"]).filter(has_all(F.col("keys"), F.col("held")))
+    return met.select("set", "cand", F.transform("keys", lambda k: F.element_at("held", k)).alias("ns"))
+
+
+def mean_weight(ns: Column, times: Column) -> Column:
+    """The mean of weights that count `times` times each, in thousandths, 1000 at least."""
+    total = F.aggregate(F.zip_with(ns, times, lambda n, t: n * t), F.lit(0).cast("long"), lambda s, x: s + x)
+    count = F.aggregate(times, F.lit(0).cast("long"), lambda s, x: s + x)
+    return F.greatest(F.floor(total * UNIT / count).cast("long"), F.lit(UNIT).cast("long"))
+
+
+#: Candidates that stand side by side in one row, at most.
+BLOCK = 4096
+
+
+def blocks_of(members: DataFrame) -> DataFrame:
+    """(cand, block): the candidates in order, BLOCK of them in each block."""
+    ranked = numbered(members.select("cand").distinct(), "cand", name="rank")
+    return ranked.select("cand", F.floor(F.col("rank") / BLOCK).cast("int").alias("block"))
+
+
+def blocked_members(shared: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(set, block, cands): shared members (set, cand, ns), those of a block in one row, in order."""
+    rows = shared.join(blocks, "cand").groupBy("set", "block")
+    return rows.agg(F.array_sort(F.collect_list(F.struct("cand", "ns"))).alias("cands"))
+
+
+def lines_of(variants: DataFrame, blocked: DataFrame) -> DataFrame:
+    """(line, total, n, blocks): how long the line of each variant (line, set, times) of a set is, and its blocks.
+
+    Sets whose keys count differently often have the same members with other weights: these are summed up, not kept.
+    """
+    weights = lambda cands: F.aggregate(cands, F.lit(0).cast("long"), lambda s, c: s + mean_weight(c["ns"], F.col("times")))
+    parts = variants.join(blocked, "set").select("line", F.size("cands").cast("long").alias("n"), F.struct("block", weights(F.col("cands")).alias("w")).alias("b"))
+    return parts.groupBy("line").agg(F.sum("b.w").alias("total"), F.sum("n").alias("n"), F.array_sort(F.collect_list("b")).alias("blocks"))
+
+
+def measured_lines(requests: DataFrame, lines: DataFrame, held: DataFrame, exclude: str) -> DataFrame:
+    """requests (line, set, keys, times, ...) with n_cands and weight of their line beside the excluded candidate.
+
+    held: cand, held, block. The columns are null where a line has no members.
+    """
+    own = held.select(F.col("cand").alias(exclude), "held", F.col("block").alias("own_block"))
+    rows = requests.join(lines, "line", "left").join(own, exclude, "left")
+    inside = F.coalesce(has_all(F.col("keys"), F.col("held")), F.lit(False))
+    rows = rows.withColumn("own_w", F.when(inside, mean_weight(F.transform("keys", lambda k: F.element_at("held", k)), F.col("times"))))
+    rows = rows.withColumn("n_cands", F.col("n") - F.when(inside, 1).otherwise(0)).withColumn("weight", F.col("total") - F.coalesce("own_w", F.lit(0)))
+    return rows.withColumn("own_block", F.when(inside, F.col("own_block"))).drop("held", "total", "n")
+
+
+def drawn_from_blocks(asked: DataFrame, blocked: DataFrame, keys: list[str], exclude: str, seed: int) -> DataFrame:
+    """(keys, cand): a candidate of each of measured_lines(), by weight: first its block, then its place there."""
+
+    def walk(items: Column, left: Column, kind: str, name: str, weight) -> Column:
+        """The item in which a point of a line is, and what is left of the point there."""
+        start = F.struct(left.alias("left"), F.lit(None).cast(kind).alias("at"))
+        step = lambda s, x: F.when(s["at"].isNotNull(), s).when(s["left"] < weight(x), F.struct(s["left"].alias("left"), x[name].alias("at"))).otherwise(F.struct((s["left"] - weight(x)).alias("left"), F.lit(None).cast(kind).alias("at")))
+        return F.aggregate(items, start, step)
+
+    point = F.floor(uniform(seed, *(F.col(k) for k in keys)) * F.col("weight")).cast("long")
+    beside = lambda b: b["w"] - F.when(b["block"] == F.col("own_block"), F.col("own_w")).otherwise(0)
+    names = list(dict.fromkeys([*keys, exclude]))
+    rows = asked.select(*names, "set", "times", "own_block", "own_w", "blocks", point.alias("x"))
+    rows = rows.withColumn("b", walk(F.col("blocks"), F.col("x"), "int", "block", beside)).select(*names, "set", "times", F.col("b.at").alias("block"), F.col("b.left").alias("x"))
+    one = lambda c: F.when(c["cand"] == F.col(exclude), F.lit(0).cast("long")).otherwise(mean_weight(c["ns"], F.col("times")))
+    met = rows.join(blocked, ["set", "block"])
+    return met.select(*keys, walk(F.col("cands"), F.col("x"), "string", "cand", one)["at"].alias("cand"))
 
 
 def placed_members(members: DataFrame) -> DataFrame:
     """members (set, cand, w) with the place `start` of each on its set's line, the line's length `total` and `n`."""
     sizes = members.groupBy("set").agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("n"))
-    return settled(running_total(members, "w", "cand", by=("set",), name="start").join(sizes, "set"))
+    return stored(running_total(members, "w", "cand", by=("set",), name="start", settle=stored).join(sizes, "set"))
 
 
-def open_requests(requests: DataFrame, placed: DataFrame, exclude: str) -> DataFrame:
-    """requests (with a column set) that have a candidate beside the excluded one: adds n_cands, weight and its place."""
+def measured_requests(requests: DataFrame, placed: DataFrame, exclude: str) -> DataFrame:
+    """requests (with a column set) with n_cands, weight and the place of the excluded candidate; null for an empty set."""
     sizes = placed.groupBy("set").agg(F.any_value("total").alias("total"), F.any_value("n").alias("n"))
     own = placed.select("set", F.col("cand").alias(exclude), F.col("start").alias("own_start"), F.col("w").alias("own_w"))
-    rows = requests.join(sizes, "set").join(own, ["set", exclude], "left")
+    rows = requests.join(sizes, "set", "left").join(own, ["set", exclude], "left")
     has = F.when(F.col("own_w").isNull(), 0).otherwise(1)
-    rows = rows.withColumn("n_cands", F.col("n") - has).withColumn("weight", F.col("total") - F.coalesce("own_w", F.lit(0)))
-    return rows.filter("n_cands > 0")
+    return rows.withColumn("n_cands", F.col("n") - has).withColumn("weight", F.col("total") - F.coalesce("own_w", F.lit(0)))
+
+
+def open_requests(requests: DataFrame, placed: DataFrame, exclude: str) -> DataFrame:
+    """measured_requests() that have a candidate beside the excluded one."""
+    return measured_requests(requests, placed, exclude).filter("n_cands > 0")
 
 
 def drawn(asked: DataFrame, placed: DataFrame, keys: list[str], seed: int) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.sources.readers import spread
+
 #: Tokens: words with inner apostrophes, runs of digits, single other characters.
 TOKEN_PATTERN = r"\p{L}+(?:['’]\p{L}+)*|\p{Nd}+|[^\s\p{L}\p{Nd}]"
 
@@ -24,15 +26,17 @@ TO_WORDS = ("to", "zu", "de", "para")
 SUBJECTS, OBJECTS = ("nsubj", "nsubjpass", "expl"), ("dobj", "iobj")
 
 
-def parse(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+def parse(texts: DataFrame, key: list[str], text: str = "text", by: list[str] | None = None) -> DataFrame:
     """The native parse of every text; key names the columns that tell texts apart.
 
-    Rows are parsed one by one, also those that repeat a key or have none. Only the rows' numbers and words are dealt.
+    Rows are parsed one by one, also those that repeat a key or have none. Texts are dealt by the rows' numbers, or by
+    the columns `by` of the key, which leaves the tokens dealt by them; words aren't moved.
     """
     # numbered before the words are taken out: a generator in the same projection would number these
     rows = texts.select(*key, F.coalesce(F.col(text), F.lit("")).alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    rows = spread(rows, *(by or ["_row"]))
     words = rows.select(*key, "_row", F.posexplode(F.regexp_extract_all("_text", F.lit(TOKEN_PATTERN), F.lit(0))).alias("i", "text"))
-    doc = Window.partitionBy("_row").orderBy("i")
+    doc = Window.partitionBy(*(by or []), "_row").orderBy("i")
     ends = F.col("text").isin(".", "!", "?")
     words = words.withColumn("before", F.lag(ends).over(doc)).withColumn("is_start", F.coalesce("before", F.lit(True)))
     words = words.withColumn("sent", F.sum(F.when(F.coalesce("before", F.lit(False)), 1).otherwise(0)).over(doc.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("before")
@@ -58,7 +62,7 @@ def parse(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     words = words.withColumn("tag", tag.otherwise("."))
     t = F.col("tag")
     words = words.withColumn("lemma", F.when(t.isin("NNS", "NNPS"), F.regexp_replace(low, "s$", "")).when(t == "VBD", F.regexp_replace(low, "ed$", "")).when(t == "VBG", F.regexp_replace(low, "ing$", "")).otherwise(low))
-    sent = Window.partitionBy("_row", "sent")
+    sent = Window.partitionBy(*(by or []), "_row", "sent")
     order = sent.orderBy("i")
     noun = p.isin("NOUN", "PROPN")
     first = lambda c: F.min(F.when(c, F.col("i"))).over(sent)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,7 +79,7 @@ def recorded_split(df: DataFrame, index: str, splits: dict[str, list[int]]) -> D
     return df.join(places, F.col(index) == F.col("_index")).drop("_index")
 
 
-def running_total(df: DataFrame, amount: str, *order: str, by: tuple[str, ...] = (), name: str = "ahead", ranges: int | None = None) -> DataFrame:
+def running_total(df: DataFrame, amount: str, *order: str, by: tuple[str, ...] = (), name: str = "ahead", ranges: int | None = None, settle: Callable[[DataFrame], DataFrame] = settled) -> DataFrame:
     """The sum of `amount` over the rows before each one, in order, within `by`.
 
     Rows are dealt to ranges of (by, order), so that a large group spans many tasks; sums of the ranges are added
@@ -87,7 +88,7 @@ def running_total(df: DataFrame, amount: str, *order: str, by: tuple[str, ...] =
     the shuffle: long ones should be left out.
     """
     dealt = df.repartitionByRange(ranges, *by, *order) if ranges else df.repartitionByRange(*by, *order)
-    part = settled(dealt.withColumn("_part", F.spark_partition_id()))
+    part = settle(dealt.withColumn("_part", F.spark_partition_id()))
     key = [*by, "_part"]
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = part.groupBy(*key).agg(F.sum(amount).alias("_sum"))

@@ -19,16 +19,24 @@ PRONOUN_GENDER = {"he": "m", "him": "m", "his": "m", "himself": "m", "she": "f",
 EVIDENCE_SINGULAR, EVIDENCE_PLURAL = ("a", "an", "this", "that", "un", "une", "le", "la", "el"), ("these", "those", "many", "few", "les", "des", "die")
 
 
+#: Flags of the children of a token, by their relations.
+FLAGS = (("obj", ("dobj",)), ("iobj", ("iobj",)), ("prep", ("prep",)), ("xcomp", ("xcomp",)), ("aux", ("aux",)), ("det", ("det", "nummod", "poss")), ("expl", ("expl",)), ("adv", ("advmod",)), ("passive", ("nsubjpass", "auxpass")))
+
+
+def mask_bit(dep: Column) -> Column:
+    mask = F.lit(0)
+    for name, bit in MASK:
+        mask = F.when(dep == name, bit).otherwise(mask)
+    return mask
+
+
 def children(tokens: DataFrame, key: list[str]) -> DataFrame:
     """(key, i, flags) of what each governing token governs."""
     dep = F.col("dep")
     kids = tokens.filter(F.col("head") != F.col("i")).select(*key, F.col("head").alias("i"), "dep", "lemma", "pos", "tag", F.col("i").alias("child"))
-    mask = F.lit(0)
-    for name, bit in MASK:
-        mask = F.when(dep == name, bit).otherwise(mask)
     return kids.groupBy(*key, "i").agg(
-        F.bit_or(mask).alias("mask"),
-        *(F.bool_or(dep.isin(*names)).alias(f"has_{flag}") for flag, names in (("obj", ("dobj",)), ("iobj", ("iobj",)), ("prep", ("prep",)), ("xcomp", ("xcomp",)), ("aux", ("aux",)), ("det", ("det", "nummod", "poss")), ("expl", ("expl",)), ("adv", ("advmod",)), ("passive", ("nsubjpass", "auxpass")))),
+        F.bit_or(mask_bit(dep)).alias("mask"),
+        *(F.bool_or(dep.isin(*names)).alias(f"has_{flag}") for flag, names in FLAGS),
         F.array_sort(F.collect_set(F.when((dep == "prep") & (F.col("lemma") != "by"), F.col("lemma")))).alias("preps"),
         F.max(F.when(dep == "prep", F.struct("child", "lemma")))["lemma"].alias("last_prep"),
         F.min(F.when(dep.isin("nsubj", "expl"), F.struct("child", "lemma", "dep"))).alias("subject"),
@@ -132,6 +140,25 @@ def context(tokens: DataFrame, key: list[str]) -> DataFrame:
     return rows.withColumn("relpos", side).join(heads, [*key, "head"])
 
 
+def placed_with_children(tokens: DataFrame, key: list[str]) -> DataFrame:
+    """context() with the flags of with_children(), for keys that are neither null nor repeated: without a join.
+
+    Every token stands once at its own place and once at its head's, where the two learn of each other. All windows are
+    within a key: tokens that are dealt by it aren't moved again.
+    """
+    order, at, own = Window.partitionBy(*key, "sent").orderBy("i"), Window.partitionBy(*key, "_at"), F.col("_own")
+    side = F.when(F.col("i") == F.col("head"), "ROOT").when(F.col("i") < F.col("head"), "LEFT").otherwise("RIGHT")
+    rows = tokens.withColumn("prev_tag", F.coalesce(F.lag("tag").over(order), F.lit("START"))).withColumn("next_tag", F.coalesce(F.lead("tag").over(order), F.lit("END"))).withColumn("relpos", side)
+    places = F.array(F.struct(F.col("i").alias("_at"), F.lit(True).alias("_own")), F.struct(F.col("head").alias("_at"), F.lit(False).alias("_own")))
+    rows = rows.select("*", F.inline(places))
+    child = ~own & (F.col("head") != F.col("i"))
+    flags = {f"has_{flag}": F.coalesce(F.bool_or(F.when(child, F.col("dep").isin(*names))).over(at), F.lit(False)) for flag, names in FLAGS}
+    mask = F.coalesce(F.bit_or(F.when(child, mask_bit(F.col("dep")))).over(at), F.lit(0))
+    rows = rows.withColumns(flags | {"mask": mask, "_tag": F.max(F.when(own, F.col("tag"))).over(at)})
+    told = F.max(F.when(~own, F.col("_tag"))).over(Window.partitionBy(*key, "i"))
+    return rows.withColumn("head_tag", told).filter(own).drop("_at", "_own", "_tag")
+
+
 def sentence_profiles(tokens: DataFrame, key: list[str]) -> DataFrame:
     """Frames as a sorted multiset, expletives, to-infinitives after a copula: what a round trip must keep."""
     full = with_children(tokens, key)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from glossa.functions import text as T
 from glossa.operators import context, draws, parsing, pools, rewriting, spans, trees
 from glossa.plans.registry import query
-from glossa.session import settled
-from glossa.sources.readers import parquet_table, spread
+from glossa.session import forget, settled, stored
+from glossa.sources.readers import parquet_table
 
 
 def _in(words: tuple[str, ...]) -> str:
@@ -70,11 +70,16 @@ _COMP = "CASE WHEN has_xcomp THEN 'CP_TO' WHEN has_obj THEN 'NP_OBJ' ELSE 'NONE'
 
 
 def conv_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settled(parsing.parse(spread(parquet_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")), KEY))
+    return stored(parsed_conversations(spark, sf_dir))
+
+
+def parsed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_tokens() of a query that reads them once."""
+    return parsing.parse(parquet_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), KEY)
 
 
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.parse(spread(parquet_table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
+    return parsing.parse(parquet_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
 
 
 def bench_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,11 +213,24 @@ chain AS (SELECT * FROM chain0 WHERE chain IS NOT NULL)"""
 
 
 def chained_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of conversations with their back-off chains, null where a token has no bucket."""
-    tok = conv_tokens(spark, sf_dir)
-    full = trees.with_children(tok, KEY).withColumns({"frame": trees.frame(), "comp": trees.complement_kind(), "bare": trees.bare_singular()})
-    placed = trees.context(tok, KEY).select(*KEY, "i", "prev_tag", "next_tag", "relpos", "head_tag")
-    return settled(full.join(placed, [*KEY, "i"]).withColumn("chain", context.backoff_chain()).select(*KEY, "i", "lemma", "pos", "tag", "chain"))
+    """Tokens of conversations that have a back-off chain.
+
+    Texts are dealt by their keys and their tokens stay there. Rows that repeat a key meet each other's tokens, by joins.
+    """
+    texts = parquet_table(spark, sf_dir, "conversations").select(*KEY, "text").dropna(subset=KEY)
+    twice = stored(texts.groupBy(*KEY).count().filter("count > 1").select(*KEY))
+    some = not twice.isEmpty()
+    once = texts.join(twice, KEY, "left_anti") if some else texts
+    rows = chained(trees.placed_with_children(parsing.parse(once, KEY, by=KEY), KEY))
+    if some:
+        tok = stored(parsing.parse(texts.join(twice, KEY, "left_semi"), KEY))
+        rows = rows.unionByName(chained(trees.with_children(trees.context(tok, KEY), KEY)))
+    return stored(rows)
+
+
+def chained(full: DataFrame) -> DataFrame:
+    rows = full.withColumns({"frame": trees.frame(), "comp": trees.complement_kind(), "bare": trees.bare_singular()})
+    return rows.withColumn("chain", context.backoff_chain()).select(*KEY, "i", "lemma", "pos", "tag", "chain").filter("chain is not null")
 
 
 @query(f"WITH {CONV}, {_CHAIN} SELECT conv_id, turn, i, array_to_string(chain, ' ') AS chain FROM chain")
@@ -236,7 +254,7 @@ stats AS (SELECT bucket, lemma, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM
 
 
 def backoff_statistics(rows: DataFrame) -> DataFrame:
-    return settled(context.with_backoff(context.lemma_statistics(rows), context.chains_of(rows), 2))
+    return stored(context.with_backoff(context.lemma_statistics(rows), context.chains_of(rows), 2))
 
 
 @query(f"WITH {CONV}, {_CHAIN}, {_STATS} SELECT bucket, lemma, n FROM stats")
@@ -327,37 +345,80 @@ hit AS (SELECT pt.example, pt.lemma, pt.attempt, plc.cand FROM pt ASOF JOIN plc
 mp AS (SELECT k.example, k.lemma, k.attempt, coalesce(hit.cand, k.lemma) AS target FROM (SELECT example, lemma, unnest(generate_series(0, {attempts - 1})) AS attempt FROM k1) k LEFT JOIN hit USING (example, lemma, attempt))"""
 
 
-def candidate_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(requests, members, lemmas): for each lemma of a conversation the first level with a candidate beside itself.
+class Choices:
+    """For each lemma of a conversation the first level with a candidate beside itself: its strict buckets, else its tags.
 
-    Level 0 is the strict bucket, level 1 the tag's pool. Lemmas that meet the same contexts share a set.
+    Lemmas that meet the same contexts share a set. Sets of one bucket and of tags are few and placed whole; of sets of
+    several buckets, the members that they share are kept in blocks.
     """
-    occ = settled(rows.filter("chain is not null").select(F.col("conv_id").alias("example"), "lemma", "tag", F.get("chain", F.lit(0)).alias("bucket")))
+
     by = ["example", "lemma"]
-    counted = occ.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("m"))
-    strict, strict_sets = draws.key_sets(counted, by, F.col("bucket"), F.col("m"))
-    loose, loose_sets = draws.key_sets(occ, by, F.col("tag"))
-    stats = backoff_statistics(rows).select(F.col("bucket").alias("key"), F.col("lemma").alias("cand"), "n")
-    pool = occ.select(F.col("tag").alias("key"), F.col("lemma").alias("cand"), F.lit(None).cast("long").alias("n")).distinct()
-    members = draws.placed_members(draws.shared_members(strict_sets, stats).unionByName(draws.shared_members(loose_sets, pool)))
-    asked = strict.withColumn("level", F.lit(0)).unionByName(loose.withColumn("level", F.lit(1)))
-    opened = draws.open_requests(asked, members, "lemma")
-    best = opened.groupBy(*by).agg(F.min_by(F.struct("level", "set", "n_cands", "weight", "own_start", "own_w", "total", "n"), "level").alias("b"))
-    return settled(best.select(*by, "b.*")), members, loose.select(*by)
+
+    def __init__(self, rows: DataFrame):
+        dealt = rows.filter("chain is not null").select(F.col("conv_id").alias("example"), "lemma", "tag", F.get("chain", F.lit(0)).alias("bucket")).repartition(*self.by)
+        counted = dealt.groupBy(*self.by, "bucket").agg(F.count(F.lit(1)).alias("m"), F.collect_set("tag").alias("tags"))
+        keys = counted.groupBy(*self.by).agg(F.array_sort(F.collect_list(F.struct("bucket", "m"))).alias("k"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"))
+        asked = stored(keys.select(*self.by, F.col("k.bucket").alias("keys"), F.col("k.m").alias("times"), "tags"))
+        stats = stored(backoff_statistics(rows).select(F.col("bucket").alias("key"), F.col("lemma").alias("cand"), "n"))
+
+        single = stats.select(F.col("key").alias("set"), "cand", F.greatest(F.col("n") * draws.UNIT, F.lit(draws.UNIT)).cast("long").alias("w"))
+        self.single = draws.placed_members(single)
+        self.first = stored(draws.measured_requests(asked.filter("size(keys) = 1").select(*self.by, "tags", F.get("keys", F.lit(0)).alias("set")), self.single, "lemma"))
+
+        name = lambda c: F.substring(F.sha2(F.to_json(c), 256), 1, 32)  # noqa: E731  128 bits
+        several = asked.filter("size(keys) > 1").withColumns({"set": name(F.col("keys")), "line": name(F.struct("keys", "times"))})
+        shared = draws.shared_members(several.select("set", "keys").dropDuplicates(["set"]), stats)
+        blocks = draws.blocks_of(stats)
+        self.blocked = stored(draws.blocked_members(shared, blocks))
+        lines = draws.lines_of(several.select("line", "set", "times").dropDuplicates(["line"]), self.blocked)
+        self.mixed = stored(draws.measured_lines(several, lines, draws.held_keys(stats).join(blocks, "cand"), "lemma"))
+
+        rest = self.first.select(*self.by, "tags", "n_cands").unionByName(self.mixed.select(*self.by, "tags", "n_cands")).filter("n_cands is null or n_cands = 0")
+        rest = rest.select(*self.by, "tags", F.array_join("tags", " ").alias("set"))
+        pool = stored(rows.filter("chain is not null").select(F.col("tag").alias("key"), F.col("lemma").alias("cand"), F.lit(None).cast("long").alias("n")).distinct())
+        loose = draws.shared_members(rest.groupBy("set").agg(F.any_value("tags").alias("keys")), pool)
+        self.loose = draws.placed_members(loose.select("set", "cand", F.lit(1).cast("long").alias("w")))
+        self.second = stored(draws.measured_requests(rest.drop("tags"), self.loose, "lemma"))
+        forget(asked, stats, pool)
+
+    def requests(self) -> DataFrame:
+        """(example, lemma, level, n_cands, weight) of the lemmas that have a candidate."""
+        parts = [d.filter("n_cands > 0").select(*self.by, F.lit(level).alias("level"), "n_cands", "weight") for d, level in ((self.first, 0), (self.mixed, 0), (self.second, 1))]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+    def mapping(self, seed: int, attempt: int | None = None) -> DataFrame:
+        """(example, lemma, target): one target per lemma of each conversation; a lemma without a candidate stays."""
+        keys = self.by if attempt is None else [*self.by, "attempt"]
+        some = lambda d: d.filter("n_cands > 0").withColumn("attempt", F.lit(attempt))
+        parts = [draws.drawn(some(self.first), self.single, keys, seed), draws.drawn_from_blocks(some(self.mixed), self.blocked, keys, "lemma", seed), draws.drawn(some(self.second), self.loose, keys, seed)]
+        out = self.second.filter("n_cands is null or n_cands = 0").select(*self.by, F.col("lemma").alias("target"))
+        for hit in parts:
+            out = out.unionByName(hit.select(*self.by, F.col("cand").alias("target")))
+        return out
+
+    def forget(self) -> None:
+        forget(self.first, self.mixed, self.second, self.single, self.loose, self.blocked)
 
 
 def drawn_mapping(rows: DataFrame, seed: int) -> DataFrame:
-    """(example, lemma, target): one target per lemma of each conversation; a lemma without a candidate stays."""
-    requests, members, lemmas = candidate_sets(rows)
-    hit = draws.drawn(requests, members, ["example", "lemma"], seed)
-    return lemmas.join(hit, ["example", "lemma"], "left").select("example", "lemma", F.coalesce("cand", "lemma").alias("target"))
+    """(example, lemma, target): one target per lemma of each conversation; a lemma without a candidate stays.
+
+    rows: of stored(); they and all that the mapping is made from are deleted.
+    """
+    choices = Choices(rows)
+    forget(rows)
+    out = stored(choices.mapping(seed))
+    choices.forget()
+    return out
 
 
 @query(f"WITH {CONV}, {_CHAIN}, {_STATS}, {_POOL}, {_SETS} SELECT example, lemma, level, n_cands, weight FROM cset")
 def lockstep_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidates that all occurrences of a lemma in a conversation share: their level, number and weight."""
-    requests, _, _ = candidate_sets(chained_tokens(spark, sf_dir))
-    return requests.select("example", "lemma", "level", "n_cands", "weight")
+    rows = chained_tokens(spark, sf_dir)
+    choices = Choices(rows)
+    forget(rows)
+    return choices.requests()
 
 
 @query(f"WITH {CONV}, {_CHAIN}, {_STATS}, {_POOL}, {_SETS}, {map_sql(17)} SELECT example, lemma, target FROM mp")
@@ -413,14 +474,8 @@ def validated_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts rewritten until a new parse keeps the structure of every sentence, else the last attempt."""
     tok = conv_tokens(spark, sf_dir)
     fixed = tok.withColumn("fixed", ~F.col("pos").isin(*_OPEN))
-    requests, members, lemmas = candidate_sets(chained_tokens(spark, sf_dir))
-
-    def mapping(attempt: int) -> DataFrame:
-        asked = requests.withColumn("attempt", F.lit(attempt))
-        hit = draws.drawn(asked, members, ["example", "lemma", "attempt"], 19).drop("attempt")
-        return lemmas.join(hit, ["example", "lemma"], "left").select("example", "lemma", F.coalesce("cand", "lemma").alias("target"))
-
-    return rewriting.validated(fixed, mapping, lambda texts: parsing.parse(texts, KEY), KEY, "conv_id", ATTEMPTS)
+    choices = Choices(chained_tokens(spark, sf_dir))
+    return rewriting.validated(fixed, lambda attempt: choices.mapping(19, attempt), lambda texts: parsing.parse(texts, KEY), KEY, "conv_id", ATTEMPTS)
 
 
 _PLACES = r"""

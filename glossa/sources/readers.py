@@ -25,14 +25,16 @@ def parquet_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 SMALL = 16 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *by: str) -> DataFrame:
     """df over all cores if it is small: one file, or one row group, is one task however many cores wait.
 
-    Larger tables come in pieces enough and are left as they are: no row is moved.
+    Larger tables come in pieces enough and are left as they are: no row is moved. by: columns to deal rows by, in any case.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SMALL * cores else df
+    if size < SMALL * cores:
+        return df.repartition(cores, *by)
+    return df.repartition(*by) if by else df
 
 
 def detect_format(path: str) -> str:
