@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from glossa.functions.text import capitalise_first_letter, inflect, match_case, uniform
 from glossa.operators.slicing import numbered
 from glossa.operators.trees import same_profile, sentence_profiles
-from glossa.session import settled
+from glossa.session import forget, settled, stored
 
 
 def race_key(weight: Column, u: Column) -> Column:
@@ -61,13 +61,16 @@ def render(tokens: DataFrame, mapping: DataFrame, key: list[str], example: str)
     """Texts of the tokens under a mapping: inflected, cased like the source, capitals at sentence starts.
 
     Adds spans: the character span of every token in the new text. tokens: key, i, text, lemma, tag, is_start, fixed
-    (true for tokens that stay).
+    (true for tokens that stay). Fixed tokens don't meet the mapping, and the forms are written before they meet in texts.
     """
-    joined = tokens.join(mapping.withColumnRenamed("example", example), [example, "lemma"], "left")
+    own = F.coalesce("fixed", F.lit(False))
+    joined = tokens.filter(~own).join(mapping.withColumnRenamed("example", example), [example, "lemma"], "left")
     form = match_case(F.col("text"), inflect(F.col("target"), F.col("tag")))
     form = F.when(F.col("is_start"), capitalise_first_letter(form)).otherwise(form)
-    words = joined.withColumn("form", F.when(F.col("fixed") | F.col("target").isNull() | (F.col("target") == F.col("lemma")), F.col("text")).otherwise(form))
-    words = words.withColumn("gap", F.when(F.col("i") == 0, "").when(F.col("text").rlike(r"^[.,!?;:)\]]$"), "").otherwise(" "))
+    words = joined.withColumn("form", F.when(F.col("target").isNull() | (F.col("target") == F.col("lemma")), F.col("text")).otherwise(form))
+    parts = [*key, "i", "text", "form"]
+    words = words.select(*parts).unionByName(tokens.filter(own).withColumn("form", F.col("text")).select(*parts))
+    words = stored(words.withColumn("gap", F.when(F.col("i") == 0, "").when(F.col("text").rlike(r"^[.,!?;:)\]]$"), "").otherwise(" ")).drop("text"))
     order = Window.partitionBy(*key).orderBy("i")
     words = words.withColumn("end", F.sum(F.length("gap") + F.length("form")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.length("form"))
     row = F.array_sort(F.collect_list(F.struct("i", "gap", "form", "start", "end")))

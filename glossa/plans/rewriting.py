@@ -490,13 +490,16 @@ FROZEN_CHARS, FROZEN_LEMMAS = 24, ("the", "ea", "en", "que")
 def frozen_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations rendered with frozen character ranges and lemmas as they stand."""
     texts = parquet_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    tok = conv_tokens(spark, sf_dir).join(parsing.token_places(texts, KEY), [*KEY, "i"])
+    mapping = drawn_mapping(chained_tokens(spark, sf_dir), 17)
+    tok = stored(parsed_conversations(spark, sf_dir).join(parsing.token_places(texts, KEY), [*KEY, "i"]))
     ranges = texts.select(*KEY, F.lit(0).alias("start"), F.lit(FROZEN_CHARS).alias("end"))
     lemmas = spark.createDataFrame([(x,) for x in FROZEN_LEMMAS], "lemma string")
-    marked = settled(spans.marked_frozen(tok, ranges, lemmas, KEY))
+    marked = stored(spans.marked_frozen(tok, ranges, lemmas, KEY).drop("char_start", "char_end"))
     fixed = marked.withColumn("fixed", F.col("frozen") | ~F.col("pos").isin(*_OPEN))
-    out = rewriting.render(fixed, drawn_mapping(chained_tokens(spark, sf_dir), 17), KEY, "conv_id").select(*KEY, "text")
-    return out.join(marked.groupBy(*KEY).agg(F.count_if("frozen").alias("n_frozen")), KEY)
+    out = rewriting.render(fixed, mapping, KEY, "conv_id").select(*KEY, "text")
+    counts = stored(marked.groupBy(*KEY).agg(F.count_if("frozen").alias("n_frozen")))
+    forget(tok, mapping, marked)
+    return out.join(counts, KEY)
 
 
 # pools, from lists that are made of the corpus
