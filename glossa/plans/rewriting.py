@@ -455,9 +455,12 @@ _DRAWN = f"{CONV}, {_CHAIN}, {_STATS}, {_POOL}, {_SETS}"
 @query(f"WITH {_DRAWN}, {map_sql(17)}, {render_sql('(SELECT *, 0 AS attempt FROM tok)', f'pos NOT IN {_in(_OPEN)}')} SELECT conv_id, turn, text FROM ren")
 def rewritten_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations rendered under one mapping each."""
+    mapping = drawn_mapping(chained_tokens(spark, sf_dir), 17)
     tok = conv_tokens(spark, sf_dir)
     fixed = tok.withColumn("fixed", ~F.col("pos").isin(*_OPEN))
-    return rewriting.render(fixed, drawn_mapping(chained_tokens(spark, sf_dir), 17), KEY, "conv_id").select("conv_id", "turn", "text")
+    out = rewriting.render(fixed, mapping, KEY, "conv_id").select("conv_id", "turn", "text")
+    forget(tok, mapping)
+    return out
 
 
 #: How often a text is rewritten anew where the structure of a sentence isn't kept.
