@@ -91,15 +91,19 @@ def validated(tokens: DataFrame, mapping: Callable[[int], DataFrame], parse: Cal
     tokens: as for render(); mapping(k): the mapping of attempt k; parse: texts (key, text) to tokens. An attempt
     renders only texts that none before it has settled; of those that none settles the last one counts.
     """
-    own = settled(sentence_profiles(tokens, key))
+    own = stored(sentence_profiles(tokens, key))
     rest, out = tokens, None
     for k in range(attempts):
-        texts = settled(render(rest, mapping(k), key, example).select(*key, "text"))
-        same = same_profile(own.join(texts.select(*key), key, "left_semi"), sentence_profiles(settled(parse(texts)), key), key)
-        tried = settled(texts.join(same, key).select(*key, F.lit(k).alias("attempt"), F.col("same").alias("valid"), "text"))
+        texts = stored(render(rest, mapping(k), key, example).select(*key, "text"))
+        parsed = stored(parse(texts))
+        same = same_profile(own.join(texts.select(*key), key, "left_semi"), sentence_profiles(parsed, key), key)
+        tried = stored(texts.join(same, key).select(*key, F.lit(k).alias("attempt"), F.col("same").alias("valid"), "text"))
         done = tried if k == attempts - 1 else tried.filter("valid")
         out = done if out is None else out.unionByName(done)
-        rest = tokens.join(tried.filter("not valid").select(*key), key, "left_semi")
+        left = stored(rest.join(tried.filter("not valid").select(*key), key, "left_semi")) if k < attempts - 1 else rest
+        forget(texts, parsed, *([rest] if rest is not tokens and left is not rest else []))
+        rest = left
+    forget(own, *([rest] if rest is not tokens else []))
     return out
 
 

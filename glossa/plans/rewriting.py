@@ -475,10 +475,15 @@ best AS (SELECT conv_id, turn, coalesce(min(attempt) FILTER (WHERE valid), {ATTE
 SELECT conv_id, turn, CAST(attempt AS INTEGER) AS attempt, valid, text FROM best JOIN ok USING (conv_id, turn, attempt) JOIN ren USING (conv_id, turn, attempt)""")
 def validated_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts rewritten until a new parse keeps the structure of every sentence, else the last attempt."""
+    rows = chained_tokens(spark, sf_dir)
+    choices = Choices(rows)
+    forget(rows)
     tok = conv_tokens(spark, sf_dir)
     fixed = tok.withColumn("fixed", ~F.col("pos").isin(*_OPEN))
-    choices = Choices(chained_tokens(spark, sf_dir))
-    return rewriting.validated(fixed, lambda attempt: choices.mapping(19, attempt), lambda texts: parsing.parse(texts, KEY), KEY, "conv_id", ATTEMPTS)
+    out = rewriting.validated(fixed, lambda attempt: choices.mapping(19, attempt), lambda texts: parsing.parse(texts, KEY), KEY, "conv_id", ATTEMPTS)
+    choices.forget()
+    forget(tok)
+    return out
 
 
 _PLACES = r"""
