@@ -73,9 +73,9 @@ def conv_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(parsed_conversations(spark, sf_dir))
 
 
-def parsed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parsed_conversations(spark: SparkSession, sf_dir: str, by: list[str] | None = None) -> DataFrame:
     """conv_tokens() of a query that reads them once."""
-    return parsing.parse(parquet_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), KEY)
+    return parsing.parse(parquet_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), KEY, by=by)
 
 
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +162,7 @@ UNION ALL SELECT conv_id, turn, i, i + 3, p FROM (SELECT conv_id, turn, i, lower
 def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multiword expressions of a list."""
     phrases = spark.createDataFrame([("of the",), ("In the",), ("de la",), ("and of the",)], "phrase string")
-    return trees.phrase_matches(conv_tokens(spark, sf_dir), phrases, KEY, 3)
+    return trees.phrase_matches(parsed_conversations(spark, sf_dir, KEY), phrases, KEY, 3)
 
 
 @query(f"""WITH {CONV}, n AS (SELECT conv_id, turn, head AS i, dep, count(*) AS n FROM tok WHERE head <> i GROUP BY ALL)

@@ -18,7 +18,7 @@ def kept(spark):
     return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(folder) for f in fs)
 
 
-@pytest.mark.parametrize("name", ["lemma_mapping", "lockstep_candidates", "frozen_rewrites", "rewritten_conversations", "validated_rewrites"])
+@pytest.mark.parametrize("name", ["phrase_matches", "lockstep_candidates", "lemma_mapping", "rewritten_conversations", "frozen_rewrites", "validated_rewrites"])
 def test_little_is_kept_on_disk(spark, name):
     folder = "/root/testdata/sf0.01"
     before = kept(spark)
