@@ -1,9 +1,10 @@
 """Quality rules: an isolation forest over rule statistics, its threshold calibrated on labelled rows.
 
-Every text gets the fixed base rules and a vector of rule statistics. The forest is grown on a bounded
-sample of rows labelled good, so that its path lengths say how unusual a document is among good ones;
-the threshold is the lowest anomaly score that spares a stated share of the good rows. Documents are
-scored in one pass, without a shuffle.
+Every text gets the fixed base rules and a vector of rule statistics. The forest is grown on rows labelled
+good, so that its path lengths say how unusual a document is among good ones. A tree takes TREE_ROWS of them,
+as the method has it, and all trees together take as many different ones as they can hold. The margins and the
+threshold, the lowest anomaly score that spares a stated share of the good rows, are those of all labelled
+rows. Documents are scored in one pass, without a shuffle.
 
 Defined cases: a null text counts as empty, which the base rules reject; labels that are null or that
 have no document are left out; a document labelled several times counts by its largest label, and of rows
@@ -23,12 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm import textstats
-from glossa.llm.common import short_batches, stored
+from glossa.llm.common import forget, short_batches, stored
 
 #: Base rules: fewest words, and the share of words in repeated windows above which a text fails.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Labelled rows that the forest is fitted on, at most.
-FIT_ROWS = 12_000
 TREES, TREE_ROWS = 96, 256
 #: Spreads by which the range of a cut goes beyond the values that a node holds.
 MARGIN = 1.0
@@ -103,7 +102,7 @@ class IsolationForest:
             for _ in range(self.depth):
                 at = np.where(x[rows, axis[at]] <= cut[at], left[at], right[at])
             total += path[at]
-        return 2.0 ** (-total / TREES / max(1e-9, float(mean_path(self.size))))
+        return 2.0 ** (-total / len(self.trees) / max(1e-9, float(mean_path(self.size))))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, where=None) -> DataFrame:
@@ -140,19 +139,70 @@ def sample_statistics(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return raw, np.array([r[1] for r in got], dtype=np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[IsolationForest | None, float]:
+AXES = [f"v{k}" for k in range(9)]
+
+
+def labelled_vectors(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, label, v0...) of all labelled documents that the base rules pass; one row per id, as in labelled_sample().
+
+    Statistics are taken inside the scan and joined with the labels: texts aren't moved.
+    """
+    short_batches(docs.sparkSession)
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                raw = np.array([textstats.stats(t) for t in b["text"].to_pylist()], dtype=np.int64)
+                yield pa.record_batch([b["doc_id"], b["h"], pa.array(base_failed(raw)), *map(pa.array, vector(raw).T.copy())], names=["doc_id", "h", "failed", *AXES])
+
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"))
+    rows = rows.mapInArrow(run, f"doc_id long, h long, failed boolean, {', '.join(f'{v} double' for v in AXES)}")
+    one = rows.join(marks, "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min(F.struct("h", "failed", *AXES)).alias("t"))
+    return stored(one.filter("not t.failed and label in (0, 1)").select("doc_id", "label", *(f"t.{v}" for v in AXES)), "vectors")
+
+
+def order_statistic(rows: DataFrame, value: str, k: int, few: int = 1000) -> float:
+    """The k-th smallest value, from 0, of all rows: counts in bins, ever narrower; the driver gets fixed numbers of rows."""
+    v = F.col(value)
+    low, high = rows.agg(F.min(v), F.max(v)).first()
+    while low < high:
+        inside = rows.filter(v.between(low, high))
+        bins = inside.groupBy(F.least(F.floor((v - low) / (high - low) * 1024), F.lit(1023)).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).orderBy("b").collect()
+        for b in bins:
+            if k < b.n:
+                break
+            k -= b.n
+        low, high = b.low, b.high
+        if b.n <= few:
+            return sorted(r[0] for r in rows.filter(v.between(low, high)).select(v).collect())[k]
+    return low
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[IsolationForest | None, float]:
     """The forest and its threshold; a document is kept if its score does not exceed it."""
-    raw, label = sample_statistics(labelled_sample(docs, labels, "quality", rows))
-    use = ~base_failed(raw)
-    good, bad = vector(raw[use & (label == 1)]), vector(raw[use & (label == 0)])
-    if len(good) < 8:
+    rows = labelled_vectors(docs, labels)
+    spread = rows.agg(F.count_if(F.col("label") == 1).alias("n"), *(F.stddev_pop(v).alias(v) for v in AXES)).first()
+    if spread.n < 8:
         return None, 1.0
-    forest = IsolationForest(good, MARGIN * np.vstack([good, bad]).std(0) + 1e-12)
-    normal, odd = forest.score(good), forest.score(bad)
+    # a sum's last digits depend on the order of its terms
+    margin = np.array([float(f"{spread[v]:.9e}") for v in AXES])
+    own = rows.filter("label = 1").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(TREES * TREE_ROWS).collect()
+    own.sort(key=lambda r: r.doc_id)
+    forest = IsolationForest(np.array([[r[v] for v in AXES] for r in own]), MARGIN * margin + 1e-12)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.record_batch([b["label"], pa.array(forest.score(np.column_stack([b[v].to_numpy() for v in AXES])))], names=["label", "score"])
+
+    scores = stored(rows.mapInArrow(run, "label int, score double"), "scores")
     # the strictest threshold that spares enough good rows; halfway to the next bad row, if one lies beyond it
-    least = float(np.quantile(normal, 1 - SPARE, method="higher")) + 1e-9
-    caught = odd[odd > least]
-    return forest, (least + float(caught.min())) / 2 if len(caught) else least
+    least = order_statistic(scores.filter("label = 1"), "score", math.ceil((1 - SPARE) * (spread.n - 1))) + 1e-9
+    caught = scores.filter((F.col("label") == 0) & (F.col("score") > least)).agg(F.min("score")).first()[0]
+    forget(rows, scores)
+    return forest, least if caught is None else (least + caught) / 2
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, anomaly double, kept boolean"

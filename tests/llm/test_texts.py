@@ -234,3 +234,22 @@ def test_chunks_come_back_after_an_insertion(seed, inserted):
     moved = substring_dedup.chunk_ends(np.frombuffer(inserted + data, dtype=np.uint8)) - len(inserted)
     far = substring_dedup.HASH + substring_dedup.WINDOW
     assert {e for e in ends.tolist() if e > far} == {e for e in moved.tolist() if e > far}
+
+
+def test_quality_threshold_is_that_of_all_labelled_rows(spark, monkeypatch):
+    texts = [(i, f"w{i % 7} " * 3 + " ".join(f"word{j * (i % 97)} x{j}" for j in range(40 + i % 50)) + " #" * (i % 11 == 0)) for i in range(1200)]
+    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.range(1200).selectExpr("id AS doc_id", "int(id % 11 <> 0) AS quality")
+    monkeypatch.setattr(quality_rules, "TREES", 4)
+    monkeypatch.setattr(quality_rules, "TREE_ROWS", 16)  # the trees take 64 rows
+    monkeypatch.setattr(quality_rules, "FIT_ROWS", 64, raising=False)
+    forest, threshold = quality_rules.fit(docs, labels)
+    raw = np.array([textstats.stats(t) for _, t in texts])
+    use, good = ~quality_rules.base_failed(raw), np.arange(1200) % 11 != 0
+    score = forest.score(quality_rules.vector(raw))
+    least = np.quantile(score[use & good], 1 - quality_rules.SPARE, method="higher") + 1e-9
+    beyond = score[use & ~good & (score > least)]
+    assert threshold == pytest.approx((least + beyond.min()) / 2 if len(beyond) else least, abs=1e-12)
+    vectors = quality_rules.labelled_vectors(docs, labels)
+    assert vectors.count() == use.sum()
+    values = vectors.select("v0").toPandas()["v0"].sort_values().tolist()
+    assert [quality_rules.order_statistic(vectors, "v0", k, few=3) for k in (0, 5, 700, len(values) - 1)] == [values[k] for k in (0, 5, 700, len(values) - 1)]
