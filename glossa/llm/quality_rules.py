@@ -188,8 +188,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[IsolationForest | None, flo
         return None, 1.0
     # a sum's last digits depend on the order of its terms
     margin = np.array([float(f"{spread[v]:.9e}") for v in AXES])
-    own = rows.filter("label = 1").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(TREES * TREE_ROWS).collect()
-    own.sort(key=lambda r: r.doc_id)
+    own = rows.filter("label = 1").withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 53)))
+    if spread.n > TREES * TREE_ROWS:  # by the place of the last hash, not by a top-k of every task
+        own = own.filter(F.col("h") <= order_statistic(own, "h", TREES * TREE_ROWS - 1))
+    own = sorted(own.collect(), key=lambda r: r.doc_id)
     forest = IsolationForest(np.array([[r[v] for v in AXES] for r in own]), MARGIN * margin + 1e-12)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
