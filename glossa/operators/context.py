@@ -52,6 +52,15 @@ def backoff_chain() -> Column:
     return out
 
 
+def key_fields(keys: DataFrame) -> DataFrame:
+    """Strict keys (bucket) with the columns that backoff_chain() needs: a key's fields are all that its chain is made of."""
+    part = F.split("bucket", r"\|")
+    places = {"tag": {"VERB": 1, "NOUN": 1}, "frame": {"VERB": 2}, "comp": {"VERB": 3}, "mask": {"VERB": 4}, "head_tag": {"VERB": 5, "ADJ": 4, "ADV": 3}}
+    places |= {"bare": {"NOUN": 2}, "dep": {"NOUN": 3}, "relpos": {"ADJ": 1}, "prev_tag": {"ADJ": 2, "ADV": 1}, "next_tag": {"ADJ": 3, "ADV": 2}}
+    field = lambda at: F.nullif(F.coalesce(*(F.when(F.get(part, F.lit(0)) == pos, F.get(part, F.lit(k))) for pos, k in at.items())), F.lit(DROPPED))
+    return keys.withColumns({"pos": F.get(part, F.lit(0))} | {name: field(at).cast("int" if name == "mask" else "string") for name, at in places.items()})
+
+
 def lemma_statistics(tokens: DataFrame) -> DataFrame:
     """(bucket, lemma, n) over tokens with a chain; the strict key only. Counts combine before the shuffle."""
     strict = tokens.filter(F.col("chain").isNotNull()).select(F.get("chain", F.lit(0)).alias("bucket"), F.lower("lemma").alias("lemma"))

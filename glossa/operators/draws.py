@@ -11,6 +11,8 @@ for the same keys, in blocks; the line of a set is the lengths of its blocks.
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from glossa.functions.text import uniform
 from glossa.operators.slicing import numbered, running_total
 from glossa.session import stored
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 #: Weights of means are kept in thousandths.
 UNIT = 1000
 
@@ -81,6 +86,81 @@ def lines_of(variants: DataFrame, blocked: DataFrame) -> DataFrame:
     return parts.groupBy("line").agg(F.sum("b.w").alias("total"), F.sum("n").alias("n"), F.array_sort(F.collect_list("b")).alias("blocks"))
 
 
+#: Counts of candidates and sets that a tile takes, about, and cells of variants and counts that are weighed at once.
+COUNTS, SETS, CELLS = 1 << 21, 1 << 18, 1 << 22
+
+
+def line_sums(variants: DataFrame, members: DataFrame) -> DataFrame:
+    """(line, total, n): how long the line of each variant (line, keys, times) is, as lines_of() has it; empty ones left out.
+
+    members: key, cand, n. Sets meet candidates in tiles, all sets of one part and all candidates of another, and a tile
+    returns sums: the members that a set shares are neither moved nor kept.
+    """
+
+    def sums(sets: pa.Table, counts: pa.Table) -> pa.Table:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(sets) or not len(counts):
+            return pa.table({"line": pa.array([], pa.string()), "total": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        column = lambda t, c: pa.concat_arrays(t[c].chunks)
+        key = column(counts, "key").dictionary_encode()
+        at, cand, n = key.indices.to_numpy(), column(counts, "cand").dictionary_encode().indices.to_numpy(), column(counts, "n").to_numpy()
+        order = np.lexsort((cand, at))
+        cand, n, bounds = cand[order], n[order], np.searchsorted(at[order], np.arange(len(key.dictionary) + 1))
+
+        keys, variants = column(sets, "keys"), column(sets, "variants")
+        places = pc.fill_null(pc.index_in(pc.list_flatten(keys), value_set=key.dictionary), -1).to_numpy()
+        ends = lambda lists: np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        key_ends, line_ends, lines = ends(keys), ends(variants), pc.list_flatten(variants)
+        times, used = pc.list_flatten(pc.struct_field(lines, "times")).to_numpy(), 0
+        total, size = np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int64)
+
+        for k in range(len(keys)):
+            own, rows = places[key_ends[k] : key_ends[k + 1]], slice(line_ends[k], line_ends[k + 1])
+            many = (rows.stop - rows.start) * len(own)
+            t = times[used : used + many].reshape(-1, len(own))
+            used += many
+            if own.min() < 0:
+                continue
+            by_size = np.argsort(bounds[own + 1] - bounds[own])
+            met, found = None, {}
+            for j in by_size:
+                part = slice(bounds[own[j]], bounds[own[j] + 1])
+                if met is None:
+                    met, found[j] = cand[part], n[part]
+                    continue
+                place = np.minimum(np.searchsorted(cand[part], met), part.stop - part.start - 1)
+                same = cand[part][place] == met
+                met, found = met[same], {i: c[same] for i, c in found.items()} | {j: n[part][place[same]]}
+            if not len(met):
+                continue
+            held, often = np.stack([found[j] for j in range(len(own))]), np.ones(len(met), np.int64)
+            if len(t) > 4:  # candidates of the same counts are weighed once
+                code = np.zeros(len(met), np.int64)
+                for c in held:
+                    code = np.unique(code * (c.max() + 1) + c, return_inverse=True)[1]
+                _, first, often = np.unique(code, return_index=True, return_counts=True)
+                held = held[:, first]
+            step = max(1, CELLS // held.shape[1])
+            for a in range(0, len(t), step):
+                some = t[a : a + step]
+                weights = np.maximum(some @ held * UNIT // some.sum(axis=1)[:, None], UNIT)
+                total[rows.start + a : rows.start + a + len(some)] = weights @ often
+            size[rows] = len(met)
+        return pa.table({"line": pc.struct_field(lines, "line"), "total": total, "n": size}).filter(pa.array(size > 0))
+
+    pieces, chunks = (max(4, -(-d.count() // most)) for d, most in ((members, COUNTS), (variants, SETS)))
+    dealt = lambda d, c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int") * F.lit(d)
+    sets = variants.groupBy("keys").agg(F.collect_list(F.struct("line", "times")).alias("variants"))
+    sets = sets.select("keys", "variants", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("at")).withColumn("tile", F.col("at") + dealt(pieces, "keys", chunks))
+    counts = members.select("key", "cand", F.col("n").cast("long").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("at")).withColumn("tile", F.col("at") * pieces + dealt(1, "cand", pieces))
+    left, right = (d.drop("at").repartition(pieces * chunks, "tile").groupBy("tile") for d in (sets, counts))
+    parts = left.cogroup(right).applyInArrow(sums, "line string, total long, n long")
+    return parts.groupBy("line").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
 def measured_lines(requests: DataFrame, lines: DataFrame, held: DataFrame, exclude: str) -> DataFrame:
     """requests (line, set, keys, times, ...) with n_cands and weight of their line beside the excluded candidate.
 

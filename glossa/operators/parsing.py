@@ -26,15 +26,15 @@ TO_WORDS = ("to", "zu", "de", "para")
 SUBJECTS, OBJECTS = ("nsubj", "nsubjpass", "expl"), ("dobj", "iobj")
 
 
-def parse(texts: DataFrame, key: list[str], text: str = "text", by: list[str] | None = None) -> DataFrame:
+def parse(texts: DataFrame, key: list[str], text: str = "text", by: list[str] | None = None, piece: int | None = None) -> DataFrame:
     """The native parse of every text; key names the columns that tell texts apart.
 
     Rows are parsed one by one, also those that repeat a key or have none. Texts are dealt by the rows' numbers, or by
-    the columns `by` of the key, which leaves the tokens dealt by them; words aren't moved.
+    the columns `by` of the key, which leaves the tokens dealt by them; words aren't moved. piece: as for spread().
     """
     # numbered before the words are taken out: a generator in the same projection would number these
     rows = texts.select(*key, F.coalesce(F.col(text), F.lit("")).alias("_text"), F.monotonically_increasing_id().alias("_row"))
-    rows = spread(rows, *(by or ["_row"]))
+    rows = spread(rows, *(by or ["_row"]), piece=piece)
     words = rows.select(*key, "_row", F.posexplode(F.regexp_extract_all("_text", F.lit(TOKEN_PATTERN), F.lit(0))).alias("i", "text"))
     doc = Window.partitionBy(*(by or []), "_row").orderBy("i")
     ends = F.col("text").isin(".", "!", "?")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
 from glossa.operators import context, draws, parsing, pools, rewriting, spans, trees
 from glossa.plans.registry import query
 from glossa.session import forget, settled, stored
-from glossa.sources.readers import parquet_table
+from glossa.sources.readers import parquet_table, size_of
 
 
 def _in(words: tuple[str, ...]) -> str:
@@ -217,11 +219,27 @@ def chained_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Texts are dealt by their keys and their tokens stay there. Rows that repeat a key meet each other's tokens, by joins.
     """
-    texts = parquet_table(spark, sf_dir, "conversations").select(*KEY, "text").dropna(subset=KEY)
+    return chained_texts(keyed_texts(spark, sf_dir))
+
+
+def keyed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parquet_table(spark, sf_dir, "conversations").select(*KEY, "text").dropna(subset=KEY)
+
+
+#: Bytes of a table of texts whose tokens a task sorts at once, in memory.
+PIECE = 1 << 20
+
+
+def chained_once(texts: DataFrame, by: list[str]) -> DataFrame:
+    """chained_tokens() of texts that repeat no key, left dealt by the columns `by` of it."""
+    return chained(trees.placed_with_children(parsing.parse(texts, KEY, by=by, piece=PIECE), KEY))
+
+
+def chained_texts(texts: DataFrame) -> DataFrame:
+    """chained_tokens() of texts whose keys aren't null."""
     twice = stored(texts.groupBy(*KEY).count().filter("count > 1").select(*KEY))
     some = not twice.isEmpty()
-    once = texts.join(twice, KEY, "left_anti") if some else texts
-    rows = chained(trees.placed_with_children(parsing.parse(once, KEY, by=KEY), KEY))
+    rows = chained_once(texts.join(twice, KEY, "left_anti") if some else texts, KEY)
     if some:
         tok = stored(parsing.parse(texts.join(twice, KEY, "left_semi"), KEY))
         rows = rows.unionByName(chained(trees.with_children(trees.context(tok, KEY), KEY)))
@@ -345,6 +363,26 @@ hit AS (SELECT pt.example, pt.lemma, pt.attempt, plc.cand FROM pt ASOF JOIN plc
 mp AS (SELECT k.example, k.lemma, k.attempt, coalesce(hit.cand, k.lemma) AS target FROM (SELECT example, lemma, unnest(generate_series(0, {attempts - 1})) AS attempt FROM k1) k LEFT JOIN hit USING (example, lemma, attempt))"""
 
 
+EACH = ["example", "lemma"]
+
+
+def in_buckets(rows: DataFrame) -> DataFrame:
+    """(example, lemma, tag, bucket): chained tokens in their conversations and strict buckets."""
+    return rows.filter("chain is not null").select(F.col("conv_id").alias("example"), "lemma", "tag", F.get("chain", F.lit(0)).alias("bucket"))
+
+
+def asked_sets(dealt: DataFrame) -> DataFrame:
+    """(example, lemma, keys, times, tags): the strict buckets of each lemma of a conversation, how often, and its tags."""
+    counted = dealt.groupBy(*EACH, "bucket").agg(F.count(F.lit(1)).alias("m"), F.collect_set("tag").alias("tags"))
+    keys = counted.groupBy(*EACH).agg(F.array_sort(F.collect_list(F.struct("bucket", "m"))).alias("k"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"))
+    return keys.select(*EACH, F.col("k.bucket").alias("keys"), F.col("k.m").alias("times"), "tags")
+
+
+def named(c: Column) -> Column:
+    """128 bits of a hash of the value."""
+    return F.substring(F.sha2(F.to_json(c), 256), 1, 32)
+
+
 class Choices:
     """For each lemma of a conversation the first level with a candidate beside itself: its strict buckets, else its tags.
 
@@ -352,21 +390,17 @@ class Choices:
     several buckets, the members that they share are kept in blocks.
     """
 
-    by = ["example", "lemma"]
+    by = EACH
 
     def __init__(self, rows: DataFrame):
-        dealt = rows.filter("chain is not null").select(F.col("conv_id").alias("example"), "lemma", "tag", F.get("chain", F.lit(0)).alias("bucket")).repartition(*self.by)
-        counted = dealt.groupBy(*self.by, "bucket").agg(F.count(F.lit(1)).alias("m"), F.collect_set("tag").alias("tags"))
-        keys = counted.groupBy(*self.by).agg(F.array_sort(F.collect_list(F.struct("bucket", "m"))).alias("k"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"))
-        asked = stored(keys.select(*self.by, F.col("k.bucket").alias("keys"), F.col("k.m").alias("times"), "tags"))
+        asked = stored(asked_sets(in_buckets(rows).repartition(*self.by)))
         stats = stored(backoff_statistics(rows).select(F.col("bucket").alias("key"), F.col("lemma").alias("cand"), "n"))
 
         single = stats.select(F.col("key").alias("set"), "cand", F.greatest(F.col("n") * draws.UNIT, F.lit(draws.UNIT)).cast("long").alias("w"))
         self.single = draws.placed_members(single)
         self.first = stored(draws.measured_requests(asked.filter("size(keys) = 1").select(*self.by, "tags", F.get("keys", F.lit(0)).alias("set")), self.single, "lemma"))
 
-        name = lambda c: F.substring(F.sha2(F.to_json(c), 256), 1, 32)  # noqa: E731  128 bits
-        several = asked.filter("size(keys) > 1").withColumns({"set": name(F.col("keys")), "line": name(F.struct("keys", "times"))})
+        several = asked.filter("size(keys) > 1").withColumns({"set": named(F.col("keys")), "line": named(F.struct("keys", "times"))})
         shared = draws.shared_members(several.select("set", "keys").dropDuplicates(["set"]), stats)
         blocks = draws.blocks_of(stats)
         self.blocked = stored(draws.blocked_members(shared, blocks))
@@ -381,11 +415,6 @@ class Choices:
         self.second = stored(draws.measured_requests(rest.drop("tags"), self.loose, "lemma"))
         forget(asked, stats, pool)
 
-    def requests(self) -> DataFrame:
-        """(example, lemma, level, n_cands, weight) of the lemmas that have a candidate."""
-        parts = [d.filter("n_cands > 0").select(*self.by, F.lit(level).alias("level"), "n_cands", "weight") for d, level in ((self.first, 0), (self.mixed, 0), (self.second, 1))]
-        return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
     def mapping(self, seed: int, attempt: int | None = None) -> DataFrame:
         """(example, lemma, target): one target per lemma of each conversation; a lemma without a candidate stays."""
         keys = self.by if attempt is None else [*self.by, "attempt"]
@@ -412,13 +441,73 @@ def drawn_mapping(rows: DataFrame, seed: int) -> DataFrame:
     return out
 
 
+#: Characters of a conversation up to which its tokens are one task's.
+WHOLE = 4 << 20
+
+#: Parts in which lemmas meet their counts, one after the other, at most, and bytes of texts for each.
+PARTS, PART = 8, 4 << 20
+
+
+def asked_in_parts(texts: DataFrame) -> tuple[DataFrame, int]:
+    """asked_sets() of all conversations with a column `part`, stored, and the number of parts.
+
+    Texts are dealt by their conversation and nothing else is moved. Tokens of long conversations, and of such as repeat
+    a turn, are dealt by lemma.
+    """
+    turns = texts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("chars"))
+    odd = stored(turns.groupBy("conv_id").agg(F.max("rows").alias("rows"), F.sum("chars").alias("chars")).filter((F.col("rows") > 1) | (F.col("chars") > WHOLE)).select("conv_id"))
+    some = not odd.isEmpty()
+    asked = asked_sets(in_buckets(chained_once(texts.join(odd, "conv_id", "left_anti") if some else texts, ["conv_id"])))
+    if some:
+        rest = chained_texts(texts.join(odd, "conv_id", "left_semi"))
+        asked = asked.unionByName(asked_sets(in_buckets(rest)))
+    parts = min(PARTS, max(1, -(-size_of(texts) // PART)))
+    asked = stored(asked.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(parts))), by="part")
+    forget(odd, *([rest] if some else []))
+    return asked, parts
+
+
+def tag_sets(asked: DataFrame) -> DataFrame:
+    """(tags, n): how many lemmas have all tags of each set that is asked for."""
+    held = asked.select("lemma", F.explode("tags").alias("tag")).distinct().groupBy("lemma").agg(F.array_sort(F.collect_list("tag")).alias("held"))
+    kinds = held.groupBy("held").agg(F.count(F.lit(1)).alias("n"))
+    # as few rows on both sides as there are sets of tags
+    met = asked.select("tags").distinct().join(F.broadcast(kinds), F.size(F.array_except("tags", "held")) == 0)
+    return met.groupBy("tags").agg(F.sum("n").alias("n"))
+
+
+def first_levels(asked: DataFrame, stats: DataFrame, lines: DataFrame, loose: DataFrame) -> DataFrame:
+    """(example, lemma, level, n_cands, weight): the first level of each lemma that has a candidate beside itself.
+
+    stats: key, cand, n; lines: of line_sums(), for lemmas of several buckets; loose: of tag_sets(). A lemma has all its
+    tags itself, and its line of tags counts each member once.
+    """
+    single = stats.select(F.col("key").alias("set"), "cand", F.lit(0).alias("start"), F.greatest(F.col("n") * draws.UNIT, F.lit(draws.UNIT)).cast("long").alias("w"))
+    sizes = single.groupBy("set").agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("n"))
+    one = draws.measured_requests(asked.filter("size(keys) = 1").select(*EACH, "tags", F.get("keys", F.lit(0)).alias("set")), single.join(sizes, "set"), "lemma")
+    several = asked.filter("size(keys) > 1").withColumn("line", named(F.struct("keys", "times")))
+    held = draws.held_keys(stats).withColumn("block", F.lit(0))
+    rows = one.select(*EACH, "tags", "n_cands", "weight").unionByName(draws.measured_lines(several, lines, held, "lemma").select(*EACH, "tags", "n_cands", "weight"))
+    rows = rows.join(F.broadcast(loose.withColumn("beside", F.col("n") - 1).drop("n")), "tags", "left")
+    strict = F.coalesce(F.col("n_cands") > 0, F.lit(False))
+    level = lambda a, b: F.when(strict, a).otherwise(b)
+    rows = rows.select(*EACH, level(F.lit(0), F.lit(1)).alias("level"), level(F.col("n_cands"), F.col("beside")).alias("n_cands"), level(F.col("weight"), F.col("beside")).alias("weight"))
+    return rows.filter("n_cands > 0")
+
+
 @query(f"WITH {CONV}, {_CHAIN}, {_STATS}, {_POOL}, {_SETS} SELECT example, lemma, level, n_cands, weight FROM cset")
 def lockstep_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidates that all occurrences of a lemma in a conversation share: their level, number and weight."""
-    rows = chained_tokens(spark, sf_dir)
-    choices = Choices(rows)
-    forget(rows)
-    return choices.requests()
+    asked, parts = asked_in_parts(keyed_texts(spark, sf_dir))
+    strict = stored(asked.select(F.lower("lemma").alias("lemma"), F.inline(F.arrays_zip(F.col("keys").alias("bucket"), F.col("times").alias("m")))).groupBy("bucket", "lemma").agg(F.sum("m").alias("n")).filter("n > 1"))
+    fields = stored(context.key_fields(strict.select("bucket").distinct()))
+    links = context.chains_of(fields.withColumn("chain", context.backoff_chain()))
+    stats = stored(context.with_backoff(strict, links, 2).select(F.col("bucket").alias("key"), F.col("lemma").alias("cand"), "n"))
+    variants = stored(asked.filter("size(keys) > 1").select("keys", "times").distinct().withColumn("line", named(F.struct("keys", "times"))))
+    lines, loose = stored(draws.line_sums(variants, stats)), stored(tag_sets(asked))
+    found = [stored(first_levels(asked.filter(F.col("part") == k), stats, lines, loose)) for k in range(parts)]
+    forget(asked, strict, fields, variants, stats, lines, loose)
+    return reduce(DataFrame.unionByName, found)
 
 
 @query(f"WITH {CONV}, {_CHAIN}, {_STATS}, {_POOL}, {_SETS}, {map_sql(17)} SELECT example, lemma, target FROM mp")

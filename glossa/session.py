@@ -40,10 +40,11 @@ def shared_folder(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, **conf: str) -> DataFrame:
+def stored(df: DataFrame, by: str | None = None, **conf: str) -> DataFrame:
     """df computed once, as compressed Parquet in the shared checkpoint folder: smaller than settled(), without its shuffles.
 
-    conf: settings of the session while df is computed. Rows come back in no order.
+    by: a column, the last one, each of whose values gets a folder, so that a filter on it reads no other rows. conf:
+    settings of the session while df is computed. Rows come back in no order.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/glossa-stored/{uuid.uuid4().hex}"
@@ -52,7 +53,7 @@ def stored(df: DataFrame, **conf: str) -> DataFrame:
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

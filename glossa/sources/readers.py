@@ -25,13 +25,20 @@ def parquet_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 SMALL = 16 << 20
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
+def size_of(df: DataFrame) -> int:
+    """The bytes of a table as Spark estimates them, from the sizes of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame, *by: str, piece: int | None = None) -> DataFrame:
     """df over all cores if it is small: one file, or one row group, is one task however many cores wait.
 
-    Larger tables come in pieces enough and are left as they are: no row is moved. by: columns to deal rows by, in any case.
+    Larger tables come in pieces enough and are left as they are: no row is moved. by: columns to deal rows by, in any
+    case; piece: the bytes of a table that a task gets then, about.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores, size = df.sparkSession.sparkContext.defaultParallelism, size_of(df)
+    if piece:
+        return df.repartition(max(cores, -(-size // piece)), *by)
     if size < SMALL * cores:
         return df.repartition(cores, *by)
     return df.repartition(*by) if by else df

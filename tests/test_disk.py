@@ -5,7 +5,8 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from glossa.operators import draws, parsing, trees
+from glossa.operators import context, draws, parsing, trees
+from glossa.plans import rewriting
 
 from .oracle import assert_same, connection
 
@@ -61,3 +62,39 @@ def test_blocks_draw_as_whole_sets_do(spark, monkeypatch):
     plain = draws.open_requests(asked.select("id", "lemma", asked["line"].alias("set")), whole, "lemma")
     assert got == {r.id: r.cand for r in draws.drawn(plain, whole, ["id"], 5).collect()} and len(got) == 300
     assert {(r.id, r.n_cands, r.weight) for r in opened.collect()} == {(r.id, r.n_cands, r.weight) for r in plain.collect()}
+
+
+def test_lockstep_keeps_its_rows_only(spark):
+    folder = "/root/testdata/sf0.1"
+    before = kept(spark)
+    QUERIES["lockstep_candidates"](spark, folder).count()
+    assert kept(spark) - before < 1.5 * os.path.getsize(f"{folder}/conversations.parquet")
+
+
+def test_lockstep_of_long_conversations_and_several_parts(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(rewriting, "WHOLE", 1000)
+    monkeypatch.setattr(rewriting, "PART", 5000)
+    assert_same(connection(sf_dir), rewriting.lockstep_candidates(spark, sf_dir), SQL["lockstep_candidates"])
+
+
+def test_chains_from_the_fields_of_keys(spark, sf_dir):
+    rows = rewriting.chained_tokens(spark, sf_dir).selectExpr("chain[0] AS bucket", "chain").distinct()
+    fields = context.key_fields(rows.select("bucket").distinct()).localCheckpoint()
+    got = fields.withColumn("chain", context.backoff_chain()).select("bucket", "chain")
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.collect()))
+
+
+@pytest.mark.parametrize("tile", [None, 3])
+def test_sums_of_lines_without_their_members(spark, monkeypatch, tile):
+    if tile:
+        monkeypatch.setattr(draws, "COUNTS", tile)
+        monkeypatch.setattr(draws, "SETS", tile)
+        monkeypatch.setattr(draws, "CELLS", tile)
+    members = spark.createDataFrame([(k, f"c{j}", 2 + (j * p) % 7) for k, p in (("p", 2), ("q", 3), ("r", 5), ("none shared", 1)) for j in range(40 * (k == "none shared"), 40 + 40 * (k == "none shared"), p)], "key string, cand string, n long")
+    keys = [["p", "q"], ["p", "q", "r"], ["q", "r"], ["p", "absent"], ["none shared", "p"]]
+    rows = [(f"{k} {t}", "".join(k), k, [t + j for j in range(len(k))]) for k in keys for t in range(1, 7)]
+    variants = spark.createDataFrame(rows, "line string, set string, keys array<string>, times array<long>")
+    shared = draws.shared_members(variants.select("set", "keys").dropDuplicates(["set"]), members)
+    want = draws.lines_of(variants.select("line", "set", "times"), draws.blocked_members(shared, draws.blocks_of(members)))
+    got = {tuple(r) for r in draws.line_sums(variants.select("line", "keys", "times"), members).collect()}
+    assert got == {tuple(r) for r in want.select("line", "total", "n").collect()} and len(got) == 18
