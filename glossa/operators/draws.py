@@ -205,7 +205,11 @@ def measured_requests(requests: DataFrame, placed: DataFrame, exclude: str) -> D
     Placed sets are as many as there are contexts: their sizes go to every task, so that no set's requests are one task's.
     """
     sizes = placed.groupBy("set").agg(F.any_value("total").alias("total"), F.any_value("n").alias("n"))
-    own = placed.select("set", F.col("cand").alias(exclude), F.col("start").alias("own_start"), F.col("w").alias("own_w"))
+    return beside_own(requests, sizes, placed.select("set", F.col("cand").alias(exclude), F.col("start").alias("own_start"), F.col("w").alias("own_w")), exclude)
+
+
+def beside_own(requests: DataFrame, sizes: DataFrame, own: DataFrame, exclude: str) -> DataFrame:
+    """measured_requests() of the sizes (set, total, n) and the weights of members (set, exclude, own_w, ...)."""
     rows = requests.join(F.broadcast(sizes), "set", "left").join(own, ["set", exclude], "left")
     has = F.when(F.col("own_w").isNull(), 0).otherwise(1)
     return rows.withColumn("n_cands", F.col("n") - has).withColumn("weight", F.col("total") - F.coalesce("own_w", F.lit(0)))

@@ -476,18 +476,16 @@ def tag_sets(asked: DataFrame) -> DataFrame:
     return met.groupBy("tags").agg(F.sum("n").alias("n"))
 
 
-def first_levels(asked: DataFrame, stats: DataFrame, lines: DataFrame, loose: DataFrame) -> DataFrame:
+def first_levels(asked: DataFrame, single: DataFrame, sizes: DataFrame, held: DataFrame, lines: DataFrame, loose: DataFrame) -> DataFrame:
     """(example, lemma, level, n_cands, weight): the first level of each lemma that has a candidate beside itself.
 
-    stats: key, cand, n; lines: of line_sums(), for lemmas of several buckets; loose: of tag_sets(). A lemma has all its
-    tags itself, and its line of tags counts each member once.
+    single: set, lemma, own_w, for lemmas of one bucket, and its sizes; held: of held_keys(), and lines: of line_sums(),
+    for those of several; loose: of tag_sets(). A lemma has all its tags itself, and its line of tags counts each member
+    once.
     """
-    single = stats.select(F.col("key").alias("set"), "cand", F.lit(0).alias("start"), F.greatest(F.col("n") * draws.UNIT, F.lit(draws.UNIT)).cast("long").alias("w"))
-    sizes = single.groupBy("set").agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("n"))
-    one = draws.measured_requests(asked.filter("size(keys) = 1").select(*EACH, "tags", F.get("keys", F.lit(0)).alias("set")), single.join(sizes, "set"), "lemma")
+    one = draws.beside_own(asked.filter("size(keys) = 1").select(*EACH, "tags", F.get("keys", F.lit(0)).alias("set")), sizes, single, "lemma")
     several = asked.filter("size(keys) > 1").withColumn("line", named(F.struct("keys", "times")))
-    held = draws.held_keys(stats).withColumn("block", F.lit(0))
-    rows = one.select(*EACH, "tags", "n_cands", "weight").unionByName(draws.measured_lines(several, lines, held, "lemma").select(*EACH, "tags", "n_cands", "weight"))
+    rows = one.select(*EACH, "tags", "n_cands", "weight").unionByName(draws.measured_lines(several, lines, held.withColumn("block", F.lit(0)), "lemma").select(*EACH, "tags", "n_cands", "weight"))
     rows = rows.join(F.broadcast(loose.withColumn("beside", F.col("n") - 1).drop("n")), "tags", "left")
     strict = F.coalesce(F.col("n_cands") > 0, F.lit(False))
     level = lambda a, b: F.when(strict, a).otherwise(b)
@@ -505,8 +503,11 @@ def lockstep_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = stored(context.with_backoff(strict, links, 2).select(F.col("bucket").alias("key"), F.col("lemma").alias("cand"), "n"))
     variants = stored(asked.filter("size(keys) > 1").select("keys", "times").distinct().withColumn("line", named(F.struct("keys", "times"))))
     lines, loose = stored(draws.line_sums(variants, stats)), stored(tag_sets(asked))
-    found = [stored(first_levels(asked.filter(F.col("part") == k), stats, lines, loose)) for k in range(parts)]
-    forget(asked, strict, fields, variants, stats, lines, loose)
+    single = stats.select(F.col("key").alias("set"), F.col("cand").alias("lemma"), F.greatest(F.col("n") * draws.UNIT, F.lit(draws.UNIT)).cast("long").alias("own_w"))
+    sizes = stored(single.groupBy("set").agg(F.sum("own_w").alias("total"), F.count(F.lit(1)).alias("n")))
+    held = stored(draws.held_keys(stats))
+    found = [stored(first_levels(asked.filter(F.col("part") == k), single, sizes, held, lines, loose)) for k in range(parts)]
+    forget(asked, strict, fields, variants, stats, sizes, held, lines, loose)
     return reduce(DataFrame.unionByName, found)
 
 
