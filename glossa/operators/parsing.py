@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.sources.readers import spread
@@ -24,6 +24,12 @@ PRONOUNS = ("it", "there", "he", "she", "they", "you", "who", "which", "himself"
 AUXILIARIES = ("is", "be", "was", "are", "has", "had", "est", "es", "ist", "und")
 TO_WORDS = ("to", "zu", "de", "para")
 SUBJECTS, OBJECTS = ("nsubj", "nsubjpass", "expl"), ("dobj", "iobj")
+ENDS = (".", "!", "?")
+
+
+def words_of(text: str = "text") -> Column:
+    """The tokens of a text in an array."""
+    return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
 def parse(texts: DataFrame, key: list[str], text: str = "text", by: list[str] | None = None, piece: int | None = None) -> DataFrame:
@@ -33,11 +39,11 @@ def parse(texts: DataFrame, key: list[str], text: str = "text", by: list[str] |
     the columns `by` of the key, which leaves the tokens dealt by them; words aren't moved. piece: as for spread().
     """
     # numbered before the words are taken out: a generator in the same projection would number these
-    rows = texts.select(*key, F.coalesce(F.col(text), F.lit("")).alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    rows = texts.select(*key, F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
     rows = spread(rows, *(by or ["_row"]), piece=piece)
-    words = rows.select(*key, "_row", F.posexplode(F.regexp_extract_all("_text", F.lit(TOKEN_PATTERN), F.lit(0))).alias("i", "text"))
+    words = rows.select(*key, "_row", F.posexplode(words_of("_text")).alias("i", "text"))
     doc = Window.partitionBy(*(by or []), "_row").orderBy("i")
-    ends = F.col("text").isin(".", "!", "?")
+    ends = F.col("text").isin(*ENDS)
     words = words.withColumn("before", F.lag(ends).over(doc)).withColumn("is_start", F.coalesce("before", F.lit(True)))
     words = words.withColumn("sent", F.sum(F.when(F.coalesce("before", F.lit(False)), 1).otherwise(0)).over(doc.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("before")
     low = F.lower("text")

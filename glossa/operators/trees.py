@@ -198,7 +198,28 @@ def phrase_matches(tokens: DataFrame, phrases: DataFrame, key: list[str], longes
     runs = tokens.withColumn("run", F.collect_list(F.lower("text")).over(order))
     grams = runs.select(*key, F.col("i").alias("start"), F.explode(F.transform(F.sequence(F.lit(1), F.size("run")), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("run", 1, n), " ").alias("phrase")))).alias("g"))
     found = grams.select(*key, "start", (F.col("start") + F.col("g.n")).alias("end"), F.col("g.phrase").alias("phrase"))
-    return found.join(phrases.select(F.lower("phrase").alias("phrase")).distinct(), "phrase").select(*key, "start", "end", "phrase")
+    return listed(found, phrases, key)
+
+
+def phrases_of_words(texts: DataFrame, phrases: DataFrame, key: list[str], ends: tuple[str, ...], longest: int = 4) -> DataFrame:
+    """phrase_matches() of texts that repeat no key and have their tokens in an array `words`: without a sort or window.
+
+    ends: the tokens after which a sentence begins.
+    """
+    beside = F.arrays_zip(*(F.slice("words", n + 1, F.size("words")) for n in range(longest)))
+    near = texts.select(*key, F.posexplode(beside).alias("start", "near"))
+    words = [F.lower(F.col("near")[str(n)]) for n in range(longest)]
+    runs, inside = [], F.lit(True)
+    for n, word in enumerate(words):
+        runs.append(F.when(inside & word.isNotNull(), F.concat_ws(" ", *words[: n + 1])))
+        inside = inside & ~word.isin(*ends)
+    grams = near.select(*key, "start", F.posexplode(F.array(*runs)).alias("more", "phrase"))
+    return listed(grams.select(*key, "start", (F.col("start") + F.col("more") + 1).alias("end"), "phrase"), phrases, key)
+
+
+def listed(grams: DataFrame, phrases: DataFrame, key: list[str]) -> DataFrame:
+    """The grams that a list has: a semi join, which may broadcast the list but never the grams, however small their files."""
+    return grams.join(phrases.select(F.lower("phrase").alias("phrase")), "phrase", "left_semi").select(*key, "start", "end", "phrase")
 
 
 def licensed_sentences(tokens: DataFrame, key: list[str], items: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from glossa.functions import text as T
 from glossa.operators import context, draws, parsing, pools, rewriting, spans, trees
 from glossa.plans.registry import query
 from glossa.session import forget, settled, stored
-from glossa.sources.readers import parquet_table, size_of
+from glossa.sources.readers import parquet_table, size_of, spread
 
 
 def _in(words: tuple[str, ...]) -> str:
@@ -75,9 +76,9 @@ def conv_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(parsed_conversations(spark, sf_dir))
 
 
-def parsed_conversations(spark: SparkSession, sf_dir: str, by: list[str] | None = None) -> DataFrame:
+def parsed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_tokens() of a query that reads them once."""
-    return parsing.parse(parquet_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), KEY, by=by)
+    return parsing.parse(parquet_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), KEY)
 
 
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,9 +163,21 @@ SELECT conv_id, turn, "start", 0 AS "end", '' AS phrase FROM g WHERE false
 UNION ALL SELECT conv_id, turn, i, i + 2, p FROM (SELECT conv_id, turn, i, lower(text) || ' ' || lead(lower(text)) OVER (PARTITION BY conv_id, turn, sent ORDER BY i) AS p FROM tok) WHERE p IN ('of the', 'in the', 'de la')
 UNION ALL SELECT conv_id, turn, i, i + 3, p FROM (SELECT conv_id, turn, i, lower(text) || ' ' || lead(lower(text)) OVER w || ' ' || lead(lower(text), 2) OVER w AS p FROM tok WINDOW w AS (PARTITION BY conv_id, turn, sent ORDER BY i)) WHERE p IN ('and of the')""")
 def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Multiword expressions of a list."""
-    phrases = spark.createDataFrame([("of the",), ("In the",), ("de la",), ("and of the",)], "phrase string")
-    return trees.phrase_matches(parsed_conversations(spark, sf_dir, KEY), phrases, KEY, 3)
+    """Multiword expressions of a list.
+
+    Tokens stay in the row of their text, but for those of rows that repeat a key, whose sentences are one.
+    """
+    phrases = spark.sql("VALUES ('of the'), ('In the'), ('de la'), ('and of the') AS p(phrase)")
+    texts = parquet_table(spark, sf_dir, "conversations").select(*KEY, "text")
+    twice = stored(texts.groupBy(*KEY).count().filter("count > 1").select(*KEY))
+    some, twice = not twice.isEmpty(), twice.hint("merge")  # packed files of keys look small enough to broadcast when they aren't
+    same = reduce(and_, (texts[k].eqNullSafe(twice[k]) for k in KEY))
+    once = spread(texts.join(twice, same, "left_anti") if some else texts)
+    found = trees.phrases_of_words(once.select(*KEY, parsing.words_of().alias("words")), phrases, KEY, parsing.ENDS, 3)
+    if some:
+        tok = parsing.parse(texts.join(twice, same, "left_semi"), KEY)
+        found = found.unionByName(trees.phrase_matches(tok, phrases, KEY, 3))
+    return found
 
 
 @query(f"""WITH {CONV}, n AS (SELECT conv_id, turn, head AS i, dep, count(*) AS n FROM tok WHERE head <> i GROUP BY ALL)

@@ -1,6 +1,10 @@
 """What the queries on conversations keep on disk, and their results on odd keys."""
 
 import os
+import re
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -98,3 +102,58 @@ def test_sums_of_lines_without_their_members(spark, monkeypatch, tile):
     want = draws.lines_of(variants.select("line", "set", "times"), draws.blocked_members(shared, draws.blocks_of(members)))
     got = {tuple(r) for r in draws.line_sums(variants.select("line", "keys", "times"), members).collect()}
     assert got == {tuple(r) for r in want.select("line", "total", "n").collect()} and len(got) == 18
+
+
+SMALL_HEAP = """
+import sys
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+folder, scratch = sys.argv[1:]
+spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.local.dir", scratch).config("spark.memory.fraction", "0.2").config("spark.checkpoint.dir", f"file://{scratch}/shared").getOrCreate()
+print("ROWS", entry.queries()["phrase_matches"](spark, folder).count())
+"""
+
+
+def test_phrases_where_driver_and_tasks_share_little_memory(spark, tmp_path):
+    talks = spark.read.parquet("/root/testdata/sf0.1/conversations.parquet")
+    talks.crossJoin(spark.range(4).withColumnRenamed("id", "copy")).selectExpr("conv_id + copy * 1000000 AS conv_id", "turn", "role", "text").write.parquet(f"{tmp_path}/conversations.parquet")
+    env = os.environ | {"PYTHONPATH": str(Path(entry.__file__).parent), "PYSPARK_SUBMIT_ARGS": "--driver-memory 600m pyspark-shell"}
+    run = subprocess.run([sys.executable, "-c", SMALL_HEAP, str(tmp_path), str(tmp_path)], env=env, capture_output=True, text=True, timeout=180)
+    want = QUERIES["phrase_matches"](spark, "/root/testdata/sf0.1").count()
+    assert f"ROWS {4 * want}" in run.stdout, run.stderr[-2000:]
+
+
+def test_phrases_without_sorts_or_python(spark, sf_dir):
+    plan = QUERIES["phrase_matches"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and not re.search("Sort|Window|ExistingRDD|Python|Arrow", plan)
+
+
+def test_phrases_never_broadcast_the_words(spark, sf_dir):
+    # a list from Python has no known size, and texts in small files seem the lesser side
+    texts = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(*KEY, "text")
+    phrases = spark.createDataFrame([("of the",)], "phrase string")
+    for found in (trees.phrase_matches(parsing.parse(texts, KEY), phrases, KEY), trees.phrases_of_words(texts.select(*KEY, parsing.words_of().alias("words")), phrases, KEY, parsing.ENDS)):
+        assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_phrases_of_words_as_of_tokens(spark, sf_dir):
+    texts = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(*KEY, "text")
+    odd = ["of the. Of The", "of. the", "! ! of the", "OF", "", None, "...", "a of the b of the", "ÉTÉ İstanbul’s été İSTANBUL’S"]
+    texts = texts.unionByName(spark.createDataFrame([(-1, j, t) for j, t in enumerate(odd)], texts.schema)).cache()
+    tok = parsing.parse(texts, KEY).cache()
+    phrases = spark.createDataFrame([(p,) for p in ("of the", "Of the", "the", ". .", "!", "! of", "of the .", "a of the b", "été İstanbul’s", "absent", "")], "phrase string")
+    for longest in (1, 3, 4):
+        want = trees.phrase_matches(tok, phrases, KEY, longest)
+        got = trees.phrases_of_words(texts.select(*KEY, parsing.words_of().alias("words")), phrases, KEY, parsing.ENDS, longest)
+        assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 5
+
+
+def test_phrases_of_repeated_and_null_keys(spark, sf_dir, tmp_path):
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    # equal texts: the order of equal places doesn't matter
+    odd = [(k, t, "u", text) for k, t, n, text in ((None, 1, 3, "One of the cats. In the house"), (None, None, 2, "and of the"), (7, None, 1, "In the house of the cats"), (90001, 1, 2, "de la of the"), (90002, 1, 1, "and of the")) for _ in range(n)]
+    talks.unionByName(spark.createDataFrame(odd, talks.schema)).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["phrase_matches"](spark, str(tmp_path))
+    joins = re.findall("(?:BroadcastHash|SortMerge)Join .*", got._jdf.queryExecution().executedPlan().toString())
+    assert len(joins) == 4 and all("phrase" in x and "BuildRight" in x for x in joins if "Broadcast" in x)
+    assert_same(connection(str(tmp_path)), got, SQL["phrase_matches"])
